@@ -121,6 +121,6 @@ hits AS (SELECT l.doc_id, k.license FROM lines l JOIN known k ON k.digest = sha2
 by_doc AS (SELECT doc_id, count(*) AS n, list(license) AS found FROM hits GROUP BY doc_id),
 whole AS (SELECT d.doc_id, sha256({_sql('d.text')}) AS digest FROM documents d)
 SELECT w.doc_id, w.digest, k.license AS whole_license,
-  array_to_string(list_sort(list_distinct(list_filter(list_append(coalesce(b.found, []), k.license), x -> x IS NOT NULL))), ',') AS licenses,
+  array_to_string(list_sort(list_distinct(list_filter(list_append(coalesce(b.found, []), k.license), lambda x: x IS NOT NULL))), ',') AS licenses,
   coalesce(b.n, 0)::BIGINT AS n_license_lines
 FROM whole w LEFT JOIN known k ON k.digest = w.digest LEFT JOIN by_doc b ON b.doc_id = w.doc_id"""
