@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan
+from . import bpe, license_scan, packing, url_filter
 
 QUERIES = {
+    "op5_packing": packing.op5_packing,
+    "op6_url_filter": url_filter.op6_url_filter,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
-ORACLES = {"op8_license_scan": license_scan.oracle()}
+ORACLES = {"op6_url_filter": url_filter.oracle(), "op8_license_scan": license_scan.oracle()}
