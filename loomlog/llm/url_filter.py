@@ -42,7 +42,11 @@ def keys_of(host: Column, path: Column, path_lengths: list[int]) -> Column:
     """
     parts = F.split(host, r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
-    each = [F.transform(suffixes, lambda s, n=n: F.when(F.length(path) >= n, F.concat(s, F.substring(path, 1, n)))) for n in sorted(set(path_lengths), reverse=True)]
+
+    def with_prefix(n: int) -> Column:
+        return F.transform(suffixes, lambda s: F.when(F.length(path) >= n, F.concat(s, F.substring(path, 1, n))))
+
+    each = [with_prefix(n) for n in sorted(set(path_lengths), reverse=True)]
     keys = F.array_distinct(F.array_compact(F.concat(*each)))
     longest = lambda a, b: F.when(F.length(a) > F.length(b), -1).when(F.length(a) < F.length(b), 1).when(a < b, -1).when(a > b, 1).otherwise(0)
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_sort(keys, longest))
@@ -136,7 +140,8 @@ def build(keyed: DataFrame, listed: list[str]) -> Cascade:
             names_at = [k for ks in pdf["keys"] for k in ks]
             new = {names_at[i] for i in np.flatnonzero(first.has(hh))} - names - seen
             seen |= new
-            yield pd.DataFrame({"key": sorted(new)})
+            if new:
+                yield pd.DataFrame({"key": sorted(new)})
 
     if not listed:
         return Cascade(h, h, first)
