@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, url_filter
+from . import bpe, license_scan, packing, simhash, url_filter
 
 QUERIES = {
+    "op1_simhash": simhash.op1_simhash,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_license_scan": license_scan.op8_license_scan,
