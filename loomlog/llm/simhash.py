@@ -91,10 +91,10 @@ def links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame:
     task and joined back, so a bucket is never gathered.
     """
     masks = covering_masks() if masks is None else masks
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
+    tables = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = distinct.select("fp", tables.alias("b")).select("fp", "b.t", "b.key")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    met = keyed.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or(F.shiftleft(F.lit(1), F.col("t"))).alias("tables"))
+    met = keyed.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or("t").alias("tables"))
 
     def free(i: int) -> Column:
         """Bits that some table in which fp met another leaves free."""
