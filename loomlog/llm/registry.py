@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, simhash, url_filter
+from . import bpe, license_scan, packing, simhash, spotsigs, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
     "op8_license_scan": license_scan.op8_license_scan,
