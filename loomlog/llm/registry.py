@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, simhash, spotsigs, url_filter
+from . import bpe, license_scan, packing, quality, simhash, spotsigs, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_packing": packing.op5_packing,
     "op6_url_filter": url_filter.op6_url_filter,
+    "op7_quality": quality.op7_quality,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
