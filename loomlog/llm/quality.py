@@ -6,7 +6,7 @@ A document is the mean and the spread of its tokens' vectors. Two dense layers i
 give a logit, which one temperature, fitted on rows set aside, turns into a probability.
 
 Tokens are runs of letters, runs of digits, single other characters, and the shape of each
-word (lower, capital, upper case); texts are handled as bytes, without a loop over words.
+word (lower, capital, upper case, or a repetition); texts are handled as bytes, without a loop over words.
 """
 
 from __future__ import annotations
@@ -79,7 +79,9 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     word = of == 1
     first, second = _UPPER[data[starts]], _UPPER[data[np.minimum(starts + 1, len(data) - 1)]] * (ends - starts > 1)
     shape = first + 2 * (first & second)
-    # words are followed by their shape: 0 lower, 1 capital, 3 upper; others stand alone
+    said = np.flatnonzero(word)
+    shape[said[1:][slot[said[1:]] == slot[said[:-1]]]] = 4
+    # words are followed by their shape: 0 lower, 1 capital, 3 upper, 4 the word before again; others stand alone
     width = np.where(word, 2, 1)
     place = np.cumsum(width) - width
     out = np.zeros(int(width.sum()), dtype=np.int64)
