@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, license_scan, packing, quality, simhash, spotsigs, url_filter
+from . import bpe, license_scan, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -12,5 +12,6 @@ QUERIES = {
     "op7_quality": quality.op7_quality,
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
 }
 ORACLES = {"op6_url_filter": url_filter.oracle(), "op8_license_scan": license_scan.oracle()}
