@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import bpe, embedding_dedup, license_scan, line_dedup, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_embedding_dedup": embedding_dedup.op3_embedding_dedup,
     "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_packing": packing.op5_packing,
