@@ -61,13 +61,18 @@ def first_crowd(rows: DataFrame, key: str, ts: str, seq: str, window_ms: int, le
     return counted.where(F.col("n") >= least).groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{ts}").alias("start_ms"), "b.end_ms", "b.n")
 
 
+def with_key(rows: DataFrame, message: str) -> DataFrame:
+    """Rows whose message has a key, as norm; a generator keeps the expression in one place."""
+    return rows.select("*", F.explode(F.filter(F.array(t.message_key(F.col(message))), lambda x: x != "")).alias("norm"))
+
+
 def repeat_pairs(rows: DataFrame, key: str, ts: str, seq: str, message: str, window_ms: int) -> DataFrame:
     """Similar messages of one key within window_ms, earlier first: key, a_ts, a_seq, b_ts, b_seq.
 
     Two similar messages share a similarity key, so it is an equi-join on those; the window's
     number, with its neighbour, keeps apart what can't meet in time.
     """
-    norm = rows.select(key, F.col(ts).alias("ts"), F.col(seq).alias("seq"), t.message_key(F.col(message)).alias("norm")).where("norm <> ''")
+    norm = with_key(rows, message).select(key, F.col(ts).alias("ts"), F.col(seq).alias("seq"), "norm")
     keyed = norm.withColumn("sk", F.explode(t.similarity_keys(F.col("norm")))).withColumn("slot", F.floor(F.col("ts") / window_ms))
     a = keyed.select(key, "sk", "slot", F.col("ts").alias("a_ts"), F.col("seq").alias("a_seq"), F.col("norm").alias("a_norm"))
     b = keyed.withColumn("slot", F.explode(F.array("slot", F.col("slot") - 1))).select(key, "sk", "slot", F.col("ts").alias("b_ts"), F.col("seq").alias("b_seq"), F.col("norm").alias("b_norm"))
@@ -83,10 +88,10 @@ def first_repeat(rows: DataFrame, key: str, ts: str, seq: str, message: str, win
     first and is dropped before the join, so floods of equal messages don't multiply.
     """
     equal = Window.partitionBy(key, "norm").orderBy(ts, seq)
-    norm = rows.withColumn("norm", t.message_key(F.col(message)))
-    done = norm.where("norm <> ''").withColumn("done", F.lead(F.struct(ts, seq), least - 1).over(equal)).where(F.col(f"done.{ts}") - F.col(ts) <= window_ms)
+    norm = with_key(rows, message)
+    done = norm.withColumn("done", F.lead(F.struct(ts, seq), least - 1).over(equal)).where(F.col(f"done.{ts}") - F.col(ts) <= window_ms)
     bound = done.groupBy(key).agg(F.min("done").alias("bound"))
-    early = norm.join(bound, key, "left").where(F.col("bound").isNull() | (F.struct(ts, seq) <= F.col("bound")))
+    early = norm.join(bound, key, "left").where(F.col("bound").isNull() | (F.struct(ts, seq) <= F.col("bound"))).drop("norm", "bound")
     pairs = repeat_pairs(early, key, ts, seq, message, window_ms)
     nth = Window.partitionBy(key, "a_ts", "a_seq").orderBy("b_ts", "b_seq")
     full = pairs.withColumn("nth", F.row_number().over(nth)).where(F.col("nth") == least - 1)

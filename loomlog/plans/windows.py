@@ -14,8 +14,10 @@ CHAT = f"SELECT * FROM (SELECT *, {d.chat('line')[0]} AS chat_player, {d.chat('l
 
 
 def chat_rows(log):
+    """Rows with a player and a message; made by a generator, so that the parser runs once a row."""
     c = t.chat(F.col("line"))
-    return log.withColumn("chat_player", c["player"]).withColumn("chat_message", c["message"]).where("chat_player <> ''")
+    made = F.array(F.struct(c["player"].alias("chat_player"), c["message"].alias("chat_message")))
+    return log.select("*", F.inline(F.filter(made, lambda x: x["chat_player"] != "")))
 
 
 HISTORY = """h AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY server_id, phrase ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
