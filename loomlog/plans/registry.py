@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.plans import scalars, windows
+from loomlog.plans import reports, scalars, windows
 from loomlog.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "scalars", "windows"]
+__all__ = ["ORACLES", "QUERIES", "flagship", "reports", "scalars", "windows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
