@@ -171,7 +171,7 @@ def tokenizer(path: str, pattern: str) -> ByteBPE:
     return _loaded[path, pattern]
 
 
-def pieces(texts: list[str], most: int = 1 << 21) -> Iterator[tuple[int, int]]:
+def pieces(texts: list[str], most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Row ranges of about `most` characters each, so that memory doesn't follow Arrow's batch size."""
     start = size = 0
     for i, t in enumerate(texts):

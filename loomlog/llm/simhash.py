@@ -79,7 +79,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             texts, ids = pdf.text.fillna("").tolist(), pdf.doc_id.to_numpy()
-            for a, b in pieces(texts):
+            for a, b in pieces(texts, 1 << 19):
                 yield pd.DataFrame({"doc_id": ids[a:b], "fp": fingerprint_texts(texts[a:b], width).view(np.int64)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")

@@ -33,13 +33,13 @@ from .common import cut, table
 
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
-CHUNK, BUCKET, ARRAY = 3 << 20, 16 << 20, 1 << 20
+CHUNK, BUCKET, ARRAY = 3 << 19, 16 << 20, 1 << 19
 CHUNKS = "g long, ids binary, lens binary, body binary, meta binary"
 FAR = np.iinfo(np.int64).max
 
 
 def _zip(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _unzip(data: bytes) -> bytes:
@@ -91,13 +91,17 @@ class Runs:
         h = np.zeros(size, dtype=np.uint64)
         for o in [*range(0, max(1, m - 7), 8), *([m - 8] if m > 8 and m % 8 else [])]:
             x = self.words[o : o + size]
-            h = _mix(h ^ (x if m >= 8 else x & np.uint64((1 << 8 * m) - 1)))
-        low, width, k = _mix(h) >> np.uint64(16), n - m + 1, 1
+            h ^= x if m >= 8 else x & np.uint64((1 << 8 * m) - 1)
+            h *= np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h >>= np.uint64(16)
+        low, width, k = h, n - m + 1, 1
         while 2 * k <= width:
-            low[: size - k] = np.minimum(low[: size - k], low[k:])
+            np.minimum(low[: size - k], low[k:], out=low[: size - k])
             k *= 2
         if width > k:
-            low[: size - (width - k)] = np.minimum(low[: size - (width - k)], low[width - k :])
+            np.minimum(low[: size - (width - k)], low[width - k :], out=low[: size - (width - k)])
         self.ends = np.cumsum(self.lens)
         inside = np.zeros(size + 1, dtype=np.int32)  # windows that don't cross documents
         has = self.lens >= n
@@ -178,7 +182,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         k *= 2
     order = None
     while True:
-        order = np.argsort(rank, kind="stable")
+        order = np.argsort(rank)
         if k >= depth:
             return order
         value = rank[order]
