@@ -60,7 +60,7 @@ def min_neighbour_star(edges: DataFrame, larger: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component): component is the smallest node reachable, for nodes with a link.
+    """(node, component) for each node but the smallest of its component, which is `component`.
 
     edges: (a, b) long, in any direction, repeats and self links allowed. Rounds go on
     until every link joins a node to its component's smallest node; each round is a

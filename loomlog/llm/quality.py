@@ -28,6 +28,7 @@ SAMPLE_ROWS = 8000
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 48, 6, 2
 #: Tokens of a training text that the word vectors are summed over at a time.
 STEP = 1 << 18
+LEAST_SEEN = 10
 SHAPES = 8  # the first slots are word shapes
 PARTS = 8  # tasks that sum word vectors; each sends SLOTS x DIM numbers at most
 
@@ -197,8 +198,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
     for r in rows.select("text").mapInPandas(contexts, "slot int, seen long, sums binary").collect():
         vectors[r.slot] += np.frombuffer(r.sums, dtype=np.float32)
         seen[r.slot] += r.seen
-    # a context is worth more the more often it was seen; unseen tokens keep their index vector
-    mixed = vectors + 2.0 * index
+    # rare tokens keep their index vector: their contexts would be those of the very texts trained on
+    mixed = np.where(seen[:, None] >= LEAST_SEEN, vectors, 0) + 2.0 * index
     vectors = (mixed / np.maximum(np.linalg.norm(mixed, axis=1, keepdims=True), 1e-9)).astype(np.float32)
     model = Model(vectors)
 

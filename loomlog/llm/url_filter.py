@@ -76,7 +76,7 @@ class Bloom:
         self.bits = np.packbits(self.bits, bitorder="little")
 
     def _probes(self, h: np.ndarray) -> Iterator[np.ndarray]:
-        a = h[:, 0] ^ (self.level * np.uint64(0x9E3779B97F4A7C15))
+        a = h[:, 0] ^ np.uint64(int(self.level) * 0x9E3779B97F4A7C15 % 2**64)
         a = (a ^ (a >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         b = h[:, 1] | np.uint64(1)
         for i in range(self.k):
