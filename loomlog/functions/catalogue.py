@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import any_of, keys_match
+from .text import keys_match
 
 ISSUE_LEVELS = ["WARN", "WARNING", "ERROR", "FATAL", "SEVERE"]
 ISSUE_WORDS = ["error", "failed", "failure", "exception", "timed out", "timeout", "unable", "refused", "missing", "denied"]
@@ -91,7 +91,12 @@ def contains_sql(c: str, words: list[str]) -> str:
 
 
 def contains(c: Column, words: list[str]) -> Column:
-    return F.lower(c).rlike(any_of(words)) if words else F.lit(False)
+    """Whether any of the words occurs; plain searches are faster than an alternation."""
+    out = F.lit(False)
+    for i, w in enumerate(words):
+        hit = F.contains(F.lower(c), F.lit(w))
+        out = hit if i == 0 else out | hit
+    return out
 
 
 def hint(c: Column, level: Column) -> Column:
@@ -136,22 +141,33 @@ def track_sql(c: str, level: str) -> str:
     return f"CASE WHEN {hit} THEN 'true|true' ELSE 'false|false' END"
 
 
-def ops(c: Column, level: Column) -> Column:
-    """struct(category, subtype, severity, needs_admin, observation, ops_first, reports); FATAL is critical, SEVERE high at least."""
-    out = None
-    issue = level.isin(ISSUE_LEVELS)
+#: What holds where no rule fits, by level.
+DEFAULTS = [("FATAL", "critical"), ("SEVERE", "high"), ("ERROR", "medium"), ("WARN", "low"), ("INFO", "info")]
+
+
+def ops_rule(c: Column, level: Column) -> Column:
+    """The number of the first rule that fits, or behind those the level's default."""
+    out, issue = None, level.isin(ISSUE_LEVELS)
+    for i, r in enumerate(OPS):
+        fits = (issue & contains(c, r[3])) if r[4] else contains(c, r[3])
+        out = F.when(fits, i) if out is None else out.when(fits, i)
+    for i, (lv, _) in enumerate(DEFAULTS[:-1]):
+        out = out.when(level == lv, len(OPS) + i)
+    return out.otherwise(len(OPS) + len(DEFAULTS) - 1)
 
-    def value(category, subtype, severity, first, observation, reports):
-        s = F.when(level == "FATAL", "critical").when((level == "SEVERE") & F.lit(severity not in ("high", "critical")), "high").otherwise(severity)
-        return F.struct(F.lit(category).alias("category"), F.lit(subtype).alias("subtype"), s.alias("severity"), F.lit(severity in ("high", "critical", "medium")).alias("needs_admin"), F.lit(observation).alias("observation"), F.lit(first).alias("ops_first"), F.array(*[F.lit(r) for r in reports]).cast("array<string>").alias("reports"))
 
-    for category, subtype, severity, words, needs, observation, reports in OPS:
-        fits = contains(c, words) & (issue if needs else F.lit(True))
-        v = value(category, subtype, severity, True, observation, reports)
-        out = F.when(fits, v) if out is None else out.when(fits, v)
-    for lv, severity in (("FATAL", "critical"), ("SEVERE", "high"), ("ERROR", "medium"), ("WARN", "low")):
-        out = out.when(level == lv, value("general", "level", severity, False, False, []))
-    return out.otherwise(value("general", "none", "info", False, True, []))
+def ops_of(rule: Column, level: Column) -> Column:
+    """struct(category, subtype, severity, needs_admin, observation, ops_first, reports) of a rule's number; FATAL is critical, SEVERE high at least."""
+    table = [(r[0], r[1], r[2], r[5], True, r[6]) for r in OPS] + [("general", "none" if lv == "INFO" else "level", s, lv == "INFO", False, []) for lv, s in DEFAULTS]
+    column = lambda i: F.get(F.array(*[F.lit(x[i]) for x in table]), rule)
+    s = column(2)
+    severity = F.when(level == "FATAL", "critical").when((level == "SEVERE") & ~s.isin("high", "critical"), "high").otherwise(s)
+    reports = F.get(F.array(*[F.array(*[F.lit(r) for r in x[5]]).cast("array<string>") for x in table]), rule)
+    return F.struct(column(0).alias("category"), column(1).alias("subtype"), severity.alias("severity"), s.isin("medium", "high", "critical").alias("needs_admin"), column(3).alias("observation"), column(4).alias("ops_first"), reports.alias("reports"))
+
+
+def ops(c: Column, level: Column) -> Column:
+    return ops_of(ops_rule(c, level), level)
 
 
 def ops_sql(c: str, level: str, field: str) -> str:
@@ -173,28 +189,25 @@ def chat_labels(c: Column) -> Column:
     return F.array_compact(F.array(*[F.when(keys_match(c, w), label) for label, _, _, w in CHAT]))
 
 
-def chat(c: Column) -> Column:
-    """struct(labels, category, severity, needs_admin): all labels; the group of highest priority; the worst severity."""
-    labels = chat_labels(c)
-    has = {label: F.array_contains(labels, label) for label, _, _, _ in CHAT}
-    order = sorted({g for _, g, _, _ in CHAT}, key=lambda g: -GROUP_PRIORITY[g])
+def chat_of(labels: Column) -> Column:
+    """struct(labels, category, severity, needs_admin) of labels: the group of highest priority; the worst severity."""
+    any_label = lambda names: F.arrays_overlap(labels, F.array(*[F.lit(x) for x in names]))
     category, severity = None, None
-    for g in order:
-        hit = F.lit(False)
-        for label, group, _, _ in CHAT:
-            if group == g:
-                hit = hit | has[label]
+    for g in sorted({g for _, g, _, _ in CHAT}, key=lambda g: -GROUP_PRIORITY[g]):
+        hit = any_label([x for x, group, _, _ in CHAT if group == g])
         category = F.when(hit, g) if category is None else category.when(hit, g)
     for s in reversed(SEVERITIES):
-        hit = F.lit(False)
-        for label, _, sev, _ in CHAT:
-            if sev == s:
-                hit = hit | has[label]
-        severity = F.when(hit, s) if severity is None else severity.when(hit, s)
+        names = [x for x, _, sev, _ in CHAT if sev == s]
+        if names:
+            severity = F.when(any_label(names), s) if severity is None else severity.when(any_label(names), s)
     severity = severity.otherwise("info")
     return F.struct(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("small_talk"))).alias("labels"), category.otherwise("small_talk").alias("category"), severity.alias("severity"), severity.isin("high", "critical").alias("needs_admin"))
 
 
+def chat(c: Column) -> Column:
+    return chat_of(chat_labels(c))
+
+
 def chat_sql(c: str, field: str) -> str:
     from loomlog.plans.duck import keys_match as km
 
@@ -212,15 +225,20 @@ def _labels_sql(c: str) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {km(c, w)} THEN '{label}' END" for label, _, _, w in CHAT) + "], lambda x: x IS NOT NULL)"
 
 
-def category(content: Column, level: Column, is_chat: Column, cheat: Column) -> Column:
-    """One report category: noise and machinery are daily, then anticheat, chat, operations, words in order, daily."""
-    found = F.when(daily_noise(content, level) | contains(content, BENIGN), "daily").when(cheat, "community")
-    c, o = chat(content), ops(content, level)
-    found = found.when(is_chat & (c["category"] == "violation"), "chat_review").when(is_chat & (c["category"] == "performance"), "player_feedback").when(is_chat, "daily")
-    found = found.when(o["ops_first"] & (F.size(o["reports"]) > 0), F.try_element_at(o["reports"], F.lit(1)))
+def word_category(content: Column) -> Column:
+    """The first category whose words occur, null without one."""
+    out = None
     for name, words in CATEGORY_WORDS.items():
-        found = found.when(keys_match(content, words) & (level != "INFO"), name)
-    return found.otherwise("daily")
+        hit = keys_match(content, words)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    return out
+
+
+def category(daily: Column, cheat: Column, is_chat: Column, chat_category: Column, first_report: Column, by_words: Column) -> Column:
+    """One report category: noise and machinery are daily, then anticheat, chat, operations, words in order, daily."""
+    found = F.when(daily, "daily").when(cheat, "community")
+    found = found.when(is_chat & (chat_category == "violation"), "chat_review").when(is_chat & (chat_category == "performance"), "player_feedback").when(is_chat, "daily")
+    return F.coalesce(found.when(first_report.isNotNull(), first_report).otherwise(by_words), F.lit("daily"))
 
 
 def category_sql(content: str, level: str, is_chat: str, cheat: str) -> str:

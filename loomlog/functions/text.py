@@ -181,18 +181,23 @@ def symbol_heavy(c: Column) -> Column:
     return (F.char_length(c) >= 8) & (F.char_length(F.regexp_replace(c, r"[^\p{L}\p{N}]", "")) * 4 < F.char_length(c))
 
 
+def let(value: Column, body) -> Column:
+    """body(x) with x bound to value, which is then computed once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def chat(c: Column) -> Column:
-    """struct(player, message), null for lines that aren't chat."""
-    thread = c.rlike(CHAT_THREAD)
-    s = strip(F.regexp_replace(strip(F.regexp_replace(c, CHAT_THREAD, "")), PREFIX, ""))
-    s = F.regexp_replace(s, r"^[ :\t]+", "")
-    plugin, native = strip(F.regexp_extract(s, CHAT_PLUGIN, 2)), strip(F.regexp_extract(s, CHAT_NATIVE, 2))
+    """struct(player, message), null for lines that aren't chat. Lines without a > or the chat thread's name aren't parsed."""
     made = lambda p, m: F.struct(p.alias("player"), m.alias("message"))
-    return (
-        F.when(plugin != "", made(F.regexp_extract(s, CHAT_PLUGIN, 1), plugin))
-        .when(native != "", made(F.regexp_extract(s, CHAT_NATIVE, 1), native))
-        .when(thread & (s != ""), made(F.lit(""), s))
-    )
+
+    def parse(s: Column) -> Column:
+        plugin, native = strip(F.regexp_extract(s, CHAT_PLUGIN, 2)), strip(F.regexp_extract(s, CHAT_NATIVE, 2))
+        by_native = let(native, lambda m: F.when(m != "", made(F.regexp_extract(s, CHAT_NATIVE, 1), m)).when(c.rlike(CHAT_THREAD) & (s != ""), made(F.lit(""), s)))
+        by_plugin = let(plugin, lambda m: F.when(m != "", made(F.regexp_extract(s, CHAT_PLUGIN, 1), m)))
+        return F.coalesce(F.when(s.contains(">>"), by_plugin), by_native)
+
+    bare = F.regexp_replace(strip(F.regexp_replace(strip(F.regexp_replace(c, CHAT_THREAD, "")), PREFIX, "")), r"^[ :\t]+", "")
+    return F.when(c.contains(">") | F.lower(c).contains("[async chat thread"), let(bare, parse))
 
 
 def meaningless(c: Column) -> Column:
@@ -202,8 +207,9 @@ def meaningless(c: Column) -> Column:
 
 def anticheat(c: Column) -> Column:
     """struct(player, check), null for other lines."""
-    player = F.regexp_extract(c, ANTICHEAT, 1)
-    return F.when(player != "", F.struct(player.alias("player"), F.regexp_replace(F.regexp_extract(c, ANTICHEAT, 2), r"^[ :,.]+|[ :,.]+$", "").alias("check")))
+    check = F.regexp_replace(F.regexp_extract(c, ANTICHEAT, 2), r"^[ :,.]+|[ :,.]+$", "")
+    found = let(F.regexp_extract(c, ANTICHEAT, 1), lambda p: F.when(p != "", F.struct(p.alias("player"), check.alias("check"))))
+    return F.when(F.lower(c).contains("[vulcan]"), found)
 
 
 def message_key(c: Column) -> Column:
@@ -300,13 +306,11 @@ def cap_entries(m: Column, n: int = 16, size: int = 4000) -> Column:
 
 
 def keys_match(c: Column, words: list[str]) -> Column:
-    """Short ASCII words match whole tokens, longer ones and others anywhere."""
+    """Short ASCII words match whole tokens, longer ones and others anywhere; one expression for all of them."""
     short = [w for w in words if w.isascii() and w.isalpha() and len(w) <= 6]
     long = [w for w in words if w not in short]
-    low = F.lower(c)
-    tokens = F.split(low, "[^a-z0-9_]+")
-    hit = F.arrays_overlap(tokens, F.array(*[F.lit(w) for w in short])) if short else F.lit(False)
-    return hit | (low.rlike(any_of(long)) if long else F.lit(False))
+    parts = [rf"(?<![a-z0-9_])(?:{any_of(short)})(?![a-z0-9_])"] if short else []
+    return F.lower(c).rlike("|".join([*parts, *([any_of(long)] if long else [])]))
 
 
 def mask(c: Column, categories: dict[str, list[str]]) -> Column:

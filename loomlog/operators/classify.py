@@ -19,27 +19,38 @@ FLAGS = {"critical": CRITICAL, "trouble": TROUBLE, "slow": SLOW, "network": NETW
 def classify(log: DataFrame, line: str = "line", message: str = "message", level: str = "level") -> DataFrame:
     """log with chat_player, chat_message, cheat_player, cheat_check, category, tag, ops_category, ops_subtype, ops_severity, chat_labels, chat_category, chat_severity, severity.
 
-    Made by one generator, so that later filters and joins never repeat the rules.
+    Made in steps of one generator each: what later steps use again is a column by then, and
+    filters and joins on it never repeat the rules.
     """
-    ch, ac = t.chat(F.col(line)), t.anticheat(F.col(line))
-    first = F.struct(ch["player"].alias("chat_player"), ch["message"].alias("chat_message"), ac["player"].alias("cheat_player"), ac["check"].alias("cheat_check"))
-    parsed = log.select("*", F.inline(F.array(first)))
-    said = F.col("chat_message").isNotNull()
-    o, h = c.ops(F.col(message), F.col(level)), c.chat(F.coalesce("chat_message", F.lit("")))
-    category = c.category(F.col(message), F.col(level), said, F.col("cheat_player").isNotNull())
-    worst = F.greatest(c.severity_rank(o["severity"]), F.when(said, c.severity_rank(h["severity"])).otherwise(0))
-    second = F.struct(
-        category.alias("category"),
-        o["category"].alias("ops_category"),
-        o["subtype"].alias("ops_subtype"),
-        o["severity"].alias("ops_severity"),
-        F.when(said, h["labels"]).alias("chat_labels"),
-        F.when(said, h["category"]).alias("chat_category"),
-        F.when(said, h["severity"]).alias("chat_severity"),
-        F.get(F.array(*[F.lit(s) for s in c.SEVERITIES]), worst.cast("int")).alias("severity"),
-    )
-    made = parsed.select("*", F.inline(F.array(second)))
-    return made.withColumn("tag", tag(F.col("category"), F.col("cheat_player").isNotNull(), F.col("severity")))
+    ch, ac, text, lv = t.chat(F.col(line)), t.anticheat(F.col(line)), F.col(message), F.col(level)
+    step = lambda rows, **columns: rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+    rows = step(log, _chat=ch, _cheat=ac, _low=F.lower(text))
+    text = F.col("_low")
+    said = F.col("_chat").isNotNull()
+    daily = c.daily_noise(text, lv) | c.contains(text, c.BENIGN)
+    by_words = F.when(lv != "INFO", c.word_category(text))
+    rows = step(rows, _labels=F.when(said, c.chat_labels(F.col("_chat.message"))), _rule=c.ops_rule(text, lv), _daily=daily, _words=by_words)
+    rows = step(rows, _o=c.ops_of(F.col("_rule"), lv), _h=F.when(said, c.chat_of(F.col("_labels"))))
+    first_report = F.when(F.col("_o.ops_first"), F.get("_o.reports", 0))
+    category = c.category(F.col("_daily"), F.col("_cheat").isNotNull(), said, F.col("_h.category"), first_report, F.col("_words"))
+    worst = F.greatest(c.severity_rank(F.col("_o.severity")), F.coalesce(c.severity_rank(F.col("_h.severity")), F.lit(0)))
+    severity = F.get(F.array(*[F.lit(s) for s in c.SEVERITIES]), worst.cast("int"))
+    rows = step(
+        rows,
+        chat_player=F.col("_chat.player"),
+        chat_message=F.col("_chat.message"),
+        cheat_player=F.col("_cheat.player"),
+        cheat_check=F.col("_cheat.check"),
+        category=category,
+        ops_category=F.col("_o.category"),
+        ops_subtype=F.col("_o.subtype"),
+        ops_severity=F.col("_o.severity"),
+        chat_labels=F.col("_h.labels"),
+        chat_category=F.col("_h.category"),
+        chat_severity=F.col("_h.severity"),
+        severity=severity,
+    ).drop("_low", "_chat", "_cheat", "_labels", "_rule", "_daily", "_words", "_o", "_h")
+    return rows.withColumn("tag", tag(F.col("category"), F.col("cheat_player").isNotNull(), F.col("severity")))
 
 
 def tag(category: Column, cheat: Column, severity: Column) -> Column:

@@ -31,8 +31,8 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, le
     both = a.unionByName(b)
     mine = F.when(F.col("_side") == 0, F.struct(F.col("_ts").alias("t"), F.col("_id").alias("i")))
     back = Window.partitionBy(*keys).orderBy("_ts", "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy("_ts", F.desc("_side"), "_id").rowsBetween(0, Window.unboundedFollowing)
-    near = both.withColumn("_b", F.last(mine, True).over(back)).withColumn("_f", F.first(mine, True).over(ahead)).where("_side = 1")
+    ahead = Window.partitionBy(*keys).orderBy(F.desc("_ts"), "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_b", F.last(mine, True).over(back)).withColumn("_f", F.last(mine, True).over(ahead)).where("_side = 1")
     gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_ts")).alias("d"), F.col(f"{c}.i").alias("i")))
     return near.select(F.col("_id").alias(left_id), F.least(gap("_b"), gap("_f"))["i"].alias(right_id))
 

@@ -66,9 +66,15 @@ FROM (SELECT *, {k} AS k0 FROM events) e) l) m"""
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a DataFrame; the temporary view's name is fixed by the folder, so calls don't clash."""
     name = "events_" + "".join(c if c.isalnum() else "_" for c in sf_dir)
-    spark.read.parquet(f"{sf_dir}/events.parquet").createOrReplaceTempView(name)
+    spread(spark.read.parquet(f"{sf_dir}/events.parquet")).createOrReplaceTempView(name)
     return spark.sql(log_sql(True).replace("FROM events)", f"FROM {name})"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df in as many partitions as there are cores, if a small file has fewer; larger input stays as it is split."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text"))
