@@ -16,6 +16,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null id inside the operators: one id, smaller than all others.
+NULL_ID = -(1 << 62)
+
+
+def with_ids(df: DataFrame, column: str = "doc_id") -> DataFrame:
+    """df with null ids replaced, so that Python workers get whole numbers; null_ids() turns them back."""
+    return df.withColumn(column, F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID)))
+
+
+def null_ids(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, table
+from .common import connected_components, cut, null_ids, table, with_ids
 
 THRESHOLD = 0.95
 #: Rows that a bucket should have, rows of a block, chance to miss a pair at the threshold, width of the confidence bound.
@@ -119,13 +119,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     nothing and are their own component. Vectors of different length don't meet. Equal
     vectors are one for the search and count as links of each other. kept: the row's vec_id
     is its component's smallest. No links below the threshold are given; a pair at it is
-    missed with a chance of about MISS.
+    missed with a chance of about MISS. A null vec_id is one id, smaller than all others.
     """
     e = F.col("embedding").cast("array<double>")
     good = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
     single = dict(vectors.dtypes)["embedding"] == "array<float>"
     kind = "<f4" if single else "<f8"
-    rows = cut(vectors.select("vec_id", F.when(good, F.transform("embedding", lambda x: x + 0)).alias("v")), "vectors")  # -0 + 0 is 0
+    rows = cut(with_ids(vectors, "vec_id").select("vec_id", F.when(good, F.transform("embedding", lambda x: x + 0)).alias("v")), "vectors")  # -0 + 0 is 0
     distinct = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct")
     bits, tables = plan(distinct.count(), threshold)
 
@@ -188,7 +188,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
     out = rows.join(named, "v", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
+    return null_ids(out, "vec_id", "component_id")
 
 
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -80,9 +80,9 @@ def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None) -> Data
     """For each row: doc_id, digest of its whole text, whole_license, licenses (sorted, distinct), n_license_lines.
 
     Null and empty texts have the digest of "" and no licence. Rows that repeat are scanned
-    each for itself. Other columns are not read. Line digests are looked up in the catalogue
-    as a map built from its few rows: every line of a text of any length stays in its row,
-    so no key gathers lines and nothing is shuffled.
+    each for itself. Other columns are not read. Whole texts are hash-joined to the
+    catalogue, which is broadcast; lines are looked up in it as a map: every line of a text
+    of any length stays in its row, so no key gathers lines and nothing is shuffled.
     """
     listed = {r.digest: r.license for r in known(docs.sparkSession, licenses).collect()}
     listed.pop("e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855", None)  # of an empty text
@@ -92,9 +92,10 @@ def scan(docs: DataFrame, licenses: list[tuple[str, str]] | None = None) -> Data
     lines = F.filter(F.split(text, r"\r\n|\r|\n"), lambda x: F.length(F.trim(x)) > 0)
     hits = F.filter(F.transform(lines, lambda x: F.try_element_at(of, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())
     out = docs.select("doc_id", F.sha2(canonical(F.col("text")), 256).alias("digest"), hits.alias("hits"))
-    whole = F.try_element_at(of, F.col("digest"))
-    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array(whole), F.col("hits")))))
-    return out.select("doc_id", "digest", whole.alias("whole_license"), F.array_join(found, ",").alias("licenses"), F.size("hits").cast("long").alias("n_license_lines"))
+    whole = docs.sparkSession.createDataFrame(sorted(listed.items()), "digest string, whole_license string")
+    out = out.join(F.broadcast(whole), "digest", "left")
+    found = F.array_sort(F.array_distinct(F.array_compact(F.concat(F.array("whole_license"), F.col("hits")))))
+    return out.select("doc_id", "digest", "whole_license", F.array_join(found, ",").alias("licenses"), F.size("hits").cast("long").alias("n_license_lines"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

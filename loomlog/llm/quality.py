@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import table
+from .common import NULL_ID, null_ids, table, with_ids
 
 #: Labelled rows that the classifier is fitted on, at most (smallest hash of doc_id first).
 SAMPLE_ROWS = 8000
@@ -232,9 +232,9 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             texts, ids = pdf.text.fillna("").tolist(), pdf.doc_id.to_numpy()
             for a, b in pieces(texts):
                 s = model.score(texts[a:b]) if model else np.full(b - a, 0.5)
-                yield pd.DataFrame({"doc_id": ids[a:b], "held_out": [held_out(i) for i in ids[a:b].tolist()], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
+                yield pd.DataFrame({"doc_id": ids[a:b], "held_out": [i != NULL_ID and held_out(i) for i in ids[a:b].tolist()], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int")
+    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import connected_components, cut, table
+from .common import connected_components, cut, null_ids, table, with_ids
 
 RADIUS = 2
 SEED = 42
@@ -74,7 +74,7 @@ def fingerprint_texts(texts: list[str], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id, fp (long): a row for each input row. Null texts are empty: 0. Other columns are not read."""
+    """doc_id (NULL_ID for null), fp (long): a row for each input row. Null texts are empty: 0. Other columns are not read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             for a, b in pieces(texts, 1 << 19):
                 yield pd.DataFrame({"doc_id": ids[a:b], "fp": fingerprint_texts(texts[a:b], width).view(np.int64)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, fp long")
+    return with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame:
@@ -118,7 +118,8 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
 
     Equal fingerprints are one vertex (its smallest doc_id stands for it), so copies cost
     nothing beyond their own row. Repeated rows and null texts keep their rows; texts
-    without words share fingerprint zero. An empty table gives no rows.
+    without words share fingerprint zero. A null doc_id is one id, smaller than all others.
+    An empty table gives no rows.
     """
     fps = cut(fingerprints(docs, width), "fingerprints")
     owners = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("owner")), "owners")
@@ -126,7 +127,8 @@ def components(docs: DataFrame, width: int = 3) -> DataFrame:
     by_fp = owners.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("component", "fp"))
     root = by_fp.groupBy("root").agg(F.min("owner").alias("component_id"))
     named = by_fp.join(root, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    out = fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return null_ids(out, "doc_id", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,5 +137,5 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """Rows of docs, all columns, whose doc_id is its component's smallest; a repeated doc_id keeps all its rows."""
-    kept = components(docs, width).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    kept = with_ids(components(docs, width).where("doc_id <=> component_id").select("doc_id").distinct())
+    return null_ids(with_ids(docs).join(kept, "doc_id", "left_semi")).select(*docs.columns)

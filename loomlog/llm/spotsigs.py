@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, null_ids, table, with_ids
 
 # Common words of four languages.
 ANCHORS = {
@@ -105,12 +105,12 @@ def with_next(docs: DataFrame) -> DataFrame:
     Ids are dealt into windows along their approximate distribution, so that no task holds
     all. The first document of each window is copied to the end of the one before: at most
     MAX_WINDOWS ids are broadcast for it. Texts are shuffled once. Repeated ids follow each
-    other by text; a table of one row is its own next.
+    other by text; null ids come last; a table of one row is its own next.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    base = docs.select("doc_id", text.alias("text"))
-    n, low = docs.agg(F.count("*"), F.percentile_approx("doc_id", [i / ID_BINS for i in range(ID_BINS + 1)], 10_000)).first()
+    base = with_ids(docs.select("doc_id", text.alias("text")))
+    n, low = base.agg(F.count("*"), F.percentile_approx("doc_id", [i / ID_BINS for i in range(ID_BINS + 1)], 10_000)).first()
     if not n:
         return base.withColumn("sigs", signatures(F.col("text"))).selectExpr("*", "text AS next_text", "sigs AS next_sigs")
     cuts = sorted(set(low))
@@ -118,7 +118,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     edges = F.array(*[F.lit(x).cast("long") for x in cuts])
     seg = F.greatest(F.lit(1), F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))))
     lo, hi = F.element_at(edges, F.col("seg")), F.try_element_at(edges, F.col("seg") + 1)
-    inside = F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col("doc_id") - lo) * F.lit(float(each)) / (hi - lo))))).otherwise(0)
+    inside = F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("double") - lo) * F.lit(float(each)) / (hi.cast("double") - lo))))).otherwise(0)
     dealt = base.withColumn("seg", seg).withColumn("win", (F.col("seg") * each + inside).cast("int")).drop("seg")
     firsts = sorted(dealt.groupBy("win").agg(F.max("doc_id").alias("first")).collect())
     back = [(firsts[i]["first"], firsts[(i + 1) % len(firsts)]["win"]) for i in range(len(firsts))]
@@ -129,7 +129,7 @@ def with_next(docs: DataFrame) -> DataFrame:
     rows = copies.select("doc_id", "text", "sigs", at.alias("at")).select("doc_id", "text", "sigs", "at.win", "at.copy")
     order = Window.partitionBy("win").orderBy("copy", F.desc("doc_id"), F.desc("text"))
     led = rows.select("doc_id", "text", "sigs", "copy", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs"))
-    return led.where("not copy").drop("copy")
+    return null_ids(led.where("not copy").drop("copy"))
 
 
 def edited(text: Column, after: Column) -> Column:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, null_ids, table, with_ids
 
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
@@ -76,7 +76,7 @@ def chunks(docs: DataFrame, others: bool) -> DataFrame:
         if held:
             yield row()
 
-    return cut(docs.select("doc_id", "text", rest.alias("meta")).mapInPandas(run, CHUNKS), "chunks")
+    return cut(with_ids(docs.select("doc_id", "text", rest.alias("meta"))).mapInPandas(run, CHUNKS), "chunks")
 
 
 class Runs:
@@ -348,7 +348,8 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
     A byte goes if a string of n bytes that covers it also starts in a document of smaller
     doc_id; strings are taken from the input. Rows of one doc_id don't remove each other's
     bytes. Null texts are empty; texts under n bytes stay whole. kept drops the bytes of a
-    character that was cut apart. An empty table gives no rows.
+    character that was cut apart. A null doc_id is one id, smaller than all others. An empty
+    table gives no rows.
     """
     if n < 10:
         raise ValueError("n must be 10 at least")
@@ -414,7 +415,7 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
 
     columns = ["g", "ids", "lens", "body", "answers", "found"] + ["meta"] * texts
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string, meta string" if texts else "kept_sha256 string")
-    return store.join(last, "g", "left").select(*columns).mapInPandas(finish, schema)
+    return null_ids(store.join(last, "g", "left").select(*columns).mapInPandas(finish, schema))
 
 
 def dedup(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:

@@ -348,3 +348,20 @@ def test_pipeline_stages_keep_columns_and_end_packed(spark):
         before = now
     packed = corpus_pipeline.STAGES[-1][1](spark, d, SF).toPandas()
     assert set(packed.doc_id) == set(before) and packed.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_null_ids_and_columns_have_defined_results(spark, texts):
+    some = [*texts[:6], texts[0], None]
+    ids = [4, None, 7, None, 2**60, 9, None, None]
+    d = docs(spark, some, ids)
+    order = sorted(map(repr, ids))
+    for make in (simhash.components, line_dedup.cleaned, spotsigs.compare, license_scan.scan, bpe.round_trip, suffix_dedup.removed, lambda x: quality.score(x, None)):
+        assert sorted(repr(r.doc_id) for r in make(d).collect()) == order
+    assert {r.doc_id for r in packing.pack(d).collect()} == set(ids)
+    for make in (simhash.dedup, line_dedup.dedup, suffix_dedup.dedup):
+        assert make(d).columns == d.columns
+    assert [r.component_id for r in simhash.components(d).where("doc_id = 4").collect()] == [None]
+    v = spark.createDataFrame([(None, [1.0, 0.0]), (5, [1.0, 0.0]), (6, None)], "vec_id long, embedding array<float>")
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicates(v).collect()) == [(0, 1, 0, True), (5, 1, 0, False), (6, 0, 6, True)]
+    pages = spark.createDataFrame([(None, None)], "page_id long, url string")
+    assert url_filter.judge(pages).first().verdict == "allow"
