@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomlog.plans import relations, reports, scalars, windows
+from loomlog.plans import extra, relations, reports, scalars, windows
 from loomlog.plans.base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "flagship", "relations", "reports", "scalars", "windows"]
+__all__ = ["ORACLES", "QUERIES", "extra", "flagship", "relations", "reports", "scalars", "windows"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
