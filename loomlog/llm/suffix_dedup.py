@@ -13,8 +13,10 @@ All windows of n bytes are compared, in four passes over tables of text chunks:
 3. Each chunk marks the windows that a smaller id has, and cuts the bytes they cover.
 
 A bucket or chunk holds a bounded share of the corpus, whatever is common in it: a passage
-of every document is one run a chunk. Texts are never cut short; a text larger than a
-chunk is a chunk of its own.
+of every document is one run a chunk. A name that very many chunks hold, say of a phrase
+that many texts go on from in their own ways, would bring all its runs together; its
+windows are named one by one instead, by all their n bytes, so that only equal ones meet.
+Texts are never cut short; a text larger than a chunk is a chunk of its own.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from .common import cut, null_ids, table, with_ids
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
 CHUNK, BUCKET, ARRAY = 3 << 19, 16 << 20, 1 << 19
+#: Chunks that may hold a name before its windows are named one by one.
+HOT = 1000
 CHUNKS = "g long, ids binary, lens binary, body binary, meta binary"
 FAR = np.iinfo(np.int64).max
 
@@ -122,6 +126,13 @@ class Runs:
         np.maximum.at(high, self.of, self.ids[self.doc])
         return low < high
 
+    def whole(self, at: np.ndarray) -> np.ndarray:
+        """Names of single windows, by all their bytes."""
+        h = np.full(len(at), 0x51ED270B, dtype=np.uint64)
+        for o in [*range(0, self.n - 7, 8), self.n - 8]:
+            h = _mix(h ^ self.words[at + o])
+        return _mix(h) >> np.uint64(16)
+
     def by_bucket(self, buckets: int) -> list[tuple[int, np.ndarray]]:
         """(bucket, rows of uniq in it, ascending)."""
         at = (self.uniq % np.uint64(buckets)).astype(np.int64)
@@ -132,11 +143,21 @@ class Runs:
     def shared(self, buckets: int, replies: list) -> None:
         """Keep the runs of shared names, and find which have the same text: entry of each run, and each entry's first run."""
         known, answer = self.local(), {r: mask for r, mask in replies}
+        hot = np.zeros(len(known), dtype=bool)
         for r, rows in self.by_bucket(buckets):
             if r in answer:
-                known[rows] |= np.unpackbits(np.frombuffer(answer[r], dtype=np.uint8), count=len(rows)).astype(bool)
+                bits = np.unpackbits(np.frombuffer(answer[r], dtype=np.uint8), count=2 * len(rows)).astype(bool)
+                known[rows] |= bits[: len(rows)]
+                hot[rows] = bits[len(rows) :]
         keep = np.flatnonzero(known[self.of])
+        hot = hot[self.of[keep]]
         self.start, self.count, self.name, self.doc = self.start[keep], self.count[keep], self.name[keep], self.doc[keep]
+        if hot.any():
+            alone = gather(self.start[hot], self.count[hot])
+            self.doc = np.concatenate([self.doc[~hot], np.repeat(self.doc[hot], self.count[hot])])
+            self.name = np.concatenate([self.name[~hot], self.whole(alone)])
+            self.start = np.concatenate([self.start[~hot], alone])
+            self.count = np.concatenate([self.count[~hot], np.ones(len(alone), dtype=np.int64)])
         self.size = self.count + self.n - 1
         self.entry, self.rep = same_texts(self.buf, self.words, self.start, self.size, self.name)
         self.low = np.full(len(self.rep), FAR)
@@ -243,8 +264,8 @@ def smallest_ids(texts: list[bytes] | np.ndarray, start: np.ndarray, size: np.nd
     return out[windows]
 
 
-def answer_names(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket: for each chunk, which of its names another chunk has too."""
+def answer_names(pdf: pd.DataFrame, crowd: int) -> pd.DataFrame:
+    """Of one bucket: for each chunk, which of its names another chunk has too, and which of them very many have."""
     sizes = np.array([len(b) // 6 for b in pdf.names], dtype=np.int64)
     raw = np.frombuffer(b"".join(pdf.names), dtype=np.uint8).reshape(-1, 6)
     names = np.zeros((len(raw), 8), dtype=np.uint8)
@@ -254,7 +275,12 @@ def answer_names(pdf: pd.DataFrame) -> pd.DataFrame:
     same = names[order[1:]] == names[order[:-1]]
     shared = np.zeros(len(names), dtype=bool)
     shared[order[1:][same]] = shared[order[:-1][same]] = True
-    masks = [np.packbits(x).tobytes() for x in np.split(shared, np.cumsum(sizes)[:-1])]
+    firsts = np.flatnonzero(np.concatenate([[True], ~same]))
+    holders = np.diff(np.append(firsts, len(names)))
+    hot = np.zeros(len(names), dtype=bool)
+    hot[order] = np.repeat(holders >= crowd, holders)
+    cuts = np.cumsum(sizes)[:-1]
+    masks = [np.packbits(np.concatenate([a, b])).tobytes() for a, b in zip(np.split(shared, cuts), np.split(hot, cuts), strict=True)]
     return pd.DataFrame({"g": pdf.g, "r": pdf.r, "answer": masks})
 
 
@@ -265,7 +291,7 @@ def pack_entries(runs: Runs, rows: np.ndarray) -> bytes:
     return _zip(np.int64(len(rows)).tobytes() + head.tobytes() + data.tobytes())
 
 
-def answer_entries(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
+def answer_entries(pdf: pd.DataFrame, n: int, most: int) -> pd.DataFrame:
     """Of one bucket: for each chunk's entries the smallest doc_id of each window, as stretches of equal ones."""
     heads, bodies = [], []
     for blob in pdf.entries:
@@ -292,7 +318,7 @@ def answer_entries(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
     load = np.cumsum(np.where(many, text_size + 1, 0))
     i = 0
     while i < len(firsts):  # names are independent: some at a time in one array
-        j = max(i + 1, int(np.searchsorted(load[stops - 1], (load[firsts[i] - 1] if firsts[i] else 0) + ARRAY, side="right")))
+        j = max(i + 1, int(np.searchsorted(load[stops - 1], (load[firsts[i] - 1] if firsts[i] else 0) + most, side="right")))
         rows = np.concatenate([np.arange(a, b) for a, b in zip(firsts[i:j], stops[i:j], strict=True)])
         value[gather(place[rows], windows[rows])] = smallest_ids(buf, start[rep[rows]], text_size[rows], least[rows], n)
         i = j
@@ -355,7 +381,7 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
         raise ValueError("n must be 10 at least")
     store = chunks(docs, texts)
     total = store.agg(F.sum(F.length("body")), F.count("*")).first()
-    buckets = max(1, -(-3 * int(total[0] or 0) // BUCKET))
+    buckets, crowd, array = max(1, -(-3 * int(total[0] or 0) // BUCKET)), HOT, ARRAY
 
     def send_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -366,7 +392,7 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
                     yield pd.DataFrame(rows, columns=["r", "g", "names"])
 
     names = store.select("g", "ids", "lens", "body").mapInPandas(send_names, "r int, g long, names binary")
-    shared = names.groupBy("r").applyInPandas(answer_names, "g long, r int, answer binary")
+    shared = names.groupBy("r").applyInPandas(lambda pdf: answer_names(pdf, crowd), "g long, r int, answer binary")
 
     def joined(answers: DataFrame) -> DataFrame:
         per = answers.groupBy("g").agg(F.collect_list(F.struct("r", "answer")).alias("answers"))
@@ -386,7 +412,7 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
 
     masks = cut(shared, "names")
     entries = joined(masks).select("g", "ids", "lens", "body", "answers").mapInPandas(send_entries, "r int, g long, entries binary")
-    found = entries.groupBy("r").applyInPandas(lambda pdf: answer_entries(pdf, n), "g long, r int, answer binary")
+    found = entries.groupBy("r").applyInPandas(lambda pdf: answer_entries(pdf, n, array), "g long, r int, answer binary")
     both = masks.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     last = both.groupBy("g").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("r", "answer"))).alias(name) for k, name in enumerate(("answers", "found"))])
 

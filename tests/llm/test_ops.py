@@ -298,9 +298,9 @@ def test_bpe_is_tiktoken(spark, texts):
     assert bpe.round_trip(docs(spark, [])).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [(3 << 19, 16 << 20, 1 << 19), (900, 4000, 700)])
+@pytest.mark.parametrize("sizes", [(3 << 19, 16 << 20, 1 << 19, 1000), (900, 4000, 700, 1000), (900, 4000, 700, 1)])
 def test_suffix_dedup(spark, texts, monkeypatch, sizes):
-    for name, v in zip(("CHUNK", "BUCKET", "ARRAY"), sizes, strict=True):
+    for name, v in zip(("CHUNK", "BUCKET", "ARRAY", "HOT"), sizes, strict=True):
         monkeypatch.setattr(suffix_dedup, name, v)
     ids = [3 * i + 5 for i in range(len(texts))]
     ids[-1] = ids[-2]  # two rows of one doc_id
