@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import catalogue as c
 from loomlog.functions import text as t
-from loomlog.operators.windows import sessions
+from loomlog.operators.windows import slots
 
 FEEDBACK_GAP_MS, ISSUE_GAP_MS = 900_000, 300_000
 #: Categories whose low issues count as medium.
@@ -82,18 +82,19 @@ def issues(rows: DataFrame) -> DataFrame:
     as medium; other low issues and daily ones go.
     """
     gap = F.when(F.col("category") == "player_feedback", FEEDBACK_GAP_MS).otherwise(ISSUE_GAP_MS)
-    cut = sessions(evidence(rows), ["category", "tag"], gap_ms=gap)
+    keys, rows = ["category", "tag"], evidence(rows)
+    slot, found = slots(rows, keys, "ts_ms", gap)
     flags = [F.max(c.contains(F.col("message"), words)).alias(f"f_{k}") for k, words in FLAGS.items()]
-    out = cut.groupBy("category", "tag", "session").agg(
-        F.count("*").alias("n"),
-        F.min("ts_ms").alias("first_ms"),
-        F.max("ts_ms").alias("last_ms"),
-        F.array_sort(F.collect_set("server_id")).alias("servers"),
-        F.array_sort(F.collect_set("player")).alias("players"),
-        F.array_sort(F.collect_set("level")).alias("levels"),
-        F.array_sort(F.collect_set("ops_subtype")).alias("subtypes"),
-        F.max(c.severity_rank(F.col("severity"))).alias("own"),
-        *flags,
+    sets = {"servers": "server_id", "players": "player", "levels": "level", "subtypes": "ops_subtype"}
+    # rows become slots where they are, slots become issues: no category gathers its rows
+    short = rows.groupBy(*keys, slot.alias("_slot")).agg(
+        F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), *[F.collect_set(v).alias(k) for k, v in sets.items()], F.max(c.severity_rank(F.col("severity"))).alias("own"), *flags
+    )
+    right = found.select(*[F.col(x).alias(f"_{x}") for x in keys], F.col("_slot").alias("_s"), "session")
+    met = short.join(right, (F.col("category") == F.col("_category")) & (F.col("tag") == F.col("_tag")) & F.col("_slot").eqNullSafe(F.col("_s")))
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in sets]
+    out = met.groupBy(*keys, "session").agg(
+        F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *merged, F.max("own").alias("own"), *[F.max(f"f_{k}").alias(f"f_{k}") for k in FLAGS]
     )
     rank = F.greatest("own", c.severity_rank(ladder(F.col("n"), {k: F.col(f"f_{k}") for k in FLAGS})))
     rank = F.when((rank <= 1) & F.col("category").isin(LIFTED), 2).otherwise(rank)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -51,21 +51,35 @@ def run(rows: Iterable[tuple[int, int]]) -> list[tuple[int, int | None, int]]:
 def suppress(rows: DataFrame, server: str = "server_id", key: str = "key", ts: str = "ts_ms", event_id: str = "event_id") -> DataFrame:
     """Rows that pass (event_id set) and summaries (null, with the rows they stand for): originals and sums make up the input.
 
-    A group starts anew after a gap longer than the window; such groups are cut first, by a
-    window function, and are what a task holds, never a whole key. Without a summary still
-    held across a cut nothing of the state survives it.
+    A group starts anew after a gap longer than the window, so keys are cut there first. The
+    rows of a group run through the state in order, batch by batch; none is held whole.
     """
     from loomlog.operators.windows import sessions
 
-    cut = sessions(rows, [server, key], ts, event_id, WINDOW_MS)
-
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([ts, event_id])
-        out = run(zip(pdf[ts].tolist(), pdf[event_id].tolist(), strict=True))
-        made = pd.DataFrame(out, columns=["ts_ms", "event_id", "suppressed"]).astype({"event_id": "Int64"})
-        return made.assign(server_id=pdf[server].iloc[0], key=pdf[key].iloc[0])[["server_id", "key", "ts_ms", "event_id", "suppressed"]]
-
-    return cut.select(server, key, "session", ts, event_id).groupBy(server, key, "session").applyInPandas(per, EMITTED)
+    group = [server, key, "session"]
+    cut = sessions(rows, [server, key], ts, event_id, WINDOW_MS).select(*group, ts, event_id)
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, entry = None, Entry()
+        for pdf in batches:
+            out = []
+            for at, t, e in zip(zip(*[pdf[c].tolist() for c in group], strict=True), pdf[ts].tolist(), pdf[event_id].tolist(), strict=True):
+                if at != now:
+                    out += [(*now[:2], *x) for x in entry.drain()] if now else []
+                    now, entry = at, Entry()
+                    out += [(*at[:2], *x) for x in entry.feed(t, e, True)]
+                else:
+                    out += [(*at[:2], *x) for x in entry.feed(t, e, False)]
+            if out:
+                yield made(out)
+        if now and entry.held:
+            yield made([(*now[:2], *x) for x in entry.drain()])
+
+    return cut.repartition(*group).sortWithinPartitions(*group, ts, event_id).mapInPandas(stream, EMITTED)
+
+
+def made(out: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(out, columns=["server_id", "key", "ts_ms", "event_id", "suppressed"]).astype({"event_id": "Int64"})
 
 
 def mine_templates(rows: DataFrame, server: str, text: str, depth: int = 3, similar: float = 0.4, children: int = 100) -> DataFrame:

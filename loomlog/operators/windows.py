@@ -51,14 +51,24 @@ def anomalies(rows: DataFrame, keys: list[str], order: list[str], ts: str = "ts_
     return out.withColumn("score", score).withColumn("reason", reason).withColumn("is_anomaly", score >= 0.5).drop("e", "r")
 
 
-def first_crowd(rows: DataFrame, key: str, ts: str, seq: str, window_ms: int, least: int) -> DataFrame:
-    """Per key the first row from which `least` rows or more lie within window_ms: key, start_ms, end_ms, n."""
-    w = Window.partitionBy(key).orderBy(ts)
-    at = F.row_number().over(Window.partitionBy(key).orderBy(ts, seq))
-    ahead = w.rangeBetween(Window.unboundedPreceding, window_ms)
-    counted = rows.select(key, ts, seq, (F.count("*").over(ahead) - at + 1).alias("n"), F.max(ts).over(ahead).alias("end_ms"))
+#: Length of the time slots that one key's rows are dealt into.
+SLOT_MS = 3_600_000
+
+
+def first_crowd(rows: DataFrame, key: str, ts: str, seq: str, window_ms: int, least: int, slot_ms: int = SLOT_MS) -> DataFrame:
+    """Per key the first row from which `least` rows or more lie within window_ms: key, start_ms, end_ms, n.
+
+    A key's rows are dealt into time slots, each with a copy of the rows just behind it, so a
+    busy key is many groups; the first of a key's slots is an aggregate.
+    """
+    slot = F.floor(F.col(ts) / slot_ms)
+    behind = F.when(F.col(ts) - slot * slot_ms <= window_ms, F.struct((slot - 1).alias("slot"), F.lit(True).alias("copy")))
+    dealt = rows.select(key, ts, seq, F.inline(F.array_compact(F.array(F.struct(slot.alias("slot"), F.lit(False).alias("copy")), behind))))
+    at = F.row_number().over(Window.partitionBy(key, "slot").orderBy(ts, seq))
+    ahead = Window.partitionBy(key, "slot").orderBy(ts).rangeBetween(Window.unboundedPreceding, window_ms)
+    counted = dealt.select(key, ts, seq, "copy", (F.count("*").over(ahead) - at + 1).alias("n"), F.max(ts).over(ahead).alias("end_ms"))
     best = F.min_by(F.struct(ts, "end_ms", "n"), F.struct(ts, seq))
-    return counted.where(F.col("n") >= least).groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{ts}").alias("start_ms"), "b.end_ms", "b.n")
+    return counted.where((F.col("n") >= least) & ~F.col("copy")).groupBy(key).agg(best.alias("b")).select(key, F.col(f"b.{ts}").alias("start_ms"), "b.end_ms", "b.n")
 
 
 def with_key(rows: DataFrame, message: str) -> DataFrame:
@@ -114,20 +124,35 @@ def floods(chat: DataFrame, key: str = "player", ts: str = "ts_ms", seq: str = "
     return out
 
 
+def slots(rows: DataFrame, keys: list[str], ts: str, gap_ms: int | Column) -> tuple[Column, DataFrame]:
+    """The time slot of a row, and (keys, slot, session) for all slots.
+
+    Rows less than a gap apart share a session, so slots as long as the gap hold one session
+    each: rows are counted down to slots first, and only those are ordered per key.
+    """
+    gap = F.lit(gap_ms) if isinstance(gap_ms, int) else gap_ms
+    slot = F.when(F.col(ts) != 0, F.floor(F.col(ts) / gap))  # null: without time
+    short = rows.groupBy(*keys, slot.alias("_slot")).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.first(gap).alias("_gap"))
+    order = Window.partitionBy(*keys).orderBy(F.col("_slot").asc_nulls_last())
+    split = F.when(F.col("_slot").isNotNull() & (F.col("_first") - F.lag("_last").over(order) > F.col("_gap")), 1).otherwise(0)
+    return slot, short.withColumn("_split", split).select(*keys, "_slot", F.sum("_split").over(order).alias("session"))
+
+
 def sessions(rows: DataFrame, keys: list[str], ts: str = "ts_ms", seq: str = "seq", gap_ms: int | Column = GAP_MS) -> DataFrame:
     """rows with session: a new one begins after a gap of more than gap_ms. Rows without time (0) stand last and don't split."""
-    gap = F.lit(gap_ms) if isinstance(gap_ms, int) else gap_ms
-    order = Window.partitionBy(*keys).orderBy(F.when(F.col(ts) == 0, F.lit(1)).otherwise(0), ts, seq)
-    split = (F.col(ts) != 0) & (F.col(ts) - F.lag(ts).over(order) > gap)
-    return rows.withColumn("_split", F.when(split, 1).otherwise(0)).withColumn("session", F.sum("_split").over(order)).drop("_split")
+    slot, found = slots(rows, keys, ts, gap_ms)
+    right = found.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_slot").alias("_s"), "session")
+    cond = F.col("_slot").eqNullSafe(F.col("_s"))
+    for k in keys:
+        cond = cond & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.withColumn("_slot", slot).join(right, cond).drop("_slot", "_s", *[f"_{k}" for k in keys])
 
 
 def hours(rows: DataFrame, keys: list[str], ts: str = "ts_ms", cycle: int = 8) -> DataFrame:
     """rows with hour (start, ms) and cycle (of `cycle` hours from the first hour of the keys), aligned to UTC."""
     hour = F.floor(F.col(ts) / 3_600_000) * 3_600_000
-    first = Window.partitionBy(*keys)
-    out = rows.withColumn("hour", hour)
-    return out.withColumn("cycle", F.floor((F.col("hour") - F.min("hour").over(first)) / (3_600_000 * cycle)))
+    first = rows.groupBy(*keys).agg(F.min(hour).alias("_first"))
+    return rows.withColumn("hour", hour).join(first, keys).withColumn("cycle", F.floor((F.col("hour") - F.col("_first")) / (3_600_000 * cycle))).drop("_first")
 
 
 def even_sample(rows: DataFrame, order: list[str], k: int) -> DataFrame:
