@@ -20,21 +20,26 @@ def tag_intervals(rows: DataFrame, events: DataFrame, key: str, ts: str, row_id:
     return rows.join(hits, row_id, "left").withColumn("kind", F.col("_e.kind")).drop("_e")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str, slot_ms: int = 3_600_000) -> DataFrame:
     """left_id with the right_id of equal keys that is nearest in time; ties go to the smaller id. Null without any.
 
     By merging both sides in time order: the last right row before and the first one after
-    each left row are window functions, so no pairs are made.
+    each left row are running values, so no pairs are made. They run within time slots; what
+    is last or first beyond a slot comes from one row a slot, so a busy key is many groups.
     """
     a = left.select(*keys, F.col(left_id).alias("_id"), F.col(left_ts).alias("_ts"), F.lit(1).alias("_side"))
     b = right.select(*keys, F.col(right_id).alias("_id"), F.col(right_ts).alias("_ts"), F.lit(0).alias("_side"))
-    both = a.unionByName(b)
+    both = a.unionByName(b).withColumn("_slot", F.floor(F.col("_ts") / slot_ms))
     mine = F.when(F.col("_side") == 0, F.struct(F.col("_ts").alias("t"), F.col("_id").alias("i")))
-    back = Window.partitionBy(*keys).orderBy("_ts", "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("_ts"), "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
-    near = both.withColumn("_b", F.last(mine, True).over(back)).withColumn("_f", F.last(mine, True).over(ahead)).where("_side = 1")
-    gap = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(F.col(f"{c}.t") - F.col("_ts")).alias("d"), F.col(f"{c}.i").alias("i")))
-    return near.select(F.col("_id").alias(left_id), F.least(gap("_b"), gap("_f"))["i"].alias(right_id))
+    ends = both.groupBy(*keys, "_slot").agg(F.max_by(mine, F.when(F.col("_side") == 0, F.struct("_ts", -F.col("_id")))).alias("_last"), F.min(mine).alias("_first"))
+    over = Window.partitionBy(*keys).orderBy("_slot")
+    over_back = Window.partitionBy(*keys).orderBy(F.desc("_slot"))
+    beyond = ends.select(*keys, "_slot", F.last("_last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.last("_first", True).over(over_back.rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    back = Window.partitionBy(*keys, "_slot").orderBy("_ts", "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(*keys, "_slot").orderBy(F.desc("_ts"), "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("_b", F.last(mine, True).over(back)).withColumn("_f", F.last(mine, True).over(ahead)).where("_side = 1").join(beyond, [*keys, "_slot"])
+    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col("_ts")).alias("d"), c["i"].alias("i")))
+    return near.select(F.col("_id").alias(left_id), F.least(gap(F.coalesce("_b", "_before")), gap(F.coalesce("_f", "_after")))["i"].alias(right_id))
 
 
 def top_matches(rows: DataFrame, wanted: DataFrame, keys: list[str], order: list, k: int = 3) -> DataFrame:
@@ -50,19 +55,15 @@ def contained(samples: DataFrame, rows: DataFrame, sample: str, text: str, most:
 
 
 def around(rows: DataFrame, hits: Column, order: list[str], n: int, keys: list[str] | None = None) -> DataFrame:
-    """Rows that stand at most n places from a hit, in the given order, within keys or over all rows.
+    """Rows that stand at most n places from a hit, in the given order, within keys (not null) or over all rows.
 
-    The nearest hit before and after each row are running extremes; no rows are paired.
+    Places are ranks of one range-partitioned sort by keys and order, so no key is a task;
+    the hits' neighbouring ranks are what is joined.
     """
-    if keys:
-        placed = rows.withColumn("_p", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-        w = Window.partitionBy(*keys).orderBy("_p")
-        at = F.when(hits, F.col("_p"))
-        placed = placed.withColumn("_b", F.max(at).over(w.rowsBetween(-n, 0))).withColumn("_f", F.min(at).over(w.rowsBetween(0, n)))
-        return placed.where("_b IS NOT NULL OR _f IS NOT NULL").drop("_p", "_b", "_f")
-    placed = rank_globally(rows, order)
-    near = placed.where(hits).select(F.explode(F.sequence(F.col("_rank") - n, F.col("_rank") + n)).alias("_rank")).distinct()
-    return placed.join(near, "_rank", "left_semi").drop("_rank")
+    keys = keys or []
+    placed = rank_globally(rows, [*keys, *order])
+    near = placed.where(hits).select(*keys, F.explode(F.sequence(F.col("_rank") - n, F.col("_rank") + n)).alias("_rank")).distinct()
+    return placed.join(near, [*keys, "_rank"], "left_semi").drop("_rank")
 
 
 def lifecycle(now: DataFrame, before: DataFrame, key: str, ts: str, continuity_ms: int = 1_800_000) -> DataFrame:
