@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomlog.sources.shared import shared_path
+
 
 def components(links: DataFrame, most: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b), by label passing with shortcuts.
 
     Labels are checkpointed every round; the loop ends when none changes.
     """
-    spark = links.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loomlog-"))
+    context = links.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_path(links.sparkSession, "checkpoints"))
     both = links.select("a", "b").union(links.select("b", "a")).toDF("a", "b").distinct().checkpoint()
     labels = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).toDF("node", "component")
     for _ in range(most):
