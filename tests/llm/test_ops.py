@@ -365,3 +365,42 @@ def test_null_ids_and_columns_have_defined_results(spark, texts):
     assert sorted((r.vec_id or 0, r.n_links, r.component_id or 0, r.kept) for r in embedding_dedup.near_duplicates(v).collect()) == [(0, 1, 0, True), (5, 1, 0, False), (6, 0, 6, True)]
     pages = spark.createDataFrame([(None, None)], "page_id long, url string")
     assert url_filter.judge(pages).first().verdict == "allow"
+
+
+def test_line_dedup_is_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "CHUNK", 1500)
+    monkeypatch.setattr(line_dedup, "BUCKET", 4000)
+    rng = random.Random(6)
+    pool = [words(rng, rng.randint(1, 14)) for _ in range(25)] + ["user {} came from {} to the big house today", "page {} of {}"]
+    names = ["anna", "bo", "17", "x9", "carl"]
+    texts = ["\n".join(p.replace("{}", rng.choice(names)) for p in rng.choices(pool, k=rng.randint(0, 9))) + rng.choice(["", "\n", "\n\n "]) for _ in range(60)]
+    fields = lambda line: ["<*>" if re.search(r"\d", w) else w for w in line.split()]
+    owners, leaves = {}, {}
+    for i, text in enumerate(texts):
+        for line in text.split("\n"):
+            w = fields(line)
+            if w:
+                owners.setdefault(" ".join(w), set()).add(i)
+                leaves.setdefault((len(w), *w[:3]), set()).add(" ".join(w))
+    keeper = {}
+    for lines in leaves.values():
+        known = []
+        for line in sorted(lines):
+            w = line.split(" ")
+            same = [sum(a == b for a, b in zip(k, w, strict=True)) for k, _ in known]
+            if same and max(same) >= 0.8 * len(w):
+                best = known[same.index(max(same))]
+                best[0][:] = [a if a == b else "<*>" for a, b in zip(best[0], w, strict=True)]
+                best[1].append(line)
+            else:
+                known.append((w, [line]))
+        for _, members in known:
+            ids = set().union(*(owners[m] for m in members))
+            if len(ids) >= 3:
+                keeper |= dict.fromkeys(members, min(ids))
+    got = {r.doc_id: r for r in line_dedup.cleaned(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        lines = text.split("\n")
+        kept = [x for x in lines if keeper.get(" ".join(fields(x)), i) == i]
+        assert got[i].kept == "\n".join(kept) and got[i].n_dropped == len(lines) - len(kept) and got[i].n_lines == sum(bool(x.split()) for x in lines)
+    assert sum(r.n_dropped for r in got.values()) > 20
