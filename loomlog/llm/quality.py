@@ -26,8 +26,8 @@ from .common import NULL_ID, null_ids, table, with_ids
 SAMPLE_ROWS = 8000
 #: Slots of the token table, and dimensions of a vector.
 SLOTS, DIM, NONZERO, REACH = 1 << 14, 48, 6, 2
-#: Tokens of a training text that the word vectors are summed over at a time.
-STEP = 1 << 18
+#: Tokens whose vectors are gathered at a time, and characters that are parsed at a time.
+STEP, PART = 1 << 15, 1 << 18
 LEAST_SEEN = 10
 SHAPES = 8  # the first slots are word shapes
 PARTS = 8  # tasks that sum word vectors; each sends SLOTS x DIM numbers at most
@@ -92,6 +92,29 @@ def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, bounds
 
 
+def sections(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """(rows, parts): the texts in batches of about PART characters; longer texts are cut at spaces."""
+    owner: list[int] = []
+    parts: list[str] = []
+    size = 0
+    for i, text in enumerate(texts):
+        at = 0
+        while at < len(text) or not text:
+            end = len(text) if len(text) - at <= PART else text.rfind(" ", at + 1, at + PART)
+            end = at + PART if end <= at else end
+            if parts and size + end - at > PART:
+                yield owner, parts
+                owner, parts, size = [], [], 0
+            owner.append(i)
+            parts.append(text[at:end])
+            size += end - at
+            at = end
+            if not text:
+                break
+    if parts:
+        yield owner, parts
+
+
 def held_out(doc_id: int) -> bool:
     return zlib.crc32(str(doc_id).encode()) % 3 == 1
 
@@ -106,21 +129,23 @@ class Model:
         self.temperature = 1.0
 
     def pool(self, texts: list[str]) -> np.ndarray:
-        """Mean and spread of the token vectors of each text; zeros for texts without tokens."""
-        slot, bounds = tokens(texts)
-        out = np.zeros((len(texts), 2 * DIM), dtype=np.float64)
-        has = np.flatnonzero(bounds[1:] > bounds[:-1])
-        for i in range(0, len(has), 256):  # the gathered vectors of some texts at a time
-            rows = has[i : i + 256]
-            a, b = bounds[rows[0]], bounds[rows[-1] + 1]
-            n = (bounds[rows + 1] - bounds[rows])[:, None]
-            v = self.vectors[slot[a:b]]
-            at = bounds[rows] - a
-            mean = np.add.reduceat(v, at, axis=0) / n
-            square = np.add.reduceat(v * v, at, axis=0) / n
-            out[rows, :DIM] = mean
-            out[rows, DIM:] = np.sqrt(np.maximum(square - mean * mean, 0))
-        return out
+        """Mean and spread of the token vectors of each text; zeros for texts without tokens.
+
+        Vectors are gathered for some tokens at a time, whatever the length of a text.
+        """
+        total, square, count = np.zeros((len(texts), DIM)), np.zeros((len(texts), DIM)), np.zeros(len(texts))
+        for owner, parts in sections(texts):
+            slot, bounds = tokens(parts)
+            of = np.repeat(np.asarray(owner), np.diff(bounds))
+            count += np.bincount(of, minlength=len(texts))
+            for i in range(0, len(slot), STEP):
+                v, rows = self.vectors[slot[i : i + STEP]], of[i : i + STEP]
+                first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                total[rows[first]] += np.add.reduceat(v, first, axis=0, dtype=np.float64)
+                square[rows[first]] += np.add.reduceat(v * v, first, axis=0, dtype=np.float64)
+        n = np.maximum(count, 1)[:, None]
+        mean = total / n
+        return np.concatenate([mean, np.sqrt(np.maximum(square / n - mean * mean, 0))], axis=1)
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -175,9 +200,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
         sums, seen = np.zeros((SLOTS, DIM), dtype=np.float32), np.zeros(SLOTS, dtype=np.int64)
         for pdf in batches:
             texts = pdf.text.tolist()
-            for a, b in pieces(texts):
-                slot, bounds = tokens(texts[a:b])
-                of = np.repeat(np.arange(b - a), np.diff(bounds))
+            for owner, parts in sections(texts):
+                slot, bounds = tokens(parts)
+                of = np.repeat(np.asarray(owner), np.diff(bounds))
                 for i in range(0, len(slot), STEP):
                     lo, hi = i, min(len(slot), i + STEP)
                     near = np.zeros((hi - lo, DIM), dtype=np.float32)
