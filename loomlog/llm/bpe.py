@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import null_ids, table, with_ids
+from .common import null_ids, table, tidy, with_ids
 
 #: Words that one Python process remembers; the memory is emptied when it is full.
 CACHE_WORDS = 400_000
@@ -209,7 +209,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
             for a, b in pieces(texts):
                 yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[a:b], "ids": bpe.encode_batch(texts[a:b])})
 
-    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, ids array<int>"))
+    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), "doc_id long, ids array<int>"))
 
 
 def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = None, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -220,7 +220,7 @@ def decode(encoded: DataFrame, path: str | None = None, pattern: str | None = No
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf.doc_id, "bytes": [bpe.decode(np.asarray([] if x is None else x, dtype=np.int64)) for x in pdf.ids]})
 
-    return null_ids(with_ids(encoded.select("doc_id", "ids")).mapInPandas(run, "doc_id long, bytes binary"))
+    return null_ids(with_ids(encoded.select("doc_id", "ids")).mapInPandas(tidy(run), "doc_id long, bytes binary"))
 
 
 def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, name: str = "byte_bpe_multi_50k.tiktoken") -> DataFrame:
@@ -244,7 +244,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                     }
                 )
 
-    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 
 
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,41 @@ def null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
 
 
+def release() -> None:
+    """Give memory that isn't used any more back to the system: idle Python workers would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """run (batches -> batches, for mapInPandas) that releases memory after each batch and at its end."""
+
+    def each(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            release()
+
+    def tidied(batches):
+        yield from run(each(batches))
+        release()
+
+    return tidied
+
+
+def tidy_group(run):
+    """run (group -> rows, for applyInPandas) that releases memory after each group."""
+
+    def tidied(group):
+        out = run(group)
+        release()
+        return out
+
+    return tidied
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, null_ids, table, with_ids
+from .common import connected_components, cut, null_ids, table, tidy, with_ids
 
 THRESHOLD = 0.95
 #: Rows that a bucket should have, rows of a block, chance to miss a pair at the threshold, width of the confidence bound.
@@ -144,7 +144,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                     )
 
     spread = "dim int, t int, key int, id long, copies long, v binary, code binary, stored float, sig binary"
-    indexed = cut(distinct.mapInPandas(index, spread), "index")
+    indexed = cut(distinct.mapInPandas(tidy(index), spread), "index")
     crowded = indexed.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sized = indexed.join(crowded, ["dim", "t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -181,7 +181,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
         if held is not None and len(held):
             yield from run(held)
 
-    found = cut(met.repartition(*group).sortWithinPartitions(*group, "own", "id").mapInPandas(search, "id long, n long, low long"), "found")
+    found = cut(met.repartition(*group).sortWithinPartitions(*group, "own", "id").mapInPandas(tidy(search), "id long, n long, low long"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
     named = distinct.join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")

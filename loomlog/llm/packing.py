@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces, public_path, public_pattern
-from .common import null_ids, table, with_ids
+from .common import null_ids, table, tidy, tidy_group, with_ids
 
 SEQUENCE = 2048
 END_ID = 1
@@ -143,10 +143,10 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
                     rows.append((doc, len(ids), full, ids[n:].tobytes(), zlib.crc32(ids.tobytes())))
                 yield pd.DataFrame(rows, columns=["doc_id", "doc_tokens", "full", "tail", "crc"])
 
-    tokens = with_ids(docs.select("doc_id", "text")).mapInPandas(tokenise, "doc_id long, doc_tokens long, full array<long>, tail binary, crc long")
+    tokens = with_ids(docs.select("doc_id", "text")).mapInPandas(tidy(tokenise), "doc_id long, doc_tokens long, full array<long>, tail binary, crc long")
     groups = max(1, -(-docs.count() // group_docs))
     spread = F.pmod(F.xxhash64("doc_id", "crc", F.lit(0x5EED)), F.lit(groups)).cast("int")
-    return null_ids(tokens.withColumn("grp", spread).drop("crc").groupBy("grp").applyInPandas(lambda pdf: pack_group(pdf, sequence), PIECES))
+    return null_ids(tokens.withColumn("grp", spread).drop("crc").groupBy("grp").applyInPandas(tidy_group(lambda pdf: pack_group(pdf, sequence)), PIECES))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

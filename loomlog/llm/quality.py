@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import NULL_ID, null_ids, table, with_ids
+from .common import NULL_ID, null_ids, table, tidy, with_ids
 
 #: Labelled rows that the classifier is fitted on, at most (smallest hash of doc_id first).
 SAMPLE_ROWS = 8000
@@ -220,7 +220,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             yield pd.DataFrame({"slot": some, "seen": seen[some], "sums": [x.tobytes() for x in sums[some]]})
 
     vectors, seen = np.zeros((SLOTS, DIM), dtype=np.float64), np.zeros(SLOTS)
-    for r in rows.select("text").mapInPandas(contexts, "slot int, seen long, sums binary").collect():
+    for r in rows.select("text").mapInPandas(tidy(contexts), "slot int, seen long, sums binary").collect():
         vectors[r.slot] += np.frombuffer(r.sums, dtype=np.float32)
         seen[r.slot] += r.seen
     # rare tokens keep their index vector: their contexts would be those of the very texts trained on
@@ -234,7 +234,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
             for a, b in pieces(texts):
                 yield pd.DataFrame({"doc_id": pdf.doc_id.iloc[a:b].to_numpy(), "y": pdf.y.iloc[a:b].to_numpy(), "x": list(model.pool(texts[a:b]))})
 
-    got = sorted((r.doc_id, r.y, r.x) for r in rows.select("doc_id", "y", "text").mapInPandas(pooled, "doc_id long, y int, x array<double>").collect())
+    got = sorted((r.doc_id, r.y, r.x) for r in rows.select("doc_id", "y", "text").mapInPandas(tidy(pooled), "doc_id long, y int, x array<double>").collect())
     rows.unpersist()
     y = np.array([r[1] for r in got])
     if not len(y) or y.min() == y.max():
@@ -259,7 +259,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 s = model.score(texts[a:b]) if model else np.full(b - a, 0.5)
                 yield pd.DataFrame({"doc_id": ids[a:b], "held_out": [i != NULL_ID and held_out(i) for i in ids[a:b].tolist()], "score": s, "predicted": (s >= 0.5).astype(np.int32)})
 
-    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, held_out boolean, score double, predicted int"))
+    return null_ids(with_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), "doc_id long, held_out boolean, score double, predicted int"))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

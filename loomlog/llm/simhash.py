@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import connected_components, cut, null_ids, table, with_ids
+from .common import connected_components, cut, null_ids, table, tidy, with_ids
 
 RADIUS = 2
 SEED = 42
@@ -82,7 +82,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
             for a, b in pieces(texts, 1 << 19):
                 yield pd.DataFrame({"doc_id": ids[a:b], "fp": fingerprint_texts(texts[a:b], width).view(np.int64)})
 
-    return with_ids(docs.select("doc_id", "text")).mapInPandas(run, "doc_id long, fp long")
+    return with_ids(docs.select("doc_id", "text")).mapInPandas(tidy(run), "doc_id long, fp long")
 
 
 def links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, null_ids, table, with_ids
+from .common import cut, null_ids, table, tidy, tidy_group, with_ids
 
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
@@ -80,7 +80,7 @@ def chunks(docs: DataFrame, others: bool) -> DataFrame:
         if held:
             yield row()
 
-    return cut(with_ids(docs.select("doc_id", "text", rest.alias("meta"))).mapInPandas(run, CHUNKS), "chunks")
+    return cut(with_ids(docs.select("doc_id", "text", rest.alias("meta"))).mapInPandas(tidy(run), CHUNKS), "chunks")
 
 
 class Runs:
@@ -391,8 +391,8 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
                 if rows:
                     yield pd.DataFrame(rows, columns=["r", "g", "names"])
 
-    names = store.select("g", "ids", "lens", "body").mapInPandas(send_names, "r int, g long, names binary")
-    shared = names.groupBy("r").applyInPandas(lambda pdf: answer_names(pdf, crowd), "g long, r int, answer binary")
+    names = store.select("g", "ids", "lens", "body").mapInPandas(tidy(send_names), "r int, g long, names binary")
+    shared = names.groupBy("r").applyInPandas(tidy_group(lambda pdf: answer_names(pdf, crowd)), "g long, r int, answer binary")
 
     def joined(answers: DataFrame) -> DataFrame:
         per = answers.groupBy("g").agg(F.collect_list(F.struct("r", "answer")).alias("answers"))
@@ -411,8 +411,8 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
                     yield pd.DataFrame(rows, columns=["r", "g", "entries"])
 
     masks = cut(shared, "names")
-    entries = joined(masks).select("g", "ids", "lens", "body", "answers").mapInPandas(send_entries, "r int, g long, entries binary")
-    found = entries.groupBy("r").applyInPandas(lambda pdf: answer_entries(pdf, n, array), "g long, r int, answer binary")
+    entries = joined(masks).select("g", "ids", "lens", "body", "answers").mapInPandas(tidy(send_entries), "r int, g long, entries binary")
+    found = entries.groupBy("r").applyInPandas(tidy_group(lambda pdf: answer_entries(pdf, n, array)), "g long, r int, answer binary")
     both = masks.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     last = both.groupBy("g").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("r", "answer"))).alias(name) for k, name in enumerate(("answers", "found"))])
 
@@ -441,7 +441,7 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
 
     columns = ["g", "ids", "lens", "body", "answers", "found"] + ["meta"] * texts
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string, meta string" if texts else "kept_sha256 string")
-    return null_ids(store.join(last, "g", "left").select(*columns).mapInPandas(finish, schema))
+    return null_ids(store.join(last, "g", "left").select(*columns).mapInPandas(tidy(finish), schema))
 
 
 def dedup(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, tidy
 
 # The rules of the query, (action, host, path).
 RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
@@ -146,7 +146,7 @@ def build(keyed: DataFrame, listed: list[str]) -> Cascade:
     if not listed:
         return Cascade(h, h, first)
     h1, h2 = hashes(F.col("keys"))
-    found = keyed.select("keys", h1.alias("h1"), h2.alias("h2")).mapInPandas(passing, "key string").distinct().collect()
+    found = keyed.select("keys", h1.alias("h1"), h2.alias("h2")).mapInPandas(tidy(passing), "key string").distinct().collect()
     return Cascade(h, np.array(sorted(hash_pair(r.key) for r in found), dtype=np.uint64).reshape(-1, 2), first)
 
 
