@@ -26,8 +26,6 @@ from .common import connected_components, cut, null_ids, table, tidy, with_ids
 
 RADIUS = 2
 SEED = 42
-#: Words of a shingle in the pipeline (the query has its own width).
-STAGE_WIDTH = 5
 
 
 def covering_masks(bits: int = 64, radius: int = RADIUS) -> list[int]:

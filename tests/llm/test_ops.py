@@ -404,3 +404,27 @@ def test_line_dedup_is_brute_force(spark, monkeypatch):
         kept = [x for x in lines if keeper.get(" ".join(fields(x)), i) == i]
         assert got[i].kept == "\n".join(kept) and got[i].n_dropped == len(lines) - len(kept) and got[i].n_lines == sum(bool(x.split()) for x in lines)
     assert sum(r.n_dropped for r in got.values()) > 20
+
+
+def test_near_duplicate_stage_links_every_pair_of_the_threshold(spark, texts):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    more = [*texts]
+    for n in (40, 90, 200):
+        chain = words(rng, n).split()
+        more.append(" ".join(chain))
+        for _ in range(12):  # each differs in one word from one of the last two, so ends of the chain differ in many
+            chain = (more[-rng.randint(1, 2)] if n == 200 else more[-1]).split()
+            chain[rng.randrange(len(chain))] = words(rng, 1) + "q"
+            more.append(" ".join(chain))
+    passage = words(rng, 40)
+    more += [words(rng, 12) + " " + passage for _ in range(30)]
+    ids = list(range(len(more)))
+    rng.shuffle(ids)
+    w = [re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x or "")) for x in more]
+    sets = {i: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} if x else set() for i, x in zip(ids, w, strict=True)}
+    near = {(i, j) for i in ids for j in ids if jaccard(sets[i], sets[j]) >= 0.8}
+    low = smallest(len(ids), lambda i, j: (i, j) in near)
+    got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs(spark, more, ids), SF).collect()}
+    assert got == set(low) and len(got) < len({frozenset(s) for s in sets.values()}) - 5
