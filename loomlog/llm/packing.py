@@ -39,16 +39,16 @@ _loaded: dict[str, object] = {}
 
 
 def encoder(path: str):
-    """A tiktoken encoding of the vocabulary in a tokenizers file; its ids are ranks. One per process."""
+    """A tiktoken encoding of the vocabulary in a tokenizers file; its ids are ranks, added tokens in a text are their ids. One per process."""
     if path not in _loaded:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {x["content"] for x in model["added_tokens"]}
+        special = {x["content"]: x["id"] for x in model["added_tokens"]}
         symbols = byte_of_symbol()
         ranks = {bytes(symbols[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
-        _loaded[path] = tiktoken.Encoding("packing", pat_str=public_pattern(), mergeable_ranks=ranks, special_tokens={})
+        _loaded[path] = tiktoken.Encoding("packing", pat_str=public_pattern(), mergeable_ranks=ranks, special_tokens=special)
     return _loaded[path]
 
 
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, path: str | None = None, sequence: int = SEQUENCE, end
             for a, b in pieces(texts):
                 rows = []
                 for doc, text in zip(ids_of[a:b], texts[a:b], strict=True):
-                    ids = np.array([*enc.encode_ordinary(text), end_id], dtype="<u4")
+                    ids = np.array([*enc.encode(text, allowed_special="all"), end_id], dtype="<u4")
                     n = len(ids) // sequence * sequence
                     full = [zlib.crc32(ids[i : i + sequence].tobytes()) for i in range(0, n, sequence)]
                     rows.append((doc, len(ids), full, ids[n:].tobytes(), zlib.crc32(ids.tobytes())))

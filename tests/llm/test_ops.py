@@ -428,3 +428,14 @@ def test_near_duplicate_stage_links_every_pair_of_the_threshold(spark, texts):
     low = smallest(len(ids), lambda i, j: (i, j) in near)
     got = {r.doc_id for r in corpus_pipeline.one_of_each_group(spark, docs(spark, more, ids), SF).collect()}
     assert got == set(low) and len(got) < len({frozenset(s) for s in sets.values()}) - 5
+
+
+def test_packing_gives_added_tokens_their_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+    some = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y<|endoftext|><|endoftext|>\n", "<|endoftext|", "<|ENDOFTEXT|>", "no such"]
+    got = {r.doc_id: r for r in packing.pack(docs(spark, some)).collect()}
+    for i, x in enumerate(some):
+        ids = [*tok.encode(x, add_special_tokens=False).ids, 1]
+        assert got[i].doc_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
