@@ -26,6 +26,9 @@ over_log("join_substring", lambda log: j.contained(log.select("event_id", "messa
 NEAR = "SELECT DISTINCT a.event_id FROM (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) a JOIN (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) b ON abs(a.p - b.p) <= {n} AND b.phrase = 17 {k}"
 over_log("join_positional", lambda log: j.around(log, F.col("phrase") == 17, ["ts_ms", "seq"], 2, ["server_id"]).select("event_id"), NEAR.format(p="PARTITION BY server_id", n=2, k="AND a.server_id = b.server_id"))
 over_log("join_positional_global", lambda log: j.around(log, (F.col("phrase") == 17) & (F.col("k") % 10 == 0), ["ts_ms", "seq"], 20).select("event_id"), NEAR.format(p="", n=20, k="AND b.k % 10 = 0"))
+# the same two over the whole log
+over_log("join_substring_whole", lambda log: j.contained(log.select("event_id", "message"), log.select(F.col("player").alias("name")).distinct(), "message", "name").select("event_id", "name"), "SELECT event_id, name FROM (SELECT event_id, message FROM log) a JOIN (SELECT DISTINCT player AS name FROM log ORDER BY name LIMIT 1000) b ON contains(message, name) OR contains(name, message)")
+over_log("join_positional_global_whole", lambda log: j.around(log, F.col("phrase") == 17, ["ts_ms", "seq"], 20).select("event_id"), NEAR.format(p="", n=20, k=""))
 HALF = "SELECT server_id || ':' || phrase AS key, max(ts_ms) AS ts_ms FROM log WHERE ts_ms {} 1601740000000 AND level = 'ERROR' AND phrase % 5 <> {} GROUP BY 1"
 
 
