@@ -82,7 +82,7 @@ def made(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["server_id", "key", "ts_ms", "event_id", "suppressed"]).astype({"event_id": "Int64"})
 
 
-def mine_templates(rows: DataFrame, server: str, text: str, depth: int = 3, similar: float = 0.4, children: int = 100) -> DataFrame:
+def mine_templates(rows: DataFrame, server: str, text: str, depth: int = 3, similar: float = 0.4) -> DataFrame:
     """server, template_id, template, n: a fixed-depth tree of templates per server, over distinct masked lines in order.
 
     Lines are counted as distinct masked ones first; a leaf (number of tokens, first tokens)
@@ -97,7 +97,7 @@ def mine_templates(rows: DataFrame, server: str, text: str, depth: int = 3, simi
         for words, n in sorted((tuple(x), int(n)) for x, n in zip(pdf.tokens, pdf.n, strict=True)):
             scores = [sum(a == b != "<*>" for a, b in zip(words, k, strict=True)) / len(words) for k, _ in found]
             best = max(range(len(found)), key=scores.__getitem__, default=None)
-            if best is not None and (scores[best] >= similar or len(found) >= children):
+            if best is not None and scores[best] >= similar:
                 found[best] = [[a if a == b else "<*>" for a, b in zip(words, found[best][0], strict=True)], found[best][1] + n]
             else:
                 found.append([list(words), n])

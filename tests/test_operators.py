@@ -133,3 +133,12 @@ def test_store_round_trip(spark, tmp_path):
     files.write_jsonl(rows.select("event_id", "kind"), str(tmp_path / "out"))
     (tmp_path / "bad.jsonl").write_text('{"event_id": "x", "ts_ms": 5}\nnot json\n')
     assert files.read_jsonl(spark, str(tmp_path / "out")).count() == 3 and files.read_jsonl(spark, str(tmp_path / "bad.jsonl")).count() == 1
+
+
+def test_a_leaf_of_many_templates_keeps_unlike_lines_apart(spark):
+    from loomlog.operators import loops
+
+    code = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03d}")
+    rows = [("s0", f"1 2 3 {code(i)} x{code(i)} y{code(i)} z{code(i)}") for i in range(130)]
+    got = loops.mine_templates(spark.createDataFrame(rows, "server_id string, message string"), "server_id", "message").collect()
+    assert len(got) == 130 and all(r.n == 1 for r in got)
