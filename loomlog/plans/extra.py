@@ -54,6 +54,20 @@ def text_scan_of(log):
     return files.lines(log.sparkSession, path).select(F.sha1("line").alias("h"))
 
 
+over_log("src_text_scan_whole", lambda log: text_scan_of_all(log), "SELECT server_id, sha1(line) AS h FROM log WHERE trim(line) <> ''")
+
+
+def text_scan_of_all(log):
+    """Lines of all servers, a path for each."""
+    found = None
+    for r in log.select("server_id").distinct().orderBy("server_id").collect():
+        path = shared_path(log.sparkSession, "text")
+        log.where(F.col("server_id") == r.server_id).select("line").write.option("compression", "gzip").text(path)
+        lines = files.lines(log.sparkSession, path).select(F.lit(r.server_id).alias("server_id"), F.sha1("line").alias("h"))
+        found = lines if found is None else found.unionByName(lines)
+    return log.select("server_id", F.sha1("line").alias("h")) if found is None else found
+
+
 def exported(log):
     path = shared_path(log.sparkSession, "export")
     files.write_jsonl(observations(log), path)
