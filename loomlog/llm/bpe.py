@@ -2,13 +2,16 @@
 
 Words of the pattern are encoded once each: those not seen yet are put into padded
 matrices by length, and in every round each row merges its leftmost pair of lowest rank.
-Pairs are looked up in a sorted table of 64-bit keys; merged rows are compacted.
+Pairs are looked up in a hash table of 64-bit keys; merged rows are compacted. A row costs
+its length times its merges, so words above a width leave the matrices: a heap of their
+pairs gives the same merges in the same order in n log n.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +24,8 @@ from .common import null_ids, table, tidy, with_ids
 
 #: Words that one Python process remembers; the memory is emptied when it is full.
 CACHE_WORDS = 400_000
+#: Bytes up to which a word is a row of a matrix, and characters up to which it is remembered.
+ROW_BYTES, CACHE_CHARS = 1024, 256
 NONE = np.int64(1 << 60)
 
 
@@ -48,6 +53,7 @@ class ByteBPE:
         order = np.argsort(np.array(keys, dtype=np.int64), kind="stable")
         self._table(np.array(keys, dtype=np.int64)[order], np.array(merged, dtype=np.int64)[order])
         self.cache: dict[str, np.ndarray] = {}
+        self.pairs: dict[int, int] | None = None
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -90,13 +96,16 @@ class ByteBPE:
         return out
 
     def encode_words(self, words: list[bytes]) -> list[np.ndarray]:
-        """ids of each word. A word of any length is one row; long ones share a matrix with few others."""
+        """ids of each word, of any length."""
         out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(words)
         lens = np.array([len(w) for w in words], dtype=np.int64)
         bucket = np.ceil(np.log2(np.maximum(lens, 1)) * 2).astype(np.int64)  # lengths within a factor of 1.4
         order = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[order])) + 1
         for rows in np.split(order, cuts):
+            for r in rows[lens[rows] > ROW_BYTES].tolist():
+                out[r] = self._encode_long(words[r])
+            rows = rows[lens[rows] <= ROW_BYTES]
             width = int(lens[rows].max()) if len(rows) else 0
             if width == 0:
                 continue
@@ -140,15 +149,48 @@ class ByteBPE:
             r, c = at[least > 0], least[least > 0] - 1
             rank[r, c] = self._ranks(ids[r, c], ids[r, c + 1])
 
+    def _encode_long(self, word: bytes) -> np.ndarray:
+        """As a row of a matrix: the leftmost pair of lowest rank merges first. Entries of the heap are rank * n + place; outdated ones are skipped."""
+        if self.pairs is None:
+            used = self.slot_key >= 0
+            self.pairs = dict(zip(self.slot_key[used].tolist(), self.slot_id[used].tolist(), strict=True))
+        get, size, n = self.pairs.get, self.size, len(word)
+        start = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        rank = self._ranks(start[:-1], start[1:])
+        at = np.flatnonzero(rank < NONE)
+        heap = (rank[at] * n + at).tolist()
+        heapq.heapify(heap)
+        ids, right, left = start.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            value, i = divmod(heapq.heappop(heap), n)
+            j = right[i]
+            if ids[i] < 0 or j >= n or get(ids[i] * size + ids[j]) != value:
+                continue
+            k, h = right[j], left[i]
+            ids[i], ids[j], right[i] = value, -1, k
+            if k < n:
+                left[k] = i
+                new = get(value * size + ids[k])
+                if new is not None:
+                    heapq.heappush(heap, new * n + i)
+            if h >= 0:
+                new = get(ids[h] * size + value)
+                if new is not None:
+                    heapq.heappush(heap, new * n + h)
+        out = np.array(ids, dtype=np.int64)
+        return out[out >= 0]
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         split = [self.pattern.findall(t) for t in texts]
-        new = list({w for ws in split for w in ws}.difference(self.cache))
+        words = {w for ws in split for w in ws}
+        known = {w: self.cache[w] for w in words if w in self.cache}
+        new = list(words.difference(known))
+        for w, ids in zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True):
+            known[w] = ids.astype(np.int32)
         if len(self.cache) + len(new) > CACHE_WORDS:
             self.cache = {}
-            new = list({w for ws in split for w in ws})
-        for w, ids in zip(new, self.encode_words([w.encode("utf-8") for w in new]), strict=True):
-            self.cache[w] = ids.astype(np.int32)
-        get = self.cache.__getitem__
+        self.cache.update((w, known[w]) for w in new if len(w) <= CACHE_CHARS)
+        get = known.__getitem__
         return [np.concatenate(list(map(get, ws))) if ws else np.zeros(0, np.int32) for ws in split]
 
     def decode(self, ids: np.ndarray) -> bytes:
