@@ -9,6 +9,7 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: Bytes of text that one Python task should hold at a time.
 CHUNK_BYTES = 4 << 20
@@ -31,6 +32,62 @@ def null_ids(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.nullif(F.col(c), F.lit(NULL_ID)) for c in columns or ("doc_id",)})
 
 
+def only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows of docs, all columns as they are, whose doc_id is in kept (doc_id, NULL_ID for null)."""
+    at, ids = docs.columns.index("doc_id"), kept.select(F.col("doc_id").alias("_kept_id"))
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows.join(ids, F.coalesce(F.col(f"c{at}").cast("long"), F.lit(NULL_ID)) == F.col("_kept_id"), "left_semi").toDF(*docs.columns)
+
+
+class Carried:
+    """Columns that an operator hands on as they are: Arrow bytes beside each chunk, whatever their types and names.
+
+    rows: doc_id, text and the others as c0, c1, ...; whole() turns chunks' rows into docs again.
+    """
+
+    def __init__(self, docs: DataFrame):
+        self.columns, fields = docs.columns, docs.schema.fields
+        self.others = [i for i, c in enumerate(self.columns) if c not in ("doc_id", "text")]
+        renamed = docs.toDF(*[f"c{i}" for i in range(len(self.columns))])
+        at = {c: F.col(f"c{self.columns.index(c)}") for c in ("doc_id", "text")}
+        self.rows = renamed.select(F.coalesce(at["doc_id"].cast("long"), F.lit(NULL_ID)).alias("doc_id"), at["text"].alias("text"), *[f"c{i}" for i in self.others])
+        self.schema = StructType([*self.rows.schema.fields[:2], *[StructField(f"c{i}", fields[i].dataType) for i in self.others]])
+        self.types = {"doc_id": fields[self.columns.index("doc_id")].dataType}
+
+    @staticmethod
+    def pack(slices: list[pa.RecordBatch]) -> bytes:
+        """The other columns of some rows."""
+        if not slices or slices[0].num_columns < 3:
+            return b""
+        rows = pa.Table.from_batches(slices).select(range(2, slices[0].num_columns)).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(rows)
+        return sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def unpack(ids: list[int], texts: list[str], packed: bytes) -> pa.RecordBatch:
+        """Rows of `schema` again, with new texts."""
+        first = [pa.array(ids, pa.int64()), pa.array(texts, pa.string())]
+        if not packed:
+            return pa.RecordBatch.from_arrays(first, ["doc_id", "text"])
+        rows = pa.ipc.open_stream(packed).read_all().combine_chunks()
+        others = [c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in rows.columns]
+        return pa.RecordBatch.from_arrays([*first, *others], ["doc_id", "text", *rows.column_names])
+
+    def whole(self, rows: DataFrame) -> DataFrame:
+        """docs' columns in docs' order; n_chars, where there is one, follows the text."""
+        out = []
+        for i, c in enumerate(self.columns):
+            if c == "doc_id":
+                out.append(F.nullif(F.col(c), F.lit(NULL_ID)).cast(self.types[c]))
+            elif c == "n_chars":
+                out.append(F.char_length("text").cast(self.schema[f"c{i}"].dataType))
+            else:
+                out.append(F.col(c if c == "text" else f"c{i}"))
+        return rows.select(*[x.alias(f"c{i}") for i, x in enumerate(out)]).toDF(*self.columns)
+
+
 def release() -> None:
     """Give memory that isn't used any more back to the system: idle Python workers would keep it."""
     pa.default_memory_pool().release_unused()
@@ -69,10 +126,13 @@ def tidy_group(run):
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Only where the cluster names none (local tests), a temporary one is set.
+    Where it is unset, a single-machine session (local tests) gets a temporary one; on a
+    cluster a folder of one machine would be no use to the others, so that is an error.
     """
     got = spark.conf.get("spark.checkpoint.dir", None)
     if not got:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         got = tempfile.mkdtemp(prefix="loomlog-")
         spark.conf.set("spark.checkpoint.dir", got)
     return got

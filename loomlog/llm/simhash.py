@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import pieces
-from .common import connected_components, cut, null_ids, table, tidy, with_ids
+from .common import connected_components, cut, null_ids, only, table, tidy, with_ids
 
 RADIUS = 2
 SEED = 42
@@ -135,5 +135,4 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
     """Rows of docs, all columns, whose doc_id is its component's smallest; a repeated doc_id keeps all its rows."""
-    kept = with_ids(components(docs, width).where("doc_id <=> component_id").select("doc_id").distinct())
-    return null_ids(with_ids(docs).join(kept, "doc_id", "left_semi")).select(*docs.columns)
+    return only(docs, with_ids(components(docs, width).where("doc_id <=> component_id").select("doc_id").distinct()))

@@ -26,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, null_ids, table, tidy, tidy_group, with_ids
+from .common import Carried, cut, null_ids, table, tidy, tidy_group, with_ids
 
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
@@ -56,31 +57,32 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def chunks(docs: DataFrame, others: bool) -> DataFrame:
-    """Texts as UTF-8 in chunks, written once, so that every pass sees the same ones. others: the other columns as JSON."""
-    rest = F.to_json(F.struct(*[c for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("_")), {"ignoreNullFields": "false"}) if others else F.lit(None).cast("string")
+def chunks(rows: DataFrame) -> DataFrame:
+    """Texts as UTF-8 in chunks, written once, so that every pass sees the same ones; rows: doc_id, text, columns to hand on."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        part, count, held, size = TaskContext.get().partitionId(), 0, [], 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, count, held, slices, size = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def row() -> pd.DataFrame:
+        def row() -> pa.RecordBatch:
             ids = np.array([x[0] for x in held], dtype=np.int64)
             lens = np.array([len(x[1]) for x in held], dtype=np.int64)
-            meta = _zip("\n".join(x[2] for x in held).encode()) if others else b""
-            return pd.DataFrame({"g": [(part << 32) + count], "ids": [ids.tobytes()], "lens": [lens.tobytes()], "body": [_zip(b"".join(x[1] for x in held))], "meta": [meta]})
+            return pa.RecordBatch.from_pydict({"g": [(part << 32) + count], "ids": [ids.tobytes()], "lens": [lens.tobytes()], "body": [_zip(b"".join(x[1] for x in held))], "meta": [Carried.pack(slices)]})
 
-        for pdf in batches:
-            for i, text, meta in zip(pdf.doc_id.tolist(), pdf.text.tolist(), pdf.meta.tolist(), strict=True):
+        for batch in batches:
+            first = 0
+            for at, (i, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 body = (text or "").encode("utf-8", "surrogatepass")
                 if held and size + len(body) > CHUNK:
+                    slices.append(batch.slice(first, at - first))
                     yield row()
-                    count, held, size = count + 1, [], 0
-                held.append((i, body, meta))
+                    count, held, slices, size, first = count + 1, [], [], 0, at
+                held.append((i, body))
                 size += len(body)
+            slices.append(batch.slice(first))
         if held:
             yield row()
 
-    return cut(with_ids(docs.select("doc_id", "text", rest.alias("meta"))).mapInPandas(tidy(run), CHUNKS), "chunks")
+    return cut(rows.mapInArrow(tidy(run), CHUNKS), "chunks")
 
 
 class Runs:
@@ -90,6 +92,12 @@ class Runs:
         self.ids, self.lens = np.frombuffer(ids, dtype=np.int64), np.frombuffer(lens, dtype=np.int64)
         self.data, self.n = _unzip(body), n
         size, m = len(self.data), max(4, n // 2 - 1)
+        self.ends = np.cumsum(self.lens)
+        if size < n:  # no window: no runs
+            self.start = self.count = self.doc = self.of = np.zeros(0, dtype=np.int64)
+            self.buf, self.name = self.data + b"\0" * 64, np.zeros(0, dtype=np.uint64)
+            self.words, self.uniq = np.ndarray((size + 56,), dtype="<u8", buffer=self.buf, strides=(1,)), self.name
+            return
         self.buf = self.data + b"\0" * 64
         self.words = np.ndarray((size + 56,), dtype="<u8", buffer=self.buf, strides=(1,))
         h = np.zeros(size, dtype=np.uint64)
@@ -106,7 +114,6 @@ class Runs:
             k *= 2
         if width > k:
             np.minimum(low[: size - (width - k)], low[width - k :], out=low[: size - (width - k)])
-        self.ends = np.cumsum(self.lens)
         inside = np.zeros(size + 1, dtype=np.int32)  # windows that don't cross documents
         has = self.lens >= n
         np.add.at(inside, (self.ends - self.lens)[has], 1)
@@ -368,18 +375,46 @@ def covered(runs: Runs, answers: list) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFrame:
-    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256; with texts also kept (string) and meta.
+def removed(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:
+    """A row for each row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256. Other columns are not read.
 
     A byte goes if a string of n bytes that covers it also starts in a document of smaller
     doc_id; strings are taken from the input. Rows of one doc_id don't remove each other's
-    bytes. Null texts are empty; texts under n bytes stay whole. kept drops the bytes of a
-    character that was cut apart. A null doc_id is one id, smaller than all others. An empty
-    table gives no rows.
+    bytes. Null texts are empty; texts under n bytes stay whole. A null doc_id is one id,
+    smaller than all others. A text of any length is one row of one chunk. An empty table
+    gives no rows.
+    """
+
+    def show(x, ids: np.ndarray, lens: np.ndarray, gone: np.ndarray, spans: np.ndarray, kept: list[bytes]) -> pd.DataFrame:
+        return pd.DataFrame({"doc_id": ids, "n_bytes": lens, "n_removed": gone, "n_spans": spans, "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in judged(batches, n):
+            yield pa.RecordBatch.from_pandas(show(*x), preserve_index=False)
+
+    rows = with_ids(docs.select("doc_id", "text"))
+    return null_ids(marked(rows, n).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"))
+
+
+def dedup(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:
+    """docs with the repeated bytes cut from text; n_chars, where there is one, follows the text. All rows and columns stay.
+
+    The bytes of a character that was cut apart go too. Null texts become empty ones.
     """
+    carried = Carried(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x, ids, _, _, _, kept in judged(batches, n):
+            yield Carried.unpack(ids.tolist(), [k.decode("utf-8", "ignore") for k in kept], x["meta"])
+
+    return carried.whole(marked(carried.rows, n).mapInArrow(tidy(run), carried.schema))
+
+
+def marked(rows: DataFrame, n: int) -> DataFrame:
+    """Chunks (g, ids, lens, body, meta) with the answers of both passes: answers (names) and found (entries)."""
     if n < 10:
         raise ValueError("n must be 10 at least")
-    store = chunks(docs, texts)
+    store = chunks(rows)
     total = store.agg(F.sum(F.length("body")), F.count("*")).first()
     buckets, crowd, array = max(1, -(-3 * int(total[0] or 0) // BUCKET)), HOT, ARRAY
 
@@ -398,9 +433,6 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
         per = answers.groupBy("g").agg(F.collect_list(F.struct("r", "answer")).alias("answers"))
         return store.join(per, "g", "left")
 
-    def got(answers) -> list:
-        return [] if answers is None else [(a["r"], a["answer"]) for a in answers]
-
     def send_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for x in pdf.itertuples(index=False):
@@ -416,45 +448,30 @@ def removed(docs: DataFrame, n: int = MIN_BYTES, texts: bool = False) -> DataFra
     both = masks.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     last = both.groupBy("g").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("r", "answer"))).alias(name) for k, name in enumerate(("answers", "found"))])
 
-    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for x in pdf.itertuples(index=False):
-                runs = Runs(x.ids, x.lens, x.body, n)
-                runs.shared(buckets, got(x.answers))
-                gone = covered(runs, got(x.found))
-                begins = runs.ends - runs.lens
-                rise = gone.copy()
-                rise[1:] &= ~gone[:-1]
-                inner = begins[(runs.lens > 0) & (begins > 0)]
-                rise[inner] = gone[inner]
-                count = np.concatenate([[0], np.cumsum(gone)])
-                spans = np.concatenate([[0], np.cumsum(rise)])
-                left = np.frombuffer(runs.data, dtype=np.uint8)[~gone].tobytes()
-                lo, hi = (begins - count[begins]).tolist(), (runs.ends - count[runs.ends]).tolist()
-                kept = [left[a:b] for a, b in zip(lo, hi, strict=True)]
-                out = {"doc_id": runs.ids, "n_bytes": runs.lens, "n_removed": count[runs.ends] - count[begins], "n_spans": spans[runs.ends] - spans[begins]}
-                if texts:
-                    out |= {"kept": [k.decode("utf-8", "ignore") for k in kept], "meta": _unzip(x.meta).decode().split("\n")}
-                else:
-                    out |= {"kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept]}
-                yield pd.DataFrame(out)
-
-    columns = ["g", "ids", "lens", "body", "answers", "found"] + ["meta"] * texts
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, " + ("kept string, meta string" if texts else "kept_sha256 string")
-    return null_ids(store.join(last, "g", "left").select(*columns).mapInPandas(tidy(finish), schema))
-
-
-def dedup(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:
-    """docs with the repeated bytes cut from text; n_chars, where there is one, follows the text. All rows and columns stay."""
-    out = removed(docs, n, texts=True)
-    rest = [f for f in docs.schema.fields if f.name not in ("doc_id", "text")]
-    parsed = F.from_json("meta", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest) or "_ int")
-    out = out.select("doc_id", F.col("kept").alias("text"), parsed.alias("rest"))
-    columns = []
-    for f in docs.schema.fields:
-        value = F.col(f.name) if f.name in ("doc_id", "text") else F.char_length("text").cast(f.dataType) if f.name == "n_chars" else F.col("rest").getField(f.name)
-        columns.append(value.alias(f.name))
-    return out.select(*columns)
+    return store.join(last, "g", "left").withColumn("buckets", F.lit(buckets))
+
+
+def got(answers) -> list:
+    return [] if answers is None else [(a["r"], a["answer"]) for a in answers]
+
+
+def judged(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
+    """(chunk, ids, n_bytes, n_removed, n_spans, kept bytes) of each chunk of marked()."""
+    for batch in batches:
+        for x in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
+            runs = Runs(x["ids"], x["lens"], x["body"], n)
+            runs.shared(x["buckets"], got(x["answers"]))
+            gone = covered(runs, got(x["found"]))
+            begins = runs.ends - runs.lens
+            rise = gone.copy()
+            rise[1:] &= ~gone[:-1]
+            inner = begins[(runs.lens > 0) & (begins > 0)]
+            rise[inner] = gone[inner]
+            count = np.concatenate([[0], np.cumsum(gone)])
+            spans = np.concatenate([[0], np.cumsum(rise)])
+            left = np.frombuffer(runs.data, dtype=np.uint8)[~gone].tobytes()
+            lo, hi = (begins - count[begins]).tolist(), (runs.ends - count[runs.ends]).tolist()
+            yield x, runs.ids, runs.lens, count[runs.ends] - count[begins], spans[runs.ends] - spans[begins], [left[a:b] for a, b in zip(lo, hi, strict=True)]
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -206,7 +206,7 @@ def test_packing(spark, texts):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
-    tok.encode_special_tokens = True
+    texts = [*texts, "<|endoftext|>", "a <|endoftext|>b"]
     rows = packing.pack(docs(spark, texts), sequence=128).toPandas().sort_values(["doc_id", "start"])
     for i, part in rows.groupby("doc_id"):
         ids, at = [*tok.encode(texts[i] or "", add_special_tokens=False).ids, 1], 0
@@ -439,3 +439,56 @@ def test_packing_gives_added_tokens_their_ids(spark):
     for i, x in enumerate(some):
         ids = [*tok.encode(x, add_special_tokens=False).ids, 1]
         assert got[i].doc_tokens == len(ids) and got[i].ids_crc32 == zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("n", [10, 16, 50])
+def test_chunks_of_few_bytes_have_no_runs(n):
+    from loomlog.llm.suffix_dedup import Runs, _zip, covered
+
+    for size in [*range(2 * n + 1), 101]:
+        for lens in ([size], [size // 2, size - size // 2], [0, size]):
+            body = bytes(97 + i % 3 for i in range(size))
+            runs = Runs(np.arange(len(lens)).tobytes(), np.array(lens, dtype=np.int64).tobytes(), _zip(body), n)
+            want = sum(max(0, k - n + 1) for k in lens)
+            assert int(runs.count.sum()) == want
+            runs.shared(3, [])
+            if not runs.entries:
+                assert not covered(runs, []).any()
+
+
+def test_one_short_text_per_partition(spark):
+    for texts in (["a b c"], ["abc", "", "x" * 9, None, "y" * 49, "z" * 50]):
+        d = docs(spark, texts).repartition(len(texts) + 2, "doc_id")
+        got = {r.doc_id: r for r in suffix_dedup.removed(d).collect()}
+        assert len(got) == len(texts) and all(r.n_removed == 0 and r.n_bytes == len(texts[i] or "") for i, r in got.items())
+
+
+def test_other_columns_are_handed_on_as_they_are(spark):
+    import datetime
+    import decimal
+
+    when = datetime.datetime(2024, 5, 6, 7, 8, 9, 123456)
+    line = "the same long line of words that is in every one of the documents here, again and again"
+    rows = [(i if i else None, f"{line}\nown {i}", when, 7, decimal.Decimal("1.20"), {"k": i}, [i, None], None, "d", "g", None) for i in range(4)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, ts timestamp, `_` int, dec decimal(10,2), m map<string,int>, arr array<int>, `a.b` string, `we``ird` string, meta string, c0 int")
+    want = {r.doc_id: tuple(r)[2:] for r in d.collect()}
+    for make in (line_dedup.dedup, suffix_dedup.dedup, lambda x: simhash.dedup(x, 3), lambda x: quality.keep_good(x, None)):
+        out = make(d)
+        assert out.columns == d.columns and [f.dataType for f in out.schema.fields] == [f.dataType for f in d.schema.fields]
+        got = {r.doc_id: tuple(r)[2:] for r in out.collect()}
+        assert got and all(v == want[k] for k, v in got.items())
+    for make in (line_dedup.dedup, suffix_dedup.dedup):
+        assert make(d.limit(0)).count() == 0 and {r.doc_id for r in make(d).collect()} == set(want)
+        assert make(d.select("text", "doc_id")).columns == ["text", "doc_id"]
+
+
+def test_long_words_merge_in_tiktokens_order():
+    import tiktoken
+
+    path = bpe.public_path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=bpe.public_pattern(), mergeable_ranks=ranks, special_tokens={})
+    ours, rng = bpe.ByteBPE(ranks, bpe.public_pattern()), random.Random(4)
+    texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1023, 1024, 1025, 5000, 1_000_000)] + ["a" * 9001, "ab" * 4000, "\u65e5\u672c\u8a9e" * 2000]
+    assert [x.tolist() for x in ours.encode_batch(texts)] == [enc.encode_ordinary(x) for x in texts]
+    assert ours.decode(ours.encode_batch(texts)[4]) == texts[4].encode()
