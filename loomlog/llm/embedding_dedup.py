@@ -6,13 +6,18 @@ product of code and vector is stored beside it. From a code and another vector r
 bound that the stored number gives as well. Only pairs whose bound reaches the threshold are
 computed exactly, in double precision; only those links count.
 
-Which pairs meet at all is decided by further sign bits: some tables of a few bits each,
-as many that a pair at the threshold misses all of them once in a thousand times. A crowded
-bucket is cut into blocks that meet two at a time, so a task holds two blocks at most.
+Which pairs meet at all is decided by signs of further rotations, a wide code of 256 bits:
+tables of a few of its bits each, as many that a pair at the threshold misses all of them
+once in a thousand times. What a table moves of a vector is its id and its wide code; pairs
+whose codes differ in too many bits to be at the threshold end there. Only vectors that
+have a partner left are fetched, once for each bucket where a pair is new.
+
+A crowded bucket is cut into blocks that meet two at a time, so a task holds two blocks at most.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 
@@ -24,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import connected_components, cut, null_ids, table, tidy, with_ids
 
 THRESHOLD = 0.95
-#: Rows that a bucket should have, rows of a block, chance to miss a pair at the threshold, width of the confidence bound.
-BUCKET_ROWS, BLOCK, MISS, EPSILON = 48, 1536, 1e-3, 4.0
+#: Rows that a bucket should have, rows of a block, bits of the wide code, chance to miss a pair at the threshold, width of the confidence bound.
+BUCKET_ROWS, BLOCK, WIDE, MISS, EPSILON = 256, 1536, 256, 1e-3, 4.0
 _rotations: dict[tuple[int, int], np.ndarray] = {}
 
 
@@ -37,19 +42,46 @@ def rotation(dim: int, number: int) -> np.ndarray:
     return _rotations[dim, number]
 
 
-def plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int]:
-    """(bits of a table, tables) for n vectors."""
-    agree = 1 - math.acos(threshold) / math.pi
-    bits = min(30, max(2, math.ceil(math.log2(max(1, n) / BUCKET_ROWS))))
-    return bits, max(1, math.ceil(math.log(miss) / math.log(1 - agree**bits)))
+def differing(threshold: float) -> np.ndarray:
+    """The chance of each number of wide-code bits in which a pair at the threshold differs."""
+    p = math.acos(threshold) / math.pi
+    log = [math.lgamma(WIDE + 1) - math.lgamma(h + 1) - math.lgamma(WIDE - h + 1) + h * math.log(p) + (WIDE - h) * math.log(1 - p) for h in range(WIDE + 1)]
+    return np.exp(np.array(log))
+
+
+def plan(n: int, threshold: float, miss: float = MISS) -> tuple[int, int, int]:
+    """(bits of a table, tables, most differing bits) for n vectors. 32 bits serve 10^12 vectors; beyond, buckets grow and are cut into blocks."""
+    chance = differing(threshold)
+    bits = min(32, max(2, math.ceil(math.log2(max(1, n) / BUCKET_ROWS))))
+    h = np.arange(WIDE - bits + 1)
+    agree = np.zeros(WIDE + 1)  # that a table's bits are all among the equal ones
+    agree[: len(h)] = [math.exp(math.lgamma(WIDE - x + 1) - math.lgamma(WIDE - x - bits + 1) - math.lgamma(WIDE + 1) + math.lgamma(WIDE - bits + 1)) for x in h]
+    tables = 1
+    while (chance * (1 - agree) ** tables).sum() > miss:
+        tables += 1
+    most = int(np.searchsorted(np.cumsum(chance), 1 - miss / 10))
+    return bits, tables, most
+
+
+def places(bits: int, tables: int) -> np.ndarray:
+    """Which bits of the wide code make each table's key, the same on every machine."""
+    rng = np.random.Generator(np.random.PCG64([bits, 99]))
+    return np.stack([rng.permutation(WIDE)[:bits] for _ in range(tables)])
+
 
+def wide_codes(unit: np.ndarray) -> np.ndarray:
+    """Signs of as many further rotations as that takes (rotation 0 is the code's), packed: WIDE / 8 bytes each."""
+    dim = unit.shape[1]
+    return np.packbits(np.concatenate([unit @ rotation(dim, 1 + i).T > 0 for i in range(-(-WIDE // dim))], axis=1)[:, :WIDE], axis=1)
 
-def table_keys(unit: np.ndarray, bits: int, tables: int) -> np.ndarray:
-    """The key of each vector in each table: sign bits of as many rotations as that takes (rotation 0 is the code's)."""
-    dim, need = unit.shape[1], bits * tables
-    signs = np.concatenate([unit @ rotation(dim, 1 + i).T > 0 for i in range(-(-need // dim))], axis=1)[:, :need]
-    weight = 1 << np.arange(bits, dtype=np.int64)
-    return (signs.reshape(len(unit), tables, bits) * weight).sum(axis=2).astype(np.int32)
+
+def table_keys(wide: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The key of each vector in each table of places `at`."""
+    bits = np.unpackbits(wide, axis=1)
+    out = np.zeros((len(wide), len(at)), dtype=np.int64)
+    for i in range(at.shape[1]):
+        out |= bits[:, at[:, i]].astype(np.int64) << i
+    return out
 
 
 def codes(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,31 +111,55 @@ def smallest_linked(n: int, a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np
             return low
 
 
-def links_of_group(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, code: np.ndarray, stored: np.ndarray, keys: np.ndarray, t: int, block: np.ndarray, threshold: float) -> tuple | None:
+def near_codes(wide: np.ndarray, left: slice, right: slice, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left x right, each once) whose wide codes differ in `most` bits at most."""
+    words, shift = wide.view("<u8"), right.start
+    a, b = [], []
+    for i in range(left.start, left.stop, 256):
+        j = min(i + 256, left.stop)
+        lo = max(right.start, i + 1)  # within one block only pairs with a later row
+        count = np.bitwise_count(words[i:j, None, :] ^ words[None, lo : right.stop, :]).sum(axis=2, dtype=np.uint16)
+        x, y = np.nonzero(count <= most)
+        x, y = x + i, y + lo
+        ok = y > x if shift < j else slice(None)
+        a.append(x[ok])
+        b.append(y[ok])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def fresh_pairs(a: np.ndarray, b: np.ndarray, wide: np.ndarray, t: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs that no table before t brings together."""
+    if t and len(a):
+        rows = np.unique(np.concatenate([a, b]))
+        keys = table_keys(wide[rows], at[:t])
+        x, y = np.searchsorted(rows, a), np.searchsorted(rows, b)
+        for u in range(t):
+            new = keys[x, u] != keys[y, u]
+            a, b, x, y = a[new], b[new], x[new], y[new]
+    return a, b
+
+
+def sides(block: np.ndarray) -> tuple[slice, slice]:
+    """The rows of a group that meet: all with all, or those of one block with those of the other."""
+    n = len(block)
+    cutat = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+    return (slice(0, cutat), slice(cutat, n)) if cutat else (slice(0, n), slice(0, n))
+
+
+def links_of_group(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, code: np.ndarray, stored: np.ndarray, wide: np.ndarray, t: int, at: np.ndarray, most: int, block: np.ndarray, threshold: float) -> tuple | None:
     """(row, links that no earlier table has, smallest id linked) of one bucket or pair of blocks."""
     n = len(ids)
-    two = block[0] != block[-1]
-    cutat = int(np.searchsorted(block, block[-1])) if two else n
-    left, right = slice(0, cutat), slice(cutat, n) if two else slice(0, n)
+    left, right = sides(block)
     norm = np.sqrt(np.einsum("ij,ij->i", raw, raw))
-    unit = raw / norm[:, None]
-    turned = (unit @ rotation(raw.shape[1], 0).T).astype(np.float32)
-    may = candidates(code, stored, left, right, turned, threshold)
-    if not two:
-        may = np.triu(may, 1)
-    a, b = np.nonzero(may)
-    if not len(a):
-        return None
-    b = b + (cutat if two else 0)
+    turned = (raw / norm[:, None] @ rotation(raw.shape[1], 0).T).astype(np.float32)
+    a, b = near_codes(wide, left, right, most)
+    may = candidates(code, stored, left, right, turned, threshold)[a - left.start, b - right.start]
+    a, b = fresh_pairs(a[may], b[may], wide, t, at)
     ok = np.zeros(len(a), dtype=bool)
     for i in range(0, len(a), 1 << 16):
         x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
         ok[i : i + (1 << 16)] = np.einsum("ij,ij->i", raw[x], raw[y]) / (norm[x] * norm[y]) >= threshold
     a, b = a[ok], b[ok]
-    fresh = np.ones(len(a), dtype=bool)
-    for u in range(t):
-        fresh &= keys[a, u] != keys[b, u]
-    a, b = a[fresh], b[fresh]
     if not len(a):
         return None
     count = np.bincount(a, weights=copies[b], minlength=n) + np.bincount(b, weights=copies[a], minlength=n)
@@ -112,6 +168,45 @@ def links_of_group(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, code: n
     return ids[rows], count[rows].astype(np.int64), low[rows]
 
 
+GROUP = ["dim", "k", "p", "q"]
+
+
+def grouped(batches: Iterator[pd.DataFrame], by: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Sorted rows in pieces of whole groups; a group of over `most` rows in parts, marked True."""
+    held, big = None, None
+    for pdf in batches:
+        if big is not None:
+            other = np.flatnonzero((pdf[by].to_numpy() != big).any(axis=1))
+            n = int(other[0]) if len(other) else len(pdf)
+            if n:
+                yield pdf.iloc[:n], True
+            if n == len(pdf):
+                continue
+            big, pdf = None, pdf.iloc[n:]
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        keys = held[by].to_numpy()
+        other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield held.iloc[:whole], False
+        held = held.iloc[whole:].reset_index(drop=True)
+        if len(held) > most:
+            yield held, True
+            held, big = None, keys[-1]
+    if held is not None and len(held):
+        yield held, False
+
+
+def bounds(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    keys = pdf[by].to_numpy()
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def blob(column: pd.Series, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), width)
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of (vec_id, embedding).
 
@@ -120,73 +215,104 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     vectors are one for the search and count as links of each other. kept: the row's vec_id
     is its component's smallest. No links below the threshold are given; a pair at it is
     missed with a chance of about MISS. A null vec_id is one id, smaller than all others.
+    An empty table gives no rows. Other columns are not read.
     """
-    e = F.col("embedding").cast("array<double>")
-    good = F.coalesce(F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(e, lambda x: x != 0), F.lit(False))
-    single = dict(vectors.dtypes)["embedding"] == "array<float>"
-    kind = "<f4" if single else "<f8"
-    rows = cut(with_ids(vectors, "vec_id").select("vec_id", F.when(good, F.transform("embedding", lambda x: x + 0)).alias("v")), "vectors")  # -0 + 0 is 0
-    distinct = cut(rows.where("v is not null").groupBy("v").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")), "distinct")
-    bits, tables = plan(distinct.count(), threshold)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
+    size = int(kind[-1])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            dims = pdf.v.map(len).to_numpy()
+            dims = np.array([0 if v is None else len(v) for v in pdf.v])
+            body: list[bytes | None] = [None] * len(pdf)
+            for dim in np.unique(dims[dims > 0]):
+                at = np.flatnonzero(dims == dim)
+                raw = np.stack([np.asarray(pdf.v.iloc[i], dtype=np.float64) for i in at])  # null components become nan
+                good = np.isfinite(raw).all(axis=1) & (raw != 0).any(axis=1)
+                for i, x in zip(at[good].tolist(), (raw[good] + 0.0).astype(kind), strict=True):  # -0 + 0 is 0
+                    body[i] = x.tobytes()
+            yield pd.DataFrame({"vec_id": pdf.vec_id, "h": [None if b is None else hashlib.blake2b(b, digest_size=16).digest() for b in body], "v": body})
+
+    rows = cut(with_ids(vectors.select("vec_id", F.col("embedding").alias("v")), "vec_id").mapInPandas(tidy(read), "vec_id long, h binary, v binary"), "vectors")
+    distinct = rows.where("h is not null").groupBy("h").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"), F.first("v").alias("v"))
+
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            dims = pdf.v.map(len).to_numpy() // size
             for dim in np.unique(dims):
                 part = pdf[dims == dim]
-                raw = np.stack(part.v.to_numpy()).astype(np.float64)
+                raw = np.frombuffer(b"".join(part.v), dtype=kind).reshape(len(part), dim).astype(np.float64)
                 unit = raw / np.sqrt(np.einsum("ij,ij->i", raw, raw))[:, None]
-                keys, (code, stored) = table_keys(unit, bits, tables), codes(unit)
-                body = raw.astype(kind)
-                for t in range(tables):
-                    yield pd.DataFrame(
-                        {"dim": dim, "t": t, "key": keys[:, t], "id": part.id.to_numpy(), "copies": part.copies.to_numpy(), "v": [x.tobytes() for x in body], "code": [x.tobytes() for x in code], "stored": stored, "sig": [x.tobytes() for x in keys]}
-                    )
-
-    spread = "dim int, t int, key int, id long, copies long, v binary, code binary, stored float, sig binary"
-    indexed = cut(distinct.mapInPandas(tidy(index), spread), "index")
-    crowded = indexed.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    sized = indexed.join(crowded, ["dim", "t", "key"]).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    met = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met = met.withColumn("p", F.least("own", "other")).withColumn("q", F.greatest("own", "other")).drop("n", "blocks", "other")
-    group = ["dim", "t", "key", "p", "q"]
+                code, stored = codes(unit)
+                yield pd.DataFrame({"h": part.h, "first": part["first"], "copies": part.copies, "dim": dim, "v": part.v, "code": [x.tobytes() for x in code], "stored": stored, "wide": [x.tobytes() for x in wide_codes(unit)]})
 
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: pd.DataFrame | None = None
+    made = distinct.mapInPandas(tidy(encode), "h binary, first long, copies long, dim int, v binary, code binary, stored float, wide binary")
+    coded = cut(made.withColumn("id", F.monotonically_increasing_id()), "codes")  # a number for each vector, as vec_ids may repeat
+    bits, tables, most = plan(coded.count(), threshold)
+    at, width, block = places(bits, tables), WIDE // 8, BLOCK
+
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keys = table_keys(blob(pdf.wide, width), at)
+            for t in range(tables):
+                yield pd.DataFrame({"dim": pdf.dim, "k": (t << 32) + keys[:, t], "id": pdf.id, "wide": pdf.wide})
+
+    def meet(batches: Iterator[pd.DataFrame], by: list[str], room: int) -> Iterator[pd.DataFrame]:
+        """Rows that have a new partner near by their codes; those of crowded buckets all, with their codes."""
+        for pdf, crowd in grouped(batches, by, room):
+            if crowd:
+                yield pdf.assign(crowd=True)
+                continue
+            keep, full = [], []
+            for x, y in bounds(pdf, by):
+                if y - x > room:
+                    full.append(pdf.iloc[x:y])
+                elif y - x > 1:
+                    own = pdf.own.to_numpy()[x:y]
+                    if pdf.p.iat[x] != pdf.q.iat[x] and own[0] == own[-1]:
+                        continue
+                    wide = blob(pdf.wide.iloc[x:y], width)
+                    a, b = fresh_pairs(*near_codes(wide, *sides(own), most), wide, int(pdf.k.iat[x]) >> 32, at)
+                    if len(a):
+                        keep.append(np.unique(np.concatenate([a, b])) + x)
+            if keep:
+                yield pdf.iloc[np.concatenate(keep)].assign(wide=None, crowd=False)
+            if full:
+                yield pd.concat(full).assign(crowd=True)
+
+    columns = "dim int, k long, p int, q int, own int, id long, wide binary, crowd boolean"
+    dealt = coded.select("dim", "id", "wide").mapInPandas(tidy(deal), "dim int, k long, id long, wide binary")
+    zero = [F.lit(0).alias(c) for c in ("p", "q", "own")]
+    dealt = dealt.repartition("dim", "k").sortWithinPartitions("dim", "k", "id").select("dim", "k", *zero, "id", "wide")
+    first = cut(dealt.mapInPandas(tidy(lambda x: meet(x, ["dim", "k"], block)), columns), "met")
+    crowded = first.where("crowd")
+    sized = crowded.groupBy("dim", "k").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dense = crowded.drop("own", "p", "q", "crowd").join(sized, ["dim", "k"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("dim", "k", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "id", "wide")
+    dense = dense.repartition(*GROUP).sortWithinPartitions(*GROUP, "own", "id")
+    again = dense.mapInPandas(tidy(lambda x: meet(x, GROUP, 1 << 62)), columns)
+    needed = first.where("NOT crowd").unionByName(again).select(*GROUP, "own", "id")
 
-        def run(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            bounds = np.flatnonzero(np.concatenate([[True], (pdf[group].to_numpy()[1:] != pdf[group].to_numpy()[:-1]).any(axis=1), [True]]))
-            ids, copies, own_of, t_of, dims, stored = (pdf[c].to_numpy() for c in ("id", "copies", "own", "t", "dim", "stored"))
-            p_of, q_of = pdf.p.to_numpy(), pdf.q.to_numpy()
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf, _ in grouped(batches, GROUP, 1 << 62):
             out = []
-            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                if b - a < 2 or (p_of[a] != q_of[a] and own_of[a] == own_of[b - 1]):
-                    continue
-                dim, take = int(dims[a]), lambda c, t: np.frombuffer(b"".join(pdf[c].iloc[a:b]), dtype=t).reshape(b - a, -1)  # noqa: B023
-                raw = take("v", kind)[:, :dim].astype(np.float64)
-                found = links_of_group(ids[a:b], copies[a:b], raw, take("code", np.uint8), stored[a:b], take("sig", np.int32), int(t_of[a]), own_of[a:b], threshold)
+            for x, y in bounds(pdf, GROUP):
+                part = pdf.iloc[x:y]
+                dim = int(part.dim.iat[0])
+                raw = np.frombuffer(b"".join(part.v), dtype=kind).reshape(len(part), dim).astype(np.float64)
+                found = links_of_group(part.id.to_numpy(), part.copies.to_numpy(), raw, blob(part.code, -(-dim // 8)), part.stored.to_numpy(), blob(part.wide, width), int(part.k.iat[0]) >> 32, at, most, part.own.to_numpy(), threshold)
                 if found:
                     out.append(found)
             if out:
                 yield pd.DataFrame({"id": np.concatenate([x[0] for x in out]), "n": np.concatenate([x[1] for x in out]), "low": np.concatenate([x[2] for x in out])})
 
-        for pdf in batches:
-            held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-            last = held[group].iloc[-1].to_numpy()
-            whole = int(np.flatnonzero((held[group].to_numpy() != last).any(axis=1))[-1]) + 1 if (held[group].to_numpy() != last).any() else 0
-            if whole:
-                yield from run(held.iloc[:whole])
-                held = held.iloc[whole:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield from run(held)
-
-    found = cut(met.repartition(*group).sortWithinPartitions(*group, "own", "id").mapInPandas(tidy(search), "id long, n long, low long"), "found")
+    fetched = needed.join(coded.drop("h", "dim", "first"), "id").repartition(*GROUP).sortWithinPartitions(*GROUP, "own", "id")
+    found = cut(fetched.mapInPandas(tidy(search), "id long, n long, low long"), "found")
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    named = distinct.join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
-    named = named.select("v", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("component"))
-    out = rows.join(named, "v", "left")
+    named = coded.select("h", "id", "first", "copies").join(counts, "id", "left").join(parts.withColumnRenamed("node", "id"), "id", "left")
+    named = named.select("h", "first", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "id").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("first").alias("component"))
+    out = rows.select("vec_id", "h").join(named.join(lowest, "root").select("h", "n", "component"), "h", "left")
     component = F.coalesce("component", "vec_id")
     out = out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("vec_id") == component).alias("kept"))
     return null_ids(out, "vec_id", "component_id")

@@ -492,3 +492,28 @@ def test_long_words_merge_in_tiktokens_order():
     texts = ["".join(rng.choice("etaoinshrdlu") for _ in range(n)) for n in (1023, 1024, 1025, 5000, 1_000_000)] + ["a" * 9001, "ab" * 4000, "\u65e5\u672c\u8a9e" * 2000]
     assert [x.tolist() for x in ours.encode_batch(texts)] == [enc.encode_ordinary(x) for x in texts]
     assert ours.decode(ours.encode_batch(texts)[4]) == texts[4].encode()
+
+
+def test_embedding_tables_miss_hardly_any_pair_and_move_ids_and_codes_only():
+    bits, tables, most = embedding_dedup.plan(50_000, 0.95)
+    rng = np.random.default_rng(7)
+    a = rng.normal(size=(4000, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b = rng.normal(size=a.shape)
+    b -= (a * b).sum(axis=1)[:, None] * a
+    b /= np.linalg.norm(b, axis=1)[:, None]
+    b = 0.95 * a + math.sqrt(1 - 0.95**2) * b  # all pairs at the threshold
+    x, y = embedding_dedup.wide_codes(a), embedding_dedup.wide_codes(b)
+    at = embedding_dedup.places(bits, tables)
+    met = (embedding_dedup.table_keys(x, at) == embedding_dedup.table_keys(y, at)).any(axis=1)
+    near = np.bitwise_count(x ^ y).sum(axis=1) <= most
+    assert (met & near).mean() > 0.995
+    shown = [embedding_dedup.plan(n, 0.95)[1] * (20 + embedding_dedup.WIDE // 8) for n in (10**4, 10**6, 10**8)]
+    assert shown[0] < 1000 and shown[2] < 10_000  # bytes that a vector costs in the tables' shuffle
+
+
+def test_repeated_vector_ids_stay_apart(spark):
+    rows = [(1, [1.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0]), (2, [0.0, 1.0, 0.01]), (3, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0]), (0, [0.0, 1.0, 0.02])]
+    d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(d).collect())
+    assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True), (3, 1, 1, False)]
