@@ -411,7 +411,7 @@ def dedup(docs: DataFrame, n: int = MIN_BYTES) -> DataFrame:
 
 
 def marked(rows: DataFrame, n: int) -> DataFrame:
-    """Chunks (g, ids, lens, body, meta) with the answers of both passes: answers (names) and found (entries)."""
+    """Chunks (g, ids, lens, body, and meta if rows have other columns) with the answers of both passes: answers (names) and found (entries)."""
     if n < 10:
         raise ValueError("n must be 10 at least")
     store = chunks(rows)
@@ -448,7 +448,8 @@ def marked(rows: DataFrame, n: int) -> DataFrame:
     both = masks.withColumn("kind", F.lit(0)).unionByName(found.withColumn("kind", F.lit(1)))
     last = both.groupBy("g").agg(*[F.collect_list(F.when(F.col("kind") == k, F.struct("r", "answer"))).alias(name) for k, name in enumerate(("answers", "found"))])
 
-    return store.join(last, "g", "left").withColumn("buckets", F.lit(buckets))
+    held = store if len(rows.columns) > 2 else store.drop("meta")  # the same columns as above, so that their shuffle is used again
+    return held.join(last, "g", "left").withColumn("buckets", F.lit(buckets))
 
 
 def got(answers) -> list:
