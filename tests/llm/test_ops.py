@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -273,12 +274,54 @@ def test_quality_learns_and_holds_out(spark):
     assert quality.keep_good(d, model).columns == d.columns and quality.score(d.limit(0), model).count() == 0
 
 
-def test_licenses(spark):
-    mit = next(b for a, b in license_scan.LICENSES if a == "MIT" and len(b) > 100)
-    d = docs(spark, ["Copyright (c) 2020 Me\n" + mit.upper(), "prose\nReleased under the MIT Licence!\nmore", "released under the mit license for no one", None, "", "Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."])
-    got = [(r.whole_license, r.licenses, r.n_license_lines) for r in license_scan.scan(d).orderBy("doc_id").collect()]
-    assert got == [("MIT", "MIT", 1), (None, "MIT", 1), (None, "", 0), (None, "", 0), (None, "", 0), (None, "CC-BY-NC-4.0", 2)]
-    assert license_scan.scan(docs(spark, [])).count() == 0
+def license_texts():
+    rng, mit = random.Random(5), next(b for a, b in license_scan.LICENSES if a == "MIT" and len(b) > 100)
+    wrapped = "\n".join("// " + mit[i : i + 60] for i in range(0, len(mit), 60) if mit[i - 1 : i + 1].strip() or True)
+    by_word, line = [], "#"
+    for w in mit.replace("sublicense", "sublicence").split():
+        if len(line) > 60:
+            by_word.append(line)
+            line = "#"
+        line += " " + w
+    by_word = "\n".join([*by_word, line])
+    bsd = license_scan._bsd(3, True).replace("1. ", "\n\n  1) ").replace("2. ", "\n  2) ").replace("CONTRIBUTORS \"AS IS\"", "CONTRIBUTORS ``AS IS\'\'")
+    return [
+        ("Copyright (c) 2020 Me\n" + mit.upper(), "MIT", "MIT", 1),
+        ("prose\nReleased under the MIT Licence!\nmore", None, "MIT", 1),
+        ("released under the mit license for no one", None, "MIT", 1),
+        ("unreleased under the mit license, or released under the mit licenses", None, "", 0),
+        (None, None, "", 0),
+        ("", None, "", 0),
+        ("Licensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0.", None, "CC-BY-NC-4.0", 2),
+        (f"# Copyright 2019 A B\n#\n{by_word}\nimport os\n" + words(rng, 3000) + " licensed under the\nMIT\n\nLicense.", None, "MIT", 2),
+        ("The package\n\n" + bsd + "\nend", None, "BSD-3-Clause", 1),
+        (bsd, "BSD-3-Clause", "BSD-3-Clause", 1),
+        (wrapped[:200], None, "", 0),
+        (mit[:-20], None, "", 0),
+        (mit + " " + license_scan._bsd(2, False), None, "BSD-2-Clause,MIT", 2),
+    ]
+
+
+def test_licenses(spark, duck):
+    cases = license_texts()
+    d = docs(spark, [x[0] for x in cases])
+    got = [(r.whole_license, r.licenses, r.n_license_spans) for r in license_scan.scan(d).orderBy("doc_id").collect()]
+    assert got == [x[1:] for x in cases]
+    assert license_scan.scan(docs(spark, [])).count() == 0 and license_scan.scan(d, [], []).where("licenses <> ''").count() == 0
+    con = duck.cursor()
+    con.execute("CREATE TEMP TABLE documents AS SELECT unnest(range(?)) AS doc_id, unnest(?) AS text", [len(cases), [x[0] for x in cases]])
+    sql = con.execute(license_scan.oracle() + " ORDER BY doc_id").fetchall()
+    assert [(r[2], r[3], r[4]) for r in sql] == got and [r[1] for r in sql] == [r.digest for r in license_scan.scan(d).orderBy("doc_id").collect()]
+
+
+@pytest.mark.skipif(not os.path.isdir("/usr/share/common-licenses"), reason="the system has no licence texts")
+def test_digests_are_those_of_the_published_texts(spark):
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "BSD": "BSD-3-Clause"}
+    bodies = [(n, open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read()) for f, n in names.items()]
+    d = docs(spark, [b for _, b in bodies] + ["a readme\n" + bodies[2][1].replace("\n", "\r\n* ") + "\nmore"])
+    got = [(r.whole_license, r.licenses) for r in license_scan.scan(d).orderBy("doc_id").collect()]
+    assert [x[0] for x in got[:-1]] == [n for n, _ in bodies] and got[-1][0] is None
+    assert all(n in x[1].split(",") for (n, _), x in zip(bodies, got, strict=False)) and "GPL-3.0" in got[-1][1].split(",")
 
 
 def test_bpe_is_tiktoken(spark, texts):
