@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shingles
 from .bpe import pieces
 from .common import connected_components, cut, null_ids, only, table, tidy, with_ids
 
@@ -38,37 +39,39 @@ def covering_masks(bits: int = 64, radius: int = RADIUS) -> list[int]:
     return masks
 
 
-def fingerprint_texts(texts: list[str], width: int) -> np.ndarray:
-    """A uint64 for each text: A-Z lowered, words between ASCII white space, shingles of `width` words, repeats counted.
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """A uint64 for each shingle, repeats included: A-Z lowered, words between ASCII white space, `width` of them.
 
-    Fewer words: the whole sequence is the one shingle; none: 0.
+    Fewer words: the whole sequence is the one shingle; none: empty.
     """
     h = xxhash.xxh64_intdigest
-    values: list[int] = []
-    counts = np.zeros(len(texts), dtype=np.int64)
-    for k, text in enumerate(texts):
-        words = text.encode("utf-8", "surrogatepass").lower().split()
-        n = len(words)
-        if not n:
-            continue
-        joined = b" ".join(words)
-        if n <= width:
-            values.append(h(joined, SEED))
-            counts[k] = 1
-            continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-        starts = (ends - np.fromiter(map(len, words), np.int64, n) - 1)[: n - width + 1].tolist()
-        stops = (ends[width - 1 :] - 1).tolist()
-        values += [h(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)]
-        counts[k] = n - width + 1
-    out = np.zeros(len(texts), dtype=np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(values, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        first = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, first, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1).view(">u8").ravel()
-    return out
+    words = text.encode("utf-8", "surrogatepass").lower().split()
+    n = len(words)
+    joined = b" ".join(words)
+    if n <= width:
+        return np.array([h(joined, SEED)] if n else [], dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), np.int64, n)
+    ends = np.cumsum(sizes + 1)
+    starts = (ends - sizes - 1)[: n - width + 1].tolist()
+    stops = (ends[width - 1 :] - 1).tolist()
+    return np.array([h(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], dtype=np.uint64)
+
+
+def fingerprints_of(hashes: list[np.ndarray]) -> np.ndarray:
+    """A uint64 for each list of hashes: bits that over half of them have; 0 for none. Counted some hashes at a time."""
+    counts = np.array([len(x) for x in hashes], dtype=np.int64)
+    values = np.concatenate(hashes) if counts.sum() else np.zeros(0, dtype=np.uint64)
+    owner, ones = np.repeat(np.arange(len(hashes)), counts), np.zeros((len(hashes), 64), dtype=np.int64)
+    for i in range(0, len(values), 1 << 16):
+        of = owner[i : i + (1 << 16)]
+        bits = np.unpackbits(values[i : i + (1 << 16)].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        ones[of[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def fingerprint_texts(texts: list[str], width: int) -> np.ndarray:
+    return fingerprints_of([shingle_hashes(x, width) for x in texts])
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
@@ -134,5 +137,29 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dedup(docs: DataFrame, width: int = 3) -> DataFrame:
-    """Rows of docs, all columns, whose doc_id is its component's smallest; a repeated doc_id keeps all its rows."""
+    """Rows of docs, all columns, whose doc_id is its component's smallest (within radius 2); a repeated doc_id keeps all its rows."""
     return only(docs, with_ids(components(docs, width).where("doc_id <=> component_id").select("doc_id").distinct()))
+
+
+def dedup_similar(docs: DataFrame, width: int = shingles.WIDTH) -> DataFrame:
+    """Rows of docs, all columns, whose doc_id is the smallest of its group: documents linked by shingle sets of likeness 0.8 and more.
+
+    64 bits can't tell 0.8 (pairs of it differ in 4 to 14 bits), so the covering tables bring
+    the nearest pairs together, prefixes of the shingle sets the others, and every link is
+    checked on whole sets: no link is lost, none below 0.8 is made. Texts of equal sets are
+    one; those without words too. A repeated doc_id keeps all its rows. A null doc_id is one
+    id, smaller than all others; null texts are empty. An empty table gives no rows.
+    """
+
+    def read(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
+        hashes = [shingle_hashes(x, width) for x in texts]
+        return [np.unique(x.view(np.int64)) for x in hashes], fingerprints_of(hashes).view(np.int64)
+
+    def near(nodes: DataFrame) -> DataFrame:
+        """(a, b): nodes of one fingerprint with the smallest of them, and those of linked fingerprints."""
+        of = cut(nodes.groupBy("fp").agg(F.min("node").alias("b")), "fingerprints")
+        same = nodes.join(of, "fp").select(F.col("node").alias("a"), "b").where("a <> b")
+        pairs = links(of.select("fp")).join(of.select(F.col("fp").alias("a"), F.col("b").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("b").alias("y")), "b")
+        return same.unionByName(pairs.select(F.col("x").alias("a"), F.col("y").alias("b")))
+
+    return only(docs, shingles.kept(docs, read, near))

@@ -560,3 +560,40 @@ def test_repeated_vector_ids_stay_apart(spark):
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(d).collect())
     assert got == [(0, 2, 0, True), (1, 1, 1, True), (1, 2, 0, False), (2, 2, 0, False), (3, 0, 3, True), (3, 1, 1, False)]
+
+
+@pytest.mark.parametrize("records", ["1", "2", "3", "10000"])
+def test_buckets_stream_whatever_the_batches(spark, records):
+    from loomlog.llm import shingles
+
+    rng = random.Random(3)
+    rows = sorted({(rng.randint(0, 9) ** 2, rng.randint(0, 12)) for _ in range(60)} | {(1000, k) for k in range(30)} | {(5, 5)})
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        got = shingles.met(spark.createDataFrame([(k, x, x + 100) for k, x in rows], "key long, node long, n int")).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    by = {}
+    for k, x in rows:
+        by.setdefault(k, set()).add(x)
+    assert sorted((r.key, r.node, r.n) for r in got) == sorted((k, x, x + 100) for k, xs in by.items() if len(xs) > 1 for x in xs)
+    assert all(len({(r.leader, r.leader_n) for r in got if r.key == k}) == 1 for k, xs in by.items() if len(xs) > 1)
+    assert all(r.leader in by[r.key] and r.leader_n == r.leader + 100 for r in got)
+
+
+def test_histograms_lose_no_pair():
+    from loomlog.llm import shingles
+
+    rng, passed = np.random.default_rng(5), 0
+    for n in (1, 4, 5, 9, 40, 300, 5000):
+        for _ in range(20):
+            a = np.unique(rng.integers(-(2**63), 2**63, n))
+            m = int(n * rng.uniform(0.6, 1))
+            b = np.unique(np.concatenate([a[:m], rng.integers(-(2**63), 2**63, max(0, n - m))]))
+            fits = shingles.may_be_alike(shingles.histogram(a), shingles.histogram(b), len(a), len(b))
+            assert fits or not shingles.alike(a.tobytes(), b.tobytes())
+            passed += fits and not shingles.alike(a.tobytes(), b.tobytes())
+    assert passed < 70
+    same = np.arange(3000, dtype=np.int64)  # all in one bucket: the counts are full and tell nothing
+    assert shingles.may_be_alike(shingles.histogram(same), shingles.histogram(same + 1), 3000, 3000)
