@@ -5,7 +5,10 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -150,6 +153,84 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def grouped(batches: Iterator[pd.DataFrame], by: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
+    """Sorted rows in pieces of whole groups; a group of over `most` rows in parts, marked True."""
+    held, big = None, None
+    for pdf in batches:
+        if big is not None:
+            other = np.flatnonzero((pdf[by].to_numpy() != big).any(axis=1))
+            n = int(other[0]) if len(other) else len(pdf)
+            if n:
+                yield pdf.iloc[:n], True
+            if n == len(pdf):
+                continue
+            big, pdf = None, pdf.iloc[n:]
+        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        keys = held[by].to_numpy()
+        other = np.flatnonzero((keys != keys[-1]).any(axis=1))
+        whole = int(other[-1]) + 1 if len(other) else 0
+        if whole:
+            yield held.iloc[:whole], False
+        held = held.iloc[whole:].reset_index(drop=True)
+        if len(held) > most:
+            yield held, True
+            held, big = None, keys[-1]
+    if held is not None and len(held):
+        yield held, False
+
+
+def bounds(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
+    keys = pdf[by].to_numpy()
+    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])).tolist()
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def sides(block: np.ndarray) -> tuple[slice, slice]:
+    """The rows of a group that meet: all with all, or those of one block with those of the other."""
+    n = len(block)
+    cutat = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
+    return (slice(0, cutat), slice(cutat, n)) if cutat else (slice(0, n), slice(0, n))
+
+
+def in_blocks(rows: DataFrame, keys: list[str], node: str, run: Callable[[pd.DataFrame, slice, slice], pd.DataFrame | None], schema: str, block: int) -> DataFrame:
+    """What run finds among the rows of each key, whatever its size: a group of over `block` rows is cut into blocks that meet two at a time.
+
+    run gets rows of one key and the two ranges of them that are to meet (the same range
+    twice: all with all). No pair is a row until run has found it worth one.
+    """
+    names, kinds = [x.split()[0] for x in schema.split(", ")], ", ".join(f"`{n}` {t}" for n, t in rows.dtypes)
+    columns, group, whole = rows.columns, [*keys, "p", "q"], f"{kinds}, p int, q int, own int, crowd boolean, {schema}"
+
+    def meet(batches: Iterator[pd.DataFrame], by: list[str], room: int) -> Iterator[pd.DataFrame]:
+        for pdf, crowd in grouped(batches, by, room):
+            found, full = [], [pdf] if crowd else []
+            for x, y in [] if crowd else bounds(pdf, by):
+                if y - x > room:
+                    full.append(pdf.iloc[x:y])
+                elif y - x > 1:
+                    part = pdf.iloc[x:y]
+                    own = part.own.to_numpy()
+                    if part.p.iat[0] == part.q.iat[0] or own[0] != own[-1]:
+                        found.append(run(part, *sides(own)))
+            found = [f for f in found if f is not None and len(f)]
+            if found:
+                yield pd.concat(found, ignore_index=True).assign(crowd=False, **{c: None for c in [*columns, "p", "q", "own"]})
+            if full:
+                yield pd.concat(full, ignore_index=True).assign(crowd=True, **{c: None for c in names})
+
+    zero = [F.lit(0).alias(c) for c in ("p", "q", "own")]
+    dealt = rows.select("*", *zero).repartition(*keys).sortWithinPartitions(*keys, node)
+    first = cut(dealt.mapInPandas(tidy(lambda x: meet(x, keys, block)), whole), "blocks")
+    crowded = first.where("crowd").select(*columns)
+    sized = crowded.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dense = crowded.join(sized, keys).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    dense = dense.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dense = dense.select(*columns, F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own")
+    dense = dense.repartition(*group).sortWithinPartitions(*group, "own", node)
+    again = dense.mapInPandas(tidy(lambda x: meet(x, group, 1 << 62)), whole)
+    return first.where("NOT crowd").unionByName(again).select(*names)
+
+
 def min_neighbour_star(edges: DataFrame, larger: bool) -> DataFrame:
     """One half round of the alternating large-star/small-star algorithm on (a, b), a > b.
 

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, null_ids, table, tidy, with_ids
+from .common import bounds, connected_components, cut, grouped, null_ids, sides, table, tidy, with_ids
 
 THRESHOLD = 0.95
 #: Rows that a bucket should have, rows of a block, bits of the wide code, chance to miss a pair at the threshold, width of the confidence bound.
@@ -139,13 +139,6 @@ def fresh_pairs(a: np.ndarray, b: np.ndarray, wide: np.ndarray, t: int, at: np.n
     return a, b
 
 
-def sides(block: np.ndarray) -> tuple[slice, slice]:
-    """The rows of a group that meet: all with all, or those of one block with those of the other."""
-    n = len(block)
-    cutat = int(np.searchsorted(block, block[-1])) if block[0] != block[-1] else 0
-    return (slice(0, cutat), slice(cutat, n)) if cutat else (slice(0, n), slice(0, n))
-
-
 def links_of_group(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, code: np.ndarray, stored: np.ndarray, wide: np.ndarray, t: int, at: np.ndarray, most: int, block: np.ndarray, threshold: float) -> tuple | None:
     """(row, links that no earlier table has, smallest id linked) of one bucket or pair of blocks."""
     n = len(ids)
@@ -171,38 +164,6 @@ def links_of_group(ids: np.ndarray, copies: np.ndarray, raw: np.ndarray, code: n
 GROUP = ["dim", "k", "p", "q"]
 
 
-def grouped(batches: Iterator[pd.DataFrame], by: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
-    """Sorted rows in pieces of whole groups; a group of over `most` rows in parts, marked True."""
-    held, big = None, None
-    for pdf in batches:
-        if big is not None:
-            other = np.flatnonzero((pdf[by].to_numpy() != big).any(axis=1))
-            n = int(other[0]) if len(other) else len(pdf)
-            if n:
-                yield pdf.iloc[:n], True
-            if n == len(pdf):
-                continue
-            big, pdf = None, pdf.iloc[n:]
-        held = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
-        keys = held[by].to_numpy()
-        other = np.flatnonzero((keys != keys[-1]).any(axis=1))
-        whole = int(other[-1]) + 1 if len(other) else 0
-        if whole:
-            yield held.iloc[:whole], False
-        held = held.iloc[whole:].reset_index(drop=True)
-        if len(held) > most:
-            yield held, True
-            held, big = None, keys[-1]
-    if held is not None and len(held):
-        yield held, False
-
-
-def bounds(pdf: pd.DataFrame, by: list[str]) -> list[tuple[int, int]]:
-    keys = pdf[by].to_numpy()
-    at = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1), [True]])).tolist()
-    return list(zip(at[:-1], at[1:], strict=True))
-
-
 def blob(column: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype=np.uint8).reshape(len(column), width)
 

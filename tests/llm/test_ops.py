@@ -597,3 +597,38 @@ def test_histograms_lose_no_pair():
     assert passed < 70
     same = np.arange(3000, dtype=np.int64)  # all in one bucket: the counts are full and tell nothing
     assert shingles.may_be_alike(shingles.histogram(same), shingles.histogram(same + 1), 3000, 3000)
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_blocks_of_a_bucket_meet_pair_by_pair(spark, block):
+    import pandas as pd
+
+    from loomlog.llm.common import in_blocks
+
+    rng = random.Random(9)
+    rows = [(k, i, rng.randint(0, 50)) for i, k in enumerate([1] * 40 + [2] * 7 + [3] + [4] * 2)]
+
+    def near(pdf, left, right):
+        x, y = pdf.v.to_numpy(), pdf.id.to_numpy()
+        found = [(y[i], y[j]) for i in range(left.start, left.stop) for j in range(right.start, right.stop) if (i < j if left == right else True) and abs(x[i] - x[j]) <= 2]
+        return pd.DataFrame(found, columns=["a", "b"]) if found else None
+
+    got = in_blocks(spark.createDataFrame(rows, "key long, id long, v long"), ["key"], "id", near, "a long, b long", block).collect()
+    want = {(i, j) for k, i, v in rows for m, j, w in rows if k == m and i < j and abs(v - w) <= 2}
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in got} == want
+    assert in_blocks(spark.createDataFrame([], "key long, id long, v long"), ["key"], "id", near, "a long, b long", block).count() == 0
+
+
+def test_crossing_pairs_are_those_that_histograms_allow():
+    import pandas as pd
+
+    from loomlog.llm import shingles
+
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(-(2**63), 2**63, 130))
+    sets = [np.unique(np.concatenate([base[: int(len(base) * f)], rng.integers(-(2**63), 2**63, 5)])) for f in (1, 0.97, 0.93, 0.9, 0.5, 0.45)] + [np.unique(rng.integers(-(2**63), 2**63, m)) for m in (120, 130, 3, 4)]
+    pdf = pd.DataFrame({"key": 1, "node": range(len(sets)), "component": [0, 0, 1, 2, 3, 4, 5, 6, 7, 8], "n": [len(x) for x in sets], "hist": [shingles.histogram(x) for x in sets]})
+    for left, right in ((slice(0, 10), slice(0, 10)), (slice(0, 4), slice(4, 10)), (slice(0, 1), slice(1, 10))):
+        got = {(r.b, r.a) for r in shingles.crossing(pdf, left, right).itertuples()}
+        want = {(i, j) for i in range(left.start, left.stop) for j in range(right.start, right.stop) if i < j and pdf.component[i] != pdf.component[j] and 5 * min(pdf.n[i], pdf.n[j]) >= 4 * max(pdf.n[i], pdf.n[j]) and shingles.may_be_alike(pdf["hist"][i], pdf["hist"][j], pdf.n[i], pdf.n[j])}
+        assert got == want and (left.stop < 10 or want)
