@@ -1,268 +1,471 @@
-"""Rules as data, and the columns and SQL that are made of them.
+"""The rules of rules.py as columns, and as SQL that says the same.
 
-The catalogue is our own: codes, severities and words say what a rule is for; both engines'
-expressions are generated from it, and the first rule that fits decides.
+Each expression is written once, as an Expr that holds both forms. Words are searched once a
+line: the words that a line holds become a short list, on which all rules are set tests.
+Short ASCII words count as whole tokens where a rule means keys, and anywhere where it
+means parts (they are listed as ~word then).
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import rules as r
+from . import text as t
 from .text import keys_match
 
+SEVERITIES = ["info", "low", "medium", "high", "critical"]
 ISSUE_LEVELS = ["WARN", "WARNING", "ERROR", "FATAL", "SEVERE"]
-ISSUE_WORDS = ["error", "failed", "failure", "exception", "timed out", "timeout", "unable", "refused", "missing", "denied"]
-
-# (code, severity, words, words that forbid it), in order of evaluation
-HINTS = [
-    ("economy_shop", "high", ["transaction rollback", "shop purchase failed", "balance could not"], []),
-    ("database_timeout", "high", ["database connection timed out", "query timed out"], ["recovered"]),
-    ("database_connection", "high", ["database connection", "sql connection"], ["timed out"]),
-    ("server_security", "high", ["offline mode", "unauthenticated"], []),
-    ("plugin_content_definition", "medium", ["invalid item definition", "missing key"], []),
-    ("plugin_api_credentials", "medium", ["api key", "invalid credentials"], []),
-    ("plugin_dependency", "medium", ["missing dependency", "unknown dependency"], []),
-    ("plugin_unsafe_mode", "medium", ["unsafe mode"], []),
-    ("plugin_external_fetch", "medium", ["failed to fetch", "failed to download"], []),
-    ("plugin_update_check", "low", ["update check failed"], []),
-    ("plugin_compatibility", "low", ["incompatible version"], []),
-    ("plugin_config", "medium", ["config.yml", "invalid yaml"], []),
-    ("plugin_translation", "low", ["missing translation"], []),
-    ("plugin_scheduler_delay", "low", ["task took too long"], []),
-    ("plugin_runtime", "high", ["nullpointerexception", "failed to load plugin"], []),
-    ("network_connection", "medium", ["connection reset", "lost connection"], []),
-]
-
-# (category, subtype, severity, words, needs an issue level, observation only, report categories), in order
-OPS = [
-    ("lifecycle", "crash", "critical", ["watchdog", "server crashed"], False, False, ["bug"]),
-    ("performance", "memory", "critical", ["out of memory", "gc overhead"], False, False, ["complaint", "bug"]),
-    ("storage", "disk_full", "critical", ["disk full", "no space left"], False, False, ["bug"]),
-    ("storage", "save_failed", "critical", ["could not save", "failed to save"], False, False, ["bug", "economy"]),
-    ("storage", "database_timeout", "high", ["database connection timed out"], False, False, ["bug", "economy"]),
-    ("storage", "database_connection", "high", ["database connection"], True, False, ["bug", "economy"]),
-    ("plugin", "load_failed", "high", ["failed to load plugin", "could not enable"], False, False, ["plugin", "bug"]),
-    ("plugin", "config_error", "medium", ["missing key", "config.yml"], True, False, ["plugin", "bug"]),
-    ("plugin", "runtime_exception", "high", ["nullpointerexception", "exception in plugin"], True, False, ["bug"]),
-    ("performance", "main_thread_lag", "medium", ["can't keep up", "running behind"], False, False, ["complaint"]),
-    ("network", "connection", "medium", ["connection reset", "lost connection"], True, False, ["network"]),
-    ("economy", "shop", "high", ["transaction rollback"], True, False, ["economy"]),
-    ("backup", "failed", "high", ["backup failed"], False, False, ["bug"]),
-    ("world", "saved", "info", ["saving chunks", "saved at"], False, True, []),
-]
-
-# (label, group, severity, words), in order
-CHAT = [
-    ("server_lag", "performance", "high", ["lagging", "lag"]),
-    ("advertising", "violation", "high", ["buy cheap", "discord.gg"]),
-    ("insult", "violation", "medium", ["stupid", "moron"]),
-    ("help_request", "admin", "medium", ["help", "admin"]),
-    ("greeting", "small_talk", "info", ["hello", "hi there"]),
-]
-GROUP_PRIORITY = {"small_talk": 10, "building": 20, "admin": 30, "performance": 50, "plugin": 55, "economy": 60, "violation": 70}
-
-# words of each report category, in order of priority
-CATEGORY_WORDS = {
-    "community": ["grief", "duplication", "cheating"],
-    "player_feedback": ["lagging", "please fix"],
-    "complaint": ["can't keep up", "lag", "slow"],
-    "network": ["connection reset", "lost connection", "timed out"],
-    "plugin": ["plugin", "config.yml"],
-    "moderation": ["ban", "mute", "kick"],
-    "bug": ["exception", "failed", "out of memory", "error"],
-    "economy": ["transaction", "shop", "buy"],
-}
-NOISE = ["saving chunks", "joined the game", "saved at 0x", "loading checks"]
-INTERESTING = ["tps", "keep up", "timed out", "lost connection", "exception", "failed", "plugin", "memory", "saved", "error"]
+CATEGORY_WORDS, HINTS, NOISE, INTERESTING = r.CATEGORY_WORDS, r.HINTS, r.NOISE, r.INTERESTING
 ACTIONS = {"fatal": "act now", "severe": "act now", "error": "check today", "warn": "watch", "info": "none"}
 UNSAFE = ["delete", "rm -rf", "format", "drop table"]
-SEVERITIES = ["info", "low", "medium", "high", "critical"]
-#: Lines that tell of the machinery only.
-BENIGN = ["loading checks", "at com.", "joined the game"]
 
 
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def contains_sql(c: str, words: list[str]) -> str:
-    return "(" + " OR ".join(f"contains(lower({c}), {_q(w)})" for w in words) + ")" if words else "false"
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(map(_q, words)) + "]::VARCHAR[]"
 
 
-def contains(c: Column, words: list[str]) -> Column:
-    """Whether any of the words occurs; plain searches are faster than an alternation."""
-    out = F.lit(False)
-    for i, w in enumerate(words):
-        hit = F.contains(F.lower(c), F.lit(w))
-        out = hit if i == 0 else out | hit
+def _array(words: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+
+
+class Expr:
+    """One expression as a column (made when asked for) and as SQL."""
+
+    def __init__(self, make: Callable[[], Column], sql: str):
+        self.make, self.sql = make, sql
+
+    def __and__(self, other: Expr) -> Expr:
+        return Expr(lambda: self.make() & other.make(), f"({self.sql} AND {other.sql})")
+
+    def __or__(self, other: Expr) -> Expr:
+        return Expr(lambda: self.make() | other.make(), f"({self.sql} OR {other.sql})")
+
+    def __invert__(self) -> Expr:
+        return Expr(lambda: ~self.make(), f"(NOT {self.sql})")
+
+    def at_least(self, n: int) -> Expr:
+        return Expr(lambda: self.make() >= n, f"({self.sql} >= {n})")
+
+    def is_in(self, words: list[str]) -> Expr:
+        return Expr(lambda: self.make().isin(*words), f"({self.sql} IN ({', '.join(map(_q, words))}))") if words else FALSE
+
+    def known(self) -> Expr:
+        return Expr(lambda: self.make().isNotNull(), f"({self.sql} IS NOT NULL)")
+
+
+def lit(v: str | int | bool | None, kind: str = "string") -> Expr:
+    if v is None:
+        return Expr(lambda: F.lit(None).cast(kind), "NULL")
+    return Expr(lambda: F.lit(v), _q(v) if isinstance(v, str) else str(v).lower())
+
+
+FALSE = lit(False)
+
+
+def col(name: str) -> Expr:
+    return Expr(lambda: F.col(name), name)
+
+
+def any_(each: list[Expr]) -> Expr:
+    out = each[0] if each else FALSE
+    for e in each[1:]:
+        out = out | e
     return out
 
 
-def hint(c: Column, level: Column) -> Column:
-    """struct(code, severity, markers) of the first hint, null without; rows of no issue level need a word of trouble."""
-    low, out = F.lower(c), None
-    for code, severity, words, forbidden in HINTS:
-        markers = F.slice(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: low.contains(w)), 1, 6)
-        fits = contains(c, words) & ~contains(c, forbidden)
-        value = F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), markers.alias("markers"))
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    return F.when(level.isin(ISSUE_LEVELS) | contains(c, ISSUE_WORDS), out)
+def case(pairs: list[tuple[Expr, Expr]], otherwise: Expr) -> Expr:
+    """The value of the first condition that holds."""
 
+    def make() -> Column:
+        out = F.when(pairs[0][0].make(), pairs[0][1].make())
+        for c, v in pairs[1:]:
+            out = out.when(c.make(), v.make())
+        return out.otherwise(otherwise.make())
 
-def hint_sql(c: str, level: str) -> str:
-    rules = " ".join(f"WHEN {contains_sql(c, w)} AND NOT {contains_sql(c, no)} THEN '{code}'" for code, _, w, no in HINTS)
-    return f"CASE WHEN {level} IN ({', '.join(map(_q, ISSUE_LEVELS))}) OR {contains_sql(c, ISSUE_WORDS)} THEN CASE {rules} END END"
+    return Expr(make, "CASE " + " ".join(f"WHEN {c.sql} THEN {v.sql}" for c, v in pairs) + f" ELSE {otherwise.sql} END") if pairs else otherwise
 
 
-def daily_noise(c: Column, level: Column, words: list[str] | None = None) -> Column:
-    """Routine lines; only INFO can be."""
-    return (level == "INFO") & contains(c, NOISE if words is None else words)
+def greatest(*each: Expr) -> Expr:
+    return Expr(lambda: F.greatest(*[e.make() for e in each]), f"greatest({', '.join(e.sql for e in each)})")
 
 
-def daily_noise_sql(c: str, level: str) -> str:
-    return f"({level} = 'INFO' AND {contains_sql(c, NOISE)})"
+def at(table: list, index: Expr, kind: str) -> Expr:
+    """An entry of a fixed list, by number from 0."""
+    flat = isinstance(table[0], str | int | bool)
+    shown = ", ".join((_q(x) if isinstance(x, str) else str(x).lower()) if flat else _list(x) for x in table)
+    return Expr(lambda: F.get(F.array(*[F.lit(x) if flat else _array(x) for x in table]), index.make()).cast(kind), f"([{shown}])[{index.sql} + 1]")
 
 
-def track(c: Column, level: Column, mode: str = "all", track_info: bool = False) -> Column:
-    """struct(template, anomaly): whether a row is parsed for templates and watched for anomalies."""
-    warn = level.isin(ISSUE_LEVELS)
-    if mode == "warn_error":
-        both = (warn, warn)
-    elif mode == "interesting":
-        both = (warn | contains(c, INTERESTING),) * 2
-    else:
-        both = (F.lit(True), warn | F.lit(track_info))
-    return F.struct(both[0].alias("template"), both[1].alias("anomaly"))
+def matches(name: str, pattern: str) -> Expr:
+    return Expr(lambda: F.col(name).rlike(pattern), f"regexp_matches({name}, {_q(pattern)})")
 
 
-def track_sql(c: str, level: str) -> str:
-    hit = f"({level} IN ({', '.join(map(_q, ISSUE_LEVELS))}) OR {contains_sql(c, INTERESTING)})"
-    return f"CASE WHEN {hit} THEN 'true|true' ELSE 'false|false' END"
+def starts(name: str, word: str) -> Expr:
+    return Expr(lambda: F.col(name).startswith(word), f"starts_with({name}, {_q(word)})")
 
 
-#: What holds where no rule fits, by level.
-DEFAULTS = [("FATAL", "critical"), ("SEVERE", "high"), ("ERROR", "medium"), ("WARN", "low"), ("INFO", "info")]
+def times(name: str, part: str) -> Expr:
+    """How often a text of one or two characters stands in a column."""
+    n = len(part)
+    return Expr(lambda: F.floor((F.char_length(name) - F.char_length(F.replace(F.col(name), F.lit(part), F.lit("")))) / n), f"((length({name}) - length(replace({name}, {_q(part)}, ''))) // {n})")
 
 
-def ops_rule(c: Column, level: Column) -> Column:
-    """The number of the first rule that fits, or behind those the level's default."""
-    out, issue = None, level.isin(ISSUE_LEVELS)
-    for i, r in enumerate(OPS):
-        fits = (issue & contains(c, r[3])) if r[4] else contains(c, r[3])
-        out = F.when(fits, i) if out is None else out.when(fits, i)
-    for i, (lv, _) in enumerate(DEFAULTS[:-1]):
-        out = out.when(level == lv, len(OPS) + i)
-    return out.otherwise(len(OPS) + len(DEFAULTS) - 1)
+class Words:
+    """The words that rules ask of one column; found() lists those that a text holds."""
 
+    def __init__(self, name: str):
+        self.name = name
+        self.tokens: dict[str, None] = {}
+        self.parts: dict[str, None] = {}
+        self.short_parts: dict[str, None] = {}
+
+    def _test(self, names: list[str]) -> Expr:
+        return Expr(lambda: F.arrays_overlap(F.col(self.name), _array(names)), f"list_has_any({self.name}, {_list(names)})") if names else FALSE
 
-def ops_of(rule: Column, level: Column) -> Column:
-    """struct(category, subtype, severity, needs_admin, observation, ops_first, reports) of a rule's number; FATAL is critical, SEVERE high at least."""
-    table = [(r[0], r[1], r[2], r[5], True, r[6]) for r in OPS] + [("general", "none" if lv == "INFO" else "level", s, lv == "INFO", False, []) for lv, s in DEFAULTS]
-    column = lambda i: F.get(F.array(*[F.lit(x[i]) for x in table]), rule)
-    s = column(2)
-    severity = F.when(level == "FATAL", "critical").when((level == "SEVERE") & ~s.isin("high", "critical"), "high").otherwise(s)
-    reports = F.get(F.array(*[F.array(*[F.lit(r) for r in x[5]]).cast("array<string>") for x in table]), rule)
-    return F.struct(column(0).alias("category"), column(1).alias("subtype"), severity.alias("severity"), s.isin("medium", "high", "critical").alias("needs_admin"), column(3).alias("observation"), column(4).alias("ops_first"), reports.alias("reports"))
+    def keys(self, words: list[str]) -> Expr:
+        """Short words as whole tokens, others anywhere."""
+        for w in words:
+            (self.tokens if t.is_token(w) else self.parts)[w] = None
+        return self._test(words)
 
+    def has(self, words: list[str]) -> Expr:
+        """All words anywhere."""
+        for w in words:
+            (self.short_parts if t.is_token(w) else self.parts)[w] = None
+        return self._test([f"~{w}" if t.is_token(w) else w for w in words])
 
-def ops(c: Column, level: Column) -> Column:
-    return ops_of(ops_rule(c, level), level)
+    def has_all(self, words: list[str]) -> Expr:
+        out = self.has([words[0]])
+        for w in words[1:]:
+            out = out & self.has([w])
+        return out
+
+    def found(self, text: Column) -> Column:
+        inside = lambda words: F.filter(_array(list(words)), lambda w: F.contains(text, w))
+        tokens = F.array_intersect(F.split(text, "[^a-z0-9_]+"), _array(list(self.tokens)))
+        return F.concat(tokens, inside(self.parts), F.transform(inside(self.short_parts), lambda w: F.concat(F.lit("~"), w)))
+
+    def found_sql(self, text: str) -> str:
+        inside = lambda words: f"list_filter({_list(list(words))}, lambda w: contains({text}, w))"
+        tokens = f"list_intersect(regexp_split_to_array({text}, '[^a-z0-9_]+'), {_list(list(self.tokens))})"
+        return f"list_concat(list_concat({tokens}, {inside(self.parts)}), list_transform({inside(self.short_parts)}, lambda w: '~' || w))"
+
+
+LINE, SAID, HINTED, SEEN = Words("_w"), Words("_cw"), Words("_hw"), Words("_iw")
+level, text = col("_lv"), "_t"
+issue_level, quiet = level.is_in(r.ISSUE_LEVELS), level.is_in(["info", ""])
+chat, cheat = col("chat_message").known(), col("cheat_player").known()
+
+# --- lines of the machinery -------------------------------------------------------------
+_inventory = (starts("_body", "- ") & times("_body", ", ").at_least(8) & times("_body", "(").at_least(8) & times("_body", ")").at_least(8)) | (
+    LINE.has(["[server thread/info]:"]) & times("_body", ", ").at_least(5) & matches("_body", r"^-?\s*[a-z0-9_.+-]+(?:\s*\([^)]+\))?")
+)
+_banner = (
+    (col("_bare").is_in([""]))
+    | matches("_bare", r"^[^a-z]*(?:(?:warning|warn)[^a-z]+)*(?:warning|warn)[^a-z]*$")
+    | (~matches("_bare", "[a-z]") & col("_kinds").is_in(["1", "2"]) & matches("_bare", r"(?s)\S\s*\S"))
+)
+_benign_info = _inventory | LINE.has(r.BENIGN_INFO) | any_([LINE.has_all(x) for x in r.BENIGN_INFO_ALL]) | (LINE.has(["hikaripool", "hikari pool"]) & LINE.has(r.BENIGN_POOL))
+_benign_warn = any_([LINE.has_all(x) for x in r.BENIGN_WARN_ALL]) | _banner | LINE.has(r.BENIGN_WARN)
+benign = (quiet & _benign_info) | (level.is_in(["warn"]) & _benign_warn) | (~col("_hint").at_least(0) & (col("_kind").is_in(["stacktrace_frame", "diagnostic_detail"]) | (level.is_in(["warn"]) & col("_repeats"))))
+
+# --- hints and operations ---------------------------------------------------------------
+
+
+def _first_hint(words: Words, open_: Expr) -> Expr:
+    """The number of the first hint, -1 without one."""
+    fits = [words.has(w) & ~words.has(no) for _, _, _, w, no in r.HINTS]
+    return case([(~open_, lit(-1))] + [(f, lit(i)) for i, f in enumerate(fits)], lit(-1))
+
+
+_hint = _first_hint(LINE, issue_level | LINE.has(r.HINT_WORDS))
+_rank = SEVERITIES.index
+# what a line can be: (category, subtype, severity, needs an admin whatever its severity (None: by severity and level), observation, reports, decides first)
+_KINDS = [("lifecycle", "machinery", 0, False, False, [], True), ("metrics", "metrics", 0, False, False, [], True)]
+_BY_SUBTYPE = {x[0]: x for x in r.OPS}
+_KINDS += [(_BY_SUBTYPE[s][1], s, _rank(sev), None, _BY_SUBTYPE[s][7], _BY_SUBTYPE[s][8], True) for _, s, sev, _, _ in r.HINTS]
+_RULES_AT = len(_KINDS)
+_KINDS += [(x[1], x[0], _rank(x[2]), False if x[7] else None, x[7], x[8], True) for x in r.OPS]
+_DEFAULTS_AT = len(_KINDS)
+_KINDS += [("lifecycle", "fatal_error", 4, None, False, ["bug"], False), ("lifecycle", "severe_error", 3, None, False, ["bug"], False), ("plugin", "unattributed_error", 2, None, False, ["bug"], False), ("plugin", "unattributed_warning", 1, False, False, ["bug"], False), ("lifecycle", "routine", 0, False, False, [], False)]
+
+
+def _fits(x: tuple) -> Expr:
+    out = LINE.keys(x[3])
+    if x[5]:
+        out = out & LINE.has_all(x[5])
+    if x[4]:
+        out = out & ~LINE.has(x[4])
+    return out & issue_level if x[6] else out
+
+
+_which = case(
+    [(col("_benign"), lit(0)), (col("_hint").at_least(0), Expr(lambda: F.col("_hint") + 2, "(_hint + 2)")), (LINE.keys(r.METRICS), lit(1))]
+    + [(_fits(x), lit(_RULES_AT + i)) for i, x in enumerate(r.OPS)]
+    + [(level.is_in([lv]), lit(_DEFAULTS_AT + i)) for i, lv in enumerate(["fatal", "severe", "error", "warn"])],
+    lit(len(_KINDS) - 1),
+)
+_kind = lambda i, kind: at([k[i] for k in _KINDS], col("_ops"), kind)
+_lifted = col("_ops").at_least(2)  # neither machinery nor metrics
+_ops_rank = case(
+    [(_lifted & level.is_in(["fatal"]), lit(4)), (_lifted & level.is_in(["severe"]), greatest(_kind(2, "int"), lit(3))), (col("_benign") & level.is_in(["warn"]), lit(1))],
+    _kind(2, "int"),
+)
+_ops_admin = at([k[3] is not False for k in _KINDS], col("_ops"), "boolean") & (col("_or").at_least(2) | level.is_in(["error", "severe", "fatal"]))
+_weighty = col("_oa") | at([k[4] for k in _KINDS], col("_ops"), "boolean") | col("_or").at_least(2)
+_own_reports = at([k[5] or r.OPS_REPORTS.get(k[0], []) for k in _KINDS], col("_ops"), "array<string>")
+_reports = case([(_weighty & ~chat, _own_reports)], Expr(lambda: _array([]), "[]::VARCHAR[]"))
+in_reports = lambda c: Expr(lambda: F.array_contains("_reports", c), f"list_contains(_reports, {_q(c)})")
+_first = at([k[6] for k in _KINDS], col("_ops"), "boolean")
+ops_is = lambda *names: ~chat & at([k[0] in names for k in _KINDS], col("_ops"), "boolean")
+
+# --- chat -------------------------------------------------------------------------------
+
+
+def _label_fits(label: str, words: list[str]) -> Expr:
+    return SAID.keys(words) & SAID.has(r.CHAT_NEEDS[label]) if label in r.CHAT_NEEDS else SAID.keys(words)
+
+
+_labels_of = [(label, _label_fits(label, words)) for _, label, words in r.CHAT]
+_labels = Expr(
+    lambda: F.array_compact(F.array(*[F.when(f.make(), label) for label, f in _labels_of])),
+    "list_filter([" + ", ".join(f"CASE WHEN {f.sql} THEN {_q(label)} END" for label, f in _labels_of) + "], lambda x: x IS NOT NULL)",
+)
+labelled = lambda names: Expr(lambda: F.arrays_overlap("_labels", _array(names)), f"list_has_any(_labels, {_list(names)})")
+_groups = sorted(r.GROUP_PRIORITY, key=lambda g: -r.GROUP_PRIORITY[g])
+_chat_group = case([(labelled([x[1] for x in r.CHAT if x[0] == g]), lit(g)) for g in _groups], lit("small_talk"))
+_any_label = labelled([x[1] for x in r.CHAT])
+_chat_rank = case(
+    [
+        (labelled(r.CHAT_CRITICAL) | (SAID.has(r.EVERYONE) & labelled(r.EVERYONE_LABELS)), lit(4)),
+        (labelled(r.CHAT_HIGH), lit(3)),
+        (col("_group").is_in(r.CHAT_SERIOUS), lit(2)),
+        (_any_label, lit(1)),
+    ],
+    lit(0),
+)
+_chat_fits = {c: chat & labelled(ls) for c, ls in r.CHAT_REPORTS.items()} | {
+    "player_feedback": chat & col("_group").is_in(["admin"]),
+    "economy": chat & col("_group").is_in(["economy"]) & ~labelled(r.CHAT_COMMUNITY),
+}
 
+# --- categories -------------------------------------------------------------------------
+_frame = starts("_m", "at ") | starts("_m", "caused by:")
+_identity_only = LINE.has(["uuid='", "uuid="]) & ~LINE.keys(r.IDENTITY_WORDS)
+_own = {c: LINE.keys(ws) for c, ws in r.CATEGORY_WORDS.items()}
+_own["community"] = cheat | (~LINE.has(["issued server command: /fly"]) & (LINE.keys(r.COMMUNITY_STRONG) | (LINE.has(r.COMMUNITY_CONTEXT) & LINE.keys(r.COMMUNITY_SOFT))))
+_own["community_ops"] = ~(LINE.has(["prism"]) & LINE.has(["activityquery", "purge", "purged", "activity records"])) & LINE.keys(r.OPERATIONS_WORDS)
+_own["community_ops"] &= ~(ops_is("plugin", "position", "storage", "network", "world") & LINE.keys(r.EVENT_FAILURES))
+_own["network"] &= ~LINE.has(["lost connection: flying is not enabled"])
+_own["complaint"] &= ~LINE.has(["if this lead to server tps drop"]) & ~(LINE.has(["hikari", "poolbase"]) & LINE.has(["failed to validate connection"]))
+_own["moderation"] &= ~_identity_only
+_own["bug"] &= ~(quiet & LINE.has(r.MILD_TROUBLE) & ~LINE.has(r.CLEAR_BUGS))
+_own["plugin"] &= ~LINE.has(["update here:", "update available"]) & ~(quiet & ~LINE.has(r.PLUGIN_TROUBLE))
+_own["player_feedback"] = (chat & LINE.keys(r.FEEDBACK_ACCESS)) | LINE.keys(r.FEEDBACK_STRONG) | (LINE.keys(r.FEEDBACK_SOFT) & LINE.keys(r.FEEDBACK_CONTEXT))
+for _c in ("complaint", "network", "cross_server", "player_feedback"):
+    _own[_c] &= ~ops_is("storage")
+for _c in ("complaint", "network", "cross_server", "moderation", "economy", "community", "community_ops", "player_feedback"):
+    _own[_c] &= ~_frame
+_review_words = [*r.REVIEW_SENSITIVE, *r.REVIEW_LINKS, *r.REVIEW_TRADE, *r.REVIEW_ABUSE]
+_behaviour = col("_flood") | col("_abuse")
+_ops_first = [(~chat & _first & in_reports(c), lit(c)) for c in r.PRIORITY]
+_in_order = [(c, any_([*([_chat_fits[c]] if c in _chat_fits else []), in_reports(c), _own[c]])) for c in r.PRIORITY if c != "chat_review"]
+_before = [(col("_noise"), lit("daily")), (_behaviour, lit("chat_review")), (col("_benign"), lit("daily"))]
+_category = case([*_before, *_ops_first, *[(f, lit(c)) for c, f in _in_order]], lit("daily"))
+_with_reviews = [(c, f) for c, f in [_in_order[0], ("chat_review", chat & LINE.keys(_review_words)), *_in_order[1:]]]
+_gate = case([*_before, *_ops_first, *[(f, lit(c)) for c, f in _with_reviews], (chat, lit("chat_review"))], lit("daily"))
+TAGS = {"community": "community", "chat_review": "chat_review", "player_feedback": "player_feedback", "community_ops": "community_ops", "complaint": "performance", "network": "network", "plugin": "plugin", "cross_server": "cross_server", "moderation": "auth", "economy": "economy"}
+_observation = (~chat & at([k[4] for k in _KINDS], col("_ops"), "boolean")) | (col("category").is_in(["community_ops", "player_feedback"]) & quiet & ~col("chat_admin") & ~col("ops_admin"))
+_joined = lambda *each: Expr(lambda: F.concat(*[e.make() for e in each]), "(" + " || ".join(e.sql for e in each) + ")")
+_shown_level = case([(level.is_in([""]), lit("info"))], level)
+_tag = case(
+    [(col("_loop"), _joined(lit("server_log_loop_"), _shown_level)), (cheat, lit("server_log_anticheat_vulcan"))]
+    + [(col("category").is_in([c]), _joined(lit(f"server_log_{n}"), case([(_observation, lit("_observation"))], lit("")))) for c, n in TAGS.items()],
+    _joined(lit("server_log_"), _shown_level),
+)
+_ops_null = lambda e, kind="string": case([(chat, lit(None, kind))], e)
+_said_null = lambda e, kind="string": case([(chat, e)], lit(None, kind))
+_evidence = ~col("category").is_in(["daily"]) & (
+    _behaviour
+    | cheat
+    | col("_loop")
+    | (chat & (col("chat_admin") | col("_cr").at_least(2) | col("category").is_in(["community", "chat_review", "player_feedback", "community_ops"])))
+    | (
+        ~(~chat & at([k[4] for k in _KINDS], col("_ops"), "boolean") & ~col("ops_admin"))
+        & ((~chat & (col("ops_admin") | col("_or").at_least(2))) | issue_level | (quiet & LINE.has([*r.CRITICAL, *r.ERRORS, *r.WARNINGS, *r.ACTIONABLE])))
+    )
+)
+_plain_info = quiet & ~_behaviour & ~cheat & ~col("_loop") & ~col("ops_admin") & ~col("chat_admin") & ~(~chat & col("_or").at_least(2)) & ~col("_cr").at_least(2)
+#: What a group's severity is taken of, in order of the ladder.
+FLAGS = {
+    "critical": LINE.has(r.CRITICAL),
+    "loop": col("_loop"),
+    "load_failure": LINE.has(r.LOAD_FAILURES),
+    "sensitive": LINE.has(r.SENSITIVE),
+    "accident": LINE.has(r.ACCIDENTS),
+    "trouble": LINE.has(r.ERRORS),
+    "slow": LINE.keys(r.PERFORMANCE),
+    "network": LINE.keys(r.CATEGORY_WORDS["network"]),
+    "review": LINE.keys(_review_words),
+    "operations": LINE.keys(r.OPERATIONS_WORDS),
+    "feedback": LINE.keys([*r.FEEDBACK_STRONG, *r.FEEDBACK_SOFT]),
+    "warned": LINE.has(r.WARNINGS),
+    "identity": LINE.keys(r.CATEGORY_WORDS["moderation"]) & ~_identity_only,
+    "behaviour": _behaviour,
+}
+_worst = greatest(case([(chat, lit(0))], col("_or")), col("_cr"))
+
+#: The columns of classification, step by step: each step reads what the ones before made.
+STEPS: list[dict[str, Expr]] = [
+    {"_hint": _hint},
+    {"_benign": benign},
+    {"_ops": _which, "_labels": _labels},
+    {"_or": _ops_rank, "_group": _chat_group},
+    {"_oa": _ops_admin, "_cr": case([(chat, _chat_rank)], lit(0))},
+    {"_reports": _reports, "ops_admin": ~chat & col("_oa"), "chat_admin": chat & (col("_group").is_in(r.CHAT_SERIOUS) | col("_cr").at_least(2))},
+    {"category": _category, "gate": _gate},
+    {
+        "tag": _tag,
+        "ops_category": _ops_null(_kind(0, "string")),
+        "ops_subtype": _ops_null(_kind(1, "string")),
+        "ops_severity": _ops_null(at(SEVERITIES, col("_or"), "string")),
+        "chat_labels": _said_null(case([(_any_label, col("_labels"))], Expr(lambda: _array(["chatting"]), "['chatting']")), "array<string>"),
+        "chat_category": _said_null(col("_group")),
+        "chat_severity": _said_null(at(SEVERITIES, col("_cr"), "string")),
+        "severity": at(SEVERITIES, _worst, "string"),
+        "evidence": _evidence,
+        "plain_info": _plain_info,
+        "own_rank": greatest(col("_cr"), case([(~chat & ~ops_is("metrics") & (col("ops_admin") | col("_or").at_least(2)), col("_or"))], lit(0))),
+    }
+    | {f"f_{k}": e for k, e in FLAGS.items()},
+]
+#: What classification adds to a log.
+COLUMNS = ["category", "gate", "tag", "ops_category", "ops_subtype", "ops_severity", "ops_admin", "chat_labels", "chat_category", "chat_severity", "chat_admin", "severity", "evidence", "plain_info", "own_rank", *[f"f_{k}" for k in FLAGS]]
 
-def ops_sql(c: str, level: str, field: str) -> str:
-    issue = f"{level} IN ({', '.join(map(_q, ISSUE_LEVELS))})"
-    at = {"category": 0, "subtype": 1, "severity": 2}[field]
 
-    def shown(rule):
-        if field == "severity":
-            lifted = "'high'" if rule[2] not in ("high", "critical") else _q(rule[2])
-            return f"CASE WHEN {level} = 'FATAL' THEN 'critical' WHEN {level} = 'SEVERE' THEN {lifted} ELSE {_q(rule[2])} END"
-        return _q(rule[at])
+def noise_pattern(patterns: list[str] | None = None) -> str:
+    """One pattern for all; those that aren't valid are left out. An empty list: the default ones."""
+    fine = []
+    for p in patterns or r.NOISE:
+        try:
+            re.compile(p)
+        except re.error:
+            continue
+        fine.append(f"(?:{p})")
+    return "(?i)" + "|".join(fine) if fine else "(?!)"
 
-    rules = " ".join(f"WHEN {contains_sql(c, r[3])}{' AND ' + issue if r[4] else ''} THEN {shown(r)}" for r in OPS)
-    levels = " ".join(f"WHEN {level} = '{lv}' THEN {shown(('general', 'level', s))}" for lv, s in (("FATAL", "critical"), ("SEVERE", "high"), ("ERROR", "medium"), ("WARN", "low")))
-    return f"CASE {rules} {levels} ELSE {shown(('general', 'none', 'info'))} END"
 
+def daily_noise(line: Column, lv: Column, patterns: list[str] | None = None) -> Column:
+    """Routine lines; only INFO can be."""
+    return (lv == "INFO") & line.rlike(noise_pattern(patterns))
 
-def chat_labels(c: Column) -> Column:
-    return F.array_compact(F.array(*[F.when(keys_match(c, w), label) for label, _, _, w in CHAT]))
 
+def daily_noise_sql(line: str, lv: str) -> str:
+    return f"({lv} = 'INFO' AND regexp_matches({line}, {_q(noise_pattern())}))"
 
-def chat_of(labels: Column) -> Column:
-    """struct(labels, category, severity, needs_admin) of labels: the group of highest priority; the worst severity."""
-    any_label = lambda names: F.arrays_overlap(labels, F.array(*[F.lit(x) for x in names]))
-    category, severity = None, None
-    for g in sorted({g for _, g, _, _ in CHAT}, key=lambda g: -GROUP_PRIORITY[g]):
-        hit = any_label([x for x, group, _, _ in CHAT if group == g])
-        category = F.when(hit, g) if category is None else category.when(hit, g)
-    for s in reversed(SEVERITIES):
-        names = [x for x, _, sev, _ in CHAT if sev == s]
-        if names:
-            severity = F.when(any_label(names), s) if severity is None else severity.when(any_label(names), s)
-    severity = severity.otherwise("info")
-    return F.struct(F.when(F.size(labels) > 0, labels).otherwise(F.array(F.lit("small_talk"))).alias("labels"), category.otherwise("small_talk").alias("category"), severity.alias("severity"), severity.isin("high", "critical").alias("needs_admin"))
 
+def features(line: Column, message: Column, lv: Column) -> dict[str, Column]:
+    """What rules read of a line, before its words are looked up."""
+    low = F.lower(line)
+    body = t.strip(F.regexp_replace(low, r"(?s)^.*\]:", ""))
+    bare = F.regexp_replace(body, r"^(?:\[[^\]]*\]\s*)+", "")
+    return {"_t": low, "_m": F.lower(F.ltrim(message)), "_lv": F.when(F.lower(lv) == "warning", "warn").otherwise(F.lower(F.coalesce(lv, F.lit("")))), "_body": body, "_bare": bare, "_kind": t.line_kind(line), "_repeats": t.repeat_run(message, 12), "_noise": daily_noise(line, F.upper(lv))}
 
-def chat(c: Column) -> Column:
-    return chat_of(chat_labels(c))
 
+def kinds(bare: Column) -> Column:
+    """How many different characters a text has, but for white space."""
+    return F.size(F.array_distinct(F.filter(F.split(F.regexp_replace(bare, r"\s+", ""), ""), lambda x: x != ""))).cast("string")
 
-def chat_sql(c: str, field: str) -> str:
-    from loomlog.plans.duck import keys_match as km
 
-    if field == "labels":
-        return f"CASE WHEN len({_labels_sql(c)}) > 0 THEN {_labels_sql(c)} ELSE ['small_talk'] END"
-    if field == "category":
-        order = sorted({g for _, g, _, _ in CHAT}, key=lambda g: -GROUP_PRIORITY[g])
-        return "CASE " + " ".join(f"WHEN {' OR '.join(km(c, w) for _, gg, _, w in CHAT if gg == g)} THEN '{g}'" for g in order) + " ELSE 'small_talk' END"
-    return "CASE " + " ".join(f"WHEN {' OR '.join(km(c, w) for _, _, ss, w in CHAT if ss == s)} THEN '{s}'" for s in reversed(SEVERITIES) if any(x[2] == s for x in CHAT)) + " ELSE 'info' END"
+# --- words of one text ------------------------------------------------------------------
 
 
-def _labels_sql(c: str) -> str:
-    from loomlog.plans.duck import keys_match as km
+def contains_sql(c: str, words: list[str]) -> str:
+    return "(" + " OR ".join(f"contains(lower({c}), {_q(w)})" for w in words) + ")" if words else "false"
+
+
+def contains(c: Column, words: list[str]) -> Column:
+    """Whether any of the words occurs; plain searches are faster than an alternation."""
+    out = F.lit(False)
+    for i, w in enumerate(words):
+        hit = F.contains(F.lower(c), F.lit(w))
+        out = hit if i == 0 else out | hit
+    return out
+
+
+_hint_of_text = _first_hint(HINTED, col("_lv").is_in(r.ISSUE_LEVELS) | HINTED.has(r.HINT_WORDS))
 
-    return "list_filter([" + ", ".join(f"CASE WHEN {km(c, w)} THEN '{label}' END" for label, _, _, w in CHAT) + "], lambda x: x IS NOT NULL)"
+
+def hint(c: Column, lv: Column) -> Column:
+    """struct(code, severity, markers) of the first hint, null without; rows of no issue level need a word of trouble."""
+    low, out = F.lower(c), None
+    for code, _, severity, words, forbidden in r.HINTS:
+        markers = F.slice(F.filter(_array(words), lambda w: low.contains(w)), 1, 6)
+        fits = contains(c, words) & ~contains(c, forbidden)
+        value = F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), markers.alias("markers"))
+        out = F.when(fits, value) if out is None else out.when(fits, value)
+    return F.when(lv.isin(ISSUE_LEVELS) | contains(c, r.HINT_WORDS), out)
+
+
+def hint_sql(c: str, lv: str) -> str:
+    cases = " ".join(f"WHEN {contains_sql(c, w)} AND NOT {contains_sql(c, no)} THEN '{code}'" for code, _, _, w, no in r.HINTS)
+    return f"CASE WHEN {lv} IN ({', '.join(map(_q, ISSUE_LEVELS))}) OR {contains_sql(c, r.HINT_WORDS)} THEN CASE {cases} END END"
+
+
+def track(c: Column, lv: Column, mode: str = "all", track_info: bool = False) -> Column:
+    """struct(template, anomaly): whether a row is parsed for templates and watched for anomalies."""
+    warn = lv.isin(ISSUE_LEVELS)
+    if mode == "warn_error":
+        both = (warn, warn)
+    elif mode == "interesting":
+        both = (warn | contains(c, r.INTERESTING),) * 2
+    else:
+        both = (F.lit(True), warn | F.lit(track_info))
+    return F.struct(both[0].alias("template"), both[1].alias("anomaly"))
 
 
-def word_category(content: Column) -> Column:
-    """The first category whose words occur, null without one."""
+def track_sql(c: str, lv: str) -> str:
+    hit = f"({lv} IN ({', '.join(map(_q, ISSUE_LEVELS))}) OR {contains_sql(c, r.INTERESTING)})"
+    return f"CASE WHEN {hit} THEN 'true|true' ELSE 'false|false' END"
+
+
+def review_class(c: Column) -> Column:
+    """sensitive, url, trade_ad or abuse_language: the first class whose words a chat line holds; null without one."""
     out = None
-    for name, words in CATEGORY_WORDS.items():
-        hit = keys_match(content, words)
+    for name, words in (("sensitive", r.REVIEW_SENSITIVE), ("url", r.REVIEW_LINKS), ("trade_ad", r.REVIEW_TRADE), ("abuse_language", r.REVIEW_ABUSE)):
+        hit = keys_match(c, words)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out
 
 
-def category(daily: Column, cheat: Column, is_chat: Column, chat_category: Column, first_report: Column, by_words: Column) -> Column:
-    """One report category: noise and machinery are daily, then anticheat, chat, operations, words in order, daily."""
-    found = F.when(daily, "daily").when(cheat, "community")
-    found = found.when(is_chat & (chat_category == "violation"), "chat_review").when(is_chat & (chat_category == "performance"), "player_feedback").when(is_chat, "daily")
-    return F.coalesce(found.when(first_report.isNotNull(), first_report).otherwise(by_words), F.lit("daily"))
-
-
-def category_sql(content: str, level: str, is_chat: str, cheat: str) -> str:
+def review_class_sql(c: str) -> str:
     from loomlog.plans.duck import keys_match as km
 
-    issue = f"{level} IN ({', '.join(map(_q, ISSUE_LEVELS))})"
-    ops_first = "CASE " + " ".join(f"WHEN {contains_sql(content, r[3])}{' AND ' + issue if r[4] else ''} THEN {_q(r[6][0]) if r[6] else 'NULL'}" for r in OPS) + " END"
-    words = " ".join(f"WHEN {km(content, w)} AND {level} <> 'INFO' THEN '{n}'" for n, w in CATEGORY_WORDS.items())
-    return f"CASE WHEN {daily_noise_sql(content, level)} OR {contains_sql(content, BENIGN)} THEN 'daily' WHEN {cheat} THEN 'community' WHEN {is_chat} AND {chat_sql(content, 'category')} = 'violation' THEN 'chat_review' WHEN {is_chat} AND {chat_sql(content, 'category')} = 'performance' THEN 'player_feedback' WHEN {is_chat} THEN 'daily' WHEN {ops_first} IS NOT NULL THEN {ops_first} {words} ELSE 'daily' END"
+    return "CASE " + " ".join(f"WHEN {km(c, words)} THEN '{name}'" for name, words in (("sensitive", r.REVIEW_SENSITIVE), ("url", r.REVIEW_LINKS), ("trade_ad", r.REVIEW_TRADE), ("abuse_language", r.REVIEW_ABUSE))) + " END"
 
 
 def severity_rank(c: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(s) for s in SEVERITIES]), c) - 1
+    return F.array_position(_array(SEVERITIES), c) - 1
 
 
-def action_label(level: Column) -> Column:
+def action_label(lv: Column) -> Column:
     out = F.lit("none")
     for k, v in ACTIONS.items():
-        out = F.when(level == k, v).otherwise(out)
+        out = F.when(lv == k, v).otherwise(out)
     return out
 
 
-def action_label_sql(level: str) -> str:
-    return "CASE " + " ".join(f"WHEN {level} = '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " ELSE 'none' END"
+def action_label_sql(lv: str) -> str:
+    return "CASE " + " ".join(f"WHEN {lv} = '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " ELSE 'none' END"
 
 
 #: What an advice may speak of only if the issue does.
@@ -284,7 +487,7 @@ def action_safe_sql(action: str, issue: str) -> str:
 def compact_evidence(c: Column, hit: Column, lines: int = 5, size: int = 520) -> Column:
     """The header and the lines nearest the hit, `lines` in all, cut to `size`."""
     ls = F.split(c, "\n")
-    at = F.greatest(F.lit(1), F.array_position(F.transform(ls, lambda x: F.when(x.contains(hit), "y").otherwise("n")), "y"))
-    near = F.array_sort(F.transform(ls, lambda x, i: F.struct(F.when(i == 0, -1).otherwise(F.abs(i + 1 - at)).alias("d"), i.alias("i"))))
+    place = F.greatest(F.lit(1), F.array_position(F.transform(ls, lambda x: F.when(x.contains(hit), "y").otherwise("n")), "y"))
+    near = F.array_sort(F.transform(ls, lambda x, i: F.struct(F.when(i == 0, -1).otherwise(F.abs(i + 1 - place)).alias("d"), i.alias("i"))))
     keep = F.transform(F.slice(near, 1, lines), lambda s: s["i"])
     return F.substring(F.array_join(F.filter(ls, lambda x, i: F.array_contains(keep, i)), "\n"), 1, size)

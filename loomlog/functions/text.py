@@ -28,8 +28,9 @@ CHAT_THREAD = r"(?i)\[Async Chat Thread[^\]]*\]\s*:?\s*"
 CHAT_PLUGIN = r"(?:\[Not Secure\]\s*)?(?:\[[^\]]{1,30}\]\s*)*([A-Za-z0-9_]{1,16})\s*>>\s*(.+)$"
 CHAT_NATIVE = r"^\s*<([^>\s]{1,40})>\s*(.*)$"
 ANTICHEAT = r"(?i)\[Vulcan\][\]:>\s]*([A-Za-z0-9_]{1,16})\s+failed\s+([A-Za-z]+(?:\s*\([^)]+\))?)"
+# Severity numbers, words that give a row priority, and what each flag costs.
 SEVERITY = {"TRACE": 1, "DEBUG": 5, "INFO": 9, "WARN": 13, "WARNING": 13, "ERROR": 17, "FATAL": 21, "SEVERE": 21}
-PRIORITY_WORDS = "loop_suppressed fatal severe error exception failed timeout warn warning ban kick mute report spam grief cheat".split()
+PRIORITY_WORDS = ["loop_suppressed", "fatal", "severe", "error", "exception", "failed", "timeout", "warn", "warning", "ban", "kick", "mute", "report", "spam", "grief", "cheat"]
 REDACTIONS = [("url", URL), ("email", EMAIL), ("uuid", UUID), ("ip", IPV4), ("token", TOKEN)]
 PENALTIES = {"empty": 80, "low_signal_repetition": 35, "low_signal_symbols": 35, "stacktrace_frame": 18, "diagnostic_detail": 10, "control_stripped": 8, "truncated": 8, "whitespace_collapsed": 2}
 CJK = "一-鿿"
@@ -305,9 +306,14 @@ def cap_entries(m: Column, n: int = 16, size: int = 4000) -> Column:
     return F.map_from_entries(F.transform(F.slice(F.map_entries(m), 1, n), lambda e: F.struct(e["key"], truncate(e["value"], size))))
 
 
+def is_token(word: str) -> bool:
+    """Short ASCII words are looked for as whole tokens, since longer words hold them by chance."""
+    return word.isascii() and word.isalpha() and len(word) <= 6
+
+
 def keys_match(c: Column, words: list[str]) -> Column:
     """Short ASCII words match whole tokens, longer ones and others anywhere; one expression for all of them."""
-    short = [w for w in words if w.isascii() and w.isalpha() and len(w) <= 6]
+    short = [w for w in words if is_token(w)]
     long = [w for w in words if w not in short]
     parts = [rf"(?<![a-z0-9_])(?:{any_of(short)})(?![a-z0-9_])"] if short else []
     return F.lower(c).rlike("|".join([*parts, *([any_of(long)] if long else [])]))

@@ -13,7 +13,7 @@ STOP = ["the", "and", "for", "you", "that", "this"]
 
 def gate(rows: DataFrame, active: list[str]) -> DataFrame:
     """Rows of the active categories; daily ones always pass."""
-    return rows.where(F.col("category").isin([*active, "daily"]))
+    return rows.where(F.col("gate").isin([*active, "daily"]))
 
 
 def specific(rows: DataFrame, template: str) -> DataFrame:
@@ -54,12 +54,6 @@ def anticheat(rows: DataFrame, most: int = 3) -> DataFrame:
     return by.groupBy("player").agg(F.sum("w").alias("n"), ranked.alias("r")).select("player", "n", F.array_join(F.transform(F.slice("r", 1, most), lambda x: x["c"]), ",").alias("checks"))
 
 
-def abuse(chat: DataFrame) -> DataFrame:
-    """player, label, n: sensitive labels count from one row, others from two."""
-    rows = chat.where("chat_player <> ''").select(F.col("chat_player").alias("player"), F.explode("chat_labels").alias("label")).where(F.col("label").isin("advertising", "insult"))
-    return rows.groupBy("player", "label").agg(F.count("*").alias("n")).where(F.col("n") >= F.when(F.col("label") == "advertising", 1).otherwise(2))
-
-
 def per_group(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")

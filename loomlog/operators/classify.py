@@ -6,116 +6,177 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import catalogue as c
+from loomlog.functions import rules as r
 from loomlog.functions import text as t
 from loomlog.operators.windows import slots
+from loomlog.sources.shared import written
 
 FEEDBACK_GAP_MS, ISSUE_GAP_MS = 900_000, 300_000
 #: Categories whose low issues count as medium.
 LIFTED = ["chat_review", "community", "community_ops", "moderation"]
-CRITICAL, TROUBLE, SLOW, NETWORK = ["out of memory", "disk full", "watchdog"], ["error", "exception", "failed"], ["can't keep up", "lagging"], ["connection reset", "lost connection", "timed out"]
-FLAGS = {"critical": CRITICAL, "trouble": TROUBLE, "slow": SLOW, "network": NETWORK}
+FLAGS = list(c.FLAGS)
+#: Rows of a class that make an abuse of one player's chat.
+ABUSE_LEAST = {"sensitive": 1}
 
 
 def classify(log: DataFrame, line: str = "line", message: str = "message", level: str = "level") -> DataFrame:
-    """log with chat_player, chat_message, cheat_player, cheat_check, category, tag, ops_category, ops_subtype, ops_severity, chat_labels, chat_category, chat_severity, severity.
+    """log with chat_player, chat_message, cheat_player, cheat_check and the columns of catalogue.COLUMNS.
 
-    Made in steps of one generator each: what later steps use again is a column by then, and
-    filters and joins on it never repeat the rules.
+    Rows whose boolean columns chat_flood, chat_abuse or loop_suppressed are set, where the
+    log has them, count as such. Made in steps of one generator each: what later steps use
+    again is a column by then, and filters and joins on it never repeat the rules.
     """
-    ch, ac, text, lv = t.chat(F.col(line)), t.anticheat(F.col(line)), F.col(message), F.col(level)
-    step = lambda rows, **columns: rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
-    rows = step(log, _chat=ch, _cheat=ac, _low=F.lower(text))
-    text = F.col("_low")
-    said = F.col("_chat").isNotNull()
-    daily = c.daily_noise(text, lv) | c.contains(text, c.BENIGN)
-    by_words = F.when(lv != "INFO", c.word_category(text))
-    rows = step(rows, _labels=F.when(said, c.chat_labels(F.col("_chat.message"))), _rule=c.ops_rule(text, lv), _daily=daily, _words=by_words)
-    rows = step(rows, _o=c.ops_of(F.col("_rule"), lv), _h=F.when(said, c.chat_of(F.col("_labels"))))
-    first_report = F.when(F.col("_o.ops_first"), F.get("_o.reports", 0))
-    category = c.category(F.col("_daily"), F.col("_cheat").isNotNull(), said, F.col("_h.category"), first_report, F.col("_words"))
-    worst = F.greatest(c.severity_rank(F.col("_o.severity")), F.coalesce(c.severity_rank(F.col("_h.severity")), F.lit(0)))
-    severity = F.get(F.array(*[F.lit(s) for s in c.SEVERITIES]), worst.cast("int"))
-    rows = step(
-        rows,
-        chat_player=F.col("_chat.player"),
-        chat_message=F.col("_chat.message"),
-        cheat_player=F.col("_cheat.player"),
-        cheat_check=F.col("_cheat.check"),
-        category=category,
-        ops_category=F.col("_o.category"),
-        ops_subtype=F.col("_o.subtype"),
-        ops_severity=F.col("_o.severity"),
-        chat_labels=F.col("_h.labels"),
-        chat_category=F.col("_h.category"),
-        chat_severity=F.col("_h.severity"),
-        severity=severity,
-    ).drop("_low", "_chat", "_cheat", "_labels", "_rule", "_daily", "_words", "_o", "_h")
-    return rows.withColumn("tag", tag(F.col("category"), F.col("cheat_player").isNotNull(), F.col("severity")))
-
-
-def tag(category: Column, cheat: Column, severity: Column) -> Column:
-    """The tag of a row; rows of no weight get _observation."""
-    base = F.when(cheat, "server_log_anticheat_vulcan").otherwise(F.concat(F.lit("server_log_"), category))
-    return F.when((severity == "info") & ~cheat, F.concat(base, F.lit("_observation"))).otherwise(base)
+    step = lambda rows, columns: rows.select("*", F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()]))))
+    mark = lambda name: F.coalesce(F.col(name), F.lit(False)) if name in log.columns else F.lit(False)
+    rows = step(log, {"_chat": t.chat(F.col(line)), "_cheat": t.anticheat(F.col(line)), "_flood": mark("chat_flood"), "_abuse": mark("chat_abuse"), "_loop": mark("loop_suppressed")} | c.features(F.col(line), F.col(message), F.col(level)))
+    said = F.col("_chat.message")
+    parts = {"chat_player": F.col("_chat.player"), "chat_message": said, "cheat_player": F.col("_cheat.player"), "cheat_check": F.col("_cheat.check")}
+    rows = step(rows, parts | {"_kinds": c.kinds(F.col("_bare")), "_w": c.LINE.found(F.col("_t")), "_low": F.lower(said)})
+    rows = step(rows, {"_cw": F.when(F.col("_low").isNotNull(), c.SAID.found(F.col("_low")))})
+    for made in c.STEPS:
+        rows = step(rows, {k: e.make() for k, e in made.items()})
+    return rows.select(*log.columns, *parts, *c.COLUMNS)
+
+
+def abuses(chat: DataFrame, key: str = "chat_player", message: str = "chat_message") -> DataFrame:
+    """(player, class, n): players whose chat holds words of one class of reviews often enough: sensitive ones once, others twice."""
+    rows = chat.where(F.col(key) != "").select(F.col(key).alias("player"), c.review_class(F.col(message)).alias("class")).where("class IS NOT NULL")
+    least = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in ABUSE_LEAST.items() for x in kv]), F.col("class")), F.lit(2))
+    return rows.groupBy("player", "class").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+
+
+def behaviour(log: DataFrame, event_id: str = "event_id") -> DataFrame:
+    """log with chat_flood and chat_abuse: chat rows inside a flood of their player, and those of a class of words that its player abuses.
+
+    Chat is parsed once, to a written table that floods and abuses read.
+    """
+    from loomlog.operators.joins import tag_intervals
+    from loomlog.operators.windows import floods
+
+    parsed = t.chat(F.col("line"))
+    made = F.array(F.struct(parsed["player"].alias("chat_player"), parsed["message"].alias("chat_message")))
+    chat = written(log.select(event_id, "ts_ms", "seq", F.inline(F.filter(made, lambda x: x["chat_player"] != ""))), "chat")
+    flooded = tag_intervals(chat.withColumnRenamed("chat_player", "player"), floods(chat, "chat_player").withColumnRenamed("chat_player", "player"), "player", "ts_ms", event_id).where("kind IS NOT NULL").select(event_id, F.lit(True).alias("chat_flood"))
+    found = abuses(chat).select(F.col("player").alias("chat_player"), F.col("class").alias("_class"), F.lit(True).alias("chat_abuse"))
+    abused = chat.withColumn("_class", c.review_class(F.col("chat_message"))).join(found, ["chat_player", "_class"]).select(event_id, "chat_abuse")
+    marked = written(flooded.join(abused, event_id, "full"), "behaviour")
+    out = log.join(marked, event_id, "left")
+    return out.select(*log.columns, *[F.coalesce(x, F.lit(False)).alias(x) for x in ("chat_flood", "chat_abuse")])
 
 
 def evidence(rows: DataFrame) -> DataFrame:
-    """Rows that can be evidence: not daily, and not observations."""
-    return rows.where("category <> 'daily' AND NOT endswith(tag, '_observation')")
+    """Rows that can be evidence: behaviour, anticheat, chat that needs an admin, trouble; not daily, not healthy INFO, not observations."""
+    return rows.where("evidence")
 
 
 def ladder(n: Column, flags: dict[str, Column]) -> Column:
     """The severity of a group from its rows' flags and their number; the first hit decides."""
     return (
         F.when(flags["critical"], "critical")
+        .when(flags["loop"] | flags["load_failure"] | flags["sensitive"] | flags["accident"], "high")
         .when(flags["trouble"], F.when(n >= 2, "high").otherwise("medium"))
         .when(flags["slow"], F.when(n >= 3, "high").otherwise("medium"))
         .when(flags["network"], F.when(n >= 5, "high").when(n >= 2, "medium").otherwise("low"))
+        .when(flags["review"] | flags["operations"], "medium")
+        .when(flags["feedback"], F.when(n >= 3, "medium").otherwise("low"))
+        .when(flags["warned"], F.when(n >= 2, "medium").otherwise("low"))
+        .when(flags["identity"], "medium")
         .otherwise("low")
     )
 
 
+#: The ladder in SQL, over columns n and f_<flag>, as ranks.
+LADDER_SQL = (
+    "CASE WHEN f_critical THEN 4 WHEN f_loop OR f_load_failure OR f_sensitive OR f_accident THEN 3 WHEN f_trouble THEN CASE WHEN n >= 2 THEN 3 ELSE 2 END"
+    " WHEN f_slow THEN CASE WHEN n >= 3 THEN 3 ELSE 2 END WHEN f_network THEN CASE WHEN n >= 5 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END WHEN f_review OR f_operations THEN 2"
+    " WHEN f_feedback THEN CASE WHEN n >= 3 THEN 2 ELSE 1 END WHEN f_warned THEN CASE WHEN n >= 2 THEN 2 ELSE 1 END WHEN f_identity THEN 2 ELSE 1 END"
+)
+
+
+def group_rank(n: Column, flags: dict[str, Column], plain_info: Column, anomaly: Column, own: Column, category: Column) -> Column:
+    """The rank of a group: the ladder; groups of plain INFO are capped, spikes lift to high, rows' own severity counts, some categories are never low."""
+    base = c.severity_rank(ladder(n, flags))
+    capped = F.when(plain_info, F.when(n <= 2, 1).otherwise(F.least(base, F.lit(2)))).when(anomaly >= 0.6, F.greatest(base, F.lit(3))).otherwise(base)
+    rank = F.greatest(capped, own)
+    return F.when((rank <= 1) & category.isin(LIFTED), 2).otherwise(rank)
+
+
+#: Sets of an issue, and the columns that they are made of.
+SETS = {"servers": "server_id", "players": "player", "levels": "level", "subtypes": "ops_subtype", "ops_categories": "ops_category", "labels": "label", "plugins": "plugin", "files": "file", "worlds": "world", "positions": "position"}
+
+
 def issues(rows: DataFrame) -> DataFrame:
-    """One row for each stretch of evidence of a (category, tag) without a long gap.
+    """One row for each stretch of evidence of a (category, tag) without a long gap; written, as is the evidence.
 
-    Severity is the ladder's, raised to the rows' own; low issues of some categories count
-    as medium; other low issues and daily ones go.
+    Severity is group_rank's (of a column anomaly_score, where rows have one); low and daily
+    issues go. The rules are evaluated once: evidence is written narrow, then reduced to
+    slots where it lies, slots to issues, so no category gathers its rows.
     """
+    keys, message = ["category", "tag"], F.col("message")
+    first = lambda pattern: F.get(F.regexp_extract_all(message, F.lit(pattern), F.lit(1)), 0)
+    named = {"label": F.filter("chat_labels", lambda x: ~x.isin(*[x_[1] for x_ in r.CHAT if x_[0] in ("small_talk", "building")], "chatting")), "plugin": first(t.PLUGIN), "file": first(t.CONFIG_FILE), "world": first(t.WORLD), "position": first(t.POSITION)}
+    serious = F.col("ops_admin") | F.col("ops_severity").isin("medium", "high", "critical")
+    own = {"ops_subtype": F.when(serious, F.col("ops_subtype")), "ops_category": F.when(serious, F.col("ops_category"))}
+    score = F.col("anomaly_score").cast("double") if "anomaly_score" in rows.columns else F.lit(0.0)
+    plain = ["ts_ms", "server_id", "player", "level", "plain_info", "own_rank", *[f"f_{k}" for k in FLAGS]]
+    facts = evidence(rows).select(*keys, *plain, score.alias("anomaly"), *[v.alias(k) for k, v in (named | own).items()])
+    facts = written(facts, "evidence")
     gap = F.when(F.col("category") == "player_feedback", FEEDBACK_GAP_MS).otherwise(ISSUE_GAP_MS)
-    keys, rows = ["category", "tag"], evidence(rows)
-    slot, found = slots(rows, keys, "ts_ms", gap)
-    flags = [F.max(c.contains(F.col("message"), words)).alias(f"f_{k}") for k, words in FLAGS.items()]
-    sets = {"servers": "server_id", "players": "player", "levels": "level", "subtypes": "ops_subtype"}
-    # rows become slots where they are, slots become issues: no category gathers its rows
-    short = rows.groupBy(*keys, slot.alias("_slot")).agg(
-        F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), *[F.collect_set(v).alias(k) for k, v in sets.items()], F.max(c.severity_rank(F.col("severity"))).alias("own"), *flags
+    slot, found = slots(facts, keys, "ts_ms", gap)
+    sets = [(F.array_distinct(F.flatten(F.collect_set(v))) if v == "label" else F.collect_set(v)).alias(k) for k, v in SETS.items()]
+    short = facts.groupBy(*keys, slot.alias("_slot")).agg(
+        F.count("*").alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), *sets, F.max("own_rank").alias("own"), F.min("plain_info").alias("plain_info"), F.max("anomaly").alias("anomaly"), *[F.max(f"f_{k}").alias(f"f_{k}") for k in FLAGS]
     )
     right = found.select(*[F.col(x).alias(f"_{x}") for x in keys], F.col("_slot").alias("_s"), "session")
     met = short.join(right, (F.col("category") == F.col("_category")) & (F.col("tag") == F.col("_tag")) & F.col("_slot").eqNullSafe(F.col("_s")))
-    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in sets]
+    merged = [F.array_sort(F.array_distinct(F.flatten(F.collect_list(k)))).alias(k) for k in SETS]
     out = met.groupBy(*keys, "session").agg(
-        F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *merged, F.max("own").alias("own"), *[F.max(f"f_{k}").alias(f"f_{k}") for k in FLAGS]
+        F.sum("n").alias("n"), F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *merged, F.max("own").alias("own"), F.min("plain_info").alias("plain_info"), F.max("anomaly").alias("anomaly"), *[F.max(f"f_{k}").alias(f"f_{k}") for k in FLAGS]
     )
-    rank = F.greatest("own", c.severity_rank(ladder(F.col("n"), {k: F.col(f"f_{k}") for k in FLAGS})))
-    rank = F.when((rank <= 1) & F.col("category").isin(LIFTED), 2).otherwise(rank)
-    out = out.withColumn("rank", rank).where("rank > 1")
+    flags = {k: F.col(f"f_{k}") for k in FLAGS}
+    rank = group_rank(F.col("n"), flags, F.col("plain_info"), F.col("anomaly"), F.col("own"), F.col("category"))
+    out = out.withColumn("rank", rank.cast("int")).where("rank > 1 AND category <> 'daily'")
     confidence = F.least(F.lit(0.98), 0.5 + 0.08 * F.col("n"))
-    out = out.withColumn("severity", F.get(F.array(*[F.lit(s) for s in c.SEVERITIES]), F.col("rank").cast("int"))).withColumn("confidence", F.round(confidence, 4))
-    return out.withColumn("alert", alert(F.col("category"), F.col("rank"), F.col("n"), F.size("servers"))).select("category", "tag", "session", "n", "first_ms", "last_ms", "servers", "players", "levels", "subtypes", "severity", "rank", "confidence", "alert")
+    out = out.withColumn("severity", F.get(F.array(*[F.lit(s) for s in c.SEVERITIES]), F.col("rank"))).withColumn("confidence", F.round(confidence, 4))
+    out = out.withColumn("alert", alert(F.col("category"), F.col("rank"), F.col("n"), F.size("servers"), flags))
+    return written(out.select("category", "tag", "session", "n", "first_ms", "last_ms", *SETS, "severity", "rank", "confidence", "alert", "f_accident"), "issues")
+
+
+def alert(category: Column, rank: Column, n: Column, servers: Column, flags: dict[str, Column], least_rank: int = 3, least: int = 3) -> Column:
+    """Critical alerts, loops that are high, medium ones of several servers; then by category: reviews that are high, sensitive, of behaviour or many, never feedback, operations of a community if high; else high ones with enough evidence."""
+    return (
+        F.when(rank >= 4, True)
+        .when(flags["loop"] & (rank >= 3), True)
+        .when((servers >= 2) & (rank >= 2), True)
+        .when(category == "chat_review", (rank >= 3) | flags["sensitive"] | flags["behaviour"] | (n >= 5))
+        .when(category == "player_feedback", False)
+        .when(category == "community_ops", rank >= 3)
+        .when(rank < least_rank, False)
+        .otherwise(n >= least)
+    )
 
 
-def alert(category: Column, rank: Column, n: Column, servers: Column, least_rank: int = 3, least: int = 3) -> Column:
-    """Critical alerts; so do medium ones of several servers, chat reviews that are high or many; feedback doesn't; else high ones with enough evidence."""
-    return F.when(rank >= 4, True).when((servers >= 2) & (rank >= 2), True).when(category == "chat_review", (rank >= 3) | (n >= 5)).when(category == "player_feedback", False).when(rank < least_rank, False).otherwise(n >= least)
+ALERT_SQL = "CASE WHEN rank >= 4 THEN true WHEN f_loop AND rank >= 3 THEN true WHEN len(servers) >= 2 AND rank >= 2 THEN true WHEN category = 'chat_review' THEN rank >= 3 OR f_sensitive OR f_behaviour OR n >= 5 WHEN category = 'player_feedback' THEN false WHEN category = 'community_ops' THEN rank >= 3 WHEN rank < 3 THEN false ELSE n >= 3 END"
+FAMILIES = ["community", "chat_review", "player_feedback", "community_ops", "moderation"]
+FAMILY_SQL = "CASE WHEN category IN (" + ", ".join(f"'{x}'" for x in FAMILIES) + ") THEN category ELSE 'operations' END"
+#: Failure domains: of a category, else of the first operations category that an issue has.
+BY_CATEGORY = {"network": "network", "cross_server": "network", "economy": "economy", "complaint": "performance", "plugin": "plugin"}
+BY_OPERATIONS = [("storage", "database"), ("economy", "economy"), ("network", "network"), ("performance", "performance"), ("position", "position"), ("world", "world"), ("permission", "permission"), ("plugin", "plugin")]
+DOMAIN_SQL = "CASE " + " ".join(f"WHEN category = '{k}' THEN '{v}'" for k, v in BY_CATEGORY.items()) + " " + " ".join(f"WHEN list_contains(ops_categories, '{k}') THEN '{v}'" for k, v in BY_OPERATIONS) + " ELSE category END"
 
 
 def family(category: Column) -> Column:
-    return F.when(category.isin("network", "bug", "plugin", "economy", "complaint"), "operations").when(category.isin("community", "chat_review", "moderation"), "community").otherwise("feedback")
+    return F.when(category.isin(FAMILIES), category).otherwise("operations")
 
 
-def domain(subtypes: Column) -> Column:
-    has = lambda *xs: F.arrays_overlap(subtypes, F.array(*[F.lit(x) for x in xs]))
-    return F.when(has("database_timeout", "database_connection"), "database").when(has("load_failed", "config_error", "runtime_exception"), "plugin").when(has("connection"), "network").when(has("memory", "main_thread_lag", "disk_full"), "resources").otherwise("other")
+def domain(category: Column, ops_categories: Column) -> Column:
+    """The technical domain of an issue, which keeps incidents of different causes apart."""
+    out = None
+    for k, v in BY_CATEGORY.items():
+        out = F.when(category == k, v) if out is None else out.when(category == k, v)
+    for k, v in BY_OPERATIONS:
+        out = out.when(F.array_contains(ops_categories, k), v)
+    return out.otherwise(category)
 
 
 def incidents(found: DataFrame, window_ms: int = 300_000) -> DataFrame:
@@ -127,7 +188,7 @@ def incidents(found: DataFrame, window_ms: int = 300_000) -> DataFrame:
     """
     from loomlog.operators.graph import components
 
-    keyed = found.withColumn("family", family(F.col("category"))).withColumn("domain", F.when(family(F.col("category")) == "operations", domain(F.col("subtypes"))).otherwise(""))
+    keyed = found.withColumn("family", family(F.col("category"))).withColumn("domain", F.when(family(F.col("category")) == "operations", domain(F.col("category"), F.col("ops_categories"))).otherwise(""))
     keyed = keyed.where("tag <> 'server_log_anticheat_vulcan'").withColumn("issue", F.concat_ws(":", "category", "tag", F.col("session").cast("string")))
     per = keyed.select("issue", "family", "domain", "first_ms", "last_ms", F.explode("servers").alias("server"))
     w = Window.partitionBy("family", "domain", "server").orderBy("first_ms", "issue")
@@ -144,11 +205,23 @@ def incidents(found: DataFrame, window_ms: int = 300_000) -> DataFrame:
         F.min("first_ms").alias("start_ms"),
         F.max("last_ms").alias("end_ms"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("servers")))).alias("scopes"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+        F.max("f_accident").alias("accident"),
         F.max("rank").alias("rank"),
         F.max("alert").alias("alert"),
     )
 
 
+def suppressed(family_: Column, rank: Column, n: Column) -> Column:
+    """Groups of operations that are a single row of no more than medium weight."""
+    return (family_ == "operations") & (rank <= 2) & (n <= 1)
+
+
+def observation(family_: Column, rank: Column, labels: Column, accident: Column) -> Column:
+    """Groups that are reported as observations: unlabelled community ones, operations of a community without an accident, chat reviews below high."""
+    return F.when(family_ == "community", (F.size(labels) == 0) & (rank <= 2)).when(family_ == "community_ops", ~((rank >= 3) & accident)).when(family_ == "chat_review", rank < 3).otherwise(False)
+
+
 def signature(family_: Column, scopes: Column, tags_: Column) -> Column:
     """MS- and 12 hex digits of what an incident is about, whenever it happens."""
     return F.concat(F.lit("MS-"), F.substring(F.sha2(F.concat_ws("|", family_, F.array_join(scopes, ","), tags_), 256), 1, 12))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import text as t
+from loomlog.sources.shared import written
 
 # Bucket, smoothing, spike factor, least total; percentile, its least history and ring; scores.
 BUCKET_MS, ALPHA, SPIKE, LEAST_TOTAL = 60_000, 0.3, 3.0, 5
@@ -111,7 +112,7 @@ def first_repeat(rows: DataFrame, key: str, ts: str, seq: str, message: str, win
 
 def floods(chat: DataFrame, key: str = "player", ts: str = "ts_ms", seq: str = "seq", message: str = "chat_message") -> DataFrame:
     """All flood events of chat rows: key, kind, start_ms, end_ms, n. Rows without a player are no one's."""
-    chat = chat.where(F.coalesce(F.col(key), F.lit("")) != "")
+    chat = written(chat.where(F.coalesce(F.col(key), F.lit("")) != "").select(key, ts, seq, message), "chat")  # parsed once for all kinds
     kinds = [
         ("high_frequency", first_crowd(chat, key, ts, seq, *HIGH_RATE)),
         ("repeat_content", first_repeat(chat, key, ts, seq, message)),

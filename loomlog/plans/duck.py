@@ -132,7 +132,7 @@ def similar(a: str, b: str) -> str:
 
 
 def keys_match(s: str, words: list[str]) -> str:
-    short = [w for w in words if w.isascii() and w.isalpha() and len(w) <= 6]
+    short = [w for w in words if t.is_token(w)]
     long = [w for w in words if w not in short]
     parts = []
     if short:
@@ -140,3 +140,28 @@ def keys_match(s: str, words: list[str]) -> str:
     if long:
         parts.append("(" + " OR ".join(f"contains(lower({s}), {q(w)})" for w in long) + ")")
     return "(" + " OR ".join(parts) + ")"
+
+
+def words_of(step: str, columns: dict[str, str], source: str) -> str:
+    """One link of a chain of WITH: source and further columns."""
+    return f"{step} AS (SELECT *, " + ", ".join(f"{sql} AS {name}" for name, sql in columns.items()) + f" FROM {source})"
+
+
+def classified(source: str = "log", flood: str = "false", abuse: str = "false", loop: str = "false") -> str:
+    """The WITH chain that ends in cls: source (line, message, level) with all columns of classification."""
+    from loomlog.functions import catalogue as c
+
+    cheat = f"CASE WHEN {get('line', t.ANTICHEAT, 1)} <> '' THEN "
+    body = strip(r"regexp_replace(_t, '(?s)^.*\]:', '')")
+    chain = [
+        words_of("c0", {"chat_player": chat("line")[0], "chat_message": chat("line")[1], "cheat_player": f"{cheat}{get('line', t.ANTICHEAT, 1)} END", "cheat_check": f"{cheat}{sub(get('line', t.ANTICHEAT, 2), '^[ :,.]+|[ :,.]+$')} END", "_t": "lower(line)", "_m": "lower(ltrim(message))", "_lv": "CASE WHEN lower(level) = 'warning' THEN 'warn' ELSE lower(coalesce(level, '')) END", "_kind": line_kind("line"), "_repeats": run_of("message", 12), "_noise": c.daily_noise_sql("line", "upper(level)"), "_flood": flood, "_abuse": abuse, "_loop": loop}, source),
+        words_of("c1", {"_body": body}, "c0"),
+        words_of("c2", {"_bare": sub("_body", r"^(?:\[[^\]]*\]\s*)+")}, "c1"),
+        words_of("c3", {"_kinds": r"len(list_distinct(list_filter(string_split(regexp_replace(_bare, '\s+', '', 'g'), ''), lambda x: x <> '')))::VARCHAR", "_w": c.LINE.found_sql("_t"), "_cw": f"CASE WHEN chat_message IS NOT NULL THEN {c.SAID.found_sql('lower(chat_message)')} END"}, "c2"),
+    ]
+    last = "c3"
+    for i, step in enumerate(c.STEPS):
+        name = "cls" if i == len(c.STEPS) - 1 else f"c{4 + i}"
+        chain.append(words_of(name, {k: e.sql for k, e in step.items()}, last))
+        last = name
+    return ",\n".join(chain)

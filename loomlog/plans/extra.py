@@ -144,10 +144,9 @@ over_log("fn_window_arg", lambda log: log.agg(*[F.lit(t.window_minutes(x)).alias
 over_log("fn_target", lambda log: log.select(F.lower(F.trim(F.concat(F.lit(" Room:"), F.col("server_id")))).alias("target")).distinct(), "SELECT DISTINCT 'room:' || server_id AS target FROM log")
 
 # the rest
-iss("flt_suppressed", lambda i: i.where(~((k.family(F.col("category")) == "operations") & (F.col("n") < 2) & (F.col("rank") <= 2))).select("tag", "session"), "SELECT tag, session FROM iss WHERE NOT (category IN ('network', 'bug', 'plugin', 'economy', 'complaint') AND n < 2 AND rank <= 2)")
 over_log("smp_budget", lambda log: budget(log), "SELECT count(*) AS n FROM (SELECT 1) x -- log")
-PLANS = {"database": "check the database and its pool", "plugin": "check the plugin and its configuration", "network": "check the proxy and the network", "resources": "check memory, disk and load", "other": "read the evidence"}
-iss("cls_plan", lambda i: i.select("tag", "session", k.domain(F.col("subtypes")).alias("domain")).join(F.broadcast(i.sparkSession.createDataFrame(list(PLANS.items()), "domain string, step string")), "domain").select("tag", "session", "step"), f"SELECT tag, session, p.step FROM (SELECT tag, session, {DOMAIN} AS domain FROM iss) i JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in PLANS.items())}) p(domain, step) USING (domain)")
+PLANS = {"database": "check the database and its pool", "plugin": "check the plugin and its configuration", "network": "check the proxy and the network", "performance": "check memory, disk and load", "economy": "check the shop's ledger against its transactions", "world": "check the region files against a backup", "position": "check the teleport target and the world border", "permission": "check the permission groups"}
+iss("cls_plan", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")).join(F.broadcast(i.sparkSession.createDataFrame(list(PLANS.items()), "domain string, step string")), "domain", "left").select("tag", "session", F.coalesce("step", F.lit("read the evidence")).alias("step")), f"SELECT tag, session, coalesce(p.step, 'read the evidence') AS step FROM (SELECT tag, session, {DOMAIN} AS domain FROM iss) i LEFT JOIN (VALUES {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in PLANS.items())}) p(domain, step) USING (domain)")
 over_log("st_anomaly", lambda log: w.history(log, ["server_id", "phrase"]).select("server_id", "phrase", "bucket", "n", F.round("ewma", 6).alias("ewma")), with_history("SELECT server_id, phrase, bucket, n, round(coalesce(list_reduce(list_transform(past, lambda x: x::DOUBLE), lambda p, x: 0.3 * x + 0.7 * p, 0.0::DOUBLE), 0.0), 6) AS ewma FROM h"))
 LATE = 600_000
 over_log("st_late", lambda log: log.withColumn("late", F.col("ts_ms") < F.max("ts_ms").over(Window.partitionBy("server_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - LATE).groupBy("server_id", "late").agg(F.count("*").alias("n")), f"SELECT server_id, ts_ms < m - {LATE} AS late, count(*) AS n FROM (SELECT *, max(ts_ms) OVER (PARTITION BY server_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS m FROM log) x GROUP BY ALL")

@@ -42,9 +42,9 @@ over_log("join_lifecycle", lambda log: j.lifecycle(half(log, True), half(log, Fa
 over_log("st_lifecycle", lambda log: j.lifecycle(half(log, True), half(log, False), "key", "ts_ms").groupBy("status").agg(F.count("*").alias("n")), f"SELECT status, count(*) AS n FROM ({LIFE}) x -- log\n GROUP BY 1")
 over_log("set_except", lambda log: half(log, False).join(half(log, True), "key", "left_anti").select("key"), f"SELECT key FROM ({HALF.format('<', 2)}) b WHERE key NOT IN (SELECT key FROM ({HALF.format('>=', 1)}) a) -- log")
 over_log("join_routing", lambda log: j.route(log, log.sparkSession.createDataFrame([("s0", "room-a"), ("s1", "room-b"), ("s1", "room-c")], "server_id string, target string"), ["all"]).groupBy("server_id", "target").agg(F.count("*").alias("n")), "SELECT l.server_id, t.target, count(*) AS n FROM log l JOIN (VALUES ('s0', 'room-a'), ('s1', 'room-b'), ('s1', 'room-c'), ('s0', 'all'), ('s1', 'all'), ('s2', 'all'), ('s3', 'all')) t(server_id, target) USING (server_id) GROUP BY ALL")
-over_log("join_rules", lambda log: log.join(F.broadcast(log.sparkSession.createDataFrame([(h[0], h[1]) for h in c.HINTS], "code string, severity string")), c.hint(F.col("message"), F.col("level"))["code"] == F.col("code")).select("event_id", "code", "severity"), "SELECT l.event_id, r.code, r.severity FROM log l JOIN (VALUES " + ", ".join(f"('{h[0]}', '{h[1]}')" for h in c.HINTS) + f") r(code, severity) ON r.code = {c.hint_sql('message', 'level')}")
-over_log("join_ai_merge", lambda log: (lambda i: j.merge_suggestions(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_bug", n % 7, f"try {n}", n) for n in range(20)], "tag string, session long, suggestion string, at int"), ["tag", "session"], ["at"]).select("tag", "session", "suggestion"))(k.issues(k.classify(log))), f"{ISSUES} SELECT i.tag, i.session, s.suggestion FROM iss i LEFT JOIN (SELECT 'server_log_bug' AS tag, n AS session, 'try ' || n AS suggestion FROM range(7) r(n)) s ON s.tag = i.tag AND s.session = i.session")
-over_log("join_review_drop", lambda log: (lambda i: j.drop_reviewed(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_bug", n, "drop", 0.5 + n * 0.05) for n in range(8)], "tag string, session long, decision string, confidence double"), ["tag", "session"]))(k.issues(k.classify(log))), f"{ISSUES} SELECT tag, session FROM iss WHERE NOT (tag = 'server_log_bug' AND session BETWEEN 0 AND 7 AND 0.5 + session * 0.05 >= 0.65)")
+over_log("join_rules", lambda log: log.join(F.broadcast(log.sparkSession.createDataFrame([(h[0], h[2]) for h in c.HINTS], "code string, severity string")), c.hint(F.col("line"), F.col("level"))["code"] == F.col("code")).select("event_id", "code", "severity"), "SELECT l.event_id, r.code, r.severity FROM log l JOIN (VALUES " + ", ".join(f"('{h[0]}', '{h[2]}')" for h in c.HINTS) + f") r(code, severity) ON r.code = {c.hint_sql('line', 'level')}")
+over_log("join_ai_merge", lambda log: (lambda i: j.merge_suggestions(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_error", n % 7, f"try {n}", n) for n in range(20)], "tag string, session long, suggestion string, at int"), ["tag", "session"], ["at"]).select("tag", "session", "suggestion"))(k.issues(k.classify(log))), f"{ISSUES} SELECT i.tag, i.session, s.suggestion FROM iss i LEFT JOIN (SELECT 'server_log_error' AS tag, n AS session, 'try ' || n AS suggestion FROM range(7) r(n)) s ON s.tag = i.tag AND s.session = i.session")
+over_log("join_review_drop", lambda log: (lambda i: j.drop_reviewed(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_error", n, "drop", 0.5 + n * 0.05) for n in range(8)], "tag string, session long, decision string, confidence double"), ["tag", "session"]))(k.issues(k.classify(log))), f"{ISSUES} SELECT tag, session FROM iss WHERE NOT (tag = 'server_log_error' AND session BETWEEN 0 AND 7 AND 0.5 + session * 0.05 >= 0.65)")
 over_log("flt_drop_decision", lambda log: log.where("k % 2 = 0 AND k / 100.0 >= 0.65").select("event_id"), "SELECT event_id FROM log WHERE k % 2 = 0 AND k / 100.0 >= 0.65")
 
 # samples, limits, distinct rows

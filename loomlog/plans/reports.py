@@ -5,30 +5,44 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loomlog.functions import catalogue as c
+from loomlog.functions import rules as r
 from loomlog.functions import text as t
 from loomlog.operators import aggregates as agg
 from loomlog.operators import classify as k
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log
+from loomlog.plans.windows import FLOODS
 
-RANK = "list_position(['info', 'low', 'medium', 'high', 'critical'], {}) - 1"
 NAMES = "['info', 'low', 'medium', 'high', 'critical']"
-cheat = f"CASE WHEN {d.get('line', t.ANTICHEAT, 1)} <> '' THEN "
-CLS = f"""-- log
-, c0 AS (SELECT *, {d.chat('line')[0]} AS chat_player, {d.chat('line')[1]} AS chat_message, {cheat}{d.get('line', t.ANTICHEAT, 1)} END AS cheat_player, {cheat}{d.sub(d.get('line', t.ANTICHEAT, 2), '^[ :,.]+|[ :,.]+$')} END AS cheat_check FROM log),
-c1 AS (SELECT *, {c.category_sql('message', 'level', '(chat_message IS NOT NULL)', '(cheat_player IS NOT NULL)')} AS category,
- {c.ops_sql('message', 'level', 'category')} AS ops_category, {c.ops_sql('message', 'level', 'subtype')} AS ops_subtype, {c.ops_sql('message', 'level', 'severity')} AS ops_severity,
- CASE WHEN chat_message IS NOT NULL THEN {c.chat_sql('chat_message', 'labels')} END AS chat_labels, CASE WHEN chat_message IS NOT NULL THEN {c.chat_sql('chat_message', 'category')} END AS chat_category, CASE WHEN chat_message IS NOT NULL THEN {c.chat_sql('chat_message', 'severity')} END AS chat_severity FROM c0),
-c2 AS (SELECT *, {NAMES}[greatest({RANK.format('ops_severity')}, coalesce({RANK.format('chat_severity')}, 0)) + 1] AS severity FROM c1),
-cls AS (SELECT *, CASE WHEN cheat_player IS NOT NULL THEN 'server_log_anticheat_vulcan' WHEN severity = 'info' THEN 'server_log_' || category || '_observation' ELSE 'server_log_' || category END AS tag FROM c2)"""
-FLAGS = ", ".join(f"bool_or({c.contains_sql('message', w)}) AS f_{n}" for n, w in k.FLAGS.items())
-ISSUES = f"""{CLS}, ev AS (SELECT * FROM cls WHERE category <> 'daily' AND NOT ends_with(tag, '_observation')),
+CLS = f"-- log\n, {d.classified()}"
+_CHATS = f"(SELECT event_id, ts_ms, seq, {d.chat('line')[0]} AS chat_player, {d.chat('line')[1]} AS chat_message FROM log)"
+BEHAVIOUR = f"""-- log
+, rc AS (SELECT *, {c.review_class_sql('chat_message')} AS class FROM {_CHATS} x WHERE chat_player <> ''),
+ab AS (SELECT DISTINCT event_id FROM rc SEMI JOIN (SELECT chat_player, class FROM rc WHERE class IS NOT NULL GROUP BY ALL HAVING count(*) >= CASE WHEN class = 'sensitive' THEN 1 ELSE 2 END) a ON a.chat_player = rc.chat_player AND a.class = rc.class),
+fl AS (SELECT DISTINCT rc.event_id FROM rc JOIN ({FLOODS}) f ON f.player = rc.chat_player AND rc.ts_ms BETWEEN f.start_ms AND f.end_ms),
+lb AS (SELECT log.*, fl.event_id IS NOT NULL AS chat_flood, ab.event_id IS NOT NULL AS chat_abuse FROM log LEFT JOIN fl ON fl.event_id = log.event_id LEFT JOIN ab ON ab.event_id = log.event_id),
+{d.classified('lb', 'chat_flood', 'chat_abuse')}"""
+TALK = "[" + ", ".join(f"'{label}'" for group, label, _ in r.CHAT if group in ("small_talk", "building")) + ", 'chatting']"
+SERIOUS = "(ops_admin OR ops_severity IN ('medium', 'high', 'critical'))"
+
+
+def issues_sql(classes: str) -> str:
+    """The WITH chain on to iss: issues of the rows of cls."""
+    first = lambda pattern: f"nullif(regexp_extract(message, {d.q(pattern)}, 1), '')"
+    named = {"plugin": first(t.PLUGIN), "file": first(t.CONFIG_FILE), "world": first(t.WORLD), "position": first(t.POSITION), "label": f"list_filter(coalesce(chat_labels, []::VARCHAR[]), lambda x: NOT list_contains({TALK}, x))"}
+    sets = ", ".join(f"list_sort(list_distinct({'flatten(list(label))' if v == 'label' else f'list({v})'})) AS {s}" for s, v in k.SETS.items())
+    flags = ", ".join(f"bool_or(f_{n}) AS f_{n}" for n in k.FLAGS)
+    return f"""{classes}, ev AS (SELECT * REPLACE (CASE WHEN {SERIOUS} THEN ops_subtype END AS ops_subtype, CASE WHEN {SERIOUS} THEN ops_category END AS ops_category), {', '.join(f'{v} AS {n}' for n, v in named.items())} FROM cls WHERE evidence),
 se AS (SELECT *, sum(split) OVER (PARTITION BY category, tag ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING)::BIGINT AS session FROM (SELECT *, CASE WHEN ts_ms - lag(ts_ms) OVER (PARTITION BY category, tag ORDER BY ts_ms, seq) > CASE WHEN category = 'player_feedback' THEN 900000 ELSE 300000 END THEN 1 ELSE 0 END AS split FROM ev) x),
-i0 AS (SELECT category, tag, session, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, list_sort(list_distinct(list(server_id))) AS servers, list_sort(list_distinct(list(player))) AS players, list_sort(list_distinct(list(level))) AS levels, list_sort(list_distinct(list(ops_subtype))) AS subtypes, max({RANK.format('severity')}) AS own, {FLAGS} FROM se GROUP BY ALL),
-i1 AS (SELECT *, greatest(own, CASE WHEN f_critical THEN 4 WHEN f_trouble THEN CASE WHEN n >= 2 THEN 3 ELSE 2 END WHEN f_slow THEN CASE WHEN n >= 3 THEN 3 ELSE 2 END WHEN f_network THEN CASE WHEN n >= 5 THEN 3 WHEN n >= 2 THEN 2 ELSE 1 END ELSE 1 END) AS r0 FROM i0),
-i2 AS (SELECT *, CASE WHEN r0 <= 1 AND category IN ('chat_review', 'community', 'community_ops', 'moderation') THEN 2 ELSE r0 END AS rank FROM i1),
-iss AS (SELECT category, tag, session, n, first_ms, last_ms, servers, players, levels, subtypes, {NAMES}[rank + 1] AS severity, rank, round(least(0.98, 0.5 + 0.08 * n), 4)::DOUBLE AS confidence,
- CASE WHEN rank >= 4 THEN true WHEN len(servers) >= 2 AND rank >= 2 THEN true WHEN category = 'chat_review' THEN rank >= 3 OR n >= 5 WHEN category = 'player_feedback' THEN false WHEN rank < 3 THEN false ELSE n >= 3 END AS alert FROM i2 WHERE rank > 1)"""
+i0 AS (SELECT category, tag, session, count(*) AS n, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, {sets}, max(own_rank) AS own, bool_and(plain_info) AS plain_info, {flags} FROM se GROUP BY ALL),
+i1 AS (SELECT *, {k.LADDER_SQL} AS base FROM i0),
+i2 AS (SELECT *, greatest(own, CASE WHEN plain_info THEN CASE WHEN n <= 2 THEN 1 ELSE least(base, 2) END ELSE base END) AS r0 FROM i1),
+i3 AS (SELECT *, CASE WHEN r0 <= 1 AND category IN ('chat_review', 'community', 'community_ops', 'moderation') THEN 2 ELSE r0 END AS rank FROM i2),
+iss AS (SELECT *, {NAMES}[rank + 1] AS severity, round(least(0.98, 0.5 + 0.08 * n), 4)::DOUBLE AS confidence, {k.ALERT_SQL} AS alert FROM i3 WHERE rank > 1 AND category <> 'daily')"""
+
+
+ISSUES = issues_sql(CLS)
+DOMAIN, FAMILY = k.DOMAIN_SQL, k.FAMILY_SQL
 
 
 def cls(name: str, make, sql: str) -> None:
@@ -46,41 +60,44 @@ cls("cls_ops", lambda r: r.select("event_id", "ops_category", "ops_subtype", "op
 cls("cls_ops_to_cat", lambda r: r.groupBy("ops_subtype", "category").agg(F.count("*").alias("n")), "SELECT ops_subtype, category, count(*) AS n FROM cls GROUP BY ALL")
 cls("cls_category", lambda r: r.select("event_id", "category"), "SELECT event_id, category FROM cls")
 cls("cls_tag", lambda r: r.select("event_id", "tag", "severity"), "SELECT event_id, tag, severity FROM cls")
-cls("cls_gate", lambda r: r.where(F.col("category").isin("daily", "bug", "network")).select("event_id", "category"), "SELECT event_id, category FROM cls WHERE category IN ('daily', 'bug', 'network')")
-iss("cls_family", lambda i: i.select("tag", "session", k.family(F.col("category")).alias("family")), "SELECT tag, session, CASE WHEN category IN ('network', 'bug', 'plugin', 'economy', 'complaint') THEN 'operations' WHEN category IN ('community', 'chat_review', 'moderation') THEN 'community' ELSE 'feedback' END AS family FROM iss")
-DOMAIN = "CASE WHEN list_has_any(subtypes, ['database_timeout', 'database_connection']) THEN 'database' WHEN list_has_any(subtypes, ['load_failed', 'config_error', 'runtime_exception']) THEN 'plugin' WHEN list_has_any(subtypes, ['connection']) THEN 'network' WHEN list_has_any(subtypes, ['memory', 'main_thread_lag', 'disk_full']) THEN 'resources' ELSE 'other' END"
-iss("cls_domain", lambda i: i.select("tag", "session", k.domain(F.col("subtypes")).alias("domain")), f"SELECT tag, session, {DOMAIN} AS domain FROM iss")
+cls("cls_gate", lambda x: x.select("event_id", "category", "gate"), "SELECT event_id, category, gate FROM cls")
+over_log("cls_behaviour", lambda log: k.classify(k.behaviour(log)).where("chat_message IS NOT NULL").select("event_id", "chat_flood", "chat_abuse", "category", "tag"), f"{BEHAVIOUR} SELECT event_id, chat_flood, chat_abuse, category, tag FROM cls WHERE chat_message IS NOT NULL")
+iss("cls_family", lambda i: i.select("tag", "session", k.family(F.col("category")).alias("family")), f"SELECT tag, session, {FAMILY} AS family FROM iss")
+iss("cls_domain", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")), f"SELECT tag, session, {DOMAIN} AS domain FROM iss")
 iss("cls_scopes", lambda i: i.select("tag", "session", F.explode("servers").alias("scope")), "SELECT tag, session, unnest(servers) AS scope FROM iss")
-iss("cls_signature", lambda i: i.select("tag", "session", k.signature(k.family(F.col("category")), F.col("servers"), F.col("tag")).alias("id")), "SELECT tag, session, 'MS-' || substr(sha256(concat_ws('|', CASE WHEN category IN ('network', 'bug', 'plugin', 'economy', 'complaint') THEN 'operations' WHEN category IN ('community', 'chat_review', 'moderation') THEN 'community' ELSE 'feedback' END, array_to_string(servers, ','), tag)), 1, 12) AS id FROM iss")
+iss("cls_signature", lambda i: i.select("tag", "session", k.signature(k.family(F.col("category")), F.col("servers"), F.col("tag")).alias("id")), f"SELECT tag, session, 'MS-' || substr(sha256(concat_ws('|', {FAMILY}, array_to_string(servers, ','), tag)), 1, 12) AS id FROM iss")
 iss("cls_action", lambda i: i.select("tag", "session", F.when(F.col("rank") >= 4, "act now").when(F.col("alert"), "check today").otherwise("watch").alias("action")), "SELECT tag, session, CASE WHEN rank >= 4 THEN 'act now' WHEN alert THEN 'check today' ELSE 'watch' END AS action FROM iss")
 
 # filters
 over_log("flt_kind", lambda log: log.withColumn("kind", F.when(F.col("k") % 5 == 0, "METRIC").otherwise("SERVER_LOG")).where("kind = 'SERVER_LOG'").select("event_id"), "SELECT event_id FROM log WHERE k % 5 <> 0")
 over_log("flt_retention", lambda log: log.join(F.broadcast(log.agg(F.max("ts_ms").alias("now"))), (F.col("ts_ms") == 0) | (F.col("ts_ms") >= F.col("now") - 7_200_000)).select("event_id"), "SELECT event_id FROM log WHERE ts_ms = 0 OR ts_ms >= (SELECT max(ts_ms) FROM log) - 7200000")
 over_log("flt_window", lambda log: log.where("server_id = 's1' AND ts_ms >= 1601734000000 AND ts_ms < 1601745000001").select("event_id", "ts_ms"), "SELECT event_id, ts_ms FROM log WHERE server_id = 's1' AND ts_ms >= 1601734000000 AND ts_ms < 1601745000001")
-cls("flt_category_gate", lambda r: agg.gate(r, ["network", "bug"]).select("event_id", "category"), "SELECT event_id, category FROM cls WHERE category IN ('network', 'bug', 'daily')")
-over_log("flt_benign", lambda log: log.where(c.contains(F.col("message"), c.BENIGN)).select("event_id"), f"SELECT event_id FROM log WHERE {c.contains_sql('message', c.BENIGN)}")
-cls("flt_evidence", lambda r: k.evidence(r).select("event_id"), "SELECT event_id FROM cls WHERE category <> 'daily' AND NOT ends_with(tag, '_observation')")
+cls("flt_category_gate", lambda x: agg.gate(x, ["network", "bug"]).select("event_id", "gate"), "SELECT event_id, gate FROM cls WHERE gate IN ('network', 'bug', 'daily')")
+cls("flt_benign", lambda x: x.where("ops_subtype = 'machinery'").select("event_id"), "SELECT event_id FROM cls WHERE ops_subtype = 'machinery'")
+cls("flt_evidence", lambda x: k.evidence(x).select("event_id"), "SELECT event_id FROM cls WHERE evidence")
 iss("flt_passive", lambda i: i.where("tag <> 'server_log_anticheat_vulcan' AND category <> 'daily'").select("tag", "session"), "SELECT tag, session FROM iss WHERE tag <> 'server_log_anticheat_vulcan' AND category <> 'daily'")
 iss("flt_actionable", lambda i: i.where("(alert OR rank >= 2) AND tag <> 'server_log_anticheat_vulcan'").select("tag", "session"), "SELECT tag, session FROM iss WHERE (alert OR rank >= 2) AND tag <> 'server_log_anticheat_vulcan'")
 iss("flt_alert", lambda i: i.where("alert").select("tag", "session", "n", "severity"), "SELECT tag, session, n, severity FROM iss WHERE alert")
 cls("flt_low_value", lambda r: r.where("NOT (category = 'daily' OR endswith(tag, '_observation'))").select("event_id", "severity"), "SELECT event_id, severity FROM cls WHERE category <> 'daily' AND NOT ends_with(tag, '_observation')")
-iss("flt_observation", lambda i: i.where("NOT (category IN ('chat_review', 'community') AND rank <= 2 AND n < 3)").select("tag", "session"), "SELECT tag, session FROM iss WHERE NOT (category IN ('chat_review', 'community') AND rank <= 2 AND n < 3)")
 over_log("flt_downsample", lambda log: log.where(c.track(F.col("message"), F.col("level"), "warn_error")["template"]).select("event_id"), "SELECT event_id FROM log WHERE level IN ('WARN', 'WARNING', 'ERROR', 'FATAL', 'SEVERE')")
 over_log("flt_overgeneral", lambda log: agg.specific(log.select("event_id", t.normalised(F.col("line")).alias("template")), "template").select("event_id"), f"SELECT event_id FROM (SELECT event_id, string_split({d.normalised('line')}, ' ') AS w FROM log) x WHERE NOT (len(list_filter(w, lambda y: contains(y, '<'))) >= 2 AND len(list_filter(w, lambda y: NOT contains(y, '<') AND length(y) > 3)) = 0)")
 
 # aggregates
-cls("agg_levels", lambda r: r.groupBy("server_id").agg(F.count_if(F.col("level") == "ERROR").alias("errors"), F.count_if(F.col("level") == "WARN").alias("warnings"), F.count("*").alias("records")), "SELECT server_id, count_if(level = 'ERROR')::BIGINT AS errors, count_if(level = 'WARN')::BIGINT AS warnings, count(*) AS records FROM cls GROUP BY ALL")
+cls("agg_levels", lambda x: x.groupBy("server_id").agg(F.count_if(F.col("level").isin("ERROR", "FATAL", "SEVERE")).alias("errors"), F.count_if(F.col("level").isin("WARN", "WARNING")).alias("warnings"), F.count("*").alias("records")), "SELECT server_id, count_if(level IN ('ERROR', 'FATAL', 'SEVERE'))::BIGINT AS errors, count_if(level IN ('WARN', 'WARNING'))::BIGINT AS warnings, count(*) AS records FROM cls GROUP BY ALL")
 cls("agg_buckets", lambda r: r.groupBy("category", "tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("server_id")), ",").alias("servers"), F.array_join(F.array_sort(F.collect_set("level")), ",").alias("levels")), "SELECT category, tag, count(*) AS n, array_to_string(list_sort(list_distinct(list(server_id))), ',') AS servers, array_to_string(list_sort(list_distinct(list(level))), ',') AS levels FROM cls GROUP BY ALL")
-iss("agg_issue", lambda i: i.select("category", "tag", "session", "n", "first_ms", "last_ms", F.array_join("servers", ",").alias("servers"), F.array_join("players", ",").alias("players"), F.array_join("subtypes", ",").alias("subtypes"), "severity", "confidence"), "SELECT category, tag, session, n, first_ms, last_ms, array_to_string(servers, ',') AS servers, array_to_string(players, ',') AS players, array_to_string(subtypes, ',') AS subtypes, severity, confidence FROM iss")
+LISTS = ["servers", "players", "subtypes", "ops_categories", "labels", "plugins", "files", "worlds", "positions"]
+iss("agg_issue", lambda i: i.select("category", "tag", "session", "n", "first_ms", "last_ms", *[F.array_join(x, ",").alias(x) for x in LISTS], "severity", "confidence", "alert"), "SELECT category, tag, session, n, first_ms, last_ms, " + ", ".join(f"array_to_string({x}, ',') AS {x}" for x in LISTS) + ", severity, confidence, alert FROM iss")
+over_log("agg_issue_behaviour", lambda log: k.issues(k.classify(k.behaviour(log))).where("category = 'chat_review'").select("tag", "session", "n", "severity", "alert", F.array_join("players", ",").alias("players")), f"{issues_sql(BEHAVIOUR)} SELECT tag, session, n, severity, alert, array_to_string(players, ',') AS players FROM iss WHERE category = 'chat_review'")
 iss("agg_severity", lambda i: i.groupBy("severity").agg(F.count("*").alias("issues"), F.sum("n").alias("rows")), "SELECT severity, count(*) AS issues, sum(n)::BIGINT AS rows FROM iss GROUP BY ALL")
 iss("agg_max_severity", lambda i: i.agg(F.max("rank").alias("rank"), F.max("alert").alias("any_alert")), "SELECT max(rank) AS rank, bool_or(alert) AS any_alert FROM iss")
-cls("agg_terms", lambda r: agg.terms(k.evidence(r), ["category"], "message", [w for ws in k.FLAGS.values() for w in ws]).select("category", F.array_join("terms", ",").alias("terms")), "SELECT category, array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN bool_or({c.contains_sql('message', [w])}) THEN {d.q(w)} END" for ws in k.FLAGS.values() for w in ws) + "], lambda x: x IS NOT NULL), 1, 8), ',') AS terms FROM cls WHERE category <> 'daily' AND NOT ends_with(tag, '_observation') GROUP BY category")
+TERMS = [*r.CRITICAL, *r.ERRORS[:4], *r.PERFORMANCE[:7], *r.CATEGORY_WORDS["network"][:11]]
+cls("agg_terms", lambda x: agg.terms(k.evidence(x), ["category"], "message", TERMS).select("category", F.array_join("terms", ",").alias("terms")), "SELECT category, array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN bool_or({c.contains_sql('message', [w])}) THEN {d.q(w)} END" for w in TERMS) + "], lambda x: x IS NOT NULL), 1, 8), ',') AS terms FROM cls WHERE evidence GROUP BY category")
 cls("agg_chat_topics", lambda r: agg.topics(r.where("chat_message IS NOT NULL")), "SELECT 'category' AS what, chat_category AS name, count(*) AS n FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'severity', chat_severity, count(*) FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'label', label, count(*) FROM (SELECT unnest(chat_labels) AS label FROM cls WHERE chat_message IS NOT NULL) x GROUP BY 2 UNION ALL SELECT 'players', 'distinct', count(DISTINCT chat_player) FROM cls WHERE chat_message IS NOT NULL")
 cls("agg_keywords", lambda r: agg.keywords(r.where("chat_message IS NOT NULL"), "chat_message", 10), "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(chat_message), '[a-z]{3,}')) AS word FROM cls WHERE chat_message IS NOT NULL) x WHERE word NOT IN ('the', 'and', 'for', 'you', 'that', 'this') GROUP BY 1) y WHERE n >= 2 ORDER BY n DESC, word LIMIT 10")
 cls("agg_anticheat", lambda r: agg.anticheat(r.where("cheat_player IS NOT NULL").withColumn("weight", F.greatest(F.lit(1), F.col("k") % 3))), "SELECT player, n, array_to_string(list_transform(list_slice(list_sort(list({'w': -w, 'c': cheat_check})), 1, 3), lambda x: x.c), ',') AS checks FROM (SELECT cheat_player AS player, cheat_check, sum(greatest(1, k % 3))::BIGINT AS w, sum(sum(greatest(1, k % 3))) OVER (PARTITION BY cheat_player)::BIGINT AS n FROM cls WHERE cheat_player IS NOT NULL GROUP BY 1, 2) x GROUP BY ALL")
-cls("agg_abuse", lambda r: agg.abuse(r.where("chat_message IS NOT NULL")), "SELECT chat_player AS player, label, count(*) AS n FROM (SELECT chat_player, unnest(chat_labels) AS label FROM cls WHERE chat_player <> '') x WHERE label IN ('advertising', 'insult') GROUP BY ALL HAVING count(*) >= CASE WHEN label = 'advertising' THEN 1 ELSE 2 END")
-cls("agg_abuse_players", lambda r: agg.abuse(r.where("chat_message IS NOT NULL")).groupBy("player").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")), "SELECT player, sum(n)::BIGINT AS n, array_to_string(list_sort(list(label)), ',') AS labels FROM (SELECT chat_player AS player, label, count(*) AS n FROM (SELECT chat_player, unnest(chat_labels) AS label FROM cls WHERE chat_player <> '') x WHERE label IN ('advertising', 'insult') GROUP BY ALL HAVING count(*) >= CASE WHEN label = 'advertising' THEN 1 ELSE 2 END) y GROUP BY 1")
+ABUSE = f"SELECT player, class, count(*) AS n FROM (SELECT chat_player AS player, {c.review_class_sql('chat_message')} AS class FROM cls WHERE chat_player <> '') x WHERE class IS NOT NULL GROUP BY ALL HAVING count(*) >= CASE WHEN class = 'sensitive' THEN 1 ELSE 2 END"
+cls("agg_abuse", lambda x: k.abuses(x.where("chat_message IS NOT NULL")), ABUSE)
+cls("agg_abuse_players", lambda x: k.abuses(x.where("chat_message IS NOT NULL")).groupBy("player").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes")), f"SELECT player, sum(n)::BIGINT AS n, array_to_string(list_sort(list(class)), ',') AS classes FROM ({ABUSE}) y GROUP BY 1")
 cls("agg_review_evidence", lambda r: agg.per_group(r.where("chat_severity IN ('high', 'medium')"), ["chat_player", "chat_category"], ["ts_ms", "seq"], 3).select("event_id", "chat_player", "chat_category"), "SELECT event_id, chat_player, chat_category FROM (SELECT *, row_number() OVER (PARTITION BY chat_player, chat_category ORDER BY ts_ms, seq) AS r FROM cls WHERE chat_severity IN ('high', 'medium')) x WHERE r <= 3")
 over_log("agg_window_totals", lambda log: log.groupBy("server_id").agg(F.count("*").alias("n"), F.count_distinct("player").alias("players")), "SELECT server_id, count(*) AS n, count(DISTINCT player) AS players FROM log GROUP BY ALL")
 HOURLY = "SELECT server_id, (ts_ms // 3600000) * 3600000 AS hour, count(*) AS records, count_if(level = 'ERROR')::BIGINT AS errors, count_if(level = 'WARN')::BIGINT AS warnings, count_if(level = 'INFO')::BIGINT AS infos FROM log GROUP BY ALL"
@@ -99,16 +116,21 @@ iss("sort_issues", lambda i: i.orderBy(F.desc("rank"), "first_ms", "tag", "sessi
 iss("sort_managed", lambda i: i.where("alert").orderBy(F.desc("rank"), "first_ms", "tag", "session").limit(3).select("tag", "session"), "SELECT tag, session FROM iss WHERE alert ORDER BY rank DESC, first_ms, tag, session LIMIT 3")
 
 # incidents
-INCIDENTS = f"""{ISSUES}, kd AS (SELECT *, category || ':' || tag || ':' || session AS issue, CASE WHEN category IN ('network', 'bug', 'plugin', 'economy', 'complaint') THEN 'operations' WHEN category IN ('community', 'chat_review', 'moderation') THEN 'community' ELSE 'feedback' END AS family FROM iss WHERE tag <> 'server_log_anticheat_vulcan'),
+INCIDENTS = f"""{ISSUES}, kd AS (SELECT *, category || ':' || tag || ':' || session AS issue, {FAMILY} AS family FROM iss WHERE tag <> 'server_log_anticheat_vulcan'),
 ke AS (SELECT *, CASE WHEN family = 'operations' THEN {DOMAIN} ELSE '' END AS domain FROM kd),
 per AS (SELECT issue, family, domain, first_ms, last_ms, unnest(servers) AS server FROM ke),
 ch AS (SELECT *, sum(split) OVER (PARTITION BY family, domain, server ORDER BY first_ms, issue ROWS UNBOUNDED PRECEDING) AS chain FROM (SELECT *, CASE WHEN first_ms > max(last_ms) OVER (PARTITION BY family, domain, server ORDER BY first_ms, issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 300000 THEN 1 ELSE 0 END AS split FROM per) x),
 ln AS (SELECT issue, family || '|' || domain || '|' || server || '|' || chain AS c FROM ch),
-reach AS (WITH RECURSIVE go(a, b) AS (SELECT issue, issue FROM ke UNION SELECT go.a, l2.issue FROM go JOIN ln l1 ON l1.issue = go.b JOIN ln l2 ON l2.c = l1.c) SELECT a, min(b) AS incident FROM go GROUP BY 1)"""
-over_log(
-    "agg_incident",
-    lambda log: k.incidents(k.issues(k.classify(log))).select("incident", "family", "domain", "issues", "n", "start_ms", "end_ms", F.array_join("scopes", ",").alias("scopes"), "rank", "alert"),
-    f"{INCIDENTS} SELECT incident, any_value(family) AS family, any_value(domain) AS domain, count(*) AS issues, sum(n)::BIGINT AS n, min(first_ms) AS start_ms, max(last_ms) AS end_ms, array_to_string(list_sort(list_distinct(flatten(list(servers)))), ',') AS scopes, max(rank) AS rank, bool_or(alert) AS alert FROM ke JOIN reach ON reach.a = ke.issue GROUP BY incident",
-)
-over_log("join_overlap_merge", lambda log: k.incidents(k.issues(k.classify(log))).groupBy("family", "domain").agg(F.count("*").alias("incidents"), F.sum("issues").alias("issues")), f"{INCIDENTS} SELECT family, domain, count(DISTINCT incident) AS incidents, count(*) AS issues FROM ke JOIN reach ON reach.a = ke.issue GROUP BY ALL")
+reach AS (WITH RECURSIVE go(a, b) AS (SELECT issue, issue FROM ke UNION SELECT go.a, l2.issue FROM go JOIN ln l1 ON l1.issue = go.b JOIN ln l2 ON l2.c = l1.c) SELECT a, min(b) AS incident FROM go GROUP BY 1),
+inc AS (SELECT incident, any_value(family) AS family, any_value(domain) AS domain, count(*) AS issues, sum(n)::BIGINT AS n, min(first_ms) AS start_ms, max(last_ms) AS end_ms, list_sort(list_distinct(flatten(list(servers)))) AS scopes, list_sort(list_distinct(flatten(list(labels)))) AS labels, bool_or(f_accident) AS accident, max(rank) AS rank, bool_or(alert) AS alert FROM ke JOIN reach ON reach.a = ke.issue GROUP BY incident)"""
+
+
+def inc(name: str, make, sql: str) -> None:
+    over_log(name, lambda log: make(k.incidents(k.issues(k.classify(log)))), f"{INCIDENTS} {sql}")
+
+
+inc("agg_incident", lambda i: i.select("incident", "family", "domain", "issues", "n", "start_ms", "end_ms", F.array_join("scopes", ",").alias("scopes"), "rank", "alert"), "SELECT incident, family, domain, issues, n, start_ms, end_ms, array_to_string(scopes, ',') AS scopes, rank, alert FROM inc")
+inc("join_overlap_merge", lambda i: i.groupBy("family", "domain").agg(F.count("*").alias("incidents"), F.sum("issues").alias("issues")), "SELECT family, domain, count(*) AS incidents, sum(issues)::BIGINT AS issues FROM inc GROUP BY ALL")
+inc("flt_suppressed", lambda i: i.where(~k.suppressed(F.col("family"), F.col("rank"), F.col("n"))).select("incident", "family"), "SELECT incident, family FROM inc WHERE NOT (family = 'operations' AND rank <= 2 AND n <= 1)")
+inc("flt_observation", lambda i: i.select("incident", k.observation(F.col("family"), F.col("rank"), F.col("labels"), F.col("accident")).alias("observation")), "SELECT incident, CASE WHEN family = 'community' THEN len(labels) = 0 AND rank <= 2 WHEN family = 'community_ops' THEN NOT (rank >= 3 AND accident) WHEN family = 'chat_review' THEN rank < 3 ELSE false END AS observation FROM inc")
 over_log("flagship", lambda log: agg.flagship(k.classify(log)), f"{CLS} SELECT server_id, (ts_ms // 3600000) * 3600000 AS hour, count(*) AS records, count_if(level = 'ERROR')::BIGINT AS errors, count_if(category <> 'daily')::BIGINT AS notable, count(DISTINCT phrase) AS templates FROM cls GROUP BY ALL")

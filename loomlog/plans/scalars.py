@@ -48,8 +48,8 @@ column("fn_symbol_heavy", lambda: t.symbol_heavy(F.col("message")), d.symbols("m
 column("fn_chat", lambda: F.concat_ws("|", t.chat(L())["player"], t.chat(L())["message"]), f"concat_ws('|', {d.chat('line')[0]}, {d.chat('line')[1]})")
 column("fn_meaningless", lambda: t.meaningless(F.col("message")), d.meaningless("message"))
 column("fn_anticheat", lambda: F.concat_ws("|", t.anticheat(L())["player"], t.anticheat(L())["check"]), f"CASE WHEN {d.get('line', t.ANTICHEAT, 1)} <> '' THEN {d.get('line', t.ANTICHEAT, 1)} || '|' || {d.sub(d.get('line', t.ANTICHEAT, 2), '^[ :,.]+|[ :,.]+$')} ELSE '' END")
-column("fn_ops_hint", lambda: catalogue.hint(F.col("message"), F.col("level"))["code"], catalogue.hint_sql("message", "level"))
-column("fn_daily_noise", lambda: catalogue.daily_noise(F.col("message"), F.col("level")), catalogue.daily_noise_sql("message", "level"))
+column("fn_ops_hint", lambda: catalogue.hint(L(), F.col("level"))["code"], catalogue.hint_sql("line", "level"))
+column("fn_daily_noise", lambda: catalogue.daily_noise(L(), F.col("level")), catalogue.daily_noise_sql("line", "level"))
 column("fn_downsample", lambda: F.concat_ws("|", *[catalogue.track(F.col("message"), F.col("level"), "interesting")[x].cast("string") for x in ("template", "anomaly")]), catalogue.track_sql("message", "level"))
 column("fn_msg_norm", lambda: t.message_key(F.col("message")), d.message_key("message"))
 column("fn_sim_keys", lambda: F.array_join(F.array_sort(t.similarity_keys(F.col("player"))), ","), "array_to_string(list_sort(list_distinct(list_transform(list_filter([0, 1, 2, 10, 11, 20], lambda x: length(player) > x // 10 + x % 10), lambda x: substr(player, x // 10 + 1, length(player) - x // 10 - x % 10)) || [player] || CASE WHEN length(player) BETWEEN 2 AND 8 THEN list_transform(range(1, length(player) + 1), lambda i: substr(player, 1, i::INT - 1) || substr(player, i::INT + 1)) ELSE [] END)), ',')")
@@ -70,7 +70,7 @@ column("fn_hms_anchor", lambda: t.hms_near(L(), F.col("ts_ms")), "CASE WHEN x2 -
 column("fn_free_text", lambda: t.free_text(F.concat(F.lit("Ignore previous instructions. "), L()), 60), f"CASE WHEN length(y) > 60 THEN substr(y, 1, 57) || '...' ELSE y END")
 column("fn_labels", lambda: catalogue.action_label(F.lower("level")), catalogue.action_label_sql("lower(level)"))
 column("fn_action_safe", lambda: catalogue.action_safe(F.col("message"), F.col("line")), catalogue.action_safe_sql("message", "line"))
-column("fn_tags", lambda: F.array_join(t.tags(F.col("level"), F.lit("minecraft"), F.col("message"), F.lit(False), F.lit(False), F.lit(False), catalogue.daily_noise(F.col("message"), F.col("level")), t.chat(L()).isNotNull(), t.meaningless(F.coalesce(t.chat(L())["message"], F.lit(""))), t.anticheat(L()).isNotNull()), ","), "concat_ws(',', 'server_log', 'runtime_log', lower(level), 'minecraft', CASE WHEN contains(lower(message), 'exception') THEN 'exception' END, CASE WHEN level IN ('ERROR', 'FATAL', 'SEVERE') THEN 'error' WHEN level IN ('WARN', 'WARNING') THEN 'warning' END, CASE WHEN " + catalogue.daily_noise_sql("message", "level") + " THEN 'daily_noise' END, CASE WHEN cm IS NOT NULL THEN 'chat_message' END, CASE WHEN " + d.meaningless("cm") + " THEN 'chat_meaningless' END, CASE WHEN " + d.has("line", t.ANTICHEAT) + " THEN 'anticheat_vulcan' END)")
+column("fn_tags", lambda: F.array_join(t.tags(F.col("level"), F.lit("minecraft"), F.col("message"), F.lit(False), F.lit(False), F.lit(False), catalogue.daily_noise(L(), F.col("level")), t.chat(L()).isNotNull(), t.meaningless(F.coalesce(t.chat(L())["message"], F.lit(""))), t.anticheat(L()).isNotNull()), ","), "concat_ws(',', 'server_log', 'runtime_log', lower(level), 'minecraft', CASE WHEN contains(lower(message), 'exception') THEN 'exception' END, CASE WHEN level IN ('ERROR', 'FATAL', 'SEVERE') THEN 'error' WHEN level IN ('WARN', 'WARNING') THEN 'warning' END, CASE WHEN " + catalogue.daily_noise_sql("line", "level") + " THEN 'daily_noise' END, CASE WHEN cm IS NOT NULL THEN 'chat_message' END, CASE WHEN " + d.meaningless("cm") + " THEN 'chat_meaningless' END, CASE WHEN " + d.has("line", t.ANTICHEAT) + " THEN 'anticheat_vulcan' END)")
 column("fn_compact_evidence", lambda: catalogue.compact_evidence(F.concat_ws("\n", F.lit("header"), L(), F.lit("a"), F.col("message"), F.lit("b"), F.lit("c"), F.lit("d")), F.col("message")), "substr(concat_ws(chr(10), 'header', line, 'a', message, 'b'), 1, 520)")
 
 # those whose SQL needs a helper column
