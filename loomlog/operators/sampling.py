@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.windows import even_sample
+from loomlog.sources.shared import written
 
 SEED = 0x4D534E54
 
@@ -15,18 +16,23 @@ def top(rows: DataFrame, score: Column, order: list, k: int) -> DataFrame:
     return rows.withColumn("_score", score).orderBy(F.desc("_score"), *order).limit(k).drop("_score")
 
 
+def drawn(key: str, seed: int = SEED) -> Column:
+    """The place of a row in the draw: a digest that any engine can take."""
+    return F.sha1(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+
+
 def reservoir(rows: DataFrame, key: str, k: int, seed: int = SEED) -> DataFrame:
     """k rows drawn evenly: those of smallest seeded hash. The same rows give the same sample however they are dealt."""
-    return rows.withColumn("_h", F.xxhash64(F.lit(seed), key)).orderBy("_h", key).limit(k).drop("_h")
+    return rows.withColumn("_h", drawn(key, seed)).orderBy("_h", key).limit(k).drop("_h")
 
 
 def bounded(rows: DataFrame, key: str, score: Column, order: list, k: int) -> DataFrame:
     """At most k rows: two thirds by score (of those above 1), the rest from the reservoir."""
     scored = rows.withColumn("_score", score)
-    first = scored.where("_score > 1").orderBy(F.desc("_score"), *order).limit((2 * k + 2) // 3).drop("_score")
+    first = written(scored.where("_score > 1").orderBy(F.desc("_score"), *order).limit((2 * k + 2) // 3).drop("_score"), "first")
     rest = reservoir(rows, key, k).join(first.select(key), key, "left_anti")
     left = k - first.count()
-    return first.unionByName(rest.withColumn("_h", F.xxhash64(F.lit(SEED), key)).orderBy("_h", key).limit(max(0, left)).drop("_h"))
+    return first.unionByName(rest.withColumn("_h", drawn(key)).orderBy("_h", key).limit(max(0, left)).drop("_h"))
 
 
 def distinct_first(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -43,7 +49,7 @@ def distinct_best(rows: DataFrame, keys: list[str], rank: Column, order: list) -
 
 def prompt_sample(rows: DataFrame, clean: str, rank: Column, low_value: Column, score: Column, order: list[str], key: str, k: int) -> DataFrame:
     """Rows for a prompt: distinct by clean text, without low-value rows if enough remain, 2/3 by score, the rest at even steps."""
-    rows = distinct_best(rows, [clean], rank, order).persist()
+    rows = written(distinct_best(rows, [clean], rank, order), "prompt")
     worth = rows.where(~low_value)
     pool = worth if worth.count() >= k else rows
     if pool.count() <= k:

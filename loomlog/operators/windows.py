@@ -174,7 +174,7 @@ def even_sample(rows: DataFrame, order: list[str], k: int) -> DataFrame:
 def rank_globally(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with _rank from 0 in the given order (unique with ties by row hash), without a single-task window."""
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).persist()
+    dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one number a partition
     start, at = {}, 0
     for p, n in sorted((r["_part"], r["n"]) for r in sizes):

@@ -10,20 +10,24 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as t
 from loomlog.operators import aggregates as agg
 from loomlog.operators import classify as k
+from loomlog.operators import joins
 from loomlog.operators import sampling as s
 from loomlog.operators import windows as w
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log, query
-from loomlog.plans.reports import DOMAIN, HOURLY, iss
+from loomlog.plans.reports import DOMAIN, HOURLY, ISSUES, iss
 from loomlog.plans.scalars import column
 from loomlog.plans.windows import with_history
 from loomlog.sources import files
 from loomlog.sources.shared import shared_path
+from loomlog.sources.tail import tail
+from loomlog.streaming import queries as streams
 
 # sources
 CONFIG = ["/srv/alpha", {"id": "beta", "logs_dir": "/var/beta", "type": "paper"}, {"root": "/srv/gamma", "type": "velocity", "name": "Gamma"}, {"id": "none"}, {"id": "beta", "root": "/again"}, {"id": "off", "root": "/x", "enabled": False}, {"id": "one", "log_file": "/one/latest.log", "root": "/y"}]
 query("src_config", "SELECT * FROM (VALUES ('alpha', 'alpha', 'minecraft', '/srv/alpha/logs'), ('beta', 'beta', 'minecraft', '/var/beta'), ('gamma', 'Gamma', 'velocity', '/srv/gamma/logs'), ('one', 'one', 'minecraft', '/one/latest.log')) v(server_id, server_name, server_type, path)")(lambda spark, sf: files.sources(spark, CONFIG))
-over_log("src_resolve", lambda log: log.select("event_id", F.coalesce(F.when(F.col("k") % 3 == 0, F.col("path")), F.when(F.col("k") % 3 == 1, F.concat(F.lit("/var/"), F.col("server_id"))), F.concat(F.lit("/srv/"), F.col("server_id"), F.lit("/logs"))).alias("out")), "SELECT event_id, CASE k % 3 WHEN 0 THEN path WHEN 1 THEN '/var/' || server_id ELSE '/srv/' || server_id || '/logs' END AS out FROM log")
+PLACES = [{"root": "/srv/a/"}, {"logs_dir": "/var/b", "root": "/srv/b"}, {"log_file": "/c/latest.log", "logs_dir": "/d"}, {"id": "none"}]
+query("src_resolve", "SELECT * FROM (VALUES (0, '/srv/a/logs'), (1, '/var/b'), (2, '/c/latest.log'), (3, NULL)) v(place, path)")(lambda spark, sf: spark.createDataFrame([(i, files.resolve(e)) for i, e in enumerate(PLACES)], "place int, path string"))
 
 
 def observations(log):
@@ -45,16 +49,7 @@ def observations(log):
     )
 
 
-over_log("src_text_scan", lambda log: text_scan_of(log), "SELECT sha1(line) AS h FROM log WHERE server_id = 's1' AND trim(line) <> ''")
-
-
-def text_scan_of(log):
-    path = shared_path(log.sparkSession, "text")
-    log.where("server_id = 's1'").select("line").write.option("compression", "gzip").text(path)
-    return files.lines(log.sparkSession, path).select(F.sha1("line").alias("h"))
-
-
-over_log("src_text_scan_whole", lambda log: text_scan_of_all(log), "SELECT server_id, sha1(line) AS h FROM log WHERE trim(line) <> ''")
+over_log("src_text_scan", lambda log: text_scan_of_all(log), "SELECT server_id, sha1(line) AS h FROM log WHERE trim(line) <> ''")
 
 
 def text_scan_of_all(log):
@@ -130,10 +125,115 @@ def scopes(log):
 
 
 over_log("snk_lifecycle", scopes, "SELECT server_id, count(DISTINCT phrase) AS n FROM log WHERE server_id <> 's2' OR phrase < 5 GROUP BY 1")
-over_log("src_rotate", lambda log: s.distinct_first(log.unionByName(log.where("k % 4 = 0")), ["event_id"], ["ts_ms"]).select("event_id"), "SELECT event_id FROM log")
+
+# log files: written below a folder, and read through the readers of sources.files
+FILED_NOW = 1704499200000
+DAY_2, HOUR = 1704153600000, 3_600_000
+_CLOCK = " + ".join(f"CAST(regexp_extract(line, '([0-9]{{2}}):([0-9]{{2}}):([0-9]{{2}})', {i}) AS BIGINT) * {m}" for i, m in ((1, 3600000), (2, 60000), (3, 1000)))
+SCANNED = f"""-- log
+, sc AS (SELECT *, coalesce(last_value(x IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING), {FILED_NOW}) AS t, row_number() OVER (PARTITION BY path ORDER BY ts_ms, seq) AS no, regexp_extract(path, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS day
+ FROM (SELECT *, CASE WHEN k % 3 <> 0 THEN epoch_ms(CAST(regexp_extract(path, '([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1) AS DATE)) + {_CLOCK} END AS x, CASE WHEN k % 3 = 0 THEN message ELSE line END AS body FROM log) y)"""
+
+
+def filed(log):
+    """The log as files, a third of its lines without a time; the folder."""
+    rows = log.withColumn("body", F.when(F.col("k") % 3 == 0, F.col("message")).otherwise(F.col("line")))
+    return files.write_logs(rows, shared_path(log.sparkSession, "logs"), "path", ["ts_ms", "seq"], "body")
+
+
+def shown(rows):
+    return rows.select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path"), F.sha1("line").alias("h"), F.col("ts_ms").alias("t"))
+
+
+def cached_twice(log):
+    root, cache = filed(log), shared_path(log.sparkSession, "cache")
+    files.cached_scan(log.sparkSession, f"{root}/s1", cache, FILED_NOW)
+    return shown(files.cached_scan(log.sparkSession, root, cache, FILED_NOW))
+
+
+over_log("src_candidates", lambda log: files.candidates(log.sparkSession, filed(log), datetime.date(2024, 1, 3), 100).select(F.regexp_extract("path", "([^/]+/[^/]+)$", 1).alias("path")), "SELECT DISTINCT path FROM log WHERE regexp_extract(path, '([0-9]{4}-[0-9]{2}-[0-9]{2})', 1) >= '2024-01-02'")
+over_log("src_ts_scan", lambda log: shown(files.scan(log.sparkSession, f"{filed(log)}/*", FILED_NOW)), f"{SCANNED} SELECT path, sha1(body) AS h, t FROM sc")
+over_log("src_backfill", lambda log: shown(files.backfill(log.sparkSession, f"{filed(log)}/s1", DAY_2, FILED_NOW, 500)), f"{SCANNED} SELECT path, sha1(body) AS h, t FROM sc WHERE server_id = 's1' AND day >= '2024-01-01' AND t >= {DAY_2} ORDER BY path DESC, no LIMIT 500")
+over_log("src_hour_range", lambda log: shown(files.between(log.sparkSession, filed(log), DAY_2 + 14 * HOUR, DAY_2 + 18 * HOUR, FILED_NOW)), f"{SCANNED} SELECT path, sha1(body) AS h, t FROM sc WHERE day BETWEEN '2024-01-01' AND '2024-01-03' AND t >= {DAY_2 + 14 * HOUR} AND t < {DAY_2 + 18 * HOUR}")
+over_log("src_gz_cache", cached_twice, f"{SCANNED} SELECT path, sha1(body) AS h, t FROM sc")
+
+
+def jsonl_range(log):
+    path = shared_path(log.sparkSession, "export")
+    files.write_jsonl(observations(log).withColumn("ts_ms", F.when(F.col("event_id").cast("long") % 7 == 0, None).otherwise(F.col("ts_ms"))), path)
+    return files.read_jsonl_range(log.sparkSession, path, 1601737200000, 1601740800000).select("event_id")
+
+
+over_log("src_jsonl_range", jsonl_range, "SELECT event_id::VARCHAR AS event_id FROM log WHERE event_id % 7 = 0 OR (ts_ms >= 1601737200000 AND ts_ms < 1601740800000)")
+over_log("src_partition_prune", lambda log: files.read_store(log.sparkSession, stored(log), "s2", NOW - 30_000_000, NOW).groupBy("server_id", F.col("day").cast("string").alias("day")).agg(F.count("*").alias("n")), f"SELECT server_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM log WHERE k % 9 <> 0 AND ts_ms >= {NOW} - 86400000 AND server_id = 's2' AND ts_ms >= {NOW} - 30000000 AND ts_ms < {NOW} GROUP BY ALL")
+
+
+def dated_lines(log):
+    """Lines with their whole time, in files of a server that is still written."""
+    body = F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.col("message"), F.lit(" #"), F.col("event_id").cast("string"))
+    return log.where("server_id = 's1'").withColumn("body", body)
+
+
+BODY = "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') || ' ' || message || ' #' || event_id"
+MIDDLE = 1601740000000
+
+
+def tailed(log):
+    """Half of a file, then all of it: every line comes once."""
+    spark, rows = log.sparkSession, dated_lines(log)
+    root, folder = shared_path(spark, "tail"), shared_path(spark, "tailed")
+    put = lambda some: files.write_logs(some.withColumn("file", F.lit("s1/latest.log")), root, "file", ["ts_ms", "seq"], "body")
+    for some in (rows.where(F.col("ts_ms") < MIDDLE), rows):
+        put(some)
+        got = streams.run_once(tail(spark, root, maxBytes=str(1 << 30)), folder)
+    return got.groupBy(F.sha1("line").alias("h")).agg(F.count("*").alias("n"))
+
+
+def rotated(log):
+    """Half of a file is read, then it gets a dated name and a new one is begun: stored events are each line once."""
+    spark, rows = log.sparkSession, dated_lines(log)
+    root, folder = shared_path(spark, "rotate"), shared_path(spark, "rotated")
+    put = lambda some, name: files.write_logs(some.withColumn("file", F.lit(name)), root, "file", ["ts_ms", "seq"], "body")
+    before = rows.where(F.col("ts_ms") < MIDDLE)
+    put(before, "s1/latest.log")
+    streams.ingest(spark, root, "s1", folder, FILED_NOW, maxBytes=str(1 << 30))
+    put(before, "s1/2020-10-03-1.log")
+    put(rows.where(F.col("ts_ms") >= MIDDLE), "s1/latest.log")
+    got = streams.ingest(spark, root, "s1", folder, FILED_NOW, maxBytes=str(1 << 30))
+    return got.select(F.sha1("line").alias("h"), "ts_ms")
+
+
+over_log("src_tail", tailed, f"SELECT sha1({BODY}) AS h, 1::BIGINT AS n FROM log WHERE server_id = 's1'")
+over_log("st_tail_loop", lambda log: tailed(log).agg(F.count("*").alias("lines"), F.max("n").alias("most")), "SELECT count(*) AS lines, 1::BIGINT AS most FROM log WHERE server_id = 's1'")
+over_log("src_rotate", rotated, f"SELECT sha1({BODY}) AS h, (ts_ms // 1000) * 1000 AS ts_ms FROM log WHERE server_id = 's1'")
+
+
+def delivered(log):
+    path = shared_path(log.sparkSession, "outbox")
+    routes = log.sparkSession.createDataFrame([("s0", "room-a"), ("s1", "room-b")], "server_id string, target string")
+    files.deliver(joins.route(log.where("level = 'ERROR'").select("server_id", "event_id"), routes, ["all"]), path)
+    return log.sparkSession.read.schema("server_id string, event_id long, target string").json(path)
+
+
+over_log("snk_deliver", delivered, "SELECT l.server_id, l.event_id, t.target FROM log l JOIN (VALUES ('s0', 'room-a'), ('s1', 'room-b'), ('s0', 'all'), ('s1', 'all'), ('s2', 'all'), ('s3', 'all')) t(server_id, target) USING (server_id) WHERE l.level = 'ERROR'")
+
+
+def alerted(log):
+    """Issues as a stream, alerts with a cooldown after each."""
+    spark, source, folder = log.sparkSession, shared_path(log.sparkSession, "issues"), shared_path(log.sparkSession, "alerts")
+    found = k.issues(k.classify(log)).select("category", "tag", "first_ms", "servers", "alert")
+    found.coalesce(1).write.parquet(source)
+    return streams.run_once(streams.alerts(spark.readStream.schema(found.schema).parquet(source)), folder)
+
+
+over_log("st_alert", alerted, f"""{ISSUES}, al AS (SELECT unnest(servers) AS server, category, tag, first_ms FROM iss WHERE alert),
+ar AS (SELECT *, row_number() OVER (PARTITION BY server, category, tag ORDER BY first_ms) AS r FROM al),
+go AS (WITH RECURSIVE g(server, category, tag, r, first_ms, last, sent) AS (SELECT server, category, tag, r, first_ms, first_ms, true FROM ar WHERE r = 1
+ UNION ALL SELECT a.server, a.category, a.tag, a.r, a.first_ms, CASE WHEN a.first_ms - g.last >= 600000 THEN a.first_ms ELSE g.last END, a.first_ms - g.last >= 600000 FROM g JOIN ar a ON a.server = g.server AND a.category = g.category AND a.tag = g.tag AND a.r = g.r + 1) SELECT * FROM g)
+SELECT server, category, tag, first_ms FROM go WHERE sent""")
 
 # scalars
-over_log("fn_position", lambda log: log.select("event_id", F.array_join(t.found_all(F.concat(F.col("message"), F.lit(" at 1.5, 64, -20")), t.POSITION), ";").alias("out")), "SELECT event_id, '1.5, 64, -20' AS out FROM log")
+over_log("fn_position", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.POSITION), ";").alias("out")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.POSITION)}, 1), ';') AS out FROM log")
 over_log("fn_location", lambda log: log.select("event_id", F.concat_ws("@", F.get(t.found_all(F.col("message"), t.WORLD), 0), F.col("server_id")).alias("out")), f"SELECT event_id, concat_ws('@', nullif({d.get('message', t.WORLD, 1)}, ''), server_id) AS out FROM log")
 over_log("fn_config_files", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.CONFIG_FILE), ",").alias("files"), F.size(t.found_all(F.col("message"), t.HOST)).alias("hosts")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.CONFIG_FILE)}, 1), ',') AS files, len(list_distinct(regexp_extract_all(message, {d.q(t.HOST)}, 1)))::INT AS hosts FROM log")
 column("fn_repair", lambda: F.get_json_object(t.first_json(F.concat(F.lit("```json {\"a\": "), F.col("k").cast("string"), F.lit("} ```"))), "$.a"), "k::VARCHAR")
@@ -144,7 +244,10 @@ over_log("fn_window_arg", lambda log: log.agg(*[F.lit(t.window_minutes(x)).alias
 over_log("fn_target", lambda log: log.select(F.lower(F.trim(F.concat(F.lit(" Room:"), F.col("server_id")))).alias("target")).distinct(), "SELECT DISTINCT 'room:' || server_id AS target FROM log")
 
 # the rest
-over_log("smp_budget", lambda log: budget(log), "SELECT count(*) AS n FROM (SELECT 1) x -- log")
+over_log("smp_budget", lambda log: budget(log), """-- log
+, cu AS (SELECT *, sum(length(line)) OVER (ORDER BY r) AS chars FROM (SELECT event_id, line, row_number() OVER (ORDER BY ts_ms, seq) AS r FROM log) x WHERE r <= 120),
+go AS (WITH RECURSIVE g(n) AS (SELECT count(*) FROM cu UNION ALL SELECT greatest(0, least(n - 1, n * 3 // 4)) FROM g WHERE coalesce((SELECT chars FROM cu WHERE r = n), 0) > 2000) SELECT min(n) AS n FROM g)
+SELECT event_id FROM cu WHERE r <= (SELECT n FROM go)""")
 PLANS = {"database": "check the database and its pool", "plugin": "check the plugin and its configuration", "network": "check the proxy and the network", "performance": "check memory, disk and load", "economy": "check the shop's ledger against its transactions", "world": "check the region files against a backup", "position": "check the teleport target and the world border", "permission": "check the permission groups"}
 iss("cls_plan", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")).join(F.broadcast(i.sparkSession.createDataFrame(list(PLANS.items()), "domain string, step string")), "domain", "left").select("tag", "session", F.coalesce("step", F.lit("read the evidence")).alias("step")), f"SELECT tag, session, coalesce(p.step, 'read the evidence') AS step FROM (SELECT tag, session, {DOMAIN} AS domain FROM iss) i LEFT JOIN (VALUES {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in PLANS.items())}) p(domain, step) USING (domain)")
 over_log("st_anomaly", lambda log: w.history(log, ["server_id", "phrase"]).select("server_id", "phrase", "bucket", "n", F.round("ewma", 6).alias("ewma")), with_history("SELECT server_id, phrase, bucket, n, round(coalesce(list_reduce(list_transform(past, lambda x: x::DOUBLE), lambda p, x: 0.3 * x + 0.7 * p, 0.0::DOUBLE), 0.0), 6) AS ewma FROM h"))
@@ -155,7 +258,7 @@ over_log("st_backpressure", lambda log: log.withColumn("batch", F.floor((F.row_n
 
 
 def budget(log):
-    """Rows of a bounded sample, shortened on the driver until they fit; here: whether they do."""
-    lines = [r.line for r in log.orderBy("ts_ms", "seq").limit(120).collect()]
-    return log.sparkSession.range(1 if sum(map(len, s.fit_budget(lines, 2000))) <= 2000 else 0).select(F.count("*").over(Window.partitionBy(F.lit(1))).alias("n"))
-
+    """Rows of a bounded sample, shortened on the driver until their text fits."""
+    rows = log.orderBy("ts_ms", "seq").limit(120).select("event_id", "line").collect()
+    kept = len(s.fit_budget([r.line for r in rows], 2000))
+    return log.sparkSession.createDataFrame([(r.event_id,) for r in rows[:kept]], "event_id long")

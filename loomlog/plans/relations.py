@@ -22,13 +22,11 @@ over_log(
 )
 over_log("join_nearest", lambda log: j.nearest(log.where("level = 'ERROR'").withColumnRenamed("event_id", "err"), log.where("level = 'WARN'").withColumnRenamed("event_id", "warn"), ["server_id"], "err", "ts_ms", "warn", "ts_ms"), "SELECT e.event_id AS err, arg_min(x.event_id, (abs(x.ts_ms - e.ts_ms), x.event_id)) AS warn FROM log e LEFT JOIN (SELECT * FROM log WHERE level = 'WARN') x ON x.server_id = e.server_id WHERE e.level = 'ERROR' GROUP BY 1")
 over_log("join_anomaly_evidence", lambda log: j.top_matches(log, w.anomalies(log, ["server_id", "phrase"], ["ts_ms", "seq"]).where("score > 0.3"), ["server_id", "phrase"], [F.desc("ts_ms"), F.desc("seq")]).select("server_id", "phrase", "event_id"), with_history("SELECT server_id, phrase, event_id FROM (SELECT l.server_id, l.phrase, l.event_id, row_number() OVER (PARTITION BY l.server_id, l.phrase ORDER BY l.ts_ms DESC, l.seq DESC) AS n FROM log l SEMI JOIN (SELECT * FROM s WHERE greatest(e, q) > 0.3) z ON z.server_id = l.server_id AND z.phrase = l.phrase) y WHERE n <= 3"))
-over_log("join_substring", lambda log: j.contained(log.select("event_id", "message").where("k % 50 = 0"), log.select(F.col("player").alias("name")).distinct(), "message", "name").select("event_id", "name"), "SELECT event_id, name FROM (SELECT event_id, message FROM log WHERE k % 50 = 0) a JOIN (SELECT DISTINCT player AS name FROM log) b ON contains(message, name) OR contains(name, message)")
+over_log("join_substring", lambda log: j.contained(log.select("event_id", "message"), log.select(F.col("player").alias("name")).distinct(), "message", "name").select("event_id", "name"), "SELECT event_id, name FROM (SELECT event_id, message FROM log) a JOIN (SELECT DISTINCT player AS name FROM log ORDER BY name LIMIT 1000) b ON contains(message, name) OR contains(name, message)")
 NEAR = "SELECT DISTINCT a.event_id FROM (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) a JOIN (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) b ON abs(a.p - b.p) <= {n} AND b.phrase = 17 {k}"
 over_log("join_positional", lambda log: j.around(log, F.col("phrase") == 17, ["ts_ms", "seq"], 2, ["server_id"]).select("event_id"), NEAR.format(p="PARTITION BY server_id", n=2, k="AND a.server_id = b.server_id"))
-over_log("join_positional_global", lambda log: j.around(log, (F.col("phrase") == 17) & (F.col("k") % 10 == 0), ["ts_ms", "seq"], 20).select("event_id"), NEAR.format(p="", n=20, k="AND b.k % 10 = 0"))
-# the same two over the whole log
-over_log("join_substring_whole", lambda log: j.contained(log.select("event_id", "message"), log.select(F.col("player").alias("name")).distinct(), "message", "name").select("event_id", "name"), "SELECT event_id, name FROM (SELECT event_id, message FROM log) a JOIN (SELECT DISTINCT player AS name FROM log ORDER BY name LIMIT 1000) b ON contains(message, name) OR contains(name, message)")
-over_log("join_positional_global_whole", lambda log: j.around(log, F.col("phrase") == 17, ["ts_ms", "seq"], 20).select("event_id"), NEAR.format(p="", n=20, k=""))
+over_log("join_positional_global", lambda log: j.around(log, F.col("phrase") == 17, ["ts_ms", "seq"], 20).select("event_id"), NEAR.format(p="", n=20, k=""))
+over_log("join_positional_file", lambda log: j.around(log, F.col("phrase") == 27, ["ts_ms", "seq"], 40, ["path"]).select("event_id"), NEAR.replace("b.phrase = 17", "b.phrase = 27").format(p="PARTITION BY path", n=40, k="AND a.path = b.path"))
 HALF = "SELECT server_id || ':' || phrase AS key, max(ts_ms) AS ts_ms FROM log WHERE ts_ms {} 1601740000000 AND level = 'ERROR' AND phrase % 5 <> {} GROUP BY 1"
 
 
@@ -45,7 +43,8 @@ over_log("join_routing", lambda log: j.route(log, log.sparkSession.createDataFra
 over_log("join_rules", lambda log: log.join(F.broadcast(log.sparkSession.createDataFrame([(h[0], h[2]) for h in c.HINTS], "code string, severity string")), c.hint(F.col("line"), F.col("level"))["code"] == F.col("code")).select("event_id", "code", "severity"), "SELECT l.event_id, r.code, r.severity FROM log l JOIN (VALUES " + ", ".join(f"('{h[0]}', '{h[2]}')" for h in c.HINTS) + f") r(code, severity) ON r.code = {c.hint_sql('line', 'level')}")
 over_log("join_ai_merge", lambda log: (lambda i: j.merge_suggestions(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_error", n % 7, f"try {n}", n) for n in range(20)], "tag string, session long, suggestion string, at int"), ["tag", "session"], ["at"]).select("tag", "session", "suggestion"))(k.issues(k.classify(log))), f"{ISSUES} SELECT i.tag, i.session, s.suggestion FROM iss i LEFT JOIN (SELECT 'server_log_error' AS tag, n AS session, 'try ' || n AS suggestion FROM range(7) r(n)) s ON s.tag = i.tag AND s.session = i.session")
 over_log("join_review_drop", lambda log: (lambda i: j.drop_reviewed(i.select("tag", "session"), i.sparkSession.createDataFrame([("server_log_error", n, "drop", 0.5 + n * 0.05) for n in range(8)], "tag string, session long, decision string, confidence double"), ["tag", "session"]))(k.issues(k.classify(log))), f"{ISSUES} SELECT tag, session FROM iss WHERE NOT (tag = 'server_log_error' AND session BETWEEN 0 AND 7 AND 0.5 + session * 0.05 >= 0.65)")
-over_log("flt_drop_decision", lambda log: log.where("k % 2 = 0 AND k / 100.0 >= 0.65").select("event_id"), "SELECT event_id FROM log WHERE k % 2 = 0 AND k / 100.0 >= 0.65")
+REVIEWS = [("server_log_error", n, "drop" if n % 2 == 0 else "keep", 0.5 + n * 0.05) for n in range(12)]
+over_log("flt_drop_decision", lambda log: (lambda i: j.drop_reviewed(i.select("tag", "session"), i.sparkSession.createDataFrame(REVIEWS, "tag string, session long, decision string, confidence double"), ["tag", "session"]))(k.issues(k.classify(log))), f"{ISSUES} SELECT tag, session FROM iss i WHERE NOT EXISTS (SELECT 1 FROM (VALUES " + ", ".join(f"('{a}', {b}, '{c_}', {d_})" for a, b, c_, d_ in REVIEWS) + ") v(tag, session, decision, confidence) WHERE v.tag = i.tag AND v.session = i.session AND v.decision = 'drop' AND v.confidence >= 0.65)")
 
 # samples, limits, distinct rows
 PRIORITY = f"CASE WHEN {d.has('lower(message) || chr(32) || lower(level)', t.any_of(t.PRIORITY_WORDS))} THEN 5.0 ELSE 1.0 END"
@@ -58,17 +57,19 @@ def priority():
 over_log("top_priority", lambda log: s.top(log, priority(), [F.desc("seq")], 50).select("event_id"), f"SELECT event_id FROM log ORDER BY {PRIORITY} DESC, seq DESC LIMIT 50")
 over_log("top_evidence", lambda log: s.evidence(log, ["server_id"], t.normalised(F.col("line")), priority(), ["ts_ms", "seq"], 5).select("server_id", "event_id"), f"SELECT server_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY p DESC, ts_ms, seq) AS r FROM (SELECT *, {PRIORITY} AS p, row_number() OVER (PARTITION BY server_id, {d.normalised('line')} ORDER BY {PRIORITY} DESC, ts_ms, seq) AS q FROM log) x WHERE q = 1) y WHERE r <= 5")
 over_log("lim_caps", lambda log: log.orderBy("ts_ms", "seq").limit(200).select("event_id"), "SELECT event_id FROM log ORDER BY ts_ms, seq LIMIT 200")
-query("smp_reservoir")(lambda spark, sf: (lambda log: s.reservoir(log, "event_id", 100).select("event_id"))(_log(spark, sf)))
-query("smp_merge")(lambda spark, sf: (lambda log: s.bounded(log, "event_id", priority(), ["ts_ms", "seq"], 90).select("event_id"))(_log(spark, sf)))
+DRAWN = f"sha1('{s.SEED}:' || event_id)"
+over_log("smp_reservoir", lambda log: s.reservoir(log, "event_id", 100).select("event_id"), f"SELECT event_id FROM log ORDER BY {DRAWN}, event_id LIMIT 100")
+over_log("smp_merge", lambda log: s.bounded(log, "event_id", priority(), ["ts_ms", "seq"], 90).select("event_id"), f"""-- log
+, fi AS (SELECT event_id FROM log WHERE {PRIORITY} > 1 ORDER BY {PRIORITY} DESC, ts_ms, seq LIMIT 60),
+re AS (SELECT event_id FROM log ORDER BY {DRAWN}, event_id LIMIT 90),
+le AS (SELECT event_id, row_number() OVER (ORDER BY {DRAWN}, event_id) AS r FROM re WHERE event_id NOT IN (SELECT event_id FROM fi))
+SELECT event_id FROM fi UNION ALL SELECT event_id FROM le WHERE r <= 90 - (SELECT count(*) FROM fi)""")
 query("smp_prompt")(lambda spark, sf: (lambda log: s.prompt_sample(log.withColumn("h", t.clean_hash(F.col("message"))), "h", priority(), F.col("level") == "INFO", priority() - 1, ["ts_ms", "seq"], "event_id", 60).select("event_id"))(_log(spark, sf)))
 over_log("set_union", lambda log: log.where("level = 'ERROR'").select("event_id").unionByName(log.where("level = 'WARN'").select("event_id")), "SELECT event_id FROM log WHERE level = 'ERROR' UNION ALL SELECT event_id FROM log WHERE level = 'WARN'")
 over_log("set_distinct_first", lambda log: s.distinct_first(log.withColumn("fp", t.fingerprint(F.col("line"))), ["server_id", "fp"], ["ts_ms", "seq"]).select("server_id", "event_id"), f"SELECT server_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id, {d.fingerprint('line')} ORDER BY ts_ms, seq) AS r FROM log) x WHERE r = 1")
 over_log("set_distinct_best", lambda log: s.distinct_best(log.withColumn("h", t.clean_hash(F.col("message"))), ["h"], F.col("k"), ["ts_ms", "seq"]).select("event_id"), f"SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY {d.clean_text('message')} ORDER BY k DESC, ts_ms, seq) AS r FROM log) x WHERE r = 1")
 over_log("set_intersect", lambda log: k.issues(k.classify(log)).where(F.arrays_overlap("servers", F.array(F.lit("s1"), F.lit("s3")))).select("tag", "session"), f"{ISSUES} SELECT tag, session FROM iss WHERE list_has_any(servers, ['s1', 's3'])")
 over_log("st_dedupe", lambda log: s.distinct_first(log.withColumn("slot", F.floor(F.col("ts_ms") / 120_000)), ["server_id", "message", "slot"], ["ts_ms", "seq"]).select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id, message, ts_ms // 120000 ORDER BY ts_ms, seq) AS r FROM log) x WHERE r = 1")
-over_log("st_alert", lambda log: (lambda i: i.where("alert").withColumn("slot", F.floor(F.col("first_ms") / 600_000)).groupBy("tag", "slot").agg(F.min("first_ms").alias("first_ms")))(k.issues(k.classify(log))), f"{ISSUES} SELECT tag, first_ms // 600000 AS slot, min(first_ms) AS first_ms FROM iss WHERE alert GROUP BY ALL")
-
-
 def _log(spark, sf):
     from loomlog.sources.eventlog import log
 
@@ -99,24 +100,12 @@ over_log("st_template", lambda log: loops.mine_templates(log, "server_id", "mess
 over_log("agg_anomaly_snapshot", lambda log: (lambda a: a.groupBy("server_id", "phrase").agg(F.max_by(F.round("score", 6), F.struct("ts_ms", "seq")).alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), F.desc("n"), "server_id", "phrase").limit(20))(w.anomalies(log, ["server_id", "phrase"], ["ts_ms", "seq"])), with_history("SELECT server_id, phrase, arg_max(round(greatest(e, q, CASE WHEN total = 1 THEN 0.3 ELSE 0.0 END), 6), (s.ts_ms, s.event_id)) AS score, count(*) AS n FROM s GROUP BY ALL ORDER BY score DESC, n DESC, server_id, phrase LIMIT 20"))
 over_log("agg_flood_players", lambda log: named(w.floods(chat_rows(log).drop("player"), "chat_player")).groupBy("player").agg(F.count("*").alias("floods"), F.sum("n").alias("messages")), f"SELECT player, count(*) AS floods, sum(n)::BIGINT AS messages FROM ({FLOODS}) f GROUP BY 1")
 
-# sources, over lines with a path and a number
-over_log("src_ts_scan", lambda log: _carried(log), "SELECT event_id, coalesce(last_value(t IGNORE NULLS) OVER (PARTITION BY path ORDER BY ts_ms, seq ROWS UNBOUNDED PRECEDING), 0) AS ts FROM (SELECT *, CASE WHEN k % 3 <> 0 THEN ts_ms END AS t FROM log) x")
-over_log("src_backfill", lambda log: log.where("ts_ms >= 1601740000000").orderBy(F.desc("path"), "ts_ms", "seq").limit(500).select("event_id"), "SELECT event_id FROM log WHERE ts_ms >= 1601740000000 ORDER BY path DESC, ts_ms, seq LIMIT 500")
-over_log("src_hour_range", lambda log: log.where("ts_ms >= 1601737200000 AND ts_ms < 1601740800000").select("event_id"), "SELECT event_id FROM log WHERE ts_ms >= 1601737200000 AND ts_ms < 1601740800000")
-over_log("src_jsonl_range", lambda log: log.withColumn("t", F.when(F.col("k") % 7 == 0, None).otherwise(F.col("ts_ms"))).where("t IS NULL OR (t >= 1601737200000 AND t < 1601740800000)").select("event_id"), "SELECT event_id FROM log WHERE k % 7 = 0 OR (ts_ms >= 1601737200000 AND ts_ms < 1601740800000)")
+# sources
 over_log("src_tail_n", lambda log: j.top_matches(log, log, ["path"], [F.desc("ts_ms"), F.desc("seq")], 10).select("path", "event_id"), "SELECT path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts_ms DESC, seq DESC) AS r FROM log) x WHERE r <= 10")
 over_log("src_sparse_index", lambda log: log.withColumn("back", F.col("ts_ms") < F.lag("ts_ms").over(_by_path())).groupBy("path").agg((~F.coalesce(F.max("back"), F.lit(False))).alias("monotonic"), F.count("*").alias("n")), "SELECT path, NOT coalesce(bool_or(back), false) AS monotonic, count(*) AS n FROM (SELECT *, ts_ms < lag(ts_ms) OVER (PARTITION BY path ORDER BY event_id) AS back FROM log) x GROUP BY 1")
-over_log("src_candidates", lambda log: log.groupBy("path").agg(F.max("ts_ms").alias("mtime")).where("mtime >= 1601740000000 - 86400000").orderBy(F.desc("mtime"), "path").limit(5), "SELECT path, max(ts_ms) AS mtime FROM log GROUP BY 1 HAVING max(ts_ms) >= 1601740000000 - 86400000 ORDER BY 2 DESC, 1 LIMIT 5")
-over_log("src_partition_prune", lambda log: log.withColumn("day", F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd")).groupBy("server_id", "day").agg(F.count("*").alias("n")), "SELECT server_id, strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d') AS day, count(*) AS n FROM log GROUP BY ALL")
 
 
 def _by_path():
     from pyspark.sql import Window
 
     return Window.partitionBy("path").orderBy("event_id")
-
-
-def _carried(log):
-    from loomlog.sources.files import carry_forward
-
-    return carry_forward(log.withColumn("t", F.when(F.col("k") % 3 != 0, F.col("ts_ms"))), "path", ["ts_ms", "seq"], "t").select("event_id", F.coalesce("t", F.lit(0)).alias("ts"))

@@ -98,9 +98,14 @@ over_log(
     lambda log: log.select("event_id", F.get_json_object(t.first_json(F.concat(F.lit("answer: {\"k\": "), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.lit("} thanks")))), "$.k").alias("out")),
     "SELECT event_id, CASE WHEN k % 3 <> 0 THEN k::VARCHAR END AS out FROM log",
 )
-query("fn_similar", f"SELECT a.p AS a, b.p AS b, {d.similar('a.p', 'b.p')} AS out FROM (SELECT DISTINCT player AS p FROM log) a CROSS JOIN (SELECT DISTINCT player AS p FROM log) b")(
-    lambda spark, sf: (lambda p: p.crossJoin(p.withColumnRenamed("a", "b")).select("a", "b", t.similar(F.col("a"), F.col("b")).alias("out")))(__import__("loomlog.sources.eventlog", fromlist=["log"]).log(spark, sf).select(F.col("player").alias("a")).distinct())
-)
+def _similar(log):
+    """Pairs of names that are similar: those that share a similarity key meet, no others."""
+    keyed = log.select(F.col("player").alias("a")).distinct().select("a", F.explode(t.similarity_keys(F.col("a"))).alias("key"))
+    met = keyed.join(keyed.withColumnRenamed("a", "b"), "key").where("a < b").select("a", "b").distinct()
+    return met.where(t.similar(F.col("a"), F.col("b")))
+
+
+over_log("fn_similar", _similar, f"SELECT a.p AS a, b.p AS b FROM (SELECT DISTINCT player AS p FROM log) a JOIN (SELECT DISTINCT player AS p FROM log) b ON a.p < b.p AND {d.similar('a.p', 'b.p')}")
 query("fn_redaction_documents", f"SELECT doc_id, substr(sha1({d.clean_text('text')}), 1, 24) AS clean_hash, {' + '.join(d.redacted(d.transport('text'))[1])} AS redactions FROM documents")(
     lambda spark, sf: documents(spark, sf).select("doc_id", t.clean_hash(F.col("text")).alias("clean_hash"), t.clean(F.col("text"))["redactions"].alias("redactions"))
 )

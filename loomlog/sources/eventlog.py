@@ -2,7 +2,8 @@
 
 The tables at hand hold no log lines, so each event becomes one: a server, a player, a
 level and a phrase chosen by its payload. Time is compressed 60-fold, which makes the
-sparse events dense enough for floods, sessions and spikes.
+sparse events dense enough for sessions and spikes; BURST of each PERIOD events are one
+player's same words, two seconds apart, as a flood is.
 """
 
 from __future__ import annotations
@@ -36,7 +37,32 @@ PHRASES = [
     "[Vulcan] Loading checks",
     "P lost connection: Timed out",
     "Backup failed: disk full on /data",
+    "Broken pipe during packet flush",
+    "Could not load plugin EssentialsX-2.K.jar",
+    "Plugin DependsOnVault missing dependency: Vault",
+    "java.lang.OutOfMemoryError: GC overhead limit exceeded",
+    "A single server tick took 60.K seconds",
+    "Failed to load chunk K, 12",
+    "服务器内存溢出，进程崩溃 K",
+    "<P> 又掉线了，全服都卡",
+    "<P> 建议加个新商店功能",
+    "<P> 管理员在吗，有人偷东西",
+    "<P> 加群 1K 代练便宜",
+    "<P> 你好",
+    "<P> go to discord.gg/free now",
+    "lost connection: Disconnected",
+    "P left the game",
+    "Session ticker running behind by K ticks",
+    "Failed to check for updates for plugin Shop",
+    "kicked P for spamming",
+    "Vote reward announcement sent to P today",
+    "Velocity forwarding secret mismatch for backend server K",
+    "UUID of player P is 123e4567-e89b-12d3-a456-42661417400K",
+    "<P> 有人飞行疑似开挂，求处理",
+    "<P> 我要威胁开盒你",
+    "QuickShop transaction failed for P at world/overworld 10.5, 64, -20",
 ]
+PERIOD, BURST, BURST_PHRASE = 997, 12, 18
 LEVELS = {"error": "ERROR", "click": "WARN", "signup": "INFO", "purchase": "INFO", "view": "INFO"}
 
 
@@ -54,13 +80,16 @@ def log_sql(spark: bool) -> str:
             quoted = f"{head}' || CAST(k AS STRING) || '{tail}"
         parts.append(f"WHEN {i} THEN {quoted}")
     clock = "lpad(CAST(CAST(floor(ts_ms / 3600000) AS BIGINT) % 24 AS STRING), 2, '0') || ':' || lpad(CAST(CAST(floor(ts_ms / 60000) AS BIGINT) % 60 AS STRING), 2, '0') || ':' || lpad(CAST(CAST(floor(ts_ms / 1000) AS BIGINT) % 60 AS STRING), 2, '0')"
+    burst, block = f"event_id % {PERIOD} < {BURST}", f"CAST(floor(event_id / {PERIOD}) AS BIGINT)"
+    ts = f"CASE WHEN {burst} THEN 1601740000000 + {block} * 600000 + (event_id % {PERIOD}) * 2000 ELSE CAST(floor(({ts} - 1600000000000) / 60) AS BIGINT) + 1600000000000 END"
+    phrase = f"CASE WHEN {burst} THEN {BURST_PHRASE} ELSE CAST((k0 * 7 + event_id) % {len(PHRASES)} AS INT) END"
     return f"""
 SELECT *, '[' || {clock} || '] [Server thread/' || level || ']: ' || message AS line,
   's' || CAST(user_id % 4 AS STRING) || '/2024-01-0' || CAST(1 + user_id % 3 AS STRING) || '-1.log.gz' AS path FROM (
 SELECT *, CASE phrase {' '.join(parts)} END AS message FROM (
-SELECT event_id, event_id AS seq, user_id, CAST(floor(({ts} - 1600000000000) / 60) AS BIGINT) + 1600000000000 AS ts_ms, 's' || CAST(user_id % 4 AS STRING) AS server_id,
-  'p' || CAST(user_id % 40 AS STRING) AS player, CASE event_type {level} ELSE 'INFO' END AS level, {k} AS k, CAST((k0 * 7 + event_id) % {len(PHRASES)} AS INT) AS phrase
-FROM (SELECT *, {k} AS k0 FROM events) e) l) m"""
+SELECT event_id, event_id AS seq, user_id, CAST({ts} AS BIGINT) AS ts_ms, 's' || CAST(user_id % 4 AS STRING) AS server_id,
+  'p' || CAST(user_id % 40 AS STRING) AS player, CASE event_type {level} ELSE 'INFO' END AS level, {k} AS k, {phrase} AS phrase
+FROM (SELECT event_id, event_type, props, ts, CASE WHEN {burst} THEN 7 ELSE user_id END AS user_id, {k} AS k0 FROM events) e) l) m"""
 
 
 def log(spark: SparkSession, sf_dir: str) -> DataFrame:

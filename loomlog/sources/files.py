@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import datetime
+import hashlib
+import re
+import urllib.parse
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,6 +13,7 @@ from pyspark.sql import functions as F
 from loomlog.functions import text as t
 
 OBSERVATION = "event_id string, kind string, server_id string, server_name string, backend_server string, proxy_id string, player_name string, player_uuid_hash string, content string, ts_ms long, tags array<string>, context map<string, string>, raw map<string, string>"
+DATED = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}")
 # What names of server types stand for.
 TYPES = {"minecraft": "minecraft", "paper": "minecraft", "spigot": "minecraft", "bukkit": "minecraft", "mc": "minecraft", "velocity": "velocity"}
 
@@ -38,12 +42,86 @@ def resolve(entry: dict) -> str | None:
     return f"{entry['root'].rstrip('/')}/logs" if entry.get("root") else None
 
 
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, modification time in ms) of the log files below a folder, through its own file system: names and times only."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    files, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
+    while files.hasNext():
+        f = files.next()
+        name = f.getPath().toString()
+        if name.endswith((".log", ".log.gz")):
+            found.append((name, f.getModificationTime()))
+    return found
+
+
+def dated(name: str) -> datetime.date | None:
+    """The date in a file's name, None without one."""
+    found = DATED.search(name.rsplit("/", 1)[-1])
+    try:
+        return datetime.date.fromisoformat(found[0]) if found else None
+    except ValueError:
+        return None
+
+
+def newest_first(files: list[tuple[str, int]]) -> list[tuple[str, int]]:
+    """The file that is still written, then by the date in the name, then by time of change."""
+    return sorted(files, key=lambda f: (dated(f[0]) or datetime.date.max, f[1], f[0]), reverse=True)
+
+
 def candidates(spark: SparkSession, path: str, cutoff: datetime.date, most: int) -> DataFrame:
-    """Log files worth reading: latest.log, or changed or dated a day before the cutoff or later; newest first, `most` at most."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.log*").load(path).select("path", "modificationTime")
-    day = F.lit(cutoff - datetime.timedelta(days=1))
-    fits = F.col("path").endswith("/latest.log") | (F.to_date("modificationTime") >= day) | (t.file_date(F.col("path")) >= day)
-    return files.where(F.col("path").rlike(r"\.log(\.gz)?$") & fits).orderBy(F.desc("modificationTime"), "path").limit(most)
+    """(path, modified_ms): log files worth reading: latest.log, or dated, or else changed, a day before the cutoff or later; newest first, `most` at most."""
+    day = cutoff - datetime.timedelta(days=1)
+    changed = lambda ms: datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).date()
+    fits = [f for f in listed(spark, path) if f[0].endswith("/latest.log") or (dated(f[0]) or changed(f[1])) >= day]
+    return spark.createDataFrame(newest_first(fits)[:most], "path string, modified_ms long")
+
+
+def between(spark: SparkSession, path: str, from_ms: int, to_ms: int, now_ms: int) -> DataFrame:
+    """Lines of [from_ms, to_ms). Files whose name has a date outside, a day of slack each way, are not opened."""
+    low, high = (datetime.datetime.fromtimestamp(x / 1000, datetime.UTC).date() for x in (from_ms, to_ms))
+    slack = datetime.timedelta(days=1)
+    files = [f for f, _ in listed(spark, path) if dated(f) is None or low - slack <= dated(f) <= high + slack]
+    if not files:
+        return spark.createDataFrame([], "path string, line_no long, line string, ts_ms long")
+    return scan(spark, files, now_ms).where((F.col("ts_ms") >= from_ms) & (F.col("ts_ms") < to_ms))
+
+
+def backfill(spark: SparkSession, path: str, from_ms: int, now_ms: int, most: int, most_files: int = 1000) -> DataFrame:
+    """The first `most` lines from from_ms on, newest files first; in a file in the order of its lines."""
+    cutoff = datetime.datetime.fromtimestamp(from_ms / 1000, datetime.UTC).date()
+    files = [r.path for r in candidates(spark, path, cutoff, most_files).collect()]  # names, most_files at most
+    if not files:
+        return spark.createDataFrame([], "path string, line_no long, line string, ts_ms long")
+    place = F.array_position(F.array(*[F.lit(f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1]) for f in files]), F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
+    rows = scan(spark, files, now_ms).where(F.col("ts_ms") >= from_ms)
+    return rows.withColumn("_place", place).orderBy("_place", "line_no").limit(most).drop("_place")
+
+
+def write_logs(rows: DataFrame, root: str, path: str, order: list[str], line: str) -> str:
+    """One file for each value of `path` (such as s1/2024-01-01-1.log.gz; gzip by its ending) below root, its lines in order; root. A file that is there is replaced."""
+    spark = rows.sparkSession
+    out = rows.select(F.col(path).alias("_p"), F.col(line).alias("value"), *[F.col(c).alias(f"_{i}") for i, c in enumerate(order)])
+    keys = [f"_{i}" for i in range(len(order))]
+    out = out.repartition("_p").sortWithinPartitions("_p", *keys).select("_p", "value")
+    packed = F.col("_p").endswith(".gz")
+    out.where(packed).write.partitionBy("_p").option("compression", "gzip").text(f"{root}/_parts")
+    out.where(~packed).write.mode("append").partitionBy("_p").text(f"{root}/_parts")
+    jvm = spark.sparkContext._jvm
+    P = jvm.org.apache.hadoop.fs.Path
+    parts = P(f"{root}/_parts")
+    system = parts.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for folder in system.listStatus(parts):
+        name = folder.getPath().getName()
+        if name.startswith("_p="):
+            to = P(f"{root}/{urllib.parse.unquote(name[3:])}")
+            system.mkdirs(to.getParent())
+            for f in system.listStatus(folder.getPath()):
+                if f.getPath().getName().startswith("part-"):
+                    system.delete(to, False)
+                    system.rename(f.getPath(), to)
+    system.delete(parts, True)
+    return root
 
 
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -72,6 +150,31 @@ def scan(spark: SparkSession, path: str | list[str], now_ms: int, size: int = 40
     return out.withColumn("ts_ms", F.coalesce("ts_ms", F.lit(now_ms))).withColumn("line", t.truncate(F.col("line"), size))
 
 
+def cached_scan(spark: SparkSession, path: str, cache: str, now_ms: int) -> DataFrame:
+    """scan() of all log files below a folder, each parsed once: rows are kept under cache by the file's name, size and time of change."""
+    names = [(f, hashlib.sha1(f"{f}:{ms}".encode()).hexdigest()) for f, ms in listed(spark, path)]
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    have = {x.getPath().getName().removeprefix("key=") for x in system.listStatus(root)} if system.exists(root) else set()
+    new = [(f, k) for f, k in names if k not in have]
+    if new:
+        keys = spark.createDataFrame([(re.sub("^file:/+", "/", f), k) for f, k in new], "_f string, key string")
+        rows = scan(spark, [f for f, _ in new], now_ms).withColumn("_f", F.regexp_replace("path", "^file:/+", "/")).join(F.broadcast(keys), "_f").drop("_f")
+        rows.write.mode("append").partitionBy("key").parquet(cache)
+    kept = spark.read.parquet(cache) if names else spark.createDataFrame([], "path string, line_no long, line string, ts_ms long, key string")
+    return kept.where(F.col("key").cast("string").isin([k for _, k in names])).drop("key")
+
+
+def deliver(rows: DataFrame, path: str, target: str = "target") -> None:
+    """Messages as JSON lines in an outbox folder of each target, from which a sender takes them; appended, so a retry may repeat a message."""
+    rows.write.mode("append").partitionBy(target).json(path)
+
+
+def read_jsonl_range(spark: SparkSession, path: str, from_ms: int, to_ms: int) -> DataFrame:
+    """Observations of [from_ms, to_ms), and those without a time."""
+    return read_jsonl(spark, path).where(F.col("ts_ms").isNull() | ((F.col("ts_ms") >= from_ms) & (F.col("ts_ms") < to_ms)))
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     """Observations from JSON lines; lines that aren't objects, and fields that don't fit, are left out or null."""
     got = spark.read.schema(OBSERVATION + ", _bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(path)

@@ -6,11 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomlog.functions import text as t
 from loomlog.operators.loops import EMITTED, WINDOW_MS, Entry
+from loomlog.sources.tail import tail
 
 LATE = "10 minutes"
 
@@ -92,10 +94,49 @@ def baseline(rows: DataFrame, keys: list[str], alpha: float = 0.3, spike: float
     return with_time(rows).groupBy(*keys).applyInPandasWithState(step, schema, "ewma double, minute long, n long, total long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def alerts(issues: DataFrame, batch: int, send, seen: dict, cooldown_ms: int = 600_000) -> None:
-    """For foreachBatch: one alert for each (server, category, tag) within the cooldown. seen is the small driver state."""
-    for r in issues.where("alert").orderBy("first_ms").select("category", "tag", "first_ms", F.explode("servers").alias("server")).collect():
-        key = (r.server, r.category, r.tag)
-        if r.first_ms - seen.get(key, -cooldown_ms) >= cooldown_ms:
-            seen[key] = r.first_ms
-            send(key, r.first_ms, batch)
+def alerts(issues: DataFrame, cooldown_ms: int = 600_000) -> DataFrame:
+    """(server, category, tag, first_ms) of alerts: none within the cooldown after the last one of its key.
+
+    The state of a key is the time of its last alert, and is dropped when that is over.
+    """
+    types = {"server": "server string", "category": "category string", "tag": "tag string"}
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last, out = state.get[0] if state.exists else None, []
+        for ms in sorted(int(x) for pdf in batches for x in pdf.first_ms):
+            if last is None or ms - last >= cooldown_ms:
+                last = ms
+                out.append((*k, ms))
+        if last is not None:
+            state.update((last,))
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + cooldown_ms + 1)
+        if out:
+            yield pd.DataFrame(out, columns=[*types, "first_ms"])
+
+    rows = issues.where("alert").select("category", "tag", "first_ms", F.explode("servers").alias("server"))
+    keyed = with_time(rows, "first_ms").groupBy(*types)
+    return keyed.applyInPandasWithState(step, ", ".join(types.values()) + ", first_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def run_once(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """Run a stream over all that is there, into a table in the folder, and read that. Called again, it goes on where it stopped."""
+    query = rows.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
+
+
+def ingest(spark: SparkSession, path: str, server_id: str, folder: str, now_ms: int, **options: str) -> DataFrame:
+    """Lines appended to the files of one server since the last call, parsed and stored; all stored rows, each event once.
+
+    A rotated file comes again under its new name: event ids are made of server, time and
+    print of a line, so its rows are the same events.
+    """
+    lines = tail(spark, path, **options).where(F.trim("line") != "")
+    ts = t.timestamp_ms(t.time_parts(F.col("line")), t.file_date(F.col("path")), F.lit(0), F.lit(now_ms))
+    row = lines.select(F.lit(server_id).alias("server_id"), ts.alias("ts_ms"), t.level(F.col("line")).alias("level"), "line")
+    event = t.event_id(F.col("server_id"), F.col("ts_ms"), F.sha1("line"), F.lit(""))
+    stored = run_once(row.withColumn("event_id", event), folder)
+    return stored.groupBy("event_id").agg(*[F.first(c).alias(c) for c in ("server_id", "ts_ms", "level", "line")])
