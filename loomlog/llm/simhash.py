@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shingles
@@ -89,27 +89,21 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 def links(distinct: DataFrame, masks: list[int] | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that connect all pairs within radius 2.
 
-    Every link joins two within radius 2; those that share a midpoint are joined to their
-    smallest member. Buckets with one member are dropped by a count, pre-aggregated per
+    Every link joins two within radius 2; those of a bucket that share a midpoint are joined
+    to their smallest member. Buckets with one member are dropped by a count, pre-aggregated per
     task and joined back, so a bucket is never gathered.
     """
     masks = covering_masks() if masks is None else masks
     tables = F.explode(F.array(*[F.struct(F.lit(1 << i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(masks)]))
     keyed = distinct.select("fp", tables.alias("b")).select("fp", "b.t", "b.key")
     shared = keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1").select("t", "key")
-    met = keyed.join(shared, ["t", "key"], "left_semi").groupBy("fp").agg(F.bit_or("t").alias("tables"))
-
-    def free(i: int) -> Column:
-        """Bits that some table in which fp met another leaves free."""
-        inside = [F.col("tables").bitwiseAND(F.lit(1 << t)) != 0 for t, m in enumerate(masks) if not (m >> i) & 1]
-        any_of = inside[0]
-        for x in inside[1:]:
-            any_of = any_of | x
-        flip = 1 << i if i < 63 else -(1 << 63)
-        return F.when(any_of, F.col("fp").bitwiseXOR(F.lit(flip)))
-
-    middle = F.explode(F.array_compact(F.array(F.col("fp"), *[free(i) for i in range(64)])))
-    around = met.select("fp", middle.alias("middle")).groupBy("middle").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
+    met = keyed.join(shared, ["t", "key"], "left_semi").select("fp", "t")
+    flip = lambda i: F.col("fp").bitwiseXOR(F.lit(1 << i if i < 63 else -(1 << 63)))
+    middles = None
+    for t, m in enumerate(masks):  # in the free bits of the table, so a midpoint names its bucket too
+        own = F.array(F.col("fp"), *[flip(i) for i in range(64) if not (m >> i) & 1])
+        middles = F.when(F.col("t") == 1 << t, own) if middles is None else middles.when(F.col("t") == 1 << t, own)
+    around = met.select("fp", "t", F.explode(middles).alias("middle")).groupBy("t", "middle").agg(F.collect_set("fp").alias("near")).where(F.size("near") > 1)
     low = F.array_min("near")
     return around.select(F.explode("near").alias("a"), low.alias("b")).where("a <> b").distinct()
 
