@@ -121,33 +121,39 @@ def _flat(*columns: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return lens, np.stack([np.concatenate([np.asarray(x, dtype=np.int64) for x in c]) if lens.sum() else np.zeros(0, np.int64) for c in columns], axis=1).view(np.uint64)
 
 
-def build(keyed: DataFrame, listed: list[str]) -> Cascade:
-    """A cascade for `listed` over the universe of keyed.keys (array<string>).
+def build(keyed: DataFrame, lists: list[list[str]]) -> list[Cascade]:
+    """A cascade for each list of keys over the universe of keyed.keys (array<string>), all in two scans of it.
 
     The first level's error rate is set from the universe's size (an approximate count), so
-    that its false positives, all that the driver gathers, number about 0.7 for each listed key.
-    They are found by one scan of the whole universe. Memory follows the list, not the corpus.
+    that its false positives, all that the driver gathers beside listed keys, number about 0.7
+    for each listed key. Memory follows the lists, not the corpus; filters are broadcast.
     """
-    h = np.array([hash_pair(k) for k in listed], dtype=np.uint64).reshape(-1, 2)
-    size = keyed.select(F.explode("keys").alias("k")).agg(F.approx_count_distinct("k")).first()[0] if listed else 0
-    fpr = min(0.5, max(1e-12, len(listed) / (math.sqrt(2) * max(1, size))))
-    first, names = Bloom(h, fpr, 1), frozenset(listed)
+    spark = keyed.sparkSession
+    hashed = [np.array([hash_pair(k) for k in listed], dtype=np.uint64).reshape(-1, 2) for listed in lists]
+    size = keyed.select(F.explode("keys").alias("k")).agg(F.approx_count_distinct("k")).first()[0] if any(lists) else 0
+    rate = lambda listed: min(0.5, max(1e-12, len(listed) / (math.sqrt(2) * max(1, size))))
+    firsts = [Bloom(h, rate(listed), 1) for h, listed in zip(hashed, lists, strict=True)]
+    if not any(lists):
+        return [Cascade(h, h, first) for h, first in zip(hashed, firsts, strict=True)]
+    shared = spark.sparkContext.broadcast([first if listed else None for first, listed in zip(firsts, lists, strict=True)])
 
     def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[str] = set()
+        seen: set[tuple[int, str]] = set()
         for pdf in batches:
             _, hh = _flat(pdf.h1, pdf.h2)
-            names_at = [k for ks in pdf["keys"] for k in ks]
-            new = {names_at[i] for i in np.flatnonzero(first.has(hh))} - names - seen
+            names = [k for ks in pdf["keys"] for k in ks]
+            new = {(n, names[i]) for n, first in enumerate(shared.value) if first is not None for i in np.flatnonzero(first.has(hh))} - seen
             seen |= new
             if new:
-                yield pd.DataFrame({"key": sorted(new)})
+                yield pd.DataFrame(sorted(new), columns=["n", "key"])
 
-    if not listed:
-        return Cascade(h, h, first)
     h1, h2 = hashes(F.col("keys"))
-    found = keyed.select("keys", h1.alias("h1"), h2.alias("h2")).mapInPandas(tidy(passing), "key string").distinct().collect()
-    return Cascade(h, np.array(sorted(hash_pair(r.key) for r in found), dtype=np.uint64).reshape(-1, 2), first)
+    found = keyed.select("keys", h1.alias("h1"), h2.alias("h2")).mapInPandas(tidy(passing), "n int, key string").distinct().collect()
+    out = []
+    for n, (h, listed, first) in enumerate(zip(hashed, lists, firsts, strict=True)):
+        wrong = {r.key for r in found if r.n == n}.difference(listed)
+        out.append(Cascade(h, np.array(sorted(map(hash_pair, wrong)), dtype=np.uint64).reshape(-1, 2), first))
+    return out
 
 
 def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -155,13 +161,14 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]] | None = None) ->
 
     rules: (allow or block, host, path); the longest fitting rule (host and path together)
     decides. A url that no rule lists isn't in the block cascade: allow. Null urls and those
-    without :// have no host, no path and no rule. Repeated rows are judged each; other columns are not read.
+    without :// have no host, no path and no rule. Repeated rows are judged each; other columns
+    are not read. An empty table gives no rows; a url of any length is one row.
     """
     rules = RULES if rules is None else rules
     lengths = [len(p) for _, _, p in rules] or [0]
     urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     keyed = urls.withColumn("keys", keys_of(F.col("host"), F.col("path"), lengths))
-    allow, block = (build(keyed, sorted({h + p for a, h, p in rules if a == action})) for action in ("allow", "block"))
+    allow, block = build(keyed, [sorted({h + p for a, h, p in rules if a == action}) for action in ("allow", "block")])
 
     @F.pandas_udf("int")
     def decide(h1: pd.Series, h2: pd.Series) -> pd.Series:
