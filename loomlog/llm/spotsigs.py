@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, null_ids, table, with_ids
+from .common import NULL_ID, cut, null_ids, table, with_ids
 
 # Common words of four languages.
 ANCHORS = {
@@ -102,32 +102,37 @@ def similar(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text, sigs with next_text, next_sigs: those of the next document by descending doc_id; after the last, of the first.
 
-    Ids are dealt into windows along their approximate distribution, so that no task holds
-    all. The first document of each window is copied to the end of the one before: at most
-    MAX_WINDOWS ids are broadcast for it. Texts are shuffled once. Repeated ids follow each
-    other by text; null ids come last; a table of one row is its own next.
+    Ids are dealt into windows along their approximate distribution, null ids by the hash of
+    their text, so that no task holds all. The first document of each window is copied to the
+    end of the one before: at most 2 * MAX_WINDOWS ids are broadcast for it; beyond, windows
+    grow, which sort and lead() spill. Texts are shuffled once. Repeated ids follow each other
+    by the hash of their text; null ids come last; a table of one row is its own next.
     """
     spark = docs.sparkSession
     text = F.coalesce("text", F.lit(""))
-    base = with_ids(docs.select("doc_id", text.alias("text")))
-    n, low = base.agg(F.count("*"), F.percentile_approx("doc_id", [i / ID_BINS for i in range(ID_BINS + 1)], 10_000)).first()
+    base = with_ids(docs.select("doc_id", text.alias("text"))).withColumn("h", F.xxhash64("text"))
+    known = F.when(F.col("doc_id") != NULL_ID, F.col("doc_id"))
+    n, low, some = base.agg(F.count("*"), F.percentile_approx(known, [i / ID_BINS for i in range(ID_BINS + 1)], 10_000), F.count(known)).first()
+    nameless = min(MAX_WINDOWS, -(-(n - some) // WINDOW_DOCS))
     if not n:
-        return base.withColumn("sigs", signatures(F.col("text"))).selectExpr("*", "text AS next_text", "sigs AS next_sigs")
-    cuts = sorted(set(low))
+        return base.drop("h").withColumn("sigs", signatures(F.col("text"))).selectExpr("*", "text AS next_text", "sigs AS next_sigs")
+    cuts = sorted(set(low or [0]))
     each = max(1, min(MAX_WINDOWS, -(-n // WINDOW_DOCS)) // max(1, len(cuts)))
     edges = F.array(*[F.lit(x).cast("long") for x in cuts])
     seg = F.greatest(F.lit(1), F.size(F.filter(edges, lambda x: x <= F.col("doc_id"))))
     lo, hi = F.element_at(edges, F.col("seg")), F.try_element_at(edges, F.col("seg") + 1)
     inside = F.when(hi > lo, F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((F.col("doc_id").cast("double") - lo) * F.lit(float(each)) / (hi.cast("double") - lo))))).otherwise(0)
-    dealt = base.withColumn("seg", seg).withColumn("win", (F.col("seg") * each + inside).cast("int")).drop("seg")
-    firsts = sorted(dealt.groupBy("win").agg(F.max("doc_id").alias("first")).collect())
-    back = [(firsts[i]["first"], firsts[(i + 1) % len(firsts)]["win"]) for i in range(len(firsts))]
-    packed = F.from_json(F.lit(json.dumps([{"doc_id": a, "ghost": b} for a, b in back])), "array<struct<doc_id: long, ghost: int>>")
+    # null ids stand below all windows of ids, in as many of their own as they fill
+    null_window = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * float(max(1, nameless))).cast("int") - max(1, nameless)
+    dealt = base.withColumn("seg", seg).withColumn("win", F.when(F.col("doc_id") == NULL_ID, null_window).otherwise((F.col("seg") * each + inside).cast("int"))).drop("seg")
+    firsts = sorted((r.win, r["first"].doc_id, r["first"].h) for r in dealt.groupBy("win").agg(F.max(F.struct("doc_id", "h")).alias("first")).collect())
+    back = [(doc, h, firsts[(i + 1) % len(firsts)][0]) for i, (_, doc, h) in enumerate(firsts)]
+    packed = F.from_json(F.lit(json.dumps([{"doc_id": a, "h": h, "ghost": b} for a, h, b in back])), "array<struct<doc_id: long, h: long, ghost: int>>")
     ghosts = spark.range(1).select(F.inline(packed))
-    copies = dealt.withColumn("sigs", signatures(F.col("text"))).join(F.broadcast(ghosts), "doc_id", "left")
+    copies = dealt.withColumn("sigs", signatures(F.col("text"))).join(F.broadcast(ghosts), ["doc_id", "h"], "left")
     at = F.explode(F.array_compact(F.array(F.struct(F.col("win").alias("win"), F.lit(False).alias("copy")), F.when(F.col("ghost").isNotNull(), F.struct(F.col("ghost").alias("win"), F.lit(True).alias("copy"))))))
-    rows = copies.select("doc_id", "text", "sigs", at.alias("at")).select("doc_id", "text", "sigs", "at.win", "at.copy")
-    order = Window.partitionBy("win").orderBy("copy", F.desc("doc_id"), F.desc("text"))
+    rows = copies.select("doc_id", "h", "text", "sigs", at.alias("at")).select("doc_id", "h", "text", "sigs", "at.win", "at.copy")
+    order = Window.partitionBy("win").orderBy("copy", F.desc("doc_id"), F.desc("h"), F.desc("text"))
     led = rows.select("doc_id", "text", "sigs", "copy", F.lead("text").over(order).alias("next_text"), F.lead("sigs").over(order).alias("next_sigs"))
     return null_ids(led.where("not copy").drop("copy"))
 
@@ -141,7 +146,9 @@ def edited(text: Column, after: Column) -> Column:
 def compare(docs: DataFrame) -> DataFrame:
     """Fingerprints of each text and of its edited text, with their likeness and that to the next document's.
 
-    Null texts are empty. One row for each input row; none for an empty table.
+    Null texts are empty. One row for each input row; none for an empty table. A text without
+    a common word has one signature of all its words, so it is like its equals only. A text
+    of any length is one row. Other columns are not read.
     """
     rows = with_next(docs).withColumn("edited", edited(F.col("text"), F.col("next_text"))).withColumn("edited_sigs", signatures(F.col("edited")))
     return rows.select(
