@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 from conftest import SF
+from pyspark.sql import functions as F
 
 from loomlog.llm import bpe, embedding_dedup, license_scan, line_dedup, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
 from loomlog.llm.common import connected_components
@@ -632,3 +633,182 @@ def test_crossing_pairs_are_those_that_histograms_allow():
         got = {(r.b, r.a) for r in shingles.crossing(pdf, left, right).itertuples()}
         want = {(i, j) for i in range(left.start, left.stop) for j in range(right.start, right.stop) if i < j and pdf.component[i] != pdf.component[j] and 5 * min(pdf.n[i], pdf.n[j]) >= 4 * max(pdf.n[i], pdf.n[j]) and shingles.may_be_alike(pdf["hist"][i], pdf["hist"][j], pdf.n[i], pdf.n[j])}
         assert got == want and (left.stop < 10 or want)
+
+
+def slow_tokens(text):
+    """Tokens of a text, one at a time: letters, digits, other characters; each word is followed by its shape."""
+    raw, out, before = text.encode(), [], None
+    for m in re.finditer(rb"[A-Za-z\x80-\xff]+|[0-9]+|[^\x00-\x20A-Za-z0-9\x80-\xff]", raw):
+        w = m[0]
+        if w[:1].isdigit():
+            out.append("digits")
+            continue
+        out.append(w)
+        if re.match(rb"[A-Za-z\x80-\xff]", w):
+            upper = [65 <= c <= 90 for c in w[:2]]
+            out.append(("shape", 4 if w == before else 3 if upper[:2] == [True, True] else 1 if upper[0] else 0))
+            before = w
+    return out
+
+
+def test_pooling_is_mean_and_spread_of_token_vectors(monkeypatch):
+    rng = np.random.default_rng(2)
+    model = quality.Model(rng.normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32))
+    texts = ["The cat, THE cat; the Cat the the 12 34!", "", "  \n", "é è é è über Ünter", "a" * 50 + " b1c2", "x y z " * 400, "...", "No no No no"]
+    slots = {}
+    for text in texts:
+        found, bounds = quality.tokens([text])
+        want = slow_tokens(text)
+        assert len(found) == len(want) == bounds[-1]
+        for slot, token in zip(found.tolist(), want, strict=True):  # one slot for each token, the fixed ones for shapes and digits
+            assert slots.setdefault(token, slot) == slot
+            if isinstance(token, tuple):
+                assert slot == token[1]
+            elif token == "digits":
+                assert slot == quality.SHAPES - 1
+    assert len(set(slots.values())) > len(slots) - 3
+    for part in (1 << 18, 64):
+        monkeypatch.setattr(quality, "PART", part)
+        got = model.pool(texts)
+        for row, text in zip(got, texts, strict=True):
+            v = np.array([model.vectors[slots[t]] for t in slow_tokens(text)], dtype=np.float64).reshape(-1, quality.DIM)
+            mean = v.mean(axis=0) if len(v) else np.zeros(quality.DIM)
+            spread = np.sqrt(np.maximum((v * v).mean(axis=0) - mean * mean, 0)) if len(v) else np.zeros(quality.DIM)
+            if part > len(text):
+                assert np.allclose(row, [*mean, *spread], atol=1e-3)  # squares are of single precision
+
+
+def test_scores_are_the_network_by_hand():
+    rng = np.random.default_rng(6)
+    model = quality.Model(rng.normal(size=(quality.SLOTS, quality.DIM)).astype(np.float32))
+    d = 2 * quality.DIM
+    model.mean, model.scale, model.temperature = rng.normal(size=d), rng.uniform(0.5, 2, d), 1.7
+    model.layers = [rng.normal(size=(d, 5)), rng.normal(size=5), rng.normal(size=(5, 1)), rng.normal(size=1)]
+    texts = ["some words here", "", "OTHER words, 17"]
+    x = model.pool(texts)
+    for row, got in zip(x, model.score(texts), strict=True):
+        z = [(v - m) / s for v, m, s in zip(row, model.mean, model.scale, strict=True)]
+        hidden = [math.tanh(sum(a * w for a, w in zip(z, model.layers[0][:, j], strict=True)) + model.layers[1][j]) for j in range(5)]
+        logit = sum(h * w for h, w in zip(hidden, model.layers[2][:, 0], strict=True)) + model.layers[3][0]
+        assert got == pytest.approx(1 / (1 + math.exp(-logit / 1.7)))
+
+
+def lines_kept(texts):
+    """Line dedup by brute force: id -> text."""
+    fields = lambda line: ["<*>" if re.search(r"\d", w) else w for w in line.split()]
+    owners, leaves, keeper = {}, {}, {}
+    for i, text in texts.items():
+        for line in text.split("\n"):
+            w = fields(line)
+            if w:
+                owners.setdefault(" ".join(w), set()).add(i)
+                leaves.setdefault((len(w), *w[:3]), set()).add(" ".join(w))
+    for lines in leaves.values():
+        known = []
+        for line in sorted(lines):
+            w = line.split(" ")
+            same = [sum(a == b for a, b in zip(k, w, strict=True)) for k, _ in known]
+            if same and max(same) >= 0.8 * len(w):
+                best = known[same.index(max(same))]
+                best[0][:] = [a if a == b else "<*>" for a, b in zip(best[0], w, strict=True)]
+                best[1].append(line)
+            else:
+                known.append((w, [line]))
+        for _, members in known:
+            ids = set().union(*(owners[m] for m in members))
+            if len(ids) >= 3:
+                keeper |= dict.fromkeys(members, min(ids))
+    return {i: "\n".join(x for x in text.split("\n") if keeper.get(" ".join(fields(x)), i) == i) for i, text in texts.items()}
+
+
+def group_firsts(texts):
+    """Ids that are the smallest of their group of 5-word shingle sets of likeness 0.8 and more."""
+    ids = sorted(texts)
+    w = {i: texts[i].lower().split() for i in ids}
+    sets = {i: {tuple(x[k : k + 5]) for k in range(max(1, len(x) - 4))} if x else set() for i, x in w.items()}
+    low = smallest(len(ids), lambda a, b: jaccard(sets[ids[a]], sets[ids[b]]) >= 0.8)
+    return {ids[k] for k in low}
+
+
+def passages_cut(texts):
+    held, out = {}, {}
+    for i, x in texts.items():
+        b = x.encode()
+        for p in range(len(b) - 49):
+            held[b[p : p + 50]] = min(held.get(b[p : p + 50], i), i)
+    for i, x in texts.items():
+        b = x.encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if held[b[p : p + 50]] < i:
+                gone[p : p + 50] = b"\1" * 50
+        out[i] = bytes(c for c, g in zip(b, gone, strict=True) if not g).decode("utf-8", "ignore")
+    return out
+
+
+def test_pipeline_is_its_stages_by_brute_force(spark, tmp_path):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    rng = random.Random(21)
+    base = [words(rng, rng.randint(20, 80)) + "." for _ in range(40)]
+    passage = words(rng, 25)
+    good = [*base, *[b + " " + words(rng, 2) for b in base[:8]], *base[8:12], *[words(rng, 30) + "\n" + passage + "\n" + words(rng, 30) for _ in range(6)], *[words(rng, 12) + "\nRead on at page 7 of the site\n" + words(rng, 9) for _ in range(5)]]
+    junk = [" | ".join(words(rng, 30).split()) for _ in range(30)]
+    texts = [*good, *junk]
+    rng.shuffle(texts)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("n_chars", F.length("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(t in good), 0) for i, t in enumerate(texts)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    model = quality.fit(spark.read.parquet(str(tmp_path / "documents.parquet")), spark.read.parquet(str(tmp_path / "labels.parquet")))
+    left = {i: t for (i, t), s in zip(enumerate(texts), model.score(texts), strict=True) if s >= 0.5}
+    assert 0 < len(left) < len(texts)
+    left = lines_kept(left)
+    firsts = group_firsts(left)
+    assert len(firsts) < len(left) - 8
+    left = passages_cut({i: left[i] for i in firsts})
+    rows = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
+    tok = Tokenizer.from_file(bpe.public_path("byte_bpe_50k.json"))
+    assert set(rows.doc_id) == set(left)
+    for i, part in rows.sort_values("start").groupby("doc_id"):
+        ids, at = [*tok.encode(left[i], add_special_tokens=False).ids, 1], 0
+        for r in part.itertuples():
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes())
+            at += r.length
+        assert at == len(ids)
+
+
+def test_next_documents_of_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "WINDOW_DOCS", 3)
+    rng = random.Random(4)
+    texts = [words(rng, 20) for _ in range(30)]
+    ids = [None] * 12 + list(range(18))
+    rows = spotsigs.with_next(docs(spark, texts, ids)).collect()
+    after = {r.text: r.next_text for r in rows}
+    assert sorted(map(repr, (r.doc_id for r in rows))) == sorted(map(repr, ids)) and sorted(after.values()) == sorted(texts)
+    for i in range(1, 18):
+        assert after[texts[12 + i]] == texts[11 + i]
+    assert after[texts[12]] in texts[:12] and sum(after[t] in texts[:12] for t in texts[:12]) == 11  # null ids come last, then the first again
+    alone = spotsigs.with_next(docs(spark, texts[:5], [None] * 5)).collect()
+    assert sorted(r.next_text for r in alone) == sorted(texts[:5])
+
+
+@pytest.mark.parametrize("broadcast", [0, 1000])
+def test_crowded_leaves_are_split_by_further_tokens(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(line_dedup, "CHUNK", 700)
+    monkeypatch.setattr(line_dedup, "BUCKET", 3000)
+    monkeypatch.setattr(line_dedup, "BROADCAST", broadcast)
+    rng = random.Random(13)
+    # 40 lines of one leaf; those of one kind and letter are one template
+    lines = [f"1 2 3 {kind} {a} same words {b}" for kind in ("red", "blue") for a in "abcde" for b in "wxyz"]
+    texts = ["\n".join(rng.sample(lines, 9)) for _ in range(12)]
+    whole = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()}
+    assert whole == lines_kept(dict(enumerate(texts)))
+    monkeypatch.setattr(line_dedup, "LEAF", 25)  # split by six tokens: kind and letter
+    assert {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()} == whole
+    monkeypatch.setattr(line_dedup, "LEAF", 1)  # every leaf is split as far as it goes: only equal lines meet
+    finest = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()}
+    held = {}
+    for i, t in enumerate(texts):
+        for x in t.split("\n"):
+            held.setdefault(x, set()).add(i)
+    assert finest == {i: "\n".join(x for x in t.split("\n") if len(held[x]) < 3 or min(held[x]) == i) for i, t in enumerate(texts)} != whole
