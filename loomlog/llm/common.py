@@ -141,18 +141,44 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+_recorded: list[list[str]] = []
+
+
 def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """Write df as Parquet to the shared folder and read it back.
 
-    Later reads of it survive lost executors, and its lineage ends here. The copy
-    stays until the folder is cleaned: results are lazy and may still read it.
+    Later reads of it survive lost executors, and its lineage ends here. The copy stays
+    until the folder is cleaned, as lazy results may still read it; only settled() and the
+    rounds of connected_components() know when theirs are done with.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _recorded:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that nothing reads any more."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def settled(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What make gives, written; then the tables that it wrote on the way are deleted."""
+    paths: list[str] = []
+    _recorded.append(paths)
+    try:
+        df = make()
+    finally:
+        _recorded[:] = [x for x in _recorded if x is not paths]
+    out = cut(df, name)
+    drop(df.sparkSession, paths)
+    return out
+
+
 def grouped(batches: Iterator[pd.DataFrame], by: list[str], most: int) -> Iterator[tuple[pd.DataFrame, bool]]:
     """Sorted rows in pieces of whole groups; a group of over `most` rows in parts, marked True."""
     held, big = None, None
@@ -257,15 +283,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     until every link joins a node to its component's smallest node; each round is a
     written table, and only two sums a round reach the driver. Empty edges: no rows.
     """
-    now = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(),
-        "links",
-    )
-    last = None
-    for _ in range(max_rounds):
-        now = cut(min_neighbour_star(min_neighbour_star(now, True), False), "links")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == last:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        last = state
+    paths: list[str] = []  # of the tables of rounds; all but the last are done with
+    _recorded.append(paths)
+    try:
+        first = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        now, last = cut(first, "links"), None
+        for _ in range(max_rounds):
+            now = cut(min_neighbour_star(min_neighbour_star(now, True), False), "links")
+            drop(edges.sparkSession, paths[:-1])
+            del paths[:-1]
+            state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+            if state == last:
+                return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            last = state
+    finally:
+        _recorded[:] = [x for x in _recorded if x is not paths]
     raise RuntimeError("components did not settle")
