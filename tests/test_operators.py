@@ -142,3 +142,38 @@ def test_a_leaf_of_many_templates_keeps_unlike_lines_apart(spark):
     rows = [("s0", f"1 2 3 {code(i)} x{code(i)} y{code(i)} z{code(i)}") for i in range(130)]
     got = loops.mine_templates(spark.createDataFrame(rows, "server_id string, message string"), "server_id", "message").collect()
     assert len(got) == 130 and all(r.n == 1 for r in got)
+
+
+def test_files_are_pruned_by_their_dates(spark, tmp_path):
+    for day in ("2024-01-01", "2024-01-02", "2024-01-05"):
+        (tmp_path / f"{day}-1.log.gz").write_bytes(gzip.compress(f"[10:00:00] [main/INFO]: {day}\n  more\n".encode()))
+    (tmp_path / "2024-01-09-1.log.gz").write_bytes(b"no archive at all")
+    (tmp_path / "notes.txt").write_text("[10:00:00] no log\n")
+    ms = lambda d: int(datetime.datetime.fromisoformat(d + "T00:00:00+00:00").timestamp() * 1000)
+    got = files.between(spark, str(tmp_path), ms("2024-01-02"), ms("2024-01-03"), ms("2024-02-01")).collect()
+    assert sorted(r.line for r in got) == ["  more", "[10:00:00] [main/INFO]: 2024-01-02"]
+    assert files.between(spark, str(tmp_path), ms("2030-01-01"), ms("2030-01-02"), 0).count() == 0
+    back = files.backfill(spark, str(tmp_path), ms("2024-01-02"), ms("2024-02-01"), 3).collect()
+    assert [r.line for r in back] == ["[10:00:00] [main/INFO]: 2024-01-05", "  more", "[10:00:00] [main/INFO]: 2024-01-02"]
+    assert [r.path.rsplit("/", 1)[-1][:10] for r in files.candidates(spark, str(tmp_path), datetime.date(2024, 1, 3), 9).collect()] == ["2024-01-09", "2024-01-05", "2024-01-02"]
+
+
+def test_scans_are_kept_by_file(spark, tmp_path):
+    logs, cache = tmp_path / "logs", str(tmp_path / "cache")
+    logs.mkdir()
+    (logs / "2024-01-01-1.log").write_text("[10:00:00] a\n")
+    scan = lambda: sorted(r.line for r in files.cached_scan(spark, str(logs), cache, 0).collect())
+    assert scan() == ["[10:00:00] a"] and scan() == ["[10:00:00] a"]
+    (logs / "2024-01-01-1.log").write_text("[10:00:00] changed\n")
+    (logs / "2024-01-02-1.log").write_text("[10:00:00] b\n")
+    assert scan() == ["[10:00:00] b", "[10:00:00] changed"]
+
+
+def test_store_reads_prune_servers_and_days(spark, tmp_path):
+    rows = spark.createDataFrame([("1", "SERVER_LOG", s, T0 + d * 86_400_000) for s in "ab" for d in range(3)], "event_id string, kind string, server_id string, ts_ms long")
+    path = str(tmp_path / "store")
+    files.store(rows, path, T0 + 3 * 86_400_000)
+    got = files.read_store(spark, path, "a", T0, T0 + 1)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    pruned = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
+    assert got.count() == 1 and "server_id" in pruned and "day" in pruned and "GreaterThanOrEqual(ts_ms" in plan

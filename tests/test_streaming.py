@@ -62,8 +62,45 @@ def test_baseline_stream(spark, tmp_path):
     assert got and all(want[r.key, r.minute_ms] == (r.n, round(r.ewma, 6)) for r in got)
 
 
-def test_alert_cooldown(spark):
-    sent, seen = [], {}
-    rows = spark.createDataFrame([("bug", "t", T0, ["s1", "s2"], True), ("bug", "t", T0 + 1000, ["s1"], True), ("bug", "t", T0 + 600_000, ["s1"], True), ("bug", "t", T0, ["s3"], False)], "category string, tag string, first_ms long, servers array<string>, alert boolean")
-    q.alerts(rows, 0, lambda *x: sent.append(x), seen)
-    assert len(sent) == 3
+def test_alerts_cool_down_after_the_last_one(spark, tmp_path):
+    rows = [("bug", "t", T0 + ms, ["a", "b"] if ms else ["a"], True) for ms in (0, 1, 599_999, 600_000, 1_300_000)] + [("bug", "u", T0, ["a"], False)]
+    source = str(tmp_path / "issues")
+    df = spark.createDataFrame(rows, "category string, tag string, first_ms long, servers array<string>, alert boolean")
+    df.coalesce(1).write.parquet(source)
+    got = q.run_once(q.alerts(spark.readStream.schema(df.schema).parquet(source)), str(tmp_path / "run")).collect()
+    assert sorted((r.server, r.first_ms - T0) for r in got) == [("a", 0), ("a", 600_000), ("a", 1_300_000), ("b", 1), ("b", 1_300_000)]
+
+
+def test_tail_reads_each_line_once(spark, tmp_path):
+    from loomlog.sources.tail import tail
+
+    root, folder = tmp_path / "logs", str(tmp_path / "run")
+    root.mkdir()
+    log = root / "latest.log"
+    read = lambda: sorted(r.line for r in q.run_once(tail(spark, str(root), maxBytes="10"), folder).collect())
+    log.write_text("one\ntwo\nunfinished")
+    assert read() == ["one", "two"]
+    assert read() == ["one", "two"]
+    with log.open("a") as f:
+        f.write(" line\n" + "long " * 20 + "\r\n\nlast")
+    assert read() == ["", "long " * 20, "one", "two", "unfinished line"]
+    log.rename(root / "latest.log.1")  # not a .log file any more
+    log.write_text("new file that is longer than the one before it was, so its size says nothing " * 3 + "\nsecond\n")
+    got = read()
+    assert "second" in got and len(got) == 7
+
+
+def test_tail_from_the_end_sees_new_lines_only(tmp_path):
+    from loomlog.sources.tail import TailReader
+
+    log = tmp_path / "a.log"
+    log.write_text("old\npart")
+    reader = TailReader({"path": str(tmp_path), "start": "end"})
+    start = reader.initialOffset()
+    with log.open("a") as f:
+        f.write("ial\nnew\n")
+    end = reader.latestOffset()
+    lines = [x for p in reader.partitions(start, end) for b in reader.read(p) for x in b.column("line").to_pylist()]
+    assert lines == ["partial", "new"] and reader.partitions(end, end) == []
+    again = TailReader({"path": str(tmp_path), "maxbytes": "1"})  # a restarted stream knows no limit at first, so offsets don't go back
+    assert again.latestOffset() == end
