@@ -1,6 +1,6 @@
 """The rules of rules.py as columns, and as SQL that says the same.
 
-Each expression is written once, as an Expr that holds both forms. Words are searched once a
+Each expression is written once, as an Expr that holds both forms as text. Words are searched once a
 line: the words that a line holds become a short list, on which all rules are set tests.
 Short ASCII words count as whole tokens where a rule means keys, and anywhere where it
 means parts (they are listed as ~word then).
@@ -9,7 +9,6 @@ means parts (they are listed as ~word then).
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +21,9 @@ SEVERITIES = ["info", "low", "medium", "high", "critical"]
 ISSUE_LEVELS = ["WARN", "WARNING", "ERROR", "FATAL", "SEVERE"]
 CATEGORY_WORDS, HINTS, NOISE, INTERESTING = r.CATEGORY_WORDS, r.HINTS, r.NOISE, r.INTERESTING
 ACTIONS = {"fatal": "act now", "severe": "act now", "error": "check today", "warn": "watch", "info": "none"}
+#: What a report says of a severity: (label, when to act, what it means), and of a tag.
+SHOWN = {"critical": ("act now", "within minutes", "players or data are at risk"), "high": ("check today", "within hours", "a function fails"), "medium": ("watch", "this week", "single players notice"), "low": ("note", "when convenient", "hardly noticed"), "info": ("none", "never", "context only")}
+TITLES = {"server_log_performance": "Performance", "server_log_network": "Connections", "server_log_plugin": "Plugins", "server_log_cross_server": "Proxy and backends", "server_log_auth": "Logins and permissions", "server_log_economy": "Economy", "server_log_community": "Conduct", "server_log_chat_review": "Chat", "server_log_player_feedback": "Feedback", "server_log_community_ops": "Events", "server_log_anticheat_vulcan": "Anticheat"}
 UNSAFE = ["delete", "rm -rf", "format", "drop table"]
 
 
@@ -33,46 +35,61 @@ def _list(words: list[str]) -> str:
     return "[" + ", ".join(map(_q, words)) + "]::VARCHAR[]"
 
 
+def _literal(x: str | int | bool) -> str:
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else str(x).lower()
+
+
+NO_WORDS = "cast(array() AS array<string>)"
+
+
+def _words(words: list[str]) -> str:
+    return f"array({', '.join(map(_literal, words))})" if words else NO_WORDS
+
+
 def _array(words: list[str]) -> Column:
-    return F.array(*[F.lit(w) for w in words]).cast("array<string>")
+    """A fixed list, parsed at once: a call for each word takes longer than the query."""
+    return F.expr(_words(words))
 
 
 class Expr:
-    """One expression as a column (made when asked for) and as SQL."""
+    """One expression in Spark's SQL and in that of the oracle."""
+
+    def __init__(self, spark: str, sql: str):
+        self.spark, self.sql = spark, sql
 
-    def __init__(self, make: Callable[[], Column], sql: str):
-        self.make, self.sql = make, sql
+    def make(self) -> Column:
+        return F.expr(self.spark)
 
     def __and__(self, other: Expr) -> Expr:
-        return Expr(lambda: self.make() & other.make(), f"({self.sql} AND {other.sql})")
+        return Expr(f"({self.spark} AND {other.spark})", f"({self.sql} AND {other.sql})")
 
     def __or__(self, other: Expr) -> Expr:
-        return Expr(lambda: self.make() | other.make(), f"({self.sql} OR {other.sql})")
+        return Expr(f"({self.spark} OR {other.spark})", f"({self.sql} OR {other.sql})")
 
     def __invert__(self) -> Expr:
-        return Expr(lambda: ~self.make(), f"(NOT {self.sql})")
+        return Expr(f"(NOT {self.spark})", f"(NOT {self.sql})")
 
     def at_least(self, n: int) -> Expr:
-        return Expr(lambda: self.make() >= n, f"({self.sql} >= {n})")
+        return Expr(f"({self.spark} >= {n})", f"({self.sql} >= {n})")
 
     def is_in(self, words: list[str]) -> Expr:
-        return Expr(lambda: self.make().isin(*words), f"({self.sql} IN ({', '.join(map(_q, words))}))") if words else FALSE
+        return Expr(f"({self.spark} IN ({', '.join(map(_literal, words))}))", f"({self.sql} IN ({', '.join(map(_q, words))}))") if words else FALSE
 
     def known(self) -> Expr:
-        return Expr(lambda: self.make().isNotNull(), f"({self.sql} IS NOT NULL)")
+        return Expr(f"({self.spark} IS NOT NULL)", f"({self.sql} IS NOT NULL)")
 
 
 def lit(v: str | int | bool | None, kind: str = "string") -> Expr:
     if v is None:
-        return Expr(lambda: F.lit(None).cast(kind), "NULL")
-    return Expr(lambda: F.lit(v), _q(v) if isinstance(v, str) else str(v).lower())
+        return Expr(f"cast(NULL AS {kind})", "NULL")
+    return Expr(_literal(v), _q(v) if isinstance(v, str) else str(v).lower())
 
 
 FALSE = lit(False)
 
 
 def col(name: str) -> Expr:
-    return Expr(lambda: F.col(name), name)
+    return Expr(name, name)
 
 
 def any_(each: list[Expr]) -> Expr:
@@ -84,39 +101,35 @@ def any_(each: list[Expr]) -> Expr:
 
 def case(pairs: list[tuple[Expr, Expr]], otherwise: Expr) -> Expr:
     """The value of the first condition that holds."""
-
-    def make() -> Column:
-        out = F.when(pairs[0][0].make(), pairs[0][1].make())
-        for c, v in pairs[1:]:
-            out = out.when(c.make(), v.make())
-        return out.otherwise(otherwise.make())
-
-    return Expr(make, "CASE " + " ".join(f"WHEN {c.sql} THEN {v.sql}" for c, v in pairs) + f" ELSE {otherwise.sql} END") if pairs else otherwise
+    if not pairs:
+        return otherwise
+    return Expr(*("CASE " + " ".join(f"WHEN {getattr(c, form)} THEN {getattr(v, form)}" for c, v in pairs) + f" ELSE {getattr(otherwise, form)} END" for form in ("spark", "sql")))
 
 
 def greatest(*each: Expr) -> Expr:
-    return Expr(lambda: F.greatest(*[e.make() for e in each]), f"greatest({', '.join(e.sql for e in each)})")
+    return Expr(f"greatest({', '.join(e.spark for e in each)})", f"greatest({', '.join(e.sql for e in each)})")
 
 
 def at(table: list, index: Expr, kind: str) -> Expr:
     """An entry of a fixed list, by number from 0."""
     flat = isinstance(table[0], str | int | bool)
     shown = ", ".join((_q(x) if isinstance(x, str) else str(x).lower()) if flat else _list(x) for x in table)
-    return Expr(lambda: F.get(F.array(*[F.lit(x) if flat else _array(x) for x in table]), index.make()).cast(kind), f"([{shown}])[{index.sql} + 1]")
+    fixed = ", ".join((_literal if flat else _words)(x) for x in table)
+    return Expr(f"cast(get(array({fixed}), {index.spark}) AS {kind})", f"([{shown}])[{index.sql} + 1]")
 
 
 def matches(name: str, pattern: str) -> Expr:
-    return Expr(lambda: F.col(name).rlike(pattern), f"regexp_matches({name}, {_q(pattern)})")
+    return Expr(f"({name} RLIKE {_literal(pattern)})", f"regexp_matches({name}, {_q(pattern)})")
 
 
 def starts(name: str, word: str) -> Expr:
-    return Expr(lambda: F.col(name).startswith(word), f"starts_with({name}, {_q(word)})")
+    return Expr(f"startswith({name}, {_literal(word)})", f"starts_with({name}, {_q(word)})")
 
 
 def times(name: str, part: str) -> Expr:
     """How often a text of one or two characters stands in a column."""
     n = len(part)
-    return Expr(lambda: F.floor((F.char_length(name) - F.char_length(F.replace(F.col(name), F.lit(part), F.lit("")))) / n), f"((length({name}) - length(replace({name}, {_q(part)}, ''))) // {n})")
+    return Expr(f"((char_length({name}) - char_length(replace({name}, {_literal(part)}, ''))) DIV {n})", f"((length({name}) - length(replace({name}, {_q(part)}, ''))) // {n})")
 
 
 class Words:
@@ -129,7 +142,7 @@ class Words:
         self.short_parts: dict[str, None] = {}
 
     def _test(self, names: list[str]) -> Expr:
-        return Expr(lambda: F.arrays_overlap(F.col(self.name), _array(names)), f"list_has_any({self.name}, {_list(names)})") if names else FALSE
+        return Expr(f"arrays_overlap({self.name}, {_words(names)})", f"list_has_any({self.name}, {_list(names)})") if names else FALSE
 
     def keys(self, words: list[str]) -> Expr:
         """Short words as whole tokens, others anywhere."""
@@ -209,7 +222,7 @@ def _fits(x: tuple) -> Expr:
 
 
 _which = case(
-    [(col("_benign"), lit(0)), (col("_hint").at_least(0), Expr(lambda: F.col("_hint") + 2, "(_hint + 2)")), (LINE.keys(r.METRICS), lit(1))]
+    [(col("_benign"), lit(0)), (col("_hint").at_least(0), col("(_hint + 2)")), (LINE.keys(r.METRICS), lit(1))]
     + [(_fits(x), lit(_RULES_AT + i)) for i, x in enumerate(r.OPS)]
     + [(level.is_in([lv]), lit(_DEFAULTS_AT + i)) for i, lv in enumerate(["fatal", "severe", "error", "warn"])],
     lit(len(_KINDS) - 1),
@@ -223,8 +236,8 @@ _ops_rank = case(
 _ops_admin = at([k[3] is not False for k in _KINDS], col("_ops"), "boolean") & (col("_or").at_least(2) | level.is_in(["error", "severe", "fatal"]))
 _weighty = col("_oa") | at([k[4] for k in _KINDS], col("_ops"), "boolean") | col("_or").at_least(2)
 _own_reports = at([k[5] or r.OPS_REPORTS.get(k[0], []) for k in _KINDS], col("_ops"), "array<string>")
-_reports = case([(_weighty & ~chat, _own_reports)], Expr(lambda: _array([]), "[]::VARCHAR[]"))
-in_reports = lambda c: Expr(lambda: F.array_contains("_reports", c), f"list_contains(_reports, {_q(c)})")
+_reports = case([(_weighty & ~chat, _own_reports)], Expr(NO_WORDS, "[]::VARCHAR[]"))
+in_reports = lambda c: Expr(f"array_contains(_reports, {_q(c)})", f"list_contains(_reports, {_q(c)})")
 _first = at([k[6] for k in _KINDS], col("_ops"), "boolean")
 ops_is = lambda *names: ~chat & at([k[0] in names for k in _KINDS], col("_ops"), "boolean")
 
@@ -237,10 +250,10 @@ def _label_fits(label: str, words: list[str]) -> Expr:
 
 _labels_of = [(label, _label_fits(label, words)) for _, label, words in r.CHAT]
 _labels = Expr(
-    lambda: F.array_compact(F.array(*[F.when(f.make(), label) for label, f in _labels_of])),
+    "array_compact(array(" + ", ".join(f"CASE WHEN {f.spark} THEN {_q(label)} END" for label, f in _labels_of) + "))",
     "list_filter([" + ", ".join(f"CASE WHEN {f.sql} THEN {_q(label)} END" for label, f in _labels_of) + "], lambda x: x IS NOT NULL)",
 )
-labelled = lambda names: Expr(lambda: F.arrays_overlap("_labels", _array(names)), f"list_has_any(_labels, {_list(names)})")
+labelled = lambda names: Expr(f"arrays_overlap(_labels, {_words(names)})", f"list_has_any(_labels, {_list(names)})")
 _groups = sorted(r.GROUP_PRIORITY, key=lambda g: -r.GROUP_PRIORITY[g])
 _chat_group = case([(labelled([x[1] for x in r.CHAT if x[0] == g]), lit(g)) for g in _groups], lit("small_talk"))
 _any_label = labelled([x[1] for x in r.CHAT])
@@ -285,7 +298,7 @@ _with_reviews = [(c, f) for c, f in [_in_order[0], ("chat_review", chat & LINE.k
 _gate = case([*_before, *_ops_first, *[(f, lit(c)) for c, f in _with_reviews], (chat, lit("chat_review"))], lit("daily"))
 TAGS = {"community": "community", "chat_review": "chat_review", "player_feedback": "player_feedback", "community_ops": "community_ops", "complaint": "performance", "network": "network", "plugin": "plugin", "cross_server": "cross_server", "moderation": "auth", "economy": "economy"}
 _observation = (~chat & at([k[4] for k in _KINDS], col("_ops"), "boolean")) | (col("category").is_in(["community_ops", "player_feedback"]) & quiet & ~col("chat_admin") & ~col("ops_admin"))
-_joined = lambda *each: Expr(lambda: F.concat(*[e.make() for e in each]), "(" + " || ".join(e.sql for e in each) + ")")
+_joined = lambda *each: Expr("(" + " || ".join(e.spark for e in each) + ")", "(" + " || ".join(e.sql for e in each) + ")")
 _shown_level = case([(level.is_in([""]), lit("info"))], level)
 _tag = case(
     [(col("_loop"), _joined(lit("server_log_loop_"), _shown_level)), (cheat, lit("server_log_anticheat_vulcan"))]
@@ -338,7 +351,7 @@ STEPS: list[dict[str, Expr]] = [
         "ops_category": _ops_null(_kind(0, "string")),
         "ops_subtype": _ops_null(_kind(1, "string")),
         "ops_severity": _ops_null(at(SEVERITIES, col("_or"), "string")),
-        "chat_labels": _said_null(case([(_any_label, col("_labels"))], Expr(lambda: _array(["chatting"]), "['chatting']")), "array<string>"),
+        "chat_labels": _said_null(case([(_any_label, col("_labels"))], Expr("array('chatting')", "['chatting']")), "array<string>"),
         "chat_category": _said_null(col("_group")),
         "chat_severity": _said_null(at(SEVERITIES, col("_cr"), "string")),
         "severity": at(SEVERITIES, _worst, "string"),
@@ -491,3 +504,13 @@ def compact_evidence(c: Column, hit: Column, lines: int = 5, size: int = 520) ->
     near = F.array_sort(F.transform(ls, lambda x, i: F.struct(F.when(i == 0, -1).otherwise(F.abs(i + 1 - place)).alias("d"), i.alias("i"))))
     keep = F.transform(F.slice(near, 1, lines), lambda s: s["i"])
     return F.substring(F.array_join(F.filter(ls, lambda x, i: F.array_contains(keep, i)), "\n"), 1, size)
+
+
+def shown(severity: str, field: int) -> Expr:
+    """label (0), timing (1) or impact (2) of a severity's column."""
+    return case([(col(severity).is_in([k]), lit(v[field])) for k, v in SHOWN.items()], lit(""))
+
+
+def title(tag: str) -> Expr:
+    """The display title of a tag's column: that of its group; levels are shown as errors."""
+    return case([(starts(tag, k), lit(v)) for k, v in TITLES.items()], lit("Server errors"))

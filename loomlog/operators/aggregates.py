@@ -32,9 +32,11 @@ def terms(rows: DataFrame, keys: list[str], text: str, words: list[str], most: i
 
 
 def topics(chat: DataFrame) -> DataFrame:
-    """(what, name, n): histograms of category, severity and label, and the number of players, in one pass over the rows."""
+    """(what, name, n): histograms of category, severity and label, the five players who say most, and the number of players."""
     facts = F.concat(F.array(F.struct(F.lit("category").alias("what"), F.col("chat_category").alias("name")), F.struct(F.lit("severity").alias("what"), F.col("chat_severity").alias("name"))), F.transform("chat_labels", lambda x: F.struct(F.lit("label").alias("what"), x.alias("name"))))
     counts = chat.select(F.explode(facts).alias("f")).groupBy("f.what", "f.name").agg(F.count("*").alias("n"))
+    talkers = chat.where("chat_player <> ''").groupBy(F.col("chat_player").alias("name")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "name").limit(5)
+    counts = counts.unionByName(talkers.select(F.lit("talker").alias("what"), "name", "n"))
     return counts.unionByName(chat.agg(F.count_distinct("chat_player").alias("n")).select(F.lit("players").alias("what"), F.lit("distinct").alias("name"), "n"))
 
 
@@ -54,6 +56,30 @@ def anticheat(rows: DataFrame, most: int = 3) -> DataFrame:
     return by.groupBy("player").agg(F.sum("w").alias("n"), ranked.alias("r")).select("player", "n", F.array_join(F.transform(F.slice("r", 1, most), lambda x: x["c"]), ",").alias("checks"))
 
 
+def anticheat_checks(rows: DataFrame) -> DataFrame:
+    """check, n (weighted), players, first_ms, last_ms of anticheat rows."""
+    by = rows.groupBy(F.col("cheat_check").alias("check"))
+    return by.agg(F.sum("weight").alias("n"), F.count_distinct("cheat_player").alias("players"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"))
+
+
+def samples(rows: DataFrame, keys: list[str], text: str, order: list[str], most: int = 5) -> DataFrame:
+    """keys, n, samples: the first `most` different texts of each key, in order. Texts are reduced to their first row before any list is made."""
+    once = rows.groupBy(*keys, text).agg(F.min(F.struct(*order)).alias("_at"), F.count("*").alias("_n"))
+    first = per_group(once, keys, ["_at"], most)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("_at", text))), lambda x: x[text])
+    total = once.groupBy(*keys).agg(F.sum("_n").alias("n"))
+    return total.join(first.groupBy(*keys).agg(F.array_join(listed, "|").alias("samples")), keys)
+
+
+def review_evidence(rows: DataFrame, per_player: int = 3, most: int = 10) -> DataFrame:
+    """Chat rows for a review: in a flood, of an abuse, or with a class of words; three of a player and reason, ten in all, the weightiest reasons first."""
+    reason = F.when(F.col("chat_flood"), "flood").when(F.col("chat_abuse"), "abuse").when(F.col("class").isNotNull(), "hint")
+    found = rows.withColumn("reason", reason).where("reason IS NOT NULL")
+    some = per_group(found, ["chat_player", "reason"], ["ts_ms", "seq"], per_player)
+    weight = F.when(F.col("reason") == "flood", 0).when(F.col("reason") == "abuse", 1).otherwise(2)
+    return some.orderBy(weight, "ts_ms", "seq").limit(most)
+
+
 def per_group(rows: DataFrame, keys: list[str], order: list, k: int) -> DataFrame:
     """The first k rows of each group."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_r") <= k).drop("_r")
@@ -72,15 +98,33 @@ def cycle(by_hour: DataFrame) -> DataFrame:
 
 
 def timeline(rows: DataFrame, order: list[str], chunks: int) -> DataFrame:
-    """The ordered rows in `chunks` stretches of equal number."""
+    """The ordered rows in `chunks` stretches of equal number; with the three tags that are most frequent, where rows have tags."""
     per = -(-rows.count() // chunks) or 1
     cut = rank_globally(rows, order).withColumn("chunk", F.floor(F.col("_rank") / per))
-    return cut.groupBy("chunk").agg(F.count("*").alias("n"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+    whole = cut.groupBy("chunk").agg(F.count("*").alias("n"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms"), F.count_if(F.col("level") == "ERROR").alias("errors"))
+    if "tag" not in rows.columns:
+        return whole
+    counts = cut.groupBy("chunk", "tag").agg((-F.count("*")).alias("_n"))
+    top = counts.groupBy("chunk").agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_n", "tag"))), 1, 3), lambda x: x["tag"]), ",").alias("tags"))
+    return whole.join(top, "chunk")
 
 
 def facts(issues: DataFrame) -> DataFrame:
     names = lambda c: F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), ",").alias(c)
-    return issues.groupBy("category").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), names("servers"), names("players"))
+    return issues.groupBy("category").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), *[names(c) for c in ("servers", "players", "plugins", "files", "worlds", "positions")])
+
+
+def titles(issues: DataFrame, title) -> DataFrame:
+    """title, n, rank, first_ms, servers: issues by display title."""
+    names = F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("servers")))), ",")
+    return issues.groupBy(title.alias("title")).agg(F.sum("n").alias("n"), F.max("rank").alias("rank"), F.min("first_ms").alias("first_ms"), names.alias("servers"))
+
+
+def player_problems(issues: DataFrame, action, most: int = 6) -> DataFrame:
+    """category, action, players (their number), names (the first six): what troubles players."""
+    each = issues.select("category", action.alias("action"), F.explode("players").alias("player")).distinct()
+    first = per_group(each, ["category", "action"], ["player"], most).groupBy("category", "action").agg(F.array_join(F.array_sort(F.collect_list("player")), ",").alias("names"))
+    return each.groupBy("category", "action").agg(F.count("*").alias("players")).join(first, ["category", "action"])
 
 
 def sections(issues: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from loomlog.functions import rules as r
 from loomlog.functions import text as t
 from loomlog.operators import aggregates as agg
 from loomlog.operators import classify as k
+from loomlog.operators import joins
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log
 from loomlog.plans.windows import FLOODS
@@ -92,25 +93,48 @@ iss("agg_severity", lambda i: i.groupBy("severity").agg(F.count("*").alias("issu
 iss("agg_max_severity", lambda i: i.agg(F.max("rank").alias("rank"), F.max("alert").alias("any_alert")), "SELECT max(rank) AS rank, bool_or(alert) AS any_alert FROM iss")
 TERMS = [*r.CRITICAL, *r.ERRORS[:4], *r.PERFORMANCE[:7], *r.CATEGORY_WORDS["network"][:11]]
 cls("agg_terms", lambda x: agg.terms(k.evidence(x), ["category"], "message", TERMS).select("category", F.array_join("terms", ",").alias("terms")), "SELECT category, array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN bool_or({c.contains_sql('message', [w])}) THEN {d.q(w)} END" for w in TERMS) + "], lambda x: x IS NOT NULL), 1, 8), ',') AS terms FROM cls WHERE evidence GROUP BY category")
-cls("agg_chat_topics", lambda r: agg.topics(r.where("chat_message IS NOT NULL")), "SELECT 'category' AS what, chat_category AS name, count(*) AS n FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'severity', chat_severity, count(*) FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'label', label, count(*) FROM (SELECT unnest(chat_labels) AS label FROM cls WHERE chat_message IS NOT NULL) x GROUP BY 2 UNION ALL SELECT 'players', 'distinct', count(DISTINCT chat_player) FROM cls WHERE chat_message IS NOT NULL")
+cls("agg_chat_topics", lambda r: agg.topics(r.where("chat_message IS NOT NULL")), "SELECT 'category' AS what, chat_category AS name, count(*) AS n FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'severity', chat_severity, count(*) FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'label', label, count(*) FROM (SELECT unnest(chat_labels) AS label FROM cls WHERE chat_message IS NOT NULL) x GROUP BY 2 UNION ALL SELECT 'players', 'distinct', count(DISTINCT chat_player) FROM cls WHERE chat_message IS NOT NULL UNION ALL SELECT 'talker', name, n FROM (SELECT chat_player AS name, count(*) AS n FROM cls WHERE chat_player <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5) y")
 cls("agg_keywords", lambda r: agg.keywords(r.where("chat_message IS NOT NULL"), "chat_message", 10), "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(chat_message), '[a-z]{3,}')) AS word FROM cls WHERE chat_message IS NOT NULL) x WHERE word NOT IN ('the', 'and', 'for', 'you', 'that', 'this') GROUP BY 1) y WHERE n >= 2 ORDER BY n DESC, word LIMIT 10")
 cls("agg_anticheat", lambda r: agg.anticheat(r.where("cheat_player IS NOT NULL").withColumn("weight", F.greatest(F.lit(1), F.col("k") % 3))), "SELECT player, n, array_to_string(list_transform(list_slice(list_sort(list({'w': -w, 'c': cheat_check})), 1, 3), lambda x: x.c), ',') AS checks FROM (SELECT cheat_player AS player, cheat_check, sum(greatest(1, k % 3))::BIGINT AS w, sum(sum(greatest(1, k % 3))) OVER (PARTITION BY cheat_player)::BIGINT AS n FROM cls WHERE cheat_player IS NOT NULL GROUP BY 1, 2) x GROUP BY ALL")
+cls("agg_anticheat_checks", lambda x: agg.anticheat_checks(x.where("cheat_player IS NOT NULL").withColumn("weight", F.greatest(F.lit(1), F.col("k") % 3))), 'SELECT cheat_check AS "check", sum(greatest(1, k % 3))::BIGINT AS n, count(DISTINCT cheat_player) AS players, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM cls WHERE cheat_player IS NOT NULL GROUP BY 1')
+cls("agg_player_samples", lambda x: agg.samples(x.where("chat_player <> ''"), ["chat_player"], "chat_message", ["ts_ms", "seq"]), "SELECT chat_player, sum(c)::BIGINT AS n, array_to_string(list_slice(list(chat_message ORDER BY t, q), 1, 5), '|') AS samples FROM (SELECT chat_player, chat_message, count(*) AS c, min(ts_ms) AS t, arg_min(seq, (ts_ms, seq)) AS q FROM cls WHERE chat_player <> '' GROUP BY 1, 2) x GROUP BY 1")
 ABUSE = f"SELECT player, class, count(*) AS n FROM (SELECT chat_player AS player, {c.review_class_sql('chat_message')} AS class FROM cls WHERE chat_player <> '') x WHERE class IS NOT NULL GROUP BY ALL HAVING count(*) >= CASE WHEN class = 'sensitive' THEN 1 ELSE 2 END"
 cls("agg_abuse", lambda x: k.abuses(x.where("chat_message IS NOT NULL")), ABUSE)
 cls("agg_abuse_players", lambda x: k.abuses(x.where("chat_message IS NOT NULL")).groupBy("player").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes")), f"SELECT player, sum(n)::BIGINT AS n, array_to_string(list_sort(list(class)), ',') AS classes FROM ({ABUSE}) y GROUP BY 1")
-cls("agg_review_evidence", lambda r: agg.per_group(r.where("chat_severity IN ('high', 'medium')"), ["chat_player", "chat_category"], ["ts_ms", "seq"], 3).select("event_id", "chat_player", "chat_category"), "SELECT event_id, chat_player, chat_category FROM (SELECT *, row_number() OVER (PARTITION BY chat_player, chat_category ORDER BY ts_ms, seq) AS r FROM cls WHERE chat_severity IN ('high', 'medium')) x WHERE r <= 3")
+over_log(
+    "agg_review_evidence",
+    lambda log: agg.review_evidence(k.classify(k.behaviour(log)).where("chat_player <> ''").withColumn("class", c.review_class(F.col("chat_message")))).select("event_id", "chat_player", "reason"),
+    f"""{BEHAVIOUR}, rv AS (SELECT event_id, chat_player, ts_ms, seq, CASE WHEN chat_flood THEN 'flood' WHEN chat_abuse THEN 'abuse' WHEN {c.review_class_sql('chat_message')} IS NOT NULL THEN 'hint' END AS reason FROM cls WHERE chat_player <> ''),
+rn AS (SELECT *, row_number() OVER (PARTITION BY chat_player, reason ORDER BY ts_ms, seq) AS r FROM rv WHERE reason IS NOT NULL)
+SELECT event_id, chat_player, reason FROM rn WHERE r <= 3 ORDER BY CASE reason WHEN 'flood' THEN 0 WHEN 'abuse' THEN 1 ELSE 2 END, ts_ms, seq LIMIT 10""",
+)
 over_log("agg_window_totals", lambda log: log.groupBy("server_id").agg(F.count("*").alias("n"), F.count_distinct("player").alias("players")), "SELECT server_id, count(*) AS n, count(DISTINCT player) AS players FROM log GROUP BY ALL")
 HOURLY = "SELECT server_id, (ts_ms // 3600000) * 3600000 AS hour, count(*) AS records, count_if(level = 'ERROR')::BIGINT AS errors, count_if(level = 'WARN')::BIGINT AS warnings, count_if(level = 'INFO')::BIGINT AS infos FROM log GROUP BY ALL"
 over_log("agg_hourly", agg.hourly, HOURLY)
 over_log("agg_cycle", lambda log: agg.cycle(agg.hourly(log)), f"SELECT server_id, cycle, count(*) AS hours, sum(records)::BIGINT AS records, sum(errors)::BIGINT AS errors FROM (SELECT *, (hour - min(hour) OVER (PARTITION BY server_id)) // 28800000 AS cycle FROM ({HOURLY}) h) x -- log\n GROUP BY ALL")
-over_log("agg_timeline", lambda log: agg.timeline(log, ["ts_ms", "seq"], 8), "SELECT chunk, count(*) AS n, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count_if(level = 'ERROR')::BIGINT AS errors FROM (SELECT *, (row_number() OVER (ORDER BY ts_ms, seq) - 1) // ceil(count(*) OVER () / 8.0)::BIGINT AS chunk FROM log) x GROUP BY ALL")
+cls("agg_timeline", lambda x: agg.timeline(x, ["ts_ms", "seq"], 8), ", ck AS (SELECT *, (row_number() OVER (ORDER BY ts_ms, seq) - 1) // ceil(count(*) OVER () / 8.0)::BIGINT AS chunk FROM cls), tg AS (SELECT chunk, array_to_string(list_slice(list(tag ORDER BY n DESC, tag), 1, 3), ',') AS tags FROM (SELECT chunk, tag, count(*) AS n FROM ck GROUP BY ALL) x GROUP BY 1) SELECT chunk, count(*) AS n, min(ts_ms) AS start_ms, max(ts_ms) AS end_ms, count_if(level = 'ERROR')::BIGINT AS errors, any_value(tags) AS tags FROM ck JOIN tg USING (chunk) GROUP BY 1")
 over_log("agg_templates", lambda log: log.groupBy("server_id", t.fingerprint(F.col("line")).alias("template")).agg(F.count("*").alias("n")), f"SELECT server_id, {d.fingerprint('line')} AS template, count(*) AS n FROM log GROUP BY ALL")
-iss("agg_facts", lambda i: agg.facts(i), "SELECT category, min(first_ms) AS first_ms, max(last_ms) AS last_ms, array_to_string(list_sort(list_distinct(flatten(list(servers)))), ',') AS servers, array_to_string(list_sort(list_distinct(flatten(list(players)))), ',') AS players FROM iss GROUP BY 1")
+FACTS = ["servers", "players", "plugins", "files", "worlds", "positions"]
+iss("agg_facts", lambda i: agg.facts(i), "SELECT category, min(first_ms) AS first_ms, max(last_ms) AS last_ms, " + ", ".join(f"array_to_string(list_sort(list_distinct(flatten(list({x})))), ',') AS {x}" for x in FACTS) + " FROM iss GROUP BY 1")
 iss("agg_notes", lambda i: i.select(F.explode("servers").alias("s"), "tag").agg(F.count_distinct("s").alias("servers"), F.count_distinct("tag").alias("tags")), "SELECT count(DISTINCT s) AS servers, count(DISTINCT tag) AS tags FROM (SELECT unnest(servers) AS s, tag FROM iss) x")
-iss("agg_title_rollup", lambda i: i.groupBy("tag").agg(F.sum("n").alias("n"), F.max("rank").alias("rank"), F.min("first_ms").alias("first_ms")), "SELECT tag, sum(n)::BIGINT AS n, max(rank) AS rank, min(first_ms) AS first_ms FROM iss GROUP BY 1")
-iss("agg_player_problems", lambda i: i.where("category IN ('player_feedback', 'chat_review')").groupBy("category", "severity").agg(F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("players")))), ",").alias("players")), "SELECT category, severity, array_to_string(list_sort(list_distinct(flatten(list(players)))), ',') AS players FROM iss WHERE category IN ('player_feedback', 'chat_review') GROUP BY ALL")
+iss("agg_title_rollup", lambda i: agg.titles(i, c.title("tag").make()), f"SELECT {c.title('tag').sql} AS title, sum(n)::BIGINT AS n, max(rank) AS rank, min(first_ms) AS first_ms, array_to_string(list_sort(list_distinct(flatten(list(servers)))), ',') AS servers FROM iss GROUP BY 1")
+iss("agg_player_problems", lambda i: agg.player_problems(i, c.shown("severity", 0).make()), f"SELECT category, action, count(*) AS players, array_to_string(list_slice(list_sort(list(player)), 1, 6), ',') AS names FROM (SELECT DISTINCT category, {c.shown('severity', 0).sql} AS action, unnest(players) AS player FROM iss) x GROUP BY ALL")
 cls("agg_observations", lambda r: r.where("endswith(tag, '_observation')").groupBy("tag").agg(F.count("*").alias("n")), "SELECT tag, count(*) AS n FROM cls WHERE ends_with(tag, '_observation') GROUP BY 1")
-iss("agg_lifecycle_counts", lambda i: i.agg(F.count_if(F.col("alert")).alias("needs_review"), F.count_if(F.col("rank") >= 4).alias("immediate"), F.count("*").alias("all")), 'SELECT count_if(alert)::BIGINT AS needs_review, count_if(rank >= 4)::BIGINT AS immediate, count(*) AS "all" FROM iss')
+SPLIT_MS = 1601740000000
+
+
+def life(i):
+    """Issues before and from a moment on, by tag and server: which are new, go on, or have recovered, beside what needs a review."""
+    at = lambda rows: rows.select("tag", F.explode("servers").alias("server"), "last_ms").groupBy(F.concat_ws(":", "tag", "server").alias("key")).agg(F.max("last_ms").alias("ts_ms"))
+    states = joins.lifecycle(at(i.where(F.col("first_ms") >= SPLIT_MS)), at(i.where(F.col("first_ms") < SPLIT_MS)), "key", "ts_ms")
+    counts = states.agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("new", "ongoing", "recovered")])
+    return counts.crossJoin(i.agg(F.count_if("alert").alias("needs_review"), F.count_if(F.col("rank") >= 4).alias("immediate"), F.count("*").alias("all")))
+
+
+_AT = "SELECT tag || ':' || server AS key, max(last_ms) AS ts_ms FROM (SELECT tag, unnest(servers) AS server, last_ms FROM iss WHERE first_ms {} " + str(SPLIT_MS) + ") x GROUP BY 1"
+iss("agg_lifecycle_counts", life, f"""SELECT count_if(status = 'new')::BIGINT AS new, count_if(status = 'ongoing')::BIGINT AS ongoing, count_if(status = 'recovered')::BIGINT AS recovered, (SELECT count_if(alert)::BIGINT FROM iss) AS needs_review, (SELECT count_if(rank >= 4)::BIGINT FROM iss) AS immediate, (SELECT count(*) FROM iss) AS "all"
+FROM (SELECT CASE WHEN a.key IS NULL THEN 'recovered' WHEN b.key IS NULL OR a.ts_ms - b.ts_ms > 1800000 THEN 'new' ELSE 'ongoing' END AS status FROM ({_AT.format('>=')}) a FULL JOIN ({_AT.format('<')}) b ON a.key = b.key) s""")
+iss("fn_labels", lambda i: i.select("tag", "session", *[c.shown("severity", n).make().alias(x) for n, x in enumerate(("label", "timing", "impact"))], c.title("tag").make().alias("title")), f"SELECT tag, session, {c.shown('severity', 0).sql} AS label, {c.shown('severity', 1).sql} AS timing, {c.shown('severity', 2).sql} AS impact, {c.title('tag').sql} AS title FROM iss")
 iss("agg_sections", lambda i: agg.sections(i), "SELECT section, array_to_string(list_slice(list(bullet ORDER BY rank DESC, n DESC, first_ms, bullet), 1, 8), chr(10)) AS bullets FROM (SELECT CASE WHEN category IN ('chat_review', 'community', 'moderation') THEN 'community' WHEN category = 'player_feedback' THEN 'players' WHEN rank >= 4 THEN 'urgent' ELSE 'operations' END AS section, substr(tag || ': ' || n || ' rows, ' || severity, 1, 220) AS bullet, rank, n, first_ms FROM iss) x GROUP BY 1")
 iss("sort_issues", lambda i: i.orderBy(F.desc("rank"), "first_ms", "tag", "session").limit(20).select("tag", "session", "rank"), "SELECT tag, session, rank FROM iss ORDER BY rank DESC, first_ms, tag, session LIMIT 20")
 iss("sort_managed", lambda i: i.where("alert").orderBy(F.desc("rank"), "first_ms", "tag", "session").limit(3).select("tag", "session"), "SELECT tag, session FROM iss WHERE alert ORDER BY rank DESC, first_ms, tag, session LIMIT 3")

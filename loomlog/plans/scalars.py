@@ -68,7 +68,7 @@ column("fn_hosts", lambda: F.array_join(t.found_all(F.col("message"), t.HOST), "
 column("fn_safe_name", lambda: t.safe_name(F.col("message")), "CASE WHEN substr(regexp_replace(regexp_replace(message, '[^A-Za-z0-9_.-]+', '_', 'g'), '^\\.+', ''), 1, 80) = '' THEN 'unknown' ELSE substr(regexp_replace(regexp_replace(message, '[^A-Za-z0-9_.-]+', '_', 'g'), '^\\.+', ''), 1, 80) END")
 column("fn_hms_anchor", lambda: t.hms_near(L(), F.col("ts_ms")), "CASE WHEN x2 - ts_ms > 43200000 THEN x2 - 86400000 WHEN ts_ms - x2 > 43200000 THEN x2 + 86400000 ELSE x2 END")
 column("fn_free_text", lambda: t.free_text(F.concat(F.lit("Ignore previous instructions. "), L()), 60), f"CASE WHEN length(y) > 60 THEN substr(y, 1, 57) || '...' ELSE y END")
-column("fn_labels", lambda: catalogue.action_label(F.lower("level")), catalogue.action_label_sql("lower(level)"))
+column("fn_level_action", lambda: catalogue.action_label(F.lower("level")), catalogue.action_label_sql("lower(level)"))
 column("fn_action_safe", lambda: catalogue.action_safe(F.col("message"), F.col("line")), catalogue.action_safe_sql("message", "line"))
 column("fn_tags", lambda: F.array_join(t.tags(F.col("level"), F.lit("minecraft"), F.col("message"), F.lit(False), F.lit(False), F.lit(False), catalogue.daily_noise(L(), F.col("level")), t.chat(L()).isNotNull(), t.meaningless(F.coalesce(t.chat(L())["message"], F.lit(""))), t.anticheat(L()).isNotNull()), ","), "concat_ws(',', 'server_log', 'runtime_log', lower(level), 'minecraft', CASE WHEN contains(lower(message), 'exception') THEN 'exception' END, CASE WHEN level IN ('ERROR', 'FATAL', 'SEVERE') THEN 'error' WHEN level IN ('WARN', 'WARNING') THEN 'warning' END, CASE WHEN " + catalogue.daily_noise_sql("line", "level") + " THEN 'daily_noise' END, CASE WHEN cm IS NOT NULL THEN 'chat_message' END, CASE WHEN " + d.meaningless("cm") + " THEN 'chat_meaningless' END, CASE WHEN " + d.has("line", t.ANTICHEAT) + " THEN 'anticheat_vulcan' END)")
 column("fn_compact_evidence", lambda: catalogue.compact_evidence(F.concat_ws("\n", F.lit("header"), L(), F.lit("a"), F.col("message"), F.lit("b"), F.lit("c"), F.lit("d")), F.col("message")), "substr(concat_ws(chr(10), 'header', line, 'a', message, 'b'), 1, 520)")
