@@ -94,7 +94,7 @@ iss("agg_max_severity", lambda i: i.agg(F.max("rank").alias("rank"), F.max("aler
 TERMS = [*r.CRITICAL, *r.ERRORS[:4], *r.PERFORMANCE[:7], *r.CATEGORY_WORDS["network"][:11]]
 cls("agg_terms", lambda x: agg.terms(k.evidence(x), ["category"], "message", TERMS).select("category", F.array_join("terms", ",").alias("terms")), "SELECT category, array_to_string(list_slice(list_filter([" + ", ".join(f"CASE WHEN bool_or({c.contains_sql('message', [w])}) THEN {d.q(w)} END" for w in TERMS) + "], lambda x: x IS NOT NULL), 1, 8), ',') AS terms FROM cls WHERE evidence GROUP BY category")
 cls("agg_chat_topics", lambda r: agg.topics(r.where("chat_message IS NOT NULL")), "SELECT 'category' AS what, chat_category AS name, count(*) AS n FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'severity', chat_severity, count(*) FROM cls WHERE chat_message IS NOT NULL GROUP BY 2 UNION ALL SELECT 'label', label, count(*) FROM (SELECT unnest(chat_labels) AS label FROM cls WHERE chat_message IS NOT NULL) x GROUP BY 2 UNION ALL SELECT 'players', 'distinct', count(DISTINCT chat_player) FROM cls WHERE chat_message IS NOT NULL UNION ALL SELECT 'talker', name, n FROM (SELECT chat_player AS name, count(*) AS n FROM cls WHERE chat_player <> '' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5) y")
-cls("agg_keywords", lambda r: agg.keywords(r.where("chat_message IS NOT NULL"), "chat_message", 10), "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(chat_message), '[a-z]{3,}')) AS word FROM cls WHERE chat_message IS NOT NULL) x WHERE word NOT IN ('the', 'and', 'for', 'you', 'that', 'this') GROUP BY 1) y WHERE n >= 2 ORDER BY n DESC, word LIMIT 10")
+cls("agg_keywords", lambda r: agg.keywords(r.where("chat_message IS NOT NULL"), "chat_message", 10), "SELECT word, n FROM (SELECT word, count(*) AS n FROM (SELECT unnest(list_concat(regexp_extract_all(lower(chat_message), '[a-z]{3,}'), flatten(list_transform(regexp_extract_all(chat_message, '[\\x{4e00}-\\x{9fff}]{2,}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i::INT, 2)))))) AS word FROM cls WHERE chat_message IS NOT NULL) x WHERE word NOT IN ('the', 'and', 'for', 'you', 'that', 'this') GROUP BY 1) y WHERE n >= 2 ORDER BY n DESC, word LIMIT 10")
 cls("agg_anticheat", lambda r: agg.anticheat(r.where("cheat_player IS NOT NULL").withColumn("weight", F.greatest(F.lit(1), F.col("k") % 3))), "SELECT player, n, array_to_string(list_transform(list_slice(list_sort(list({'w': -w, 'c': cheat_check})), 1, 3), lambda x: x.c), ',') AS checks FROM (SELECT cheat_player AS player, cheat_check, sum(greatest(1, k % 3))::BIGINT AS w, sum(sum(greatest(1, k % 3))) OVER (PARTITION BY cheat_player)::BIGINT AS n FROM cls WHERE cheat_player IS NOT NULL GROUP BY 1, 2) x GROUP BY ALL")
 cls("agg_anticheat_checks", lambda x: agg.anticheat_checks(x.where("cheat_player IS NOT NULL").withColumn("weight", F.greatest(F.lit(1), F.col("k") % 3))), 'SELECT cheat_check AS "check", sum(greatest(1, k % 3))::BIGINT AS n, count(DISTINCT cheat_player) AS players, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms FROM cls WHERE cheat_player IS NOT NULL GROUP BY 1')
 cls("agg_player_samples", lambda x: agg.samples(x.where("chat_player <> ''"), ["chat_player"], "chat_message", ["ts_ms", "seq"]), "SELECT chat_player, sum(c)::BIGINT AS n, array_to_string(list_slice(list(chat_message ORDER BY t, q), 1, 5), '|') AS samples FROM (SELECT chat_player, chat_message, count(*) AS c, min(ts_ms) AS t, arg_min(seq, (ts_ms, seq)) AS q FROM cls WHERE chat_player <> '' GROUP BY 1, 2) x GROUP BY 1")
