@@ -121,10 +121,12 @@ def alerts(issues: DataFrame, cooldown_ms: int = 600_000) -> DataFrame:
     return keyed.applyInPandasWithState(step, ", ".join(types.values()) + ", first_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def run_once(rows: DataFrame, folder: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there, into a table in the folder, and read that. Called again, it goes on where it stopped."""
+def run_once(rows: DataFrame, folder: str, mode: str = "append", seconds: int = 3600) -> DataFrame:
+    """Run a stream over all that is there, into a table in the folder, and read that. Called again, it goes on where it stopped; an error after `seconds`."""
     query = rows.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
-    query.awaitTermination()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream took more than {seconds} s")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
