@@ -164,7 +164,7 @@ class Words:
 
     def found(self, text: Column) -> Column:
         inside = lambda words: F.filter(_array(list(words)), lambda w: F.contains(text, w))
-        tokens = F.array_intersect(F.split(text, "[^a-z0-9_]+"), _array(list(self.tokens)))
+        tokens = F.filter(F.split(text, "[^a-z0-9_]+"), lambda x: x.isin(*self.tokens))
         return F.concat(tokens, inside(self.parts), F.transform(inside(self.short_parts), lambda w: F.concat(F.lit("~"), w)))
 
     def found_sql(self, text: str) -> str:
