@@ -173,11 +173,16 @@ class Words:
         return f"list_concat(list_concat({tokens}, {inside(self.parts)}), list_transform({inside(self.short_parts)}, lambda w: '~' || w))"
 
 
-LINE, SAID, HINTED, SEEN = Words("_w"), Words("_cw"), Words("_hw"), Words("_iw")
+LINE, SAID = Words("_w"), Words("_cw")
 level, text = col("_lv"), "_t"
 issue_level, quiet = level.is_in(r.ISSUE_LEVELS), level.is_in(["info", ""])
 chat, cheat = col("chat_message").known(), col("cheat_player").known()
 
+# --- hints ------------------------------------------------------------------------------
+_open = issue_level | LINE.has(r.HINT_WORDS)
+#: The number of the first hint, -1 without one.
+_hint = case([(~_open, lit(-1))] + [(LINE.has(w) & ~LINE.has(no), lit(i)) for i, (_, _, _, w, no) in enumerate(r.HINTS)], lit(-1))
+
 # --- lines of the machinery -------------------------------------------------------------
 _inventory = (starts("_body", "- ") & times("_body", ", ").at_least(8) & times("_body", "(").at_least(8) & times("_body", ")").at_least(8)) | (
     LINE.has(["[server thread/info]:"]) & times("_body", ", ").at_least(5) & matches("_body", r"^-?\s*[a-z0-9_.+-]+(?:\s*\([^)]+\))?")
@@ -189,18 +194,11 @@ _banner = (
 )
 _benign_info = _inventory | LINE.has(r.BENIGN_INFO) | any_([LINE.has_all(x) for x in r.BENIGN_INFO_ALL]) | (LINE.has(["hikaripool", "hikari pool"]) & LINE.has(r.BENIGN_POOL))
 _benign_warn = any_([LINE.has_all(x) for x in r.BENIGN_WARN_ALL]) | _banner | LINE.has(r.BENIGN_WARN)
-benign = (quiet & _benign_info) | (level.is_in(["warn"]) & _benign_warn) | (~col("_hint").at_least(0) & (col("_kind").is_in(["stacktrace_frame", "diagnostic_detail"]) | (level.is_in(["warn"]) & col("_repeats"))))
-
-# --- hints and operations ---------------------------------------------------------------
-
+benign = (quiet & _benign_info) | (level.is_in(["warn"]) & _benign_warn) | (~_hint.at_least(0) & (col("_kind").is_in(["stacktrace_frame", "diagnostic_detail"]) | (level.is_in(["warn"]) & col("_repeats"))))
 
-def _first_hint(words: Words, open_: Expr) -> Expr:
-    """The number of the first hint, -1 without one."""
-    fits = [words.has(w) & ~words.has(no) for _, _, _, w, no in r.HINTS]
-    return case([(~open_, lit(-1))] + [(f, lit(i)) for i, f in enumerate(fits)], lit(-1))
+# --- operations -------------------------------------------------------------------------
 
 
-_hint = _first_hint(LINE, issue_level | LINE.has(r.HINT_WORDS))
 _rank = SEVERITIES.index
 # what a line can be: (category, subtype, severity, needs an admin whatever its severity (None: by severity and level), observation, reports, decides first)
 _KINDS = [("lifecycle", "machinery", 0, False, False, [], True), ("metrics", "metrics", 0, False, False, [], True)]
@@ -233,8 +231,8 @@ _ops_rank = case(
     [(_lifted & level.is_in(["fatal"]), lit(4)), (_lifted & level.is_in(["severe"]), greatest(_kind(2, "int"), lit(3))), (col("_benign") & level.is_in(["warn"]), lit(1))],
     _kind(2, "int"),
 )
-_ops_admin = at([k[3] is not False for k in _KINDS], col("_ops"), "boolean") & (col("_or").at_least(2) | level.is_in(["error", "severe", "fatal"]))
-_weighty = col("_oa") | at([k[4] for k in _KINDS], col("_ops"), "boolean") | col("_or").at_least(2)
+_ops_admin = at([k[3] is not False for k in _KINDS], col("_ops"), "boolean") & (_ops_rank.at_least(2) | level.is_in(["error", "severe", "fatal"]))
+_weighty = _ops_admin | at([k[4] for k in _KINDS], col("_ops"), "boolean") | _ops_rank.at_least(2)
 _own_reports = at([k[5] or r.OPS_REPORTS.get(k[0], []) for k in _KINDS], col("_ops"), "array<string>")
 _reports = case([(_weighty & ~chat, _own_reports)], Expr(NO_WORDS, "[]::VARCHAR[]"))
 in_reports = lambda c: Expr(f"array_contains(_reports, {_q(c)})", f"list_contains(_reports, {_q(c)})")
@@ -261,7 +259,7 @@ _chat_rank = case(
     [
         (labelled(r.CHAT_CRITICAL) | (SAID.has(r.EVERYONE) & labelled(r.EVERYONE_LABELS)), lit(4)),
         (labelled(r.CHAT_HIGH), lit(3)),
-        (col("_group").is_in(r.CHAT_SERIOUS), lit(2)),
+        (_chat_group.is_in(r.CHAT_SERIOUS), lit(2)),
         (_any_label, lit(1)),
     ],
     lit(0),
@@ -339,12 +337,16 @@ _worst = greatest(case([(chat, lit(0))], col("_or")), col("_cr"))
 
 #: The columns of classification, step by step: each step reads what the ones before made.
 STEPS: list[dict[str, Expr]] = [
-    {"_hint": _hint},
-    {"_benign": benign},
-    {"_ops": _which, "_labels": _labels},
-    {"_or": _ops_rank, "_group": _chat_group},
-    {"_oa": _ops_admin, "_cr": case([(chat, _chat_rank)], lit(0))},
-    {"_reports": _reports, "ops_admin": ~chat & col("_oa"), "chat_admin": chat & (col("_group").is_in(r.CHAT_SERIOUS) | col("_cr").at_least(2))},
+    {"_hint": _hint, "_benign": benign, "_labels": _labels},
+    {"_ops": _which},
+    {
+        "_or": _ops_rank,
+        "_group": _chat_group,
+        "_cr": case([(chat, _chat_rank)], lit(0)),
+        "_reports": _reports,
+        "ops_admin": ~chat & _ops_admin,
+        "chat_admin": chat & (_chat_group.is_in(r.CHAT_SERIOUS) | _chat_rank.at_least(2)),
+    },
     {"category": _category, "gate": _gate},
     {
         "tag": _tag,
@@ -415,9 +417,6 @@ def contains(c: Column, words: list[str]) -> Column:
     return out
 
 
-_hint_of_text = _first_hint(HINTED, col("_lv").is_in(r.ISSUE_LEVELS) | HINTED.has(r.HINT_WORDS))
-
-
 def hint(c: Column, lv: Column) -> Column:
     """struct(code, severity, markers) of the first hint, null without; rows of no issue level need a word of trouble."""
     low, out = F.lower(c), None

@@ -31,8 +31,7 @@ def classify(log: DataFrame, line: str = "line", message: str = "message", level
     rows = step(log, {"_chat": t.chat(F.col(line)), "_cheat": t.anticheat(F.col(line)), "_flood": mark("chat_flood"), "_abuse": mark("chat_abuse"), "_loop": mark("loop_suppressed")} | c.features(F.col(line), F.col(message), F.col(level)))
     said = F.col("_chat.message")
     parts = {"chat_player": F.col("_chat.player"), "chat_message": said, "cheat_player": F.col("_cheat.player"), "cheat_check": F.col("_cheat.check")}
-    rows = step(rows, parts | {"_kinds": c.kinds(F.col("_bare")), "_w": c.LINE.found(F.col("_t")), "_low": F.lower(said)})
-    rows = step(rows, {"_cw": F.when(F.col("_low").isNotNull(), c.SAID.found(F.col("_low")))})
+    rows = step(rows, parts | {"_kinds": c.kinds(F.col("_bare")), "_w": c.LINE.found(F.col("_t")), "_cw": F.when(said.isNotNull(), t.let(F.lower(said), c.SAID.found))})
     for made in c.STEPS:
         rows = step(rows, {k: e.make() for k, e in made.items()})
     return rows.select(*log.columns, *parts, *c.COLUMNS)
