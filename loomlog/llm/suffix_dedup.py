@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Carried, cut, null_ids, table, tidy, tidy_group, with_ids
+from .common import Carried, cut, null_ids, release, table, tidy, tidy_group, with_ids
 
 MIN_BYTES = 50
 #: Bytes of text in a chunk, of text for each bucket, and of runs in one suffix array.
@@ -473,6 +473,8 @@ def judged(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple]:
             left = np.frombuffer(runs.data, dtype=np.uint8)[~gone].tobytes()
             lo, hi = (begins - count[begins]).tolist(), (runs.ends - count[runs.ends]).tolist()
             yield x, runs.ids, runs.lens, count[runs.ends] - count[begins], spans[runs.ends] - spans[begins], [left[a:b] for a, b in zip(lo, hi, strict=True)]
+            del x, runs, gone, rise, count, spans, left
+            release()
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
