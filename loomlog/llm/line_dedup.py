@@ -1,12 +1,16 @@
 """Line dedup by a tree of line templates.
 
 A line is parsed to a leaf of fixed depth: its number of tokens, then its leading tokens.
-Tokens that hold a digit are variable fields. A leaf of more than LEAF different lines is
-split by further tokens, twice at most, so that no task gets all of it. In a leaf, lines in byte order join the most
+Tokens that hold a digit are variable fields. In a leaf, lines in byte order join the most
 similar template so far, and where they differ the template generalises to a variable
 field; lines too different open a template. A template that enough documents hold recurs:
 its lines stay in the document of smallest id only.
 
+A leaf is whole, however many lines it has: what a line joins never depends on the size of
+the table. Templates that a line may join are looked up by runs of tokens, one of which they
+must have in common. Lines so short that no token may differ join nothing but equal ones,
+so they are dealt by all their tokens.
+
 Texts are parsed once, in chunks. A chunk sends each different line once to the bucket of
 its leaf, with the smallest ids that hold it, so a line that is everywhere is a few rows;
 the answer goes back to the chunks by line number.
@@ -14,8 +18,10 @@ the answer goes back to the chunks by line number.
 
 from __future__ import annotations
 
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -30,8 +36,12 @@ from .suffix_dedup import BUCKET, CHUNK, _unzip, _zip
 
 #: Leading tokens on the way to a leaf; share of equal tokens that joins a line to a template; documents that make it recur.
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.8, 3
-#: Different lines of a leaf that isn't split, further tokens of a level, levels; crowded leaves that are broadcast (beyond, they are joined).
-LEAF, DEEPER, LEVELS, BROADCAST = 20_000, 3, 3, 100_000
+#: Different lines of a leaf beyond which it is split, so that lines of its parts don't meet: an option that changes results, None by default: no leaf is.
+LEAF: int | None = None
+#: Where leaves are split: further tokens of a level, levels; crowded leaves that are broadcast (beyond, they are joined).
+DEEPER, LEVELS, BROADCAST = 3, 3, 100_000
+#: Templates of a leaf that are all compared with a line; of more, those that have a run of tokens in common with it. The answer is the same.
+SCANNED = 64
 FIELD = "<*>"
 _DIGIT = re.compile(r"\d")
 NEVER = np.iinfo(np.int64).max
@@ -49,36 +59,81 @@ def leaf(tokens: list[str], depth: int) -> str:
     return f"{len(tokens)} {' '.join(tokens[:depth])}"
 
 
-def templates(lines: list[list[str]], similar: float) -> list[int]:
+def alone(width: int, similar: float) -> bool:
+    """Whether lines of so many tokens join equal ones only."""
+    return math.ceil(similar * width) >= width
+
+
+class Runs:
+    """Templates by their runs of tokens: where at most `differ` tokens of a line and a template differ, one of differ + 1 runs is equal."""
+
+    def __init__(self, found: np.ndarray, differ: int):
+        edges = np.arange(differ + 2) * found.shape[1] // (differ + 1) * found.itemsize
+        self.runs = list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+        self.held: list[dict[bytes, set[int]]] = [{} for _ in self.runs]
+        for t, row in enumerate(found):
+            self.add(t, row.tobytes())
+
+    def add(self, t: int, row: bytes) -> None:
+        for held, (a, b) in zip(self.held, self.runs, strict=True):
+            held.setdefault(row[a:b], set()).add(t)
+
+    def change(self, t: int, old: bytes, new: bytes) -> None:
+        for held, (a, b) in zip(self.held, self.runs, strict=True):
+            if old[a:b] != new[a:b]:
+                held[old[a:b]].discard(t)
+                if not held[old[a:b]]:
+                    del held[old[a:b]]
+                held.setdefault(new[a:b], set()).add(t)
+
+    def near(self, row: bytes, most: int) -> list[int] | None:
+        """Templates with a run of this row, in order; None where they are more than `most`."""
+        sets = [x for held, (a, b) in zip(self.held, self.runs, strict=True) if (x := held.get(row[a:b]))]
+        if sum(map(len, sets)) > most:
+            return None
+        return sorted(set().union(*sets))
+
+
+def templates(lines: Iterable[list[str]], similar: float) -> list[int]:
     """The template of each line of one leaf, taken in the given order."""
     known: dict[str, int] = {}
-    codes = np.array([[known.setdefault(t, len(known) + 1) for t in line] for line in lines], dtype=np.int64)
-    field = known.get(FIELD, -1)
-    codes[codes == field] = 0  # variable fields are equal to nothing, and to each other only as fields
-    width = codes.shape[1]
-    found = np.empty((16, width), dtype=np.int64)
-    n, out = 0, []
+    rest = iter(lines)
+    head = next(rest)
+    width = len(head)
+    codes = np.fromiter((known.setdefault(t, len(known) + 1) for line in chain([head], rest) for t in line), dtype=np.int32).reshape(-1, width)
+    codes[codes == known.get(FIELD, -1)] = 0  # variable fields are equal to nothing, and to each other only as fields
+    codes = np.ascontiguousarray(codes[:, (codes != codes[0]).any(axis=0)])  # other tokens are equal throughout
+    need = math.ceil(similar * width) - (width - codes.shape[1])
+    found = np.empty((16, codes.shape[1]), dtype=np.int32)
+    n, out, runs = 0, [], None
     for line in codes:
-        if n:
-            same = found[:n] == line
+        near = runs.near(line.tobytes(), max(SCANNED, n // 8)) if runs else None
+        some = found[:n] if near is None else found[near]
+        if len(some):
+            same = some == line
             score = same.sum(axis=1)
             best = int(score.argmax())
-            if score[best] >= similar * width:
-                found[best][~same[best]] = 0
-                out.append(best)
+            if score[best] >= need:
+                t, differs = best if near is None else near[best], ~same[best]
+                if found[t][differs].any():
+                    old = found[t].tobytes()
+                    found[t][differs] = 0
+                    if runs:
+                        runs.change(t, old, found[t].tobytes())
+                out.append(t)
                 continue
         if n == len(found):
             found = np.concatenate([found, np.empty_like(found)])
         found[n] = line
         out.append(n)
+        if runs:
+            runs.add(n, line.tobytes())
         n += 1
+        if n == SCANNED:
+            runs = Runs(found[:n], codes.shape[1] - need)
     return out
 
 
-def smallest(sets: list[np.ndarray], k: int) -> np.ndarray:
-    return np.unique(np.concatenate(sets))[:k]
-
-
 LEAVES = pa.list_(pa.struct({"h": pa.int64(), "n": pa.int32()}))
 PARSED = pa.schema({"g": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "odd_at": pa.binary(), "odd": pa.binary(), "meta": pa.binary(), "places": pa.binary(), "lines": pa.binary(), "owners": pa.binary(), "hashes": pa.binary(), "leaves": LEAVES})
 
@@ -101,12 +156,16 @@ def placed(line: str, h: int, depth: int, crowded: list[frozenset]) -> tuple[int
     return level, h
 
 
-def parse(rows: DataFrame, depth: int, min_docs: int) -> DataFrame:
+def parse(rows: DataFrame, depth: int, similar: float, min_docs: int, counted: bool) -> DataFrame:
     """Chunks: the entry of each line, the entries with their owners and leaves, and the lines that differ from their entry's text; written once.
 
-    rows: doc_id, text, columns to hand on.
+    rows: doc_id, text, columns to hand on. counted: whether sizes of leaves are asked for.
     """
 
+    def hashed(line: str) -> int:
+        width = line.count(" ") + 1
+        return leaf_hash(line.split(" ", depth), width if alone(width, similar) else depth, width)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, count = TaskContext.get().partitionId(), 0
         held: list[tuple] = []
@@ -142,8 +201,8 @@ def parse(rows: DataFrame, depth: int, min_docs: int) -> DataFrame:
             for i, some in enumerate(owners):
                 least = sorted(some)[:min_docs]
                 own[i, : len(least)] = least
-            hashes = np.array([leaf_hash(line.split(" ", depth), depth, line.count(" ") + 1) for line in entries], dtype=np.int64)
-            leaves, sizes = np.unique(hashes, return_counts=True)
+            hashes = np.array([hashed(line) for line in entries], dtype=np.int64)
+            leaves, sizes = np.unique(hashes if counted else hashes[:0], return_counts=True)
             ids = np.array([x[0] for x in held], dtype=np.int64)
             whole = {
                 "g": (part << 32) + count,
@@ -181,39 +240,47 @@ def parse(rows: DataFrame, depth: int, min_docs: int) -> DataFrame:
 def answer(pdf: pd.DataFrame, depth: int, similar: float, min_docs: int) -> pd.DataFrame:
     """Of one bucket: for each chunk's entries the only doc_id that keeps the line, or NEVER where it doesn't recur."""
     lines: dict[str, int] = {}
-    owners: list[list[np.ndarray]] = []
-    per = []
     level: list[int] = []
+    per, sets = [], []
     for blob, own, of in zip(pdf.lines, pdf.owners, pdf.levels, strict=True):
         at = []
-        sets = np.frombuffer(own, dtype=np.int64).reshape(-1, min_docs)
-        for line, ids, j in zip(_unzip(blob).decode("utf-8", "surrogatepass").split("\n"), sets, of, strict=True):
-            i = lines.setdefault(line, len(owners))
-            if i == len(owners):
-                owners.append([])
+        for line, j in zip(_unzip(blob).decode("utf-8", "surrogatepass").split("\n"), of, strict=True):
+            i = lines.setdefault(line, len(level))
+            if i == len(level):
                 level.append(j)
-            elif len(owners[i]) > 64:
-                owners[i] = [smallest(owners[i], min_docs)]
-            owners[i].append(ids)
             at.append(i)
-        per.append(at)
-    leaves: dict[str, list[tuple[str, int]]] = {}
+        per.append(np.array(at, dtype=np.int32))
+        sets.append(np.frombuffer(own, dtype=np.int64))
+    leaves: dict[tuple[int, str], list[str]] = {}
     for line, i in lines.items():
-        leaves.setdefault(f"{level[i]} {leaf(line.split(' '), depth + DEEPER * level[i])}", []).append((line, i))
-    keeper = np.full(len(owners), NEVER, dtype=np.int64)
+        if not alone(line.count(" ") + 1, similar):
+            leaves.setdefault((level[i], leaf(line.split(" "), depth + DEEPER * level[i])), []).append(line)
+    group = np.arange(len(lines), dtype=np.int32)  # a template is named by the line that opened it
     for some in leaves.values():
-        some.sort(key=lambda x: x[0])
-        found = templates([x.split(" ") for x, _ in some], similar) if len(some) > 1 else [0]
-        members: dict[int, list[int]] = {}
-        for (_, i), t in zip(some, found, strict=True):
-            members.setdefault(t, []).append(i)
-        for group in members.values():
-            ids = smallest([x for i in group for x in owners[i]], min_docs)
-            if len(ids) >= min_docs and ids[min_docs - 1] != NEVER:
-                keeper[group] = ids[0]
+        if len(some) > 1:
+            some.sort()
+            at = np.array([lines[x] for x in some], dtype=np.int32)
+            found = np.array(templates((x.split(" ") for x in some), similar))
+            group[at] = at[np.unique(found, return_index=True)[1]][found]
+    keeper = recurring(np.repeat(group[np.concatenate(per)], min_docs), np.concatenate(sets), len(lines), min_docs)[group]
     return pd.DataFrame({"g": pdf.g, "entries": pdf.entries, "keepers": [keeper[at].tobytes() for at in per]})
 
 
+def recurring(group: np.ndarray, ids: np.ndarray, n: int, min_docs: int) -> np.ndarray:
+    """For each of n groups: its smallest id if it has min_docs different ones, else NEVER (which is no id)."""
+    real = ids != NEVER
+    group, ids = group[real], ids[real]
+    order = np.lexsort((ids, group))
+    group, ids = group[order], ids[order]
+    new = np.ones(len(ids), dtype=bool)
+    new[1:] = (group[1:] != group[:-1]) | (ids[1:] != ids[:-1])
+    group, ids = group[new], ids[new]
+    which, first, size = np.unique(group, return_index=True, return_counts=True)
+    out = np.full(n, NEVER, dtype=np.int64)
+    out[which[size >= min_docs]] = ids[first[size >= min_docs]]
+    return out
+
+
 def crowded_of(x: dict, known: list[frozenset | None]) -> list[frozenset]:
     return [k if k is not None else frozenset(x[f"crowd{i}"] or []) for i, k in enumerate(known)]
 
@@ -270,9 +337,9 @@ def judged(rows: DataFrame, depth: int, similar: float, min_docs: int) -> DataFr
     """Parsed chunks with the answers to their entries."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    store = parse(rows, depth, min_docs)
+    store = parse(rows, depth, similar, min_docs, LEAF is not None)
     chunks, counts, known = store.select("g", "lines", "owners", "hashes"), store.select("g", F.inline("leaves")), []
-    for level in range(LEVELS - 1):  # crowded leaves of each level: as a broadcast set while they are few, else as a column of each chunk
+    for level in range(0 if LEAF is None else LEVELS - 1):  # crowded leaves of each level: as a broadcast set while they are few, else as a column of each chunk
         crowded = cut(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LEAF).select("h"), "crowded")
         many = crowded.count()
         if not many:
@@ -323,8 +390,8 @@ def cleaned(docs: DataFrame, depth: int = DEPTH, similar: float = SIMILAR, min_d
     Lines end at line feeds. Blank lines are no lines: they stay and aren't counted. A line
     whose template `min_docs` or more doc_ids hold stays only where doc_id is the smallest
     of them (there every one of its lines stays). Null texts are empty; repeated rows are
-    one holder. Lines of a leaf that was split don't meet across its parts. The template depends on all lines of its leaf, in byte order. A text of any
-    length is one row of one chunk. A null doc_id is one id, smaller than all others. An
+    one holder. The template depends on all lines of its leaf, in byte order, and on nothing
+    else; a leaf of any size is judged by one task. A text of any length is one row of one chunk. A null doc_id is one id, smaller than all others. An
     empty table gives no rows.
     """
 

@@ -812,3 +812,35 @@ def test_crowded_leaves_are_split_by_further_tokens(spark, monkeypatch, broadcas
         for x in t.split("\n"):
             held.setdefault(x, set()).add(i)
     assert finest == {i: "\n".join(x for x in t.split("\n") if len(held[x]) < 3 or min(held[x]) == i) for i, t in enumerate(texts)} != whole
+
+
+def test_lines_of_a_template_meet_however_many_others_their_leaf_has(spark):
+    rng = random.Random(17)
+    three = [f"a b c {x} same words in all of them" for x in ("red", "green", "blue")]
+    texts = [f"own {words(rng, 3)}\n{x}" for x in three]
+    crowd = ["\n".join(f"a b c {i} {j} {k}" + f" {rng.randrange(9**9):o}q" * 4 for j in "xyz" for k in "uvw") for i in range(2400)]  # 21,600 lines of that leaf
+    crowd = [re.sub(r"\d", lambda d: "ghijklmnop"[int(d[0])], x) for x in crowd]
+    assert len({x for t in crowd for x in t.split("\n")}) == 21_600
+    few = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()}
+    assert few == lines_kept(dict(enumerate(texts))) and three[1] not in few[1]
+    got = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts + crowd)).collect()}
+    assert {i: got[i] for i in few} == few and [got[i + 3] for i in range(2400)] == crowd
+
+
+@pytest.mark.parametrize("scanned", [1, 5, 64])
+def test_templates_found_by_runs_are_those_of_a_scan(monkeypatch, scanned):
+    monkeypatch.setattr(line_dedup, "SCANNED", scanned)
+    rng = random.Random(scanned)
+    for width in [*range(1, 16), 25]:
+        base = [[rng.choice("abcdef") for _ in range(width)] for _ in range(40)]
+        some = [[rng.choice(["<*>", *"abcdef"]) if rng.random() < 0.15 else t for t in rng.choice(base)] for _ in range(300)]
+        some = [x.split(" ") for x in sorted({" ".join(x) for x in some})]
+        known, want = [], []
+        for w in some:
+            same = [sum(a == b for a, b in zip(k, w, strict=True)) for k in known]
+            best = same.index(max(same)) if same and max(same) >= 0.8 * width else len(known)
+            if best == len(known):
+                known.append(w)
+            known[best] = [a if a == b else "<*>" for a, b in zip(known[best], w, strict=True)]
+            want.append(best)
+        assert line_dedup.templates(some, 0.8) == want
