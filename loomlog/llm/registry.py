@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, merkle, packing, quality, simhash, spotsigs, suffix_dedup, url_filter
+from . import bpe, embedding_dedup, license_scan, line_dedup, merkle, packing, quality, simhash, spotsigs, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": license_scan.op8_license_scan,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle": merkle.op12_merkle,
 }
 ORACLES = {"op6_url_filter": url_filter.oracle(), "op8_license_scan": license_scan.oracle(), "op12_merkle": merkle.oracle()}
