@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, license_scan, line_dedup, merkle, packing, quality, simhash, spotsigs, suffix_dedup, toxicity, url_filter
+from . import bpe, collocations, embedding_dedup, license_scan, line_dedup, merkle, packing, quality, simhash, spotsigs, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,5 +17,6 @@ QUERIES = {
     "op10_suffix_dedup": suffix_dedup.op10_suffix_dedup,
     "op11_toxicity": toxicity.op11_toxicity,
     "op12_merkle": merkle.op12_merkle,
+    "op13_collocations": collocations.op13_collocations,
 }
-ORACLES = {"op6_url_filter": url_filter.oracle(), "op8_license_scan": license_scan.oracle(), "op12_merkle": merkle.oracle()}
+ORACLES = {"op6_url_filter": url_filter.oracle(), "op8_license_scan": license_scan.oracle(), "op12_merkle": merkle.oracle(), "op13_collocations": collocations.oracle()}
