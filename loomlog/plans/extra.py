@@ -20,7 +20,7 @@ from loomlog.plans.scalars import column
 from loomlog.plans.windows import with_history
 from loomlog.sources import files
 from loomlog.sources.shared import shared_path
-from loomlog.sources.tail import tail
+from loomlog.sources.tail import opened, tail
 from loomlog.streaming import queries as streams
 
 # sources
@@ -169,43 +169,72 @@ over_log("src_partition_prune", lambda log: files.read_store(log.sparkSession, s
 
 
 def dated_lines(log):
-    """Lines with their whole time, in files of a server that is still written."""
-    body = F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.col("message"), F.lit(" #"), F.col("event_id").cast("string"))
-    return log.where("server_id = 's1'").withColumn("body", body)
+    """Lines with their whole time, in files of servers that are still written."""
+    return log.withColumn("body", F.concat(F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd HH:mm:ss"), F.lit(" "), F.col("message"), F.lit(" #"), F.col("event_id").cast("string")))
 
 
 BODY = "strftime(make_timestamp(ts_ms * 1000), '%Y-%m-%d %H:%M:%S') || ' ' || message || ' #' || event_id"
-MIDDLE = 1601740000000
+MIDDLE, LATER = 1601740000000, 1601760000000
+
+
+def put(rows, root, name, whole=True):
+    """What servers write: rows as the file `name` (a column) of each server, replaced if it is there; without whole, no line feed behind the last line."""
+
+    def write(batches):
+        now, out, between = None, None, b""
+        for pdf in batches:
+            for path, lines in pdf.groupby("file", sort=False)["body"]:
+                if path != now:
+                    if out is not None:
+                        out.write(b"\n" if whole else b"")
+                        out.close()
+                    system, at = opened(f"{root}/{path}")
+                    system.create_dir(at.rpartition("/")[0], recursive=True)
+                    now, out, between = path, system.open_output_stream(at), b""  # gzip by its ending
+                out.write(between + "\n".join(lines).encode())
+                between = b"\n"
+        if out is not None:
+            out.write(b"\n" if whole else b"")
+            out.close()
+            yield pdf.iloc[:0][["file"]]
+
+    files_of = rows.withColumn("file", F.concat("server_id", F.lit("/"), name)).repartition("server_id").sortWithinPartitions("file", "ts_ms", "seq")
+    files_of.select("file", "body").mapInPandas(write, "file string").count()
 
 
 def tailed(log):
-    """Half of a file, then all of it: every line comes once."""
+    """A part of each file, then all of it: every line comes once."""
     spark, rows = log.sparkSession, dated_lines(log)
     root, folder = shared_path(spark, "tail"), shared_path(spark, "tailed")
-    put = lambda some: files.write_logs(some.withColumn("file", F.lit("s1/latest.log")), root, "file", ["ts_ms", "seq"], "body")
     for some in (rows.where(F.col("ts_ms") < MIDDLE), rows):
-        put(some)
+        put(some, root, F.lit("latest.log"))
         got = streams.run_once(tail(spark, root, maxBytes=str(1 << 30)), folder)
-    return got.groupBy(F.sha1("line").alias("h")).agg(F.count("*").alias("n"))
+    return got.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("server_id"), F.sha1("line").alias("h")).groupBy("server_id", "h").agg(F.count("*").alias("n"))
 
 
 def rotated(log):
-    """Half of a file is read, then it gets a dated name and a new one is begun: stored events are each line once."""
+    """Files are read in part, go on, and are then moved away: renamed (s0), gzipped (s1, s3), or cut to nothing (s2); new ones are begun.
+
+    What is moved away ends without a line feed. Every line comes once.
+    """
     spark, rows = log.sparkSession, dated_lines(log)
     root, folder = shared_path(spark, "rotate"), shared_path(spark, "rotated")
-    put = lambda some, name: files.write_logs(some.withColumn("file", F.lit(name)), root, "file", ["ts_ms", "seq"], "body")
-    before = rows.where(F.col("ts_ms") < MIDDLE)
-    put(before, "s1/latest.log")
-    streams.ingest(spark, root, "s1", folder, FILED_NOW, maxBytes=str(1 << 30))
-    put(before, "s1/2020-10-03-1.log")
-    put(rows.where(F.col("ts_ms") >= MIDDLE), "s1/latest.log")
-    got = streams.ingest(spark, root, "s1", folder, FILED_NOW, maxBytes=str(1 << 30))
-    return got.select(F.sha1("line").alias("h"), "ts_ms")
-
-
-over_log("src_tail", tailed, f"SELECT sha1({BODY}) AS h, 1::BIGINT AS n FROM log WHERE server_id = 's1'")
-over_log("st_tail_loop", lambda log: tailed(log).agg(F.count("*").alias("lines"), F.max("n").alias("most")), "SELECT count(*) AS lines, 1::BIGINT AS most FROM log WHERE server_id = 's1'")
-over_log("src_rotate", rotated, f"SELECT sha1({BODY}) AS h, (ts_ms // 1000) * 1000 AS ts_ms FROM log WHERE server_id = 's1'")
+    first, middle, last = rows.where(F.col("ts_ms") < MIDDLE), rows.where(F.col("ts_ms") < LATER), rows.where(F.col("ts_ms") >= LATER)
+    poll = lambda: streams.run_once(tail(spark, root, maxBytes=str(1 << 30), state=f"{folder}/files"), folder)
+    put(first, root, F.lit("latest.log"))
+    poll()
+    put(middle.where("server_id = 's2'"), root, F.lit("latest.log"))
+    poll()
+    put(middle.where("server_id <> 's2'"), root, F.when(F.col("server_id") == "s0", "2020-10-03-1.log").otherwise("2020-10-03-1.log.gz"), False)
+    put(last, root, F.lit("latest.log"))
+    got = poll()
+    return got.select(F.regexp_extract("path", "([^/]+)/[^/]+$", 1).alias("server_id"), F.sha1("line").alias("h")).groupBy("server_id", "h").agg(F.count("*").alias("n"))
+
+
+ONCE = f"SELECT server_id, sha1({BODY}) AS h, 1::BIGINT AS n FROM log"
+over_log("src_tail", tailed, ONCE)
+over_log("st_tail_loop", lambda log: tailed(log).groupBy("server_id").agg(F.count("*").alias("lines"), F.max("n").alias("most")), "SELECT server_id, count(*) AS lines, 1::BIGINT AS most FROM log GROUP BY server_id")
+over_log("src_rotate", rotated, ONCE)
 
 
 def delivered(log):

@@ -130,15 +130,17 @@ def run_once(rows: DataFrame, folder: str, mode: str = "append", seconds: int =
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{folder}/out")
 
 
-def ingest(spark: SparkSession, path: str, server_id: str, folder: str, now_ms: int, **options: str) -> DataFrame:
-    """Lines appended to the files of one server since the last call, parsed and stored; all stored rows, each event once.
+def ingest(spark: SparkSession, path: str, folder: str, now_ms: int, server_id: str | None = None, **options: str) -> DataFrame:
+    """Lines appended to log files since the last call, parsed and stored; all stored rows, each event once.
 
-    A rotated file comes again under its new name: event ids are made of server, time and
-    print of a line, so its rows are the same events.
+    The server is the folder of a file, unless it is given. Files may be renamed, gzipped or
+    begun anew between calls (see sources.tail). Event ids are made of server, time and print
+    of a line, so an archive that is read a second time brings the same events.
     """
-    lines = tail(spark, path, **options).where(F.trim("line") != "")
+    lines = tail(spark, path, state=f"{folder}/files", **options).where(F.trim("line") != "")
+    server = F.regexp_extract("path", "([^/]+)/[^/]+$", 1) if server_id is None else F.lit(server_id)
     ts = t.timestamp_ms(t.time_parts(F.col("line")), t.file_date(F.col("path")), F.lit(0), F.lit(now_ms))
-    row = lines.select(F.lit(server_id).alias("server_id"), ts.alias("ts_ms"), t.level(F.col("line")).alias("level"), "line")
+    row = lines.select(server.alias("server_id"), ts.alias("ts_ms"), t.level(F.col("line")).alias("level"), "line")
     event = t.event_id(F.col("server_id"), F.col("ts_ms"), F.sha1("line"), F.lit(""))
     stored = run_once(row.withColumn("event_id", event), folder)
     return stored.groupBy("event_id").agg(*[F.first(c).alias(c) for c in ("server_id", "ts_ms", "level", "line")])
