@@ -7,8 +7,9 @@ gradients, and n, the sum of their squares), so each coordinate has a rate of it
 L1 leaves few weights: they are what is handed to the tasks that score.
 
 Training reads a bounded sample, dealt to shards by hash. A shard takes up a slot once it has
-come in LEAST_SEEN texts; after each round the shards' states are averaged, and the weights
-are taken from the averages. Texts are handled as bytes, in parts of bounded size.
+come in LEAST_SEEN texts, and after each round hands on those whose |z| reaches LEAST_Z (the
+others are far from a weight and start anew); these states are averaged, and the weights are
+taken from the averages. Texts are handled as bytes, in parts of bounded size.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from .quality import held_out, sections
 
 #: Labelled rows that the weights are learned from, at most (smallest hash of doc_id first).
 SAMPLE_ROWS = 12_000
-SHARDS, ROUNDS, LEAST_SEEN = 4, 3, 3
+SHARDS, ROUNDS, LEAST_SEEN, LEAST_Z = 4, 3, 3, 1.0
 #: Slots of the weight table; slot 0 is the bias.
 SLOTS = 1 << 22
 #: Rates and penalties: w = -(z - sign(z) L1) / ((BETA + sqrt(n)) / ALPHA + L2) where |z| > L1.
@@ -88,6 +89,13 @@ def rows_of(texts: list[str]) -> list[np.ndarray]:
     return np.split(keys % SLOTS, np.searchsorted(keys, np.arange(1, len(texts)) * SLOTS))
 
 
+def weights(at: np.ndarray, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The weights of slots `at` by their z and n."""
+    over = np.where(at > 0, L1, 0.0)
+    w = -(z - np.sign(z) * over) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+    return np.where(np.abs(z) > over, w, 0.0)
+
+
 class State:
     """z and n of all slots."""
 
@@ -95,10 +103,7 @@ class State:
         self.z, self.n = np.zeros(SLOTS, dtype=np.float32), np.zeros(SLOTS, dtype=np.float32)
 
     def weights(self, at: np.ndarray) -> np.ndarray:
-        z = self.z[at].astype(np.float64)
-        over = np.where(at > 0, L1, 0.0)
-        w = -(z - np.sign(z) * over) / ((BETA + np.sqrt(self.n[at])) / ALPHA + L2)
-        return np.where(np.abs(z) > over, w, 0.0)
+        return weights(at, self.z[at].astype(np.float64), self.n[at].astype(np.float64))
 
     def learn(self, at: np.ndarray, y: int) -> None:
         """One text: distinct slots and its label."""
@@ -145,7 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     """Weights for `label` (0 or 1) from texts that are not held out; None if either class has no row.
 
     Shards are fixed by the hash of doc_id and read in that order, so a lost executor changes
-    nothing; a round's states are averaged on the driver (slots taken up only).
+    nothing; a round's states are averaged on the driver (slots handed on only).
     """
     spark = docs.sparkSession
     order = F.xxhash64("doc_id")
@@ -153,9 +158,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
     rows = cut(rows.repartition(SHARDS, "shard"), "toxic")
     if rows.select("y").distinct().count() < 2:
         return None
-    z, n, taken = np.zeros(SLOTS, dtype=np.float64), np.zeros(SLOTS, dtype=np.float64), np.zeros(1, dtype=np.int64)
+    taken, z, n = np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.float32), np.zeros(0, dtype=np.float32)
     for _ in range(ROUNDS):
-        before = spark.sparkContext.broadcast((taken, z[taken].astype(np.float32), n[taken].astype(np.float32)))
+        before = spark.sparkContext.broadcast((taken, z, n))
 
         def learn(group: pd.DataFrame) -> pd.DataFrame:
             state, seen = State(), np.zeros(SLOTS, dtype=np.uint8)
@@ -167,20 +172,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: i
                 for slots, y in zip(rows_of(texts[a:b]), labelled[a:b], strict=True):
                     seen[slots] += seen[slots] < LEAST_SEEN
                     state.learn(slots[seen[slots] >= LEAST_SEEN], y)
-            some = np.flatnonzero(state.n)
+            some = np.flatnonzero(np.abs(state.z) >= LEAST_Z)
             return pd.DataFrame({"at": [some.astype(np.int32).tobytes()], "z": [state.z[some].tobytes()], "n": [state.n[some].tobytes()]})
 
-        z[:], n[:] = 0, 0
         shards = rows.withColumn("o", order).groupBy("shard").applyInPandas(learn, "at binary, z binary, n binary").collect()  # one row a shard
-        for r in shards:
-            at = np.frombuffer(r["at"], dtype=np.int32)
-            z[at] += np.frombuffer(r["z"], dtype=np.float32) / len(shards)
-            n[at] += np.frombuffer(r["n"], dtype=np.float32) / len(shards)
-        taken = np.flatnonzero(n)
+        taken, back = np.unique(np.concatenate([np.frombuffer(r["at"], dtype=np.int32) for r in shards]), return_inverse=True)
+        z, n = ((np.bincount(back, np.concatenate([np.frombuffer(r[c], dtype=np.float32) for r in shards])) / len(shards)).astype(np.float32) for c in ("z", "n"))
         before.unpersist()
-    state = State()
-    state.z, state.n = z, n
-    w = state.weights(taken)
+    w = weights(taken, z, n)
     return Model(taken[w != 0], w[w != 0])
 
 
