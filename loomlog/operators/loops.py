@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A row within WINDOW of the last one is suppressed; a summary comes INTERVAL after the last emission.
@@ -82,26 +83,119 @@ def made(out: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["server_id", "key", "ts_ms", "event_id", "suppressed"]).astype({"event_id": "Int64"})
 
 
-def mine_templates(rows: DataFrame, server: str, text: str, depth: int = 3, similar: float = 0.4) -> DataFrame:
-    """server, template_id, template, n: a fixed-depth tree of templates per server, over distinct masked lines in order.
+#: Levels of the tree below the number of tokens, least share of equal tokens, servers with a tree of their own.
+DEPTH, SIMILAR, NAMESPACES = 3, 0.4, 16
+ANY = "<*>"
+TEMPLATED = "namespace string, leaf string, ts_ms long, event_id long, template_no long, template string, size long, is_new boolean"
 
-    Lines are counted as distinct masked ones first; a leaf (number of tokens, first tokens)
-    is a group of its own, so servers and leaves are mined in parallel.
+
+class Leaf:
+    """Templates of one leaf, all of the same number of tokens, in the order in which they came up.
+
+    A line joins the template with the largest share of equal tokens, the first of several, if
+    that share is SIMILAR or more; tokens that differ become ANY, which equals nothing. Tokens
+    are numbered, so a line is compared with all templates at once.
+    """
+
+    def __init__(self, state: list | None = None, similar: float = SIMILAR):
+        self.similar = similar
+        self.words: list[list[str]] = [t.split(" ") for t, _ in state or []]
+        self.sizes = [n for _, n in state or []]
+        self.ids: dict[str, int] = {ANY: -1}
+        self.table = np.full((max(8, len(self.words)), len(self.words[0]) if self.words else 0), -1, dtype=np.int64)
+        for i, t in enumerate(self.words):
+            self.table[i] = [self.ids.setdefault(w, len(self.ids)) for w in t]
+
+    def dump(self) -> list | None:
+        return [[" ".join(t), n] for t, n in zip(self.words, self.sizes, strict=True)] or None
+
+    def add(self, tokens: list[str], n: int = 1) -> tuple[int, str, int, bool]:
+        """(number of the template, the template with this line, its lines so far, whether it is new)."""
+        line = np.array([self.ids.setdefault(w, len(self.ids)) for w in tokens], dtype=np.int64)
+        if not self.words:
+            self.table = np.full((8, len(tokens)), -1, dtype=np.int64)
+        have = len(self.words)
+        same = ((self.table[:have] == line) & (line >= 0)).sum(axis=1)
+        best = int(same.argmax()) if have else -1
+        fresh = not have or same[best] < self.similar * len(tokens)
+        if fresh:
+            best = have
+            if have == len(self.table):
+                self.table = np.concatenate([self.table, np.full_like(self.table, -1)])
+            self.table[have] = line
+            self.words.append(list(tokens))
+            self.sizes.append(0)
+        else:
+            for i in np.flatnonzero(self.table[best] != line).tolist():
+                self.table[best, i], self.words[best][i] = -1, ANY
+        self.sizes[best] += n
+        return best, " ".join(self.words[best]), self.sizes[best], fresh
+
+
+def masked(text: str) -> Column:
+    """Tokens of a text, those with digits as ANY."""
+    return F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: F.when(w.rlike("[0-9]"), ANY).otherwise(w))
+
+
+def leaves(rows: DataFrame, server: str, text: str, namespaces: list[str] | None = None, depth: int = DEPTH) -> DataFrame:
+    """rows with namespace, leaf (number of tokens and the first `depth` of them) and tokens, joined by spaces.
+
+    namespaces: the servers with a tree of their own, of which the first NAMESPACES count; rows
+    of others go to `default`. None: every server has one. A null text has one empty token.
+    """
+    own = F.col(server) if namespaces is None else F.when(F.col(server).isin(namespaces[:NAMESPACES]), F.col(server)).otherwise("default")
+    tokens = masked(F.coalesce(F.col(text), F.lit("")))
+    found = rows.withColumn("_tokens", tokens).withColumn("namespace", F.coalesce(own, F.lit("default")))
+    leaf = F.concat_ws(" ", F.size("_tokens").cast("string"), F.array_join(F.slice("_tokens", 1, depth), " "))
+    return found.withColumn("leaf", leaf).withColumn("tokens", F.array_join("_tokens", " ")).drop("_tokens")
+
+
+def templates(rows: DataFrame, server: str, text: str, ts: str = "ts_ms", seq: str = "event_id", namespaces: list[str] | None = None) -> DataFrame:
+    """Each row's template as it is when the row comes, how many rows it has by then, and whether it is new.
+
+    The tree's upper levels are dealt out as keys; a leaf's rows are read in the order of
+    (ts, seq), batch by batch, and only its templates are held.
+    """
+    group = ["namespace", "leaf"]
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaf = None, Leaf()
+        for pdf in batches:
+            out = []
+            for n, k, t, e, tokens in zip(*[pdf[c].tolist() for c in (*group, ts, seq, "tokens")], strict=True):
+                if (n, k) != now:
+                    now, leaf = (n, k), Leaf()
+                out.append((n, k, t, e, *leaf.add(tokens.split(" "))))
+            yield pd.DataFrame(out, columns=[x.split()[0] for x in TEMPLATED.split(", ")])
+
+    dealt = leaves(rows, server, text, namespaces).select(*group, ts, seq, "tokens")
+    return dealt.repartition(*group).sortWithinPartitions(*group, ts, seq).mapInPandas(stream, TEMPLATED)
+
+
+def mine_templates(rows: DataFrame, server: str, text: str, depth: int = DEPTH) -> DataFrame:
+    """server, template_id, template, n: the templates of each server's tree over its distinct masked lines in order.
+
+    Lines are counted as distinct masked ones first; a leaf's lines are read in order, batch
+    by batch, so servers and leaves are mined in parallel and only templates are held.
     """
-    tokens = F.transform(F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " "), lambda w: F.when(w.rlike("[0-9]"), "<*>").otherwise(w))
-    lines = rows.select(server, tokens.alias("tokens")).groupBy(server, "tokens").agg(F.count("*").alias("n"))
-    leaf = F.concat_ws(" ", F.size("tokens").cast("string"), F.array_join(F.slice("tokens", 1, depth), " "))
-
-    def per(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[list] = []
-        for words, n in sorted((tuple(x), int(n)) for x, n in zip(pdf.tokens, pdf.n, strict=True)):
-            scores = [sum(a == b != "<*>" for a, b in zip(words, k, strict=True)) / len(words) for k, _ in found]
-            best = max(range(len(found)), key=scores.__getitem__, default=None)
-            if best is not None and scores[best] >= similar:
-                found[best] = [[a if a == b else "<*>" for a, b in zip(words, found[best][0], strict=True)], found[best][1] + n]
-            else:
-                found.append([list(words), n])
-        return pd.DataFrame([(pdf[server].iloc[0], " ".join(k), n) for k, n in found], columns=["server_id", "template", "n"])
-
-    mined = lines.withColumn("leaf", leaf).groupBy(server, "leaf").applyInPandas(per, "server_id string, template string, n long")
+    group = ["namespace", "leaf"]
+    lines = leaves(rows, server, text, depth=depth).groupBy(*group, "tokens").agg(F.count("*").alias("n"))
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, leaf = None, Leaf()
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame([(now[0], t, n) for t, n in leaf.dump() or []], columns=["server_id", "template", "n"])
+
+        for pdf in batches:
+            for s, k, tokens, n in zip(*[pdf[c].tolist() for c in (*group, "tokens", "n")], strict=True):
+                if (s, k) != now:
+                    if now:
+                        yield made()
+                    now, leaf = (s, k), Leaf()
+                leaf.add(tokens.split(" "), n)
+        if now:
+            yield made()
+
+    mined = lines.repartition(*group).sortWithinPartitions(*group, "tokens").mapInPandas(stream, "server_id string, template string, n long")
     return mined.groupBy("server_id", "template").agg(F.sum("n").alias("n")).select("server_id", F.substring(F.sha1(F.concat_ws("|", "server_id", "template")), 1, 16).alias("template_id"), "template", "n")

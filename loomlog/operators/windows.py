@@ -52,6 +52,16 @@ def anomalies(rows: DataFrame, keys: list[str], order: list[str], ts: str = "ts_
     return out.withColumn("score", score).withColumn("reason", reason).withColumn("is_anomaly", score >= 0.5).drop("e", "r")
 
 
+def scored(in_bucket: int, total: int, ewma: float, p95: float | None) -> tuple[float, str, bool]:
+    """(score, reason, is_anomaly) of one row, as anomalies() has them: for rows that are fed one by one."""
+    spike = total >= LEAST_TOTAL and ewma > 0 and in_bucket >= ewma * SPIKE
+    by_ewma = min(1.0, (in_bucket / max(ewma, 0.1) - 1) / 10) if spike else 0.0
+    by_rank = min(1.0, (in_bucket / max(p95, 0.1) - 1) / 5) if p95 and in_bucket > p95 * 1.5 else 0.0
+    reason = "percentile_spike" if by_rank > by_ewma else "ewma_spike" if spike else "new_template" if total == 1 else ""
+    score = max(by_ewma, by_rank, 0.3 if total == 1 else 0.0)
+    return score, reason, score >= 0.5
+
+
 #: Length of the time slots that one key's rows are dealt into.
 SLOT_MS = 3_600_000
 

@@ -12,13 +12,14 @@ from loomlog.operators import aggregates as agg
 from loomlog.operators import classify as k
 from loomlog.operators import joins
 from loomlog.operators import sampling as s
-from loomlog.operators import windows as w
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log, query
+from loomlog.plans.relations import LOOP
 from loomlog.plans.reports import DOMAIN, HOURLY, ISSUES, iss
 from loomlog.plans.scalars import column
 from loomlog.plans.windows import with_history
 from loomlog.sources import files
+from loomlog.sources.eventlog import log
 from loomlog.sources.shared import shared_path
 from loomlog.sources.tail import opened, tail
 from loomlog.streaming import queries as streams
@@ -279,9 +280,34 @@ go AS (WITH RECURSIVE g(n) AS (SELECT count(*) FROM cu UNION ALL SELECT greatest
 SELECT event_id FROM cu WHERE r <= (SELECT n FROM go)""")
 PLANS = {"database": "check the database and its pool", "plugin": "check the plugin and its configuration", "network": "check the proxy and the network", "performance": "check memory, disk and load", "economy": "check the shop's ledger against its transactions", "world": "check the region files against a backup", "position": "check the teleport target and the world border", "permission": "check the permission groups"}
 iss("cls_plan", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")).join(F.broadcast(i.sparkSession.createDataFrame(list(PLANS.items()), "domain string, step string")), "domain", "left").select("tag", "session", F.coalesce("step", F.lit("read the evidence")).alias("step")), f"SELECT tag, session, coalesce(p.step, 'read the evidence') AS step FROM (SELECT tag, session, {DOMAIN} AS domain FROM iss) i LEFT JOIN (VALUES {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in PLANS.items())}) p(domain, step) USING (domain)")
-over_log("st_anomaly", lambda log: w.history(log, ["server_id", "phrase"]).select("server_id", "phrase", "bucket", "n", F.round("ewma", 6).alias("ewma")), with_history("SELECT server_id, phrase, bucket, n, round(coalesce(list_reduce(list_transform(past, lambda x: x::DOUBLE), lambda p, x: 0.3 * x + 0.7 * p, 0.0::DOUBLE), 0.0), 6) AS ewma FROM h"))
-LATE = 600_000
-over_log("st_late", lambda log: log.withColumn("late", F.col("ts_ms") < F.max("ts_ms").over(Window.partitionBy("server_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)) - LATE).groupBy("server_id", "late").agg(F.count("*").alias("n")), f"SELECT server_id, ts_ms < m - {LATE} AS late, count(*) AS n FROM (SELECT *, max(ts_ms) OVER (PARTITION BY server_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS m FROM log) x GROUP BY ALL")
+
+
+def streamed(log, make):
+    """A stream over the log, whose rows come up to five minutes late, in slices of two hours; two far later rows bring out what waits."""
+    rows = log.select("event_id", "seq", "ts_ms", "server_id", "player", "level", "phrase", "message")
+    spark, far = log.sparkSession, 4_000_000_000_000
+    end = spark.createDataFrame([("end", far * (i + 1), -1 - i, -1 - i, -1, "ERROR", "end", i) for i in range(2)], "server_id string, ts_ms long, event_id long, seq long, phrase int, level string, message string, slice long")
+    source = streams.arriving(rows, F.col("ts_ms") + F.col("event_id") * 7919 % 300_000, shared_path(spark, "arrived"), 7_200_000, end)
+    return streams.run_once(make(source), shared_path(spark, "streamed"))
+
+
+def late_rows(log):
+    """Rows come up to 25 minutes late, in slices of an hour: those in time and those behind the watermark make up the log."""
+    spark = log.sparkSession
+    arrival = F.col("ts_ms") + F.col("event_id") * 7919 % 1_500_000
+    source = streams.arriving(log.select("event_id", "ts_ms"), arrival, shared_path(spark, "arrived"), HOUR)
+    kept, late = streams.late_apart(source, shared_path(spark, "apart"))
+    return kept.select("event_id", F.lit(False).alias("late")).unionByName(late.select("event_id", F.lit(True).alias("late")))
+
+
+over_log("st_anomaly", lambda log: streamed(log, lambda s: streams.anomalies(s, template="phrase", seq="event_id")).where("server_id <> 'end'").select("event_id", "in_bucket", "total", F.round("ewma", 6).alias("ewma"), "p95", F.round("score", 6).alias("score"), "reason"), with_history("SELECT event_id, in_bucket, total::BIGINT AS total, round(ewma, 6) AS ewma, p95, round(greatest(e, q, CASE WHEN total = 1 THEN 0.3 ELSE 0.0 END), 6) AS score, CASE WHEN q > e THEN 'percentile_spike' WHEN total >= 5 AND ewma > 0 AND in_bucket >= ewma * 3 THEN 'ewma_spike' WHEN total = 1 THEN 'new_template' ELSE '' END AS reason FROM s"))
+over_log("st_late", late_rows, f"""-- log
+, sl AS (SELECT event_id, ts_ms, (ts_ms + event_id * 7919 % 1500000) // {HOUR} AS slice FROM log),
+hi AS (SELECT slice, max(max(ts_ms)) OVER (ORDER BY slice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS high FROM sl GROUP BY slice)
+SELECT event_id, coalesce(ts_ms < high - {streams.LATE_MS}, false) AS late FROM sl JOIN hi USING (slice)""")
+over_log("st_dedupe", lambda log: streamed(log, lambda s: streams.first_of_slot(s, ["server_id", "message"], "2 minutes", ["ts_ms", "seq", "event_id"])).where("server_id <> 'end'").select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id, message, ts_ms // 120000 ORDER BY ts_ms, seq) AS r FROM log) x WHERE r = 1")
+over_log("st_loop_filter", lambda log: streamed(log, lambda s: streams.suppress(s.where("level IN ('WARN', 'ERROR')").withColumn("key", F.col("phrase").cast("string")))).where("server_id <> 'end'").withColumn("event_id", F.coalesce("event_id", F.lit(-1))), LOOP.replace("out_id AS event_id, out_n", "coalesce(out_id, -1) AS event_id, out_n").replace("pre_ts, NULL,", "pre_ts, -1,").replace("last, NULL,", "last, -1,"))
+query("st_template")(lambda spark, sf: streamed(log(spark, sf), streams.templates).where("namespace <> 'end'").select("namespace", "event_id", "template", "size", "is_new"))
 over_log("st_periodic", lambda log: log.groupBy("server_id", (F.floor(F.col("ts_ms") / 28_800_000) * 28_800_000).alias("due_ms")).agg(F.count("*").alias("n")), "SELECT server_id, (ts_ms // 28800000) * 28800000 AS due_ms, count(*) AS n FROM log GROUP BY ALL")
 over_log("st_backpressure", lambda log: log.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy("server_id").orderBy("ts_ms", "seq")) - 1) / 200)).groupBy("server_id", "batch").agg(F.count("*").alias("n"), F.min("ts_ms").alias("start_ms")), "SELECT server_id, batch, count(*) AS n, min(ts_ms) AS start_ms FROM (SELECT *, (row_number() OVER (PARTITION BY server_id ORDER BY ts_ms, seq) - 1) // 200 AS batch FROM log) x GROUP BY ALL")
 

@@ -69,7 +69,6 @@ over_log("set_union", lambda log: log.where("level = 'ERROR'").select("event_id"
 over_log("set_distinct_first", lambda log: s.distinct_first(log.withColumn("fp", t.fingerprint(F.col("line"))), ["server_id", "fp"], ["ts_ms", "seq"]).select("server_id", "event_id"), f"SELECT server_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id, {d.fingerprint('line')} ORDER BY ts_ms, seq) AS r FROM log) x WHERE r = 1")
 over_log("set_distinct_best", lambda log: s.distinct_best(log.withColumn("h", t.clean_hash(F.col("message"))), ["h"], F.col("k"), ["ts_ms", "seq"]).select("event_id"), f"SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY {d.clean_text('message')} ORDER BY k DESC, ts_ms, seq) AS r FROM log) x WHERE r = 1")
 over_log("set_intersect", lambda log: k.issues(k.classify(log)).where(F.arrays_overlap("servers", F.array(F.lit("s1"), F.lit("s3")))).select("tag", "session"), f"{ISSUES} SELECT tag, session FROM iss WHERE list_has_any(servers, ['s1', 's3'])")
-over_log("st_dedupe", lambda log: s.distinct_first(log.withColumn("slot", F.floor(F.col("ts_ms") / 120_000)), ["server_id", "message", "slot"], ["ts_ms", "seq"]).select("event_id"), "SELECT event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id, message, ts_ms // 120000 ORDER BY ts_ms, seq) AS r FROM log) x WHERE r = 1")
 def _log(spark, sf):
     from loomlog.sources.eventlog import log
 
@@ -94,9 +93,7 @@ go AS (WITH RECURSIVE g(server_id, key, r, total, last, emitted, held, out_ts, o
 SELECT server_id, key, out_ts AS ts_ms, out_id AS event_id, out_n AS suppressed FROM go WHERE out_ts IS NOT NULL
 UNION ALL SELECT server_id, key, pre_ts, NULL, pre_n FROM go WHERE pre_ts IS NOT NULL
 UNION ALL SELECT server_id, key, last, NULL, held FROM go WHERE r = total AND held > 0"""
-over_log("st_loop_filter", lambda log: looped(log).withColumn("event_id", F.coalesce("event_id", F.lit(-1))), LOOP.replace("out_id AS event_id, out_n", "coalesce(out_id, -1) AS event_id, out_n").replace("pre_ts, NULL,", "pre_ts, -1,").replace("last, NULL,", "last, -1,"))
 over_log("st_drain", lambda log: looped(log).agg(F.count("event_id").alias("passed"), F.sum("suppressed").alias("held")), LOOP.rpartition("SELECT server_id, key, out_ts")[0] + "SELECT (SELECT count(*) FROM go WHERE out_id IS NOT NULL) AS passed, (SELECT count(*) FROM lr) - (SELECT count(*) FROM go WHERE out_id IS NOT NULL) AS held")
-over_log("st_template", lambda log: loops.mine_templates(log, "server_id", "message").select("server_id", "template", "n"), None)
 over_log("agg_anomaly_snapshot", lambda log: (lambda a: a.groupBy("server_id", "phrase").agg(F.max_by(F.round("score", 6), F.struct("ts_ms", "seq")).alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), F.desc("n"), "server_id", "phrase").limit(20))(w.anomalies(log, ["server_id", "phrase"], ["ts_ms", "seq"])), with_history("SELECT server_id, phrase, arg_max(round(greatest(e, q, CASE WHEN total = 1 THEN 0.3 ELSE 0.0 END), 6), (s.ts_ms, s.event_id)) AS score, count(*) AS n FROM s GROUP BY ALL ORDER BY score DESC, n DESC, server_id, phrase LIMIT 20"))
 over_log("agg_flood_players", lambda log: named(w.floods(chat_rows(log).drop("player"), "chat_player")).groupBy("player").agg(F.count("*").alias("floods"), F.sum("n").alias("messages")), f"SELECT player, count(*) AS floods, sum(n)::BIGINT AS messages FROM ({FLOODS}) f GROUP BY 1")
 

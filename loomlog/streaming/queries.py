@@ -1,20 +1,30 @@
-"""The streaming forms: same columns, same rules, with watermarks and keyed state."""
+"""The streaming forms: same columns, same rules, with watermarks and keyed state.
+
+Operators that go by the order of rows hold them in their state until the watermark has passed
+their time: no row can come before them any more then, so a stream gives what its batch twin
+gives on the same rows, however they were shuffled within the watermark's delay.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from loomlog.functions import text as t
-from loomlog.operators.loops import EMITTED, WINDOW_MS, Entry
+from loomlog.operators import windows
+from loomlog.operators.loops import EMITTED, TEMPLATED, WINDOW_MS, Entry, Leaf, leaves
 from loomlog.sources.tail import tail
 
-LATE = "10 minutes"
+LATE_MS = 600_000
+LATE = f"{LATE_MS // 60_000} minutes"
+#: Templates of a server that have a baseline, and how long an unseen one keeps it.
+MOST_TEMPLATES, TTL_MS = 500, 24 * 3_600_000
 
 
 def with_time(rows: DataFrame, ts: str = "ts_ms", late: str = LATE) -> DataFrame:
@@ -27,6 +37,13 @@ def distinct(rows: DataFrame, key: str = "dedupe_key") -> DataFrame:
     return with_time(rows).dropDuplicatesWithinWatermark([key])
 
 
+def first_of_slot(rows: DataFrame, keys: list[str], slot: str, order: list[str]) -> DataFrame:
+    """The first row (by order) of each key and time slot, once the slot is closed: keys, order and no other columns."""
+    w = F.window("ts", slot)
+    best = F.min(F.struct(*order)).alias("_first")
+    return with_time(rows).groupBy(*keys, w).agg(best).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in order])
+
+
 def minutes(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Counts per key and minute, emitted when the minute is closed: the input of the anomaly baseline."""
     return with_time(rows).groupBy(*keys, F.window("ts", "1 minute")).agg(F.count("*").alias("n")).select(*keys, F.unix_millis("window.start").alias("minute_ms"), "n")
@@ -38,60 +55,216 @@ def sessions(rows: DataFrame, keys: list[str], gap: str = "5 minutes") -> DataFr
     return with_time(rows).groupBy(*keys, w).agg(F.count("*").alias("n"), F.min("ts_ms").alias("start_ms"), F.max("ts_ms").alias("end_ms")).select(*keys, "start_ms", "end_ms", "n")
 
 
-def suppress(rows: DataFrame, server: str = "server_id", key: str = "key", ts: str = "ts_ms", event_id: str = "event_id") -> DataFrame:
-    """The loop filter as keyed state; what is held back comes out when event time has passed the window."""
+def in_order(rows: DataFrame, keys: list[str], columns: list[str], machine: Callable[[Any], Any], schema: str) -> DataFrame:
+    """What machines (one a key) give for the rows of their key, fed by (ts, seq): rows of `schema`, the keys first.
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        def made(out: list[tuple[int, int | None, int]]) -> pd.DataFrame:
-            return pd.DataFrame([(k[0], k[1], a, b, n) for a, b, n in out], columns=["server_id", "key", "ts_ms", "event_id", "suppressed"]).astype({"event_id": "Int64"})
+    columns: ts and seq, whole numbers, and what else a machine is fed. machine(state) makes
+    one from what its dump() gave (None: a new one); feed(row) and expire(now) give rows, due()
+    the event time from which it waits for no row (None: it waits for ever). A machine whose
+    time is over and that has nothing to dump goes. Rows that wait are those of the watermark's delay.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
 
-        if state.hasTimedOut:
-            out = Entry(*state.get).drain()
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held, kept = (json.loads(x) for x in state.get) if state.exists else ([], None)
+        if not state.hasTimedOut:
+            for pdf in batches:
+                held += zip(*[pdf[c].tolist() for c in columns], strict=True)
+        now, own, out = state.getCurrentWatermarkMs(), machine(kept), []
+        held = sorted(map(tuple, held), key=lambda r: r[:2])
+        ready = next((i for i, r in enumerate(held) if r[0] > now), len(held))
+        for r in held[:ready]:
+            out += own.feed(*r)
+        held = held[ready:]
+        if own.due() is not None and own.due() <= now:
+            out += own.expire(now)
+        kept = own.dump()
+        if held or kept is not None:
+            state.update((json.dumps(held), json.dumps(kept)))
+            times = [x for x in (held[0][0] if held else None, own.due()) if x is not None]
+            if times:
+                state.setTimeoutTimestamp(min(times))
+        elif state.exists:
             state.remove()
-            if out:
-                yield made(out)
-            return
-        fresh = not state.exists
-        entry, out = Entry(*(state.get if state.exists else (0, 0, 0))), []
-        for a, b in sorted((int(a), int(b)) for pdf in batches for a, b in zip(pdf[ts], pdf[event_id], strict=True)):
-            out += entry.feed(a, b, fresh)
-            fresh = False
-        state.update((entry.last, entry.emitted, entry.held))
-        state.setTimeoutTimestamp(max(entry.last, state.getCurrentWatermarkMs()) + WINDOW_MS + 1)
         if out:
-            yield made(out)
+            made = pd.DataFrame([(*k, *x) for x in out], columns=names)
+            yield made.astype({n: "Int64" for n, kind in (x.split() for x in schema.split(", ")) if kind == "long" and n not in keys})
 
-    keyed = with_time(rows).groupBy(server, key)
-    return keyed.applyInPandasWithState(step, EMITTED, "last long, emitted long, held long", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = with_time(rows, columns[0]).groupBy(*keys)
+    return keyed.applyInPandasWithState(step, schema, "held string, kept string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def baseline(rows: DataFrame, keys: list[str], alpha: float = 0.3, spike: float = 3.0) -> DataFrame:
-    """Anomaly state per key: keys, minute_ms, n, ewma (before the minute) and spike, for each closed minute of a batch.
+class Suppressor:
+    """The loop filter of a key (see operators.loops.Entry)."""
 
-    The state is the average, the open minute and its count; it expires a day after the last row.
-    """
+    def __init__(self, state: list | None):
+        self.fresh, self.entry = state is None, Entry(*(state or (0, 0, 0)))
 
-    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        ewma, minute, n, total = state.get if state.exists else (0.0, -1, 0, 0)
-        out: list[tuple[Any, ...]] = []
-        for t in sorted(int(x) for pdf in batches for x in pdf.ts_ms):
-            if t // 60_000 != minute:
-                if n:
-                    out.append((*k, minute * 60_000, n, ewma, total >= 5 and ewma > 0 and n >= spike * ewma))
-                    ewma = alpha * n + (1 - alpha) * ewma
-                minute, n = t // 60_000, 0
-            n, total = n + 1, total + 1
-        state.update((ewma, minute, n, total))
-        state.setTimeoutTimestamp(max(minute * 60_000, state.getCurrentWatermarkMs()) + 86_400_000)
-        if out:
-            yield pd.DataFrame(out, columns=[*keys, "minute_ms", "n", "ewma", "spike"])
+    def dump(self) -> list | None:
+        return None if self.fresh else [self.entry.last, self.entry.emitted, self.entry.held]
+
+    def feed(self, ts: int, seq: int) -> list[tuple]:
+        fresh, self.fresh = self.fresh, False
+        return self.entry.feed(ts, seq, fresh)
+
+    def due(self) -> int | None:
+        return None if self.fresh else self.entry.last + WINDOW_MS
+
+    def expire(self, now: int) -> list[tuple]:
+        self.fresh = True
+        return self.entry.drain()
+
+
+def suppress(rows: DataFrame, server: str = "server_id", key: str = "key", ts: str = "ts_ms", event_id: str = "event_id") -> DataFrame:
+    """The loop filter as keyed state; what is held back comes out when event time has passed the window."""
+    return in_order(rows, [server, key], [ts, event_id], Suppressor, EMITTED)
+
+
+class Minutes:
+    """The baseline of a key: its average, the open minute, its count and the total; a minute comes out when it is over."""
+
+    def __init__(self, state: list | None):
+        self.ewma, self.minute, self.n, self.total = state or (0.0, None, 0, 0)
+
+    def dump(self) -> list | None:
+        return [self.ewma, self.minute, self.n, self.total] if self.total else None
+
+    def _closed(self) -> list[tuple]:
+        n, before, self.n = self.n, self.ewma, 0
+        if not n:
+            return []
+        self.ewma = windows.ALPHA * n + (1 - windows.ALPHA) * before
+        return [(self.minute * windows.BUCKET_MS, n, before, self.total >= windows.LEAST_TOTAL and before > 0 and n >= windows.SPIKE * before)]
+
+    def feed(self, ts: int, seq: int) -> list[tuple]:
+        out = self._closed() if ts // windows.BUCKET_MS != self.minute else []
+        self.minute, self.n, self.total = ts // windows.BUCKET_MS, self.n + 1, self.total + 1
+        return out
+
+    def due(self) -> int | None:
+        if self.minute is None:
+            return None
+        return (self.minute + 1) * windows.BUCKET_MS - 1 if self.n else self.minute * windows.BUCKET_MS + TTL_MS
+
+    def expire(self, now: int) -> list[tuple]:
+        out = self._closed()
+        if now >= self.minute * windows.BUCKET_MS + TTL_MS:
+            self.total, self.minute = 0, None
+        return out
+
+
+def baseline(rows: DataFrame, keys: list[str], seq: str = "event_id") -> DataFrame:
+    """Anomaly state per key: keys, minute_ms, n, ewma (before the minute) and spike, for each minute once it is closed.
 
+    The state is dropped a day after the last row.
+    """
     types = dict(rows.dtypes)
     schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", minute_ms long, n long, ewma double, spike boolean"
-    return with_time(rows).groupBy(*keys).applyInPandasWithState(step, schema, "ewma double, minute long, n long, total long", "append", GroupStateTimeout.EventTimeTimeout)
+    return in_order(rows, keys, ["ts_ms", seq], Minutes, schema)
+
+
+class Baselines:
+    """The baselines of a server's templates: by template when last seen, rows so far, average, last counts, open minute and its count."""
+
+    def __init__(self, state: list | None, most: int = MOST_TEMPLATES, ttl_ms: int = TTL_MS):
+        self.most, self.ttl = most, ttl_ms
+        self.known = {k: list(v) for k, *v in state or []}  # longest unseen first
+
+    def dump(self) -> list | None:
+        return [[k, *v] for k, v in self.known.items()] or None
+
+    def feed(self, ts: int, seq: int, template: str) -> list[tuple]:
+        last, total, ewma, ring, minute, n = self.known.pop(template, (ts, 0, 0.0, [], None, 0))
+        if ts - last > self.ttl:
+            total, ewma, ring, minute, n = 0, 0.0, [], None, 0
+        if minute != ts // windows.BUCKET_MS:
+            if n:
+                ewma, ring = windows.ALPHA * n + (1 - windows.ALPHA) * ewma, [*ring, n][-windows.RING :]
+            minute, n = ts // windows.BUCKET_MS, 0
+        total, n = total + 1, n + 1
+        self.known[template] = [ts, total, ewma, ring, minute, n]
+        if len(self.known) > self.most:
+            del self.known[next(iter(self.known))]
+        p95 = float(sorted(ring)[min(int(len(ring) * windows.PERCENTILE), len(ring) - 1)]) if len(ring) >= windows.LEAST_WINDOW else None
+        return [(template, ts, seq, n, total, ewma, p95, *windows.scored(n, total, ewma, p95))]
+
+    def due(self) -> int | None:
+        return next(iter(self.known.values()))[0] + self.ttl if self.known else None
+
+    def expire(self, now: int) -> list[tuple]:
+        self.known = {k: v for k, v in self.known.items() if v[0] + self.ttl > now}
+        return []
+
+
+def anomalies(rows: DataFrame, server: str = "server_id", template: str = "template_id", ts: str = "ts_ms", seq: str = "event_id", most: int = MOST_TEMPLATES, ttl_ms: int = TTL_MS) -> DataFrame:
+    """Each row's place in its minute and its template's baseline, as operators.windows.anomalies has them.
+
+    A server is one state: of more than `most` templates the one unseen for longest is
+    forgotten, and so is one that wasn't seen for ttl_ms. A server with more rows than one task
+    can feed is to be split by a hash of the template (as a part of `server`), each part with a `most` of its own.
+    """
+    types = dict(rows.dtypes)
+    schema = f"{server} {types[server]}, {template} string, {ts} long, {seq} long, in_bucket long, total long, ewma double, p95 double, score double, reason string, is_anomaly boolean"
+    return in_order(rows.withColumn(template, F.col(template).cast("string")), [server], [ts, seq, template], lambda state: Baselines(state, most, ttl_ms), schema)
+
+
+class Templates:
+    """The templates of a leaf of a server's tree."""
+
+    def __init__(self, state: list | None):
+        self.leaf = Leaf(state)
+
+    def dump(self) -> list | None:
+        return self.leaf.dump()
+
+    def feed(self, ts: int, seq: int, tokens: str) -> list[tuple]:
+        number, template, size, fresh = self.leaf.add(tokens.split(" "))
+        return [(ts, seq, number, template, size, fresh)]
+
+    def due(self) -> None:
+        return None
+
+
+def templates(rows: DataFrame, server: str = "server_id", text: str = "message", ts: str = "ts_ms", seq: str = "event_id", namespaces: list[str] | None = None) -> DataFrame:
+    """Each row's template as it is then, how many rows it has, and whether it is new: operators.loops.templates as a stream.
+
+    The upper levels of the tree (number of tokens, first tokens) are the key, a leaf's
+    templates are the state, which is kept for good.
+    """
+    return in_order(leaves(rows, server, text, namespaces), ["namespace", "leaf"], [ts, seq, "tokens"], Templates, TEMPLATED)
+
+
+def late_apart(rows: DataFrame, folder: str, late_ms: int = LATE_MS, ts: str = "ts_ms", seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """Run a stream over all that is there; (rows in time, rows behind the watermark), each a table in the folder.
+
+    The watermark of a micro-batch is the largest time of those before less late_ms. It is
+    kept with the batch's rows, so a batch that is run again is split alike and replaces itself.
+    """
+    spark = rows.sparkSession
+    marks = f"{folder}/marks"
+
+    def split(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        before = read(session, "batch long, high long", marks).where(F.col("batch") < number).agg(F.max("high")).first()[0]
+        late = F.lit(False) if before is None else F.coalesce(F.col(ts) < before - late_ms, F.lit(False))
+        batch.persist()
+        for name, chosen in (("in_time", ~late), ("late", late)):
+            batch.where(chosen).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        high = batch.agg(F.greatest(F.max(ts), F.lit(before)).alias("high"))
+        high.select(F.lit(number).cast("long").alias("batch"), F.col("high").cast("long")).write.mode("overwrite").parquet(f"{marks}/n={number}")
+        batch.unpersist()
+
+    def read(session: SparkSession, schema: str, path: str) -> DataFrame:
+        at = session._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(session._jsc.hadoopConfiguration()).exists(at):
+            return session.createDataFrame([], schema)
+        return session.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
+
+    query = rows.writeStream.foreachBatch(split).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    if not query.awaitTermination(seconds):
+        query.stop()
+        raise TimeoutError(f"the stream took more than {seconds} s")
+    return tuple(read(spark, rows.schema, f"{folder}/{name}") for name in ("in_time", "late"))
 
 
 def alerts(issues: DataFrame, cooldown_ms: int = 600_000) -> DataFrame:
@@ -121,6 +294,25 @@ def alerts(issues: DataFrame, cooldown_ms: int = 600_000) -> DataFrame:
     return keyed.applyInPandasWithState(step, ", ".join(types.values()) + ", first_ms long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def arriving(rows: DataFrame, arrival: Column, folder: str, slice_ms: int, end: DataFrame | None = None) -> DataFrame:
+    """A stream of rows as they arrive: each slice of arrival times is a micro-batch. Rows of `end` come after all others, a micro-batch each of its column `slice`."""
+    spark = rows.sparkSession
+    sliced = rows.withColumn("slice", F.floor(arrival / slice_ms).cast("long"))
+    if end is not None:
+        last = sliced.agg(F.max("slice")).first()[0] or 0
+        sliced = sliced.unionByName(end.withColumn("slice", F.col("slice") + F.lit(last + 1)), allowMissingColumns=True)
+    sliced.repartition("slice").write.partitionBy("slice").parquet(folder)  # a micro-batch is written by one task
+    fs = spark._jvm.org.apache.hadoop.fs
+    root = fs.Path(folder)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = sorted((int(x.getPath().getName().partition("=")[2]), x.getPath()) for x in system.listStatus(root) if "=" in x.getPath().getName())
+    for i, (_, at) in enumerate(folders):  # files come in the order of their times
+        for f in system.listStatus(at):
+            system.setTimes(f.getPath(), 1_600_000_000_000 + i * 1000, -1)
+    schema = sliced.drop("slice").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").option("maxFileAge", "36500d").parquet(folder)
+
+
 def run_once(rows: DataFrame, folder: str, mode: str = "append", seconds: int = 3600) -> DataFrame:
     """Run a stream over all that is there, into a table in the folder, and read that. Called again, it goes on where it stopped; an error after `seconds`."""
     query = rows.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/out").trigger(availableNow=True).start()
