@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,22 +180,42 @@ def domain(category: Column, ops_categories: Column) -> Column:
     return out.otherwise(category)
 
 
+#: Kinds of scopes, and the sets of an issue that they are made of.
+SCOPES = {"server": "servers", "plugin": "plugins", "position": "positions"}
+SCOPES_SQL = "list_sort(list_concat(" * len(SCOPES) + "[]::VARCHAR[]" + "".join(f", list_transform({v}, lambda x: '{k}:' || x)))" for k, v in SCOPES.items())
+SCOPES_SQL = f"list_sort(list_concat({SCOPES_SQL}, CASE WHEN len(players) = 1 THEN ['player:' || players[1]] ELSE []::VARCHAR[] END))"
+
+
+def scopes(issue: Callable[[str], Column] = F.col) -> Column:
+    """What an issue is about, as typed names: its servers, plugins and positions, and its player if it has one only; sorted.
+
+    A world's name is that of many servers, so worlds are no scope; an issue without any scope
+    is one of the whole window.
+    """
+    typed = lambda kind, names: F.transform(names, lambda x: F.concat(F.lit(f"{kind}:"), x))
+    kinds = [typed(kind, issue(v)) for kind, v in SCOPES.items()]
+    alone = F.when(F.size(issue("players")) == 1, typed("player", issue("players")))
+    return F.array_sort(F.array_distinct(F.concat(*kinds, F.coalesce(alone, F.array().cast("array<string>")))))
+
+
 def incidents(found: DataFrame, window_ms: int = 300_000) -> DataFrame:
-    """Issues of one family, domain and server that touch within window_ms, as one incident each.
+    """Issues of one family and domain that share a scope and touch within window_ms, as one incident each.
 
-    An issue of several servers joins the incidents of all of them: scopes grow over the
-    whole chain. Chains in time are cut by gaps per (family, domain, server), then those that
-    share an issue are joined by their smallest member, as connected components.
+    An issue joins the incidents of all its scopes: scopes grow over the whole chain. Chains in
+    time are cut by gaps per (family, domain, scope), then those that share an issue are joined
+    by their smallest member, as connected components.
     """
     from loomlog.operators.graph import components
 
     keyed = found.withColumn("family", family(F.col("category"))).withColumn("domain", F.when(family(F.col("category")) == "operations", domain(F.col("category"), F.col("ops_categories"))).otherwise(""))
     keyed = keyed.where("tag <> 'server_log_anticheat_vulcan'").withColumn("issue", F.concat_ws(":", "category", "tag", F.col("session").cast("string")))
-    per = keyed.select("issue", "family", "domain", "first_ms", "last_ms", F.explode("servers").alias("server"))
-    w = Window.partitionBy("family", "domain", "server").orderBy("first_ms", "issue")
+    whole = F.array(F.lit("window"))
+    keyed = keyed.withColumn("_scopes", scopes()).withColumn("scopes", F.when(F.size("_scopes") == 0, whole).otherwise(F.col("_scopes"))).drop("_scopes")
+    per = keyed.select("issue", "family", "domain", "first_ms", "last_ms", F.explode("scopes").alias("scope"))
+    w = Window.partitionBy("family", "domain", "scope").orderBy("first_ms", "issue")
     reach = F.max("last_ms").over(w.rowsBetween(Window.unboundedPreceding, -1))
     chained = per.withColumn("split", F.when(F.col("first_ms") > reach + window_ms, 1).otherwise(0)).withColumn("chain", F.sum("split").over(w))
-    links = chained.withColumn("head", F.min("issue").over(Window.partitionBy("family", "domain", "server", "chain"))).select(F.col("issue").alias("a"), F.col("head").alias("b"))
+    links = chained.withColumn("head", F.min("issue").over(Window.partitionBy("family", "domain", "scope", "chain"))).select(F.col("issue").alias("a"), F.col("head").alias("b"))
     named = components(links).withColumnRenamed("node", "issue")
     out = keyed.join(named, "issue", "left").withColumn("incident", F.coalesce("component", "issue"))
     return out.groupBy("incident").agg(
@@ -203,8 +225,8 @@ def incidents(found: DataFrame, window_ms: int = 300_000) -> DataFrame:
         F.sum("n").alias("n"),
         F.min("first_ms").alias("start_ms"),
         F.max("last_ms").alias("end_ms"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("servers")))).alias("scopes"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"),
+        *[F.array_sort(F.array_distinct(F.flatten(F.collect_list(x)))).alias(x) for x in ("scopes", "servers", "labels", "subtypes")],
+        F.array_sort(F.collect_set("tag")).alias("tags"),
         F.max("f_accident").alias("accident"),
         F.max("rank").alias("rank"),
         F.max("alert").alias("alert"),
@@ -221,6 +243,16 @@ def observation(family_: Column, rank: Column, labels: Column, accident: Column)
     return F.when(family_ == "community", (F.size(labels) == 0) & (rank <= 2)).when(family_ == "community_ops", ~((rank >= 3) & accident)).when(family_ == "chat_review", rank < 3).otherwise(False)
 
 
-def signature(family_: Column, scopes: Column, tags_: Column) -> Column:
-    """MS- and 12 hex digits of what an incident is about, whenever it happens."""
-    return F.concat(F.lit("MS-"), F.substring(F.sha2(F.concat_ws("|", family_, F.array_join(scopes, ","), tags_), 256), 1, 12))
+def signature(family_: Column, scopes_: Column, tags_: Column, semantics: Column) -> Column:
+    """16 hex digits of what an incident is about, whenever it happens."""
+    return F.substring(F.sha2(F.concat_ws("|", family_, F.array_join(scopes_, ","), F.array_join(tags_, ","), F.array_join(semantics, ",")), 256), 1, 16)
+
+
+def identified(found: DataFrame) -> DataFrame:
+    """incidents with state_key and id: of several with one signature the second and later ones, by start, get its number as a suffix."""
+    sign = signature(F.col("family"), F.col("scopes"), F.col("tags"), F.array_sort(F.array_distinct(F.concat("subtypes", "labels"))))
+    nth = F.row_number().over(Window.partitionBy("_sign").orderBy("start_ms", "incident"))
+    rows = found.withColumn("_sign", sign).withColumn("_nth", nth)
+    key = F.when(F.col("_nth") == 1, F.col("_sign")).otherwise(F.concat_ws(":", "_sign", "_nth"))
+    rows = rows.withColumn("state_key", key).drop("_sign", "_nth")
+    return rows.withColumn("id", F.concat(F.lit("MS-"), F.upper(F.substring(F.sha2("state_key", 256), 1, 12))))

@@ -1,4 +1,4 @@
-"""Connected components of link tables: on the driver while they are small, else by rounds of joins."""
+"""Connected components of link tables, by rounds of joins."""
 
 from __future__ import annotations
 
@@ -7,32 +7,10 @@ from pyspark.sql import functions as F
 
 from loomlog.sources.shared import shared_path, written
 
-#: Links that the driver joins itself: a few MB. Beyond, rounds of joins give the same rows.
-FEW = 50_000
 
-
-def components(links: DataFrame, few: int = FEW, most: int = 40) -> DataFrame:
+def components(links: DataFrame, most: int = 40) -> DataFrame:
     """(node, component): the smallest node reachable over links (a, b). Self links name a node; no links, no rows."""
-    links = written(links.select("a", "b").distinct(), "links")
-    some = links.limit(few + 1).collect() if few else []
-    if few and len(some) <= few:
-        return links.sparkSession.createDataFrame(joined([(x.a, x.b) for x in some]), f"node {dict(links.dtypes)['a']}, component {dict(links.dtypes)['a']}")
-    return by_rounds(links, most)
-
-
-def joined(pairs: list[tuple]) -> list[tuple]:
-    """(node, smallest node) of each node: every root is the smallest of its tree."""
-    root: dict = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = x = root[root[x]]
-        return x
-
-    for a, b in pairs:
-        low, high = sorted((find(a), find(b)))
-        root[high] = low
-    return [(x, find(x)) for x in list(root)]
+    return by_rounds(written(links.select("a", "b").distinct(), "links"), most)
 
 
 def by_rounds(links: DataFrame, most: int) -> DataFrame:

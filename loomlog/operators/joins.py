@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomlog.operators.windows import rank_globally
+from loomlog.sources.shared import written
 
 
 def tag_intervals(rows: DataFrame, events: DataFrame, key: str, ts: str, row_id: str, slot_ms: int = 300_000) -> DataFrame:
@@ -20,8 +21,8 @@ def tag_intervals(rows: DataFrame, events: DataFrame, key: str, ts: str, row_id:
     return rows.join(hits, row_id, "left").withColumn("kind", F.col("_e.kind")).drop("_e")
 
 
-def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str, slot_ms: int = 3_600_000) -> DataFrame:
-    """left_id with the right_id of equal keys that is nearest in time; ties go to the smaller id. Null without any.
+def neighbours(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str, slot_ms: int = 3_600_000) -> DataFrame:
+    """left_id with _back and _ahead: struct<t, i> of the last right row of equal keys up to its time and the first one from it on; of equal times the smallest id.
 
     By merging both sides in time order: the last right row before and the first one after
     each left row are running values, so no pairs are made. They run within time slots; what
@@ -38,8 +39,48 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, le
     back = Window.partitionBy(*keys, "_slot").orderBy("_ts", "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
     ahead = Window.partitionBy(*keys, "_slot").orderBy(F.desc("_ts"), "_side", F.desc("_id")).rowsBetween(Window.unboundedPreceding, 0)
     near = both.withColumn("_b", F.last(mine, True).over(back)).withColumn("_f", F.last(mine, True).over(ahead)).where("_side = 1").join(beyond, [*keys, "_slot"])
-    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["t"] - F.col("_ts")).alias("d"), c["i"].alias("i")))
-    return near.select(F.col("_id").alias(left_id), F.least(gap(F.coalesce("_b", "_before")), gap(F.coalesce("_f", "_after")))["i"].alias(right_id))
+    return near.select(*keys, F.col("_id").alias(left_id), F.col("_ts").alias(left_ts), F.coalesce("_b", "_before").alias("_back"), F.coalesce("_f", "_after").alias("_ahead"))
+
+
+def _nearer(ts: Column) -> Column:
+    """struct<d, i> of the nearer neighbour, the smaller id of two equally near; null without any."""
+    gap = lambda c: F.when(c.isNotNull(), F.struct(F.abs(c["t"] - ts).alias("d"), c["i"].alias("i")))
+    return F.least(gap(F.col("_back")), gap(F.col("_ahead")))
+
+
+def nearest(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, left_ts: str, right_id: str, right_ts: str, slot_ms: int = 3_600_000) -> DataFrame:
+    """left_id with the right_id of equal keys that is nearest in time; ties go to the smaller id. Null without any."""
+    found = neighbours(left, right, keys, left_id, left_ts, right_id, right_ts, slot_ms)
+    return found.select(left_id, _nearer(F.col(left_ts))["i"].alias(right_id))
+
+
+def located(issues: DataFrame, records: DataFrame, issue: str, samples: str, record: str, text: str, ts: str, most: int = 20) -> DataFrame:
+    """Where the evidence of issues stands: (issue, tier, record), the first `most` records of an issue by id.
+
+    issues: a whole-number id, first_ms, last_ms and an array of sample texts. Tier 1: for each
+    sample the record of equal text nearest to first_ms. Issues without any: tier 2, the first
+    record of [first_ms, last_ms] (either way round), else tier 3, the record nearest to its
+    start. No pairs are made: each tier is a merge in time order. Without records, no rows.
+    """
+    low, high = F.least("first_ms", "last_ms"), F.greatest("first_ms", "last_ms")
+    told = issues.select(F.col(issue).alias("_issue"), F.coalesce("first_ms", "last_ms").alias("_at"), low.alias("_low"), high.alias("_high"), F.col(samples).alias("_samples"))
+    lines = told.select("_issue", "_at", F.explode(F.array_distinct("_samples")).alias("_text")).where("_text IS NOT NULL")
+    seen = records.select(F.col(record).alias("_record"), F.col(ts).alias("_ts"), F.col(text).alias("_text"))
+    # one left row a text and time, as issues may share both
+    asked = lines.groupBy("_text", "_at").agg(F.min("_issue").alias("_one"), F.collect_set("_issue").alias("_issues"))
+    same = neighbours(asked.select("_text", "_at", "_one"), seen, ["_text"], "_one", "_at", "_record", "_ts")
+    same = same.withColumn("_record", _nearer(F.col("_at"))["i"]).where("_record IS NOT NULL")
+    by_text = same.join(asked.select("_text", "_at", "_issues"), ["_text", "_at"]).select(F.explode("_issues").alias("_issue"), "_record").distinct()
+    by_text = written(by_text, "by_text")  # read twice, as is the rest
+    rest = told.join(by_text.select("_issue").distinct(), "_issue", "left_anti").where("_low IS NOT NULL").withColumn("_all", F.lit(0)).drop("_samples")
+    rest = written(rest, "rest")
+    near = neighbours(rest.select("_all", "_issue", "_low"), seen.withColumn("_all", F.lit(0)), ["_all"], "_issue", "_low", "_record", "_ts")
+    near = near.join(rest.select("_issue", "_high"), "_issue").where("_back IS NOT NULL OR _ahead IS NOT NULL")
+    inside = F.coalesce(F.col("_ahead.t") <= F.col("_high"), F.lit(False))
+    by_time = near.select("_issue", F.when(inside, 2).otherwise(3).alias("tier"), F.when(inside, F.col("_ahead.i")).otherwise(_nearer(F.col("_low"))["i"]).alias("_record"))
+    ranked = by_text.withColumn("_n", F.row_number().over(Window.partitionBy("_issue").orderBy("_record"))).where(F.col("_n") <= most)
+    out = ranked.select("_issue", F.lit(1).alias("tier"), "_record").unionByName(by_time)
+    return out.select(F.col("_issue").alias(issue), "tier", F.col("_record").alias(record))
 
 
 def top_matches(rows: DataFrame, wanted: DataFrame, keys: list[str], order: list, k: int = 3) -> DataFrame:

@@ -20,7 +20,30 @@ over_log(
     lambda log: (lambda chat: j.tag_intervals(named(chat.drop("player")), named(w.floods(chat.drop("player"), "chat_player")), "player", "ts_ms", "event_id").select("event_id", "player", "kind"))(chat_rows(log)),
     f"SELECT c.event_id, c.chat_player AS player, f.kind FROM ({CHAT}) c LEFT JOIN (SELECT c.event_id, arg_min(f.kind, (f.start_ms, f.kind)) AS kind FROM ({CHAT}) c JOIN ({FLOODS}) f ON f.player = c.chat_player AND c.ts_ms BETWEEN f.start_ms AND f.end_ms GROUP BY 1) f ON f.event_id = c.event_id",
 )
-over_log("join_nearest", lambda log: j.nearest(log.where("level = 'ERROR'").withColumnRenamed("event_id", "err"), log.where("level = 'WARN'").withColumnRenamed("event_id", "warn"), ["server_id"], "err", "ts_ms", "warn", "ts_ms"), "SELECT e.event_id AS err, arg_min(x.event_id, (abs(x.ts_ms - e.ts_ms), x.event_id)) AS warn FROM log e LEFT JOIN (SELECT * FROM log WHERE level = 'WARN') x ON x.server_id = e.server_id WHERE e.level = 'ERROR' GROUP BY 1")
+over_log("join_nearest_key", lambda log: j.nearest(log.where("level = 'ERROR'").withColumnRenamed("event_id", "err"), log.where("level = 'WARN'").withColumnRenamed("event_id", "warn"), ["server_id"], "err", "ts_ms", "warn", "ts_ms"), "SELECT e.event_id AS err, arg_min(x.event_id, (abs(x.ts_ms - e.ts_ms), x.event_id)) AS warn FROM log e LEFT JOIN (SELECT * FROM log WHERE level = 'WARN') x ON x.server_id = e.server_id WHERE e.level = 'ERROR' GROUP BY 1")
+
+
+def evidence_places(log):
+    """Errors of a server and phrase as issues, warnings as the records among which their texts are looked for."""
+    found = log.where("level = 'ERROR'").groupBy("server_id", "phrase").agg(F.min("event_id").alias("issue"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms"), F.array(F.min_by("message", F.struct("ts_ms", "seq")), F.max_by("message", F.struct("ts_ms", "seq"))).alias("samples"))
+    single = log.where("level = 'ERROR'").select(F.col("event_id").alias("issue"), F.col("ts_ms").alias("first_ms"), F.col("ts_ms").alias("last_ms"), F.array("line").alias("samples"))
+    return j.located(found.drop("server_id", "phrase").unionByName(single.where("issue > 0").withColumn("issue", -F.col("issue"))), log.where("level = 'WARN'"), "issue", "samples", "event_id", "message", "ts_ms")
+
+
+over_log("join_nearest", evidence_places, """-- log
+, wa AS (SELECT event_id, ts_ms, message FROM log WHERE level = 'WARN'),
+iu AS (SELECT min(event_id) AS issue, min(ts_ms) AS first_ms, max(ts_ms) AS last_ms, list_distinct([arg_min(message, (ts_ms, seq)), arg_max(message, (ts_ms, seq))]) AS samples FROM log WHERE level = 'ERROR' GROUP BY server_id, phrase
+ UNION ALL SELECT -event_id, ts_ms, ts_ms, [line] FROM log WHERE level = 'ERROR' AND event_id > 0),
+t1 AS (SELECT issue, x.s, arg_min(w.event_id, (abs(w.ts_ms - x.first_ms), w.event_id)) AS event_id FROM (SELECT issue, first_ms, unnest(samples) AS s FROM iu) x JOIN wa w ON w.message = x.s GROUP BY issue, x.s),
+ti AS (SELECT DISTINCT issue, event_id FROM t1),
+wt AS (SELECT ts_ms, min(event_id) AS event_id FROM wa GROUP BY ts_ms),
+re AS (SELECT * FROM iu WHERE issue NOT IN (SELECT issue FROM ti)),
+ah AS (SELECT r.issue, r.first_ms, r.last_ms, w.ts_ms AS t, w.event_id AS i FROM re r ASOF LEFT JOIN wt w ON r.first_ms <= w.ts_ms),
+ba AS (SELECT r.issue, w.ts_ms AS t, w.event_id AS i FROM re r ASOF LEFT JOIN wt w ON r.first_ms >= w.ts_ms)
+SELECT issue, 1 AS tier, event_id FROM (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY event_id) AS n FROM ti) z WHERE n <= 20
+UNION ALL SELECT ah.issue, CASE WHEN ah.t <= last_ms THEN 2 ELSE 3 END,
+ CASE WHEN ah.t <= last_ms THEN ah.i WHEN ah.t IS NULL THEN ba.i WHEN ba.t IS NULL THEN ah.i WHEN (ah.t - first_ms, ah.i) < (first_ms - ba.t, ba.i) THEN ah.i ELSE ba.i END
+FROM ah JOIN ba USING (issue)""")
 over_log("join_anomaly_evidence", lambda log: j.top_matches(log, w.anomalies(log, ["server_id", "phrase"], ["ts_ms", "seq"]).where("score > 0.3"), ["server_id", "phrase"], [F.desc("ts_ms"), F.desc("seq")]).select("server_id", "phrase", "event_id"), with_history("SELECT server_id, phrase, event_id FROM (SELECT l.server_id, l.phrase, l.event_id, row_number() OVER (PARTITION BY l.server_id, l.phrase ORDER BY l.ts_ms DESC, l.seq DESC) AS n FROM log l SEMI JOIN (SELECT * FROM s WHERE greatest(e, q) > 0.3) z ON z.server_id = l.server_id AND z.phrase = l.phrase) y WHERE n <= 3"))
 over_log("join_substring", lambda log: j.contained(log.select("event_id", "message"), log.select(F.col("player").alias("name")).distinct(), "message", "name").select("event_id", "name"), "SELECT event_id, name FROM (SELECT event_id, message FROM log) a JOIN (SELECT DISTINCT player AS name FROM log ORDER BY name LIMIT 1000) b ON contains(message, name) OR contains(name, message)")
 NEAR = "SELECT DISTINCT a.event_id FROM (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) a JOIN (SELECT *, row_number() OVER ({p} ORDER BY ts_ms, seq) AS p FROM log) b ON abs(a.p - b.p) <= {n} AND b.phrase = 17 {k}"

@@ -65,8 +65,7 @@ cls("cls_gate", lambda x: x.select("event_id", "category", "gate"), "SELECT even
 over_log("cls_behaviour", lambda log: k.classify(k.behaviour(log)).where("chat_message IS NOT NULL").select("event_id", "chat_flood", "chat_abuse", "category", "tag"), f"{BEHAVIOUR} SELECT event_id, chat_flood, chat_abuse, category, tag FROM cls WHERE chat_message IS NOT NULL")
 iss("cls_family", lambda i: i.select("tag", "session", k.family(F.col("category")).alias("family")), f"SELECT tag, session, {FAMILY} AS family FROM iss")
 iss("cls_domain", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")), f"SELECT tag, session, {DOMAIN} AS domain FROM iss")
-iss("cls_scopes", lambda i: i.select("tag", "session", F.explode("servers").alias("scope")), "SELECT tag, session, unnest(servers) AS scope FROM iss")
-iss("cls_signature", lambda i: i.select("tag", "session", k.signature(k.family(F.col("category")), F.col("servers"), F.col("tag")).alias("id")), f"SELECT tag, session, 'MS-' || substr(sha256(concat_ws('|', {FAMILY}, array_to_string(servers, ','), tag)), 1, 12) AS id FROM iss")
+iss("cls_scopes", lambda i: i.select("tag", "session", F.explode(k.scopes()).alias("scope")), f"SELECT tag, session, unnest({k.SCOPES_SQL}) AS scope FROM iss")
 iss("cls_action", lambda i: i.select("tag", "session", F.when(F.col("rank") >= 4, "act now").when(F.col("alert"), "check today").otherwise("watch").alias("action")), "SELECT tag, session, CASE WHEN rank >= 4 THEN 'act now' WHEN alert THEN 'check today' ELSE 'watch' END AS action FROM iss")
 
 # filters
@@ -142,11 +141,12 @@ iss("sort_managed", lambda i: i.where("alert").orderBy(F.desc("rank"), "first_ms
 # incidents
 INCIDENTS = f"""{ISSUES}, kd AS (SELECT *, category || ':' || tag || ':' || session AS issue, {FAMILY} AS family FROM iss WHERE tag <> 'server_log_anticheat_vulcan'),
 ke AS (SELECT *, CASE WHEN family = 'operations' THEN {DOMAIN} ELSE '' END AS domain FROM kd),
-per AS (SELECT issue, family, domain, first_ms, last_ms, unnest(servers) AS server FROM ke),
-ch AS (SELECT *, sum(split) OVER (PARTITION BY family, domain, server ORDER BY first_ms, issue ROWS UNBOUNDED PRECEDING) AS chain FROM (SELECT *, CASE WHEN first_ms > max(last_ms) OVER (PARTITION BY family, domain, server ORDER BY first_ms, issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 300000 THEN 1 ELSE 0 END AS split FROM per) x),
-ln AS (SELECT issue, family || '|' || domain || '|' || server || '|' || chain AS c FROM ch),
+kf AS (SELECT *, CASE WHEN len({k.SCOPES_SQL}) = 0 THEN ['window'] ELSE {k.SCOPES_SQL} END AS scopes FROM ke),
+per AS (SELECT issue, family, domain, first_ms, last_ms, unnest(scopes) AS scope FROM kf),
+ch AS (SELECT *, sum(split) OVER (PARTITION BY family, domain, scope ORDER BY first_ms, issue ROWS UNBOUNDED PRECEDING) AS chain FROM (SELECT *, CASE WHEN first_ms > max(last_ms) OVER (PARTITION BY family, domain, scope ORDER BY first_ms, issue ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 300000 THEN 1 ELSE 0 END AS split FROM per) x),
+ln AS (SELECT issue, family || '|' || domain || '|' || scope || '|' || chain AS c FROM ch),
 reach AS (WITH RECURSIVE go(a, b) AS (SELECT issue, issue FROM ke UNION SELECT go.a, l2.issue FROM go JOIN ln l1 ON l1.issue = go.b JOIN ln l2 ON l2.c = l1.c) SELECT a, min(b) AS incident FROM go GROUP BY 1),
-inc AS (SELECT incident, any_value(family) AS family, any_value(domain) AS domain, count(*) AS issues, sum(n)::BIGINT AS n, min(first_ms) AS start_ms, max(last_ms) AS end_ms, list_sort(list_distinct(flatten(list(servers)))) AS scopes, list_sort(list_distinct(flatten(list(labels)))) AS labels, bool_or(f_accident) AS accident, max(rank) AS rank, bool_or(alert) AS alert FROM ke JOIN reach ON reach.a = ke.issue GROUP BY incident)"""
+inc AS (SELECT incident, any_value(family) AS family, any_value(domain) AS domain, count(*) AS issues, sum(n)::BIGINT AS n, min(first_ms) AS start_ms, max(last_ms) AS end_ms, list_sort(list_distinct(flatten(list(scopes)))) AS scopes, list_sort(list_distinct(flatten(list(subtypes)))) AS subtypes, list_sort(list_distinct(list(tag))) AS tags, list_sort(list_distinct(flatten(list(labels)))) AS labels, bool_or(f_accident) AS accident, max(rank) AS rank, bool_or(alert) AS alert FROM kf JOIN reach ON reach.a = kf.issue GROUP BY incident)"""
 
 
 def inc(name: str, make, sql: str) -> None:
@@ -155,6 +155,9 @@ def inc(name: str, make, sql: str) -> None:
 
 inc("agg_incident", lambda i: i.select("incident", "family", "domain", "issues", "n", "start_ms", "end_ms", F.array_join("scopes", ",").alias("scopes"), "rank", "alert"), "SELECT incident, family, domain, issues, n, start_ms, end_ms, array_to_string(scopes, ',') AS scopes, rank, alert FROM inc")
 inc("join_overlap_merge", lambda i: i.groupBy("family", "domain").agg(F.count("*").alias("incidents"), F.sum("issues").alias("issues")), "SELECT family, domain, count(*) AS incidents, sum(issues)::BIGINT AS issues FROM inc GROUP BY ALL")
+inc("cls_signature", lambda i: k.identified(i).select("incident", "state_key", "id"), """, sg AS (SELECT incident, start_ms, substr(sha256(concat_ws('|', family, array_to_string(scopes, ','), array_to_string(tags, ','), array_to_string(list_sort(list_distinct(list_concat(subtypes, labels))), ','))), 1, 16) AS sign FROM inc),
+st AS (SELECT incident, CASE WHEN nth = 1 THEN sign ELSE sign || ':' || nth END AS state_key FROM (SELECT *, row_number() OVER (PARTITION BY sign ORDER BY start_ms, incident) AS nth FROM sg) x)
+SELECT incident, state_key, 'MS-' || upper(substr(sha256(state_key), 1, 12)) AS id FROM st""")
 inc("flt_suppressed", lambda i: i.where(~k.suppressed(F.col("family"), F.col("rank"), F.col("n"))).select("incident", "family"), "SELECT incident, family FROM inc WHERE NOT (family = 'operations' AND rank <= 2 AND n <= 1)")
 inc("flt_observation", lambda i: i.select("incident", k.observation(F.col("family"), F.col("rank"), F.col("labels"), F.col("accident")).alias("observation")), "SELECT incident, CASE WHEN family = 'community' THEN len(labels) = 0 AND rank <= 2 WHEN family = 'community_ops' THEN NOT (rank >= 3 AND accident) WHEN family = 'chat_review' THEN rank < 3 ELSE false END AS observation FROM inc")
 over_log("flagship", lambda log: agg.flagship(k.classify(log)), f"{CLS} SELECT server_id, (ts_ms // 3600000) * 3600000 AS hour, count(*) AS records, count_if(level = 'ERROR')::BIGINT AS errors, count_if(category <> 'daily')::BIGINT AS notable, count(DISTINCT phrase) AS templates FROM cls GROUP BY ALL")

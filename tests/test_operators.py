@@ -177,3 +177,12 @@ def test_store_reads_prune_servers_and_days(spark, tmp_path):
     plan = got._jdf.queryExecution().executedPlan().toString()
     pruned = plan.split("PartitionFilters: [")[1].split("PushedFilters")[0]
     assert got.count() == 1 and "server_id" in pruned and "day" in pruned and "GreaterThanOrEqual(ts_ms" in plan
+
+
+def test_evidence_is_located_by_text_then_in_range_then_anywhere(spark):
+    issues = spark.createDataFrame([(1, 100, 200, ["x", "y", "none"]), (2, 100, 200, ["z"]), (3, 200, 100, []), (4, 900, 950, None), (5, None, 40, ["-"]), (6, None, None, ["-"]), (7, 100, 150, ["x"])], "issue long, first_ms long, last_ms long, samples array<string>")
+    records = spark.createDataFrame([(10, "x", 90), (11, "x", 105), (12, "x", 95), (13, "y", 5000), (14, "-other", 150), (15, "w", 150), (16, None, 890), (17, "q", 910)], "id long, text string, ts_ms long")
+    got = sorted(tuple(r) for r in joins.located(issues, records, "issue", "samples", "id", "text", "ts_ms").collect())
+    assert got == [(1, 1, 11), (1, 1, 13), (2, 2, 11), (3, 2, 11), (4, 2, 17), (5, 3, 10), (7, 1, 11)]
+    assert [tuple(r) for r in joins.located(issues.where("issue = 4"), records.where("id <> 17"), "issue", "samples", "id", "text", "ts_ms").collect()] == [(4, 3, 16)]
+    assert joins.located(issues, records.limit(0), "issue", "samples", "id", "text", "ts_ms").count() == 0

@@ -145,11 +145,38 @@ def test_noise_patterns_of_the_user(spark):
     assert one([r"custom ping \d+"]) and not one(["("]) and not one(None) and one(["(", "ping"])
 
 
-def test_components_on_the_driver_and_by_rounds(spark):
+def test_components_of_links(spark):
     from loomlog.operators.graph import components
 
     links = spark.createDataFrame([("a", "b"), ("c", "b"), ("d", "e"), ("f", "f"), ("z", "a")], "a string, b string")
     want = {"a": "a", "b": "a", "c": "a", "z": "a", "d": "d", "e": "d", "f": "f"}
-    for few in (0, 3, 100):
-        assert {r.node: r.component for r in components(links, few).collect()} == want
+    assert {r.node: r.component for r in components(links).collect()} == want
     assert components(links.limit(0)).count() == 0
+
+
+ISSUE = "category string, tag string, session long, n long, first_ms long, last_ms long, servers array<string>, plugins array<string>, positions array<string>, players array<string>, labels array<string>, subtypes array<string>, ops_categories array<string>, f_accident boolean, rank int, alert boolean"
+
+
+def issue(session, first, servers, plugins=(), players=("p", "q"), category="plugin", last=None):
+    return (category, "t", session, 1, first, first + 1000 if last is None else last, list(servers), list(plugins), [], list(players), [], [], [], False, 2, False)
+
+
+def test_incidents_merge_over_any_kind_of_scope(spark):
+    rows = [issue(1, 0, ["a"], ["Shop"]), issue(2, 200_000, ["b"], ["Shop"]), issue(3, 400_000, ["b"], ["Vault"]), issue(4, 100_000, ["c"], ["Other"]), issue(5, 10_000_000, ["a"], ["Shop"]), issue(6, 0, ["d"], players=["eve"]), issue(7, 100, ["e"], players=["eve"]), issue(8, 0, ["a"], ["Shop"], category="network")]
+    got = k.identified(k.incidents(spark.createDataFrame(rows, ISSUE))).collect()
+    sets = {r.incident: (r.issues, r.scopes) for r in got}
+    assert sets == {
+        "plugin:t:1": (3, ["plugin:Shop", "plugin:Vault", "server:a", "server:b"]),
+        "plugin:t:4": (1, ["plugin:Other", "server:c"]),
+        "plugin:t:5": (1, ["plugin:Shop", "server:a"]),
+        "plugin:t:6": (2, ["player:eve", "server:d", "server:e"]),
+        "network:t:8": (1, ["plugin:Shop", "server:a"]),
+    }
+    again = {r.incident: r for r in got}
+    assert ":" not in again["plugin:t:1"].state_key and again["network:t:8"].state_key == again["plugin:t:5"].state_key.split(":")[0] and again["plugin:t:5"].state_key.endswith(":2")
+    assert len({r.id for r in got}) == 5 and all(r.id.startswith("MS-") and len(r.id) == 15 for r in got)
+
+
+def test_incidents_without_a_scope_are_of_the_window(spark):
+    rows = [issue(1, 0, []), issue(2, 1000, []), issue(3, 0, ["a"])]
+    assert {(r.incident, r.issues) for r in k.incidents(spark.createDataFrame(rows, ISSUE)).collect()} == {("plugin:t:1", 2), ("plugin:t:3", 1)}
