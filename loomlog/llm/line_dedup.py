@@ -36,10 +36,6 @@ from .suffix_dedup import BUCKET, CHUNK, _unzip, _zip
 
 #: Leading tokens on the way to a leaf; share of equal tokens that joins a line to a template; documents that make it recur.
 DEPTH, SIMILAR, MIN_DOCS = 3, 0.8, 3
-#: Different lines of a leaf beyond which it is split, so that lines of its parts don't meet: an option that changes results, None by default: no leaf is.
-LEAF: int | None = None
-#: Where leaves are split: further tokens of a level, levels; crowded leaves that are broadcast (beyond, they are joined).
-DEEPER, LEVELS, BROADCAST = 3, 3, 100_000
 #: Templates of a leaf that are all compared with a line; of more, those that have a run of tokens in common with it. The answer is the same.
 SCANNED = 64
 FIELD = "<*>"
@@ -134,8 +130,7 @@ def templates(lines: Iterable[list[str]], similar: float) -> list[int]:
     return out
 
 
-LEAVES = pa.list_(pa.struct({"h": pa.int64(), "n": pa.int32()}))
-PARSED = pa.schema({"g": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "odd_at": pa.binary(), "odd": pa.binary(), "meta": pa.binary(), "places": pa.binary(), "lines": pa.binary(), "owners": pa.binary(), "hashes": pa.binary(), "leaves": LEAVES})
+PARSED = pa.schema({"g": pa.int64(), "ids": pa.binary(), "counts": pa.binary(), "odd_at": pa.binary(), "odd": pa.binary(), "meta": pa.binary(), "places": pa.binary(), "lines": pa.binary(), "owners": pa.binary(), "hashes": pa.binary()})
 
 
 def leaf_hash(tokens: list[str], depth: int, width: int | None = None) -> int:
@@ -144,22 +139,10 @@ def leaf_hash(tokens: list[str], depth: int, width: int | None = None) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def placed(line: str, h: int, depth: int, crowded: list[frozenset]) -> tuple[int, int]:
-    """(level, hash) of a line's leaf: down from the first level as long as leaves are crowded and there are tokens left. crowded: by level."""
-    level = 0
-    while level < len(crowded) and h in crowded[level]:
-        tokens = line.split(" ")
-        if len(tokens) <= depth + DEEPER * level:
-            break
-        level += 1
-        h = leaf_hash(tokens, depth + DEEPER * level)
-    return level, h
-
-
-def parse(rows: DataFrame, depth: int, similar: float, min_docs: int, counted: bool) -> DataFrame:
+def parse(rows: DataFrame, depth: int, similar: float, min_docs: int) -> DataFrame:
     """Chunks: the entry of each line, the entries with their owners and leaves, and the lines that differ from their entry's text; written once.
 
-    rows: doc_id, text, columns to hand on. counted: whether sizes of leaves are asked for.
+    rows: doc_id, text, columns to hand on.
     """
 
     def hashed(line: str) -> int:
@@ -202,7 +185,6 @@ def parse(rows: DataFrame, depth: int, similar: float, min_docs: int, counted: b
                 least = sorted(some)[:min_docs]
                 own[i, : len(least)] = least
             hashes = np.array([hashed(line) for line in entries], dtype=np.int64)
-            leaves, sizes = np.unique(hashes if counted else hashes[:0], return_counts=True)
             ids = np.array([x[0] for x in held], dtype=np.int64)
             whole = {
                 "g": (part << 32) + count,
@@ -215,7 +197,6 @@ def parse(rows: DataFrame, depth: int, similar: float, min_docs: int, counted: b
                 "lines": _zip("\n".join(entries).encode("utf-8", "surrogatepass")),
                 "owners": _zip(own.tobytes()),
                 "hashes": hashes.tobytes(),
-                "leaves": [{"h": h, "n": n} for h, n in zip(leaves.tolist(), sizes.tolist(), strict=True)],
             }
             return pa.RecordBatch.from_pylist([whole], schema=PARSED)
 
@@ -233,28 +214,21 @@ def parse(rows: DataFrame, depth: int, similar: float, min_docs: int, counted: b
         if held:
             yield row()
 
-    schema = "g long, ids binary, counts binary, odd_at binary, odd binary, meta binary, places binary, lines binary, owners binary, hashes binary, leaves array<struct<h: bigint, n: int>>"
+    schema = "g long, ids binary, counts binary, odd_at binary, odd binary, meta binary, places binary, lines binary, owners binary, hashes binary"
     return cut(rows.mapInArrow(tidy(run), schema), "lines")
 
 
 def answer(pdf: pd.DataFrame, depth: int, similar: float, min_docs: int) -> pd.DataFrame:
     """Of one bucket: for each chunk's entries the only doc_id that keeps the line, or NEVER where it doesn't recur."""
     lines: dict[str, int] = {}
-    level: list[int] = []
     per, sets = [], []
-    for blob, own, of in zip(pdf.lines, pdf.owners, pdf.levels, strict=True):
-        at = []
-        for line, j in zip(_unzip(blob).decode("utf-8", "surrogatepass").split("\n"), of, strict=True):
-            i = lines.setdefault(line, len(level))
-            if i == len(level):
-                level.append(j)
-            at.append(i)
-        per.append(np.array(at, dtype=np.int32))
+    for blob, own in zip(pdf.lines, pdf.owners, strict=True):
+        per.append(np.array([lines.setdefault(line, len(lines)) for line in _unzip(blob).decode("utf-8", "surrogatepass").split("\n")], dtype=np.int32))
         sets.append(np.frombuffer(own, dtype=np.int64))
-    leaves: dict[tuple[int, str], list[str]] = {}
-    for line, i in lines.items():
+    leaves: dict[str, list[str]] = {}
+    for line in lines:
         if not alone(line.count(" ") + 1, similar):
-            leaves.setdefault((level[i], leaf(line.split(" "), depth + DEEPER * level[i])), []).append(line)
+            leaves.setdefault(leaf(line.split(" "), depth), []).append(line)
     group = np.arange(len(lines), dtype=np.int32)  # a template is named by the line that opened it
     for some in leaves.values():
         if len(some) > 1:
@@ -281,52 +255,26 @@ def recurring(group: np.ndarray, ids: np.ndarray, n: int, min_docs: int) -> np.n
     return out
 
 
-def crowded_of(x: dict, known: list[frozenset | None]) -> list[frozenset]:
-    return [k if k is not None else frozenset(x[f"crowd{i}"] or []) for i, k in enumerate(known)]
-
-
-def lines_of(x: dict) -> tuple[list[str], list[int]]:
-    """The entries of a chunk, and the hashes of their first leaves."""
-    hashes = np.frombuffer(x["hashes"], dtype=np.int64).tolist()
-    return _unzip(x["lines"]).decode("utf-8", "surrogatepass").split("\n")[: len(hashes)], hashes
-
-
 def chunks_in(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
         for i in range(batch.num_rows):
             yield batch.slice(i, 1).to_pylist()[0]
 
 
-def count(depth: int, known: list[frozenset | None]):
-    """How many lines of each chunk are in each leaf of the next level, below crowded ones."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in chunks_in(batches):
-            split = crowded_of(x, known)
-            at = [placed(line, h, depth, split) for line, h in zip(*lines_of(x), strict=True)]
-            leaves, sizes = np.unique(np.array([h for level, h in at if level == len(known)], dtype=np.int64), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"g": pa.array([x["g"]] * len(leaves), pa.int64()), "h": pa.array(leaves), "n": pa.array(sizes, pa.int32())})
-
-    return run
-
-
-def send(depth: int, known: list[frozenset | None], buckets: int, min_docs: int):
+def send(buckets: int, min_docs: int):
     """The entries of each chunk, to the buckets of their leaves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in chunks_in(batches):
-            split, (lines, hashes) = crowded_of(x, known), lines_of(x)
+            hashes = np.frombuffer(x["hashes"], dtype=np.int64)
+            lines = _unzip(x["lines"]).decode("utf-8", "surrogatepass").split("\n")
             own = np.frombuffer(_unzip(x["owners"]), dtype=np.int64).reshape(-1, min_docs)
-            levels = np.zeros(len(lines), dtype=np.uint8)
-            if split:
-                at = [placed(line, h, depth, split) for line, h in zip(lines, hashes, strict=True)]
-                levels, hashes = np.array([a for a, _ in at], dtype=np.uint8), [h for _, h in at]
-            where = np.array(hashes, dtype=np.int64) % buckets
+            where = hashes % buckets
             order = np.argsort(where, kind="stable").astype(np.int32)
             which, first = np.unique(where[order], return_index=True)
             out = []
             for r, some in zip(which.tolist(), np.split(order, first[1:]) if len(order) else [], strict=True):
-                out.append({"r": r, "g": x["g"], "entries": some.tobytes(), "levels": levels[some].tobytes(), "owners": own[some].tobytes(), "lines": _zip("\n".join([lines[e] for e in some.tolist()]).encode("utf-8", "surrogatepass"))})
+                out.append({"r": r, "g": x["g"], "entries": some.tobytes(), "owners": own[some].tobytes(), "lines": _zip("\n".join([lines[e] for e in some.tolist()]).encode("utf-8", "surrogatepass"))})
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema=SENT)
 
@@ -337,26 +285,14 @@ def judged(rows: DataFrame, depth: int, similar: float, min_docs: int) -> DataFr
     """Parsed chunks with the answers to their entries."""
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-int(total) // BUCKET))
-    store = parse(rows, depth, similar, min_docs, LEAF is not None)
-    chunks, counts, known = store.select("g", "lines", "owners", "hashes"), store.select("g", F.inline("leaves")), []
-    for level in range(0 if LEAF is None else LEVELS - 1):  # crowded leaves of each level: as a broadcast set while they are few, else as a column of each chunk
-        crowded = cut(counts.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") > LEAF).select("h"), "crowded")
-        many = crowded.count()
-        if not many:
-            break
-        known.append(frozenset(r.h for r in crowded.collect()) if many <= BROADCAST else None)
-        if known[-1] is None:
-            chunks = chunks.join(counts.join(crowded, "h", "left_semi").groupBy("g").agg(F.collect_list("h").alias(f"crowd{level}")), "g", "left")
-        if level + 2 < LEVELS:
-            counts = chunks.mapInArrow(tidy(count(depth, list(known))), "g long, h long, n int")
-
-    sent = chunks.mapInArrow(tidy(send(depth, known, buckets, min_docs)), "r int, g long, entries binary, levels binary, owners binary, lines binary")
+    store = parse(rows, depth, similar, min_docs)
+    sent = store.select("g", "lines", "owners", "hashes").mapInArrow(tidy(send(buckets, min_docs)), "r int, g long, entries binary, owners binary, lines binary")
     keepers = sent.groupBy("r").applyInPandas(tidy_group(lambda pdf: answer(pdf, depth, similar, min_docs)), "g long, entries binary, keepers binary")
     per = keepers.groupBy("g").agg(F.collect_list(F.struct("entries", "keepers")).alias("answers"))
     return store.select("g", "ids", "counts", "odd_at", "odd", "meta", "places", "lines").join(per, "g", "left")
 
 
-SENT = pa.schema({"r": pa.int32(), "g": pa.int64(), "entries": pa.binary(), "levels": pa.binary(), "owners": pa.binary(), "lines": pa.binary()})
+SENT = pa.schema({"r": pa.int32(), "g": pa.int64(), "entries": pa.binary(), "owners": pa.binary(), "lines": pa.binary()})
 
 
 def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:

@@ -184,16 +184,25 @@ class Model:
             self.temperature = min(losses, key=losses.get)
 
 
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, y, text) of at most `most` labelled rows that aren't held out, one row an id.
+
+    Rows with a null label or id, and null texts, are left out; an id that is labelled or
+    stands more than once counts once, with its largest label and its text of smallest hash.
+    """
+    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
+    once = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
+    picked = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """A model of labels.quality from the texts that are not held out; None if either class has no row.
 
-    At most sample_rows labelled rows are used, those whose hashed doc_id is smallest. Rows
-    with a null label, and null texts, are left out; a doc_id labelled twice counts twice.
+    At most sample_rows labelled rows are used, those whose hashed doc_id is smallest (see sample()).
     """
-    wanted = labels.where("quality is not null and doc_id is not null").where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    picked = wanted.select("doc_id", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(sample_rows)
-    picked = docs.sparkSession.createDataFrame(picked.collect(), "doc_id long, y int")  # bounded: sample_rows ids
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").repartition(PARTS).persist()
+    rows = sample(docs, labels, "quality", sample_rows).repartition(PARTS).persist()
     index = index_vectors()
 
     def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .bpe import pieces
 from .common import NULL_ID, cut, null_ids, table, tidy, with_ids
-from .quality import held_out, sections
+from .quality import held_out, sample, sections
 
 #: Labelled rows that the weights are learned from, at most (smallest hash of doc_id first).
 SAMPLE_ROWS = 12_000
@@ -133,19 +133,6 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(sums, -50, 50)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """(doc_id, y, text) of at most `most` labelled rows that aren't held out, one row an id.
-
-    Rows with a null label or id, and null texts, are left out; an id that is labelled or
-    stands more than once counts once, with its largest label and its text of smallest hash.
-    """
-    wanted = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3)) != 1)
-    once = wanted.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y"))
-    picked = once.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id")
-    return rows.groupBy("doc_id", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample_rows: int = SAMPLE_ROWS) -> Model | None:
     """Weights for `label` (0 or 1) from texts that are not held out; None if either class has no row.
 

@@ -792,28 +792,6 @@ def test_next_documents_of_null_ids(spark, monkeypatch):
     assert sorted(r.next_text for r in alone) == sorted(texts[:5])
 
 
-@pytest.mark.parametrize("broadcast", [0, 1000])
-def test_crowded_leaves_are_split_by_further_tokens(spark, monkeypatch, broadcast):
-    monkeypatch.setattr(line_dedup, "CHUNK", 700)
-    monkeypatch.setattr(line_dedup, "BUCKET", 3000)
-    monkeypatch.setattr(line_dedup, "BROADCAST", broadcast)
-    rng = random.Random(13)
-    # 40 lines of one leaf; those of one kind and letter are one template
-    lines = [f"1 2 3 {kind} {a} same words {b}" for kind in ("red", "blue") for a in "abcde" for b in "wxyz"]
-    texts = ["\n".join(rng.sample(lines, 9)) for _ in range(12)]
-    whole = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()}
-    assert whole == lines_kept(dict(enumerate(texts)))
-    monkeypatch.setattr(line_dedup, "LEAF", 25)  # split by six tokens: kind and letter
-    assert {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()} == whole
-    monkeypatch.setattr(line_dedup, "LEAF", 1)  # every leaf is split as far as it goes: only equal lines meet
-    finest = {r.doc_id: r.kept for r in line_dedup.cleaned(docs(spark, texts)).collect()}
-    held = {}
-    for i, t in enumerate(texts):
-        for x in t.split("\n"):
-            held.setdefault(x, set()).add(i)
-    assert finest == {i: "\n".join(x for x in t.split("\n") if len(held[x]) < 3 or min(held[x]) == i) for i, t in enumerate(texts)} != whole
-
-
 def test_lines_of_a_template_meet_however_many_others_their_leaf_has(spark):
     rng = random.Random(17)
     three = [f"a b c {x} same words in all of them" for x in ("red", "green", "blue")]
@@ -844,3 +822,25 @@ def test_templates_found_by_runs_are_those_of_a_scan(monkeypatch, scanned):
             known[best] = [a if a == b else "<*>" for a, b in zip(known[best], w, strict=True)]
             want.append(best)
         assert line_dedup.templates(some, 0.8) == want
+
+
+def test_quality_sample_is_bounded_however_often_ids_repeat(spark, monkeypatch):
+    """One row an id: the label that is largest, the text of smallest hash."""
+    many = docs(spark, [f"good words here {i % 7}" if i % 2 else f"!!! ??? {i % 5}" for i in range(60)] * 5, list(range(60)) * 5)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] * 3, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality.Model, "train", lambda self, x, y, aside: seen.append(len(y)))
+    assert quality.fit(many, labels, sample_rows=10) is not None and seen == [10]
+
+
+def test_texts_of_a_megabyte_and_repeated_ids(spark):
+    """Long texts and repeated ids are rows like others."""
+    rng = random.Random(5)
+    long = " ".join(words(rng, 50) for _ in range(5000))
+    table = docs(spark, [long, long + " end", "short text", None, long], [1, 1, 2, 2, 3])
+    assert len(long) > 1_000_000
+    assert sorted(r.doc_id for r in simhash.fingerprints(table, 3).collect()) == [1, 1, 2, 2, 3]
+    assert sorted(r.doc_id for r in line_dedup.cleaned(table).collect()) == [1, 1, 2, 2, 3]
+    packed = packing.pack(table).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3}
+    assert len(quality.score(table, None).collect()) == 5

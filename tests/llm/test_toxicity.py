@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from conftest import SF
 
-from loomlog.llm import toxicity
+from loomlog.llm import quality, toxicity
 from loomlog.llm.quality import held_out
 
 BAD = ["idiot", "scum", "dummkopf"]
@@ -94,7 +94,7 @@ def test_labels_of_held_out_rows_are_never_read(spark, corpus):
 def test_repeated_ids_keep_the_sample_bounded(spark, corpus):
     _, docs, labels = corpus
     many = docs.limit(40).crossJoin(spark.range(30)).drop("id")
-    got = toxicity.sample(many, labels.union(labels), "toxic", 10).collect()
+    got = quality.sample(many, labels.union(labels), "toxic", 10).collect()
     assert len(got) <= 10 and len({r.doc_id for r in got}) == len(got)
 
 
