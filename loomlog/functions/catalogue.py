@@ -24,7 +24,6 @@ ACTIONS = {"fatal": "act now", "severe": "act now", "error": "check today", "war
 #: What a report says of a severity: (label, when to act, what it means), and of a tag.
 SHOWN = {"critical": ("act now", "within minutes", "players or data are at risk"), "high": ("check today", "within hours", "a function fails"), "medium": ("watch", "this week", "single players notice"), "low": ("note", "when convenient", "hardly noticed"), "info": ("none", "never", "context only")}
 TITLES = {"server_log_performance": "Performance", "server_log_network": "Connections", "server_log_plugin": "Plugins", "server_log_cross_server": "Proxy and backends", "server_log_auth": "Logins and permissions", "server_log_economy": "Economy", "server_log_community": "Conduct", "server_log_chat_review": "Chat", "server_log_player_feedback": "Feedback", "server_log_community_ops": "Events", "server_log_anticheat_vulcan": "Anticheat"}
-UNSAFE = ["delete", "rm -rf", "format", "drop table"]
 
 
 def _q(s: str) -> str:
@@ -480,20 +479,22 @@ def action_label_sql(lv: str) -> str:
     return "CASE " + " ".join(f"WHEN {lv} = '{k}' THEN '{v}'" for k, v in ACTIONS.items()) + " ELSE 'none' END"
 
 
-#: What an advice may speak of only if the issue does.
-DOMAINS = ["database", "plugin", "world", "backup", "memory"]
+#: Unsafe verbs as whole words, beside the pattern of fixed values.
+UNSAFE = rf"(?:^|[^a-z0-9_-])(?:{'|'.join(r.UNSAFE_VERBS)})(?:[^a-z0-9_-]|$)"
 
 
 def action_safe(action: Column, issue: Column) -> Column:
-    """No destructive verb, and each domain named must occur in the issue too."""
-    out = ~contains(action, UNSAFE)
-    for d in DOMAINS:
-        out = out & (~F.lower(action).contains(d) | F.lower(issue).contains(d))
+    """Whether an advice asks for nothing destructive, and each domain that it names occurs in the issue too. An empty advice isn't safe."""
+    low, known = F.lower(F.coalesce(action, F.lit(""))), F.coalesce(issue, F.lit(""))
+    out = (F.trim(low) != "") & ~low.rlike(r.UNSAFE_ACTION) & ~low.rlike(UNSAFE)
+    for named, evidence in r.ACTION_DOMAINS:
+        out = out & (~contains(low, named) | contains(known, evidence))
     return out
 
 
 def action_safe_sql(action: str, issue: str) -> str:
-    return f"(NOT {contains_sql(action, UNSAFE)} AND " + " AND ".join(f"(NOT contains(lower({action}), '{d}') OR contains(lower({issue}), '{d}'))" for d in DOMAINS) + ")"
+    domains = " AND ".join(f"(NOT {contains_sql(action, named)} OR {contains_sql(issue, evidence)})" for named, evidence in r.ACTION_DOMAINS)
+    return f"(trim({action}) <> '' AND NOT regexp_matches({action}, {_q(r.UNSAFE_ACTION)}) AND NOT regexp_matches(lower({action}), {_q(UNSAFE)}) AND {domains})"
 
 
 def compact_evidence(c: Column, hit: Column, lines: int = 5, size: int = 520) -> Column:

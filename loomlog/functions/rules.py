@@ -265,3 +265,17 @@ INTERESTING = [
     "failed", "failure", "plugin", "chunk", "world", "gc", "garbage collect", "memory", "outofmemory", "out of memory", "deadlock", "watchdog", "stuck", "thread", "save", "saving", "saved", "crash", "restart", "stopped", "started", "reloaded", "reload",
     "error", "warn", "severe", "fatal", "严重", "卡顿", "延迟", "掉线", "断开", "异常", "报错", "失败", "超时", "内存", "插件", "崩服", "卡死",
 ]
+# What an advice must not ask for, as a pattern, and English verbs of the same kind, as whole words.
+UNSAFE_ACTION = r"(?i)(?:自动|立即|立刻|马上|直接)(?:封禁|踢(?:出|人)?|回滚|删(?:除|库)|关服|停服)|(?:执行|运行|调用)\s*(?:rcon|/|rm\b|del\b|drop\b|shutdown\b|stop\b)|自动\s*rcon|自动回档"
+UNSAFE_VERBS = ["delete", "drop table", "format", "rm -rf", "shut down", "truncate table", "wipe"]
+# Domains that an advice names, and words of which the issue must hold one then.
+ACTION_DOMAINS = [
+    (["数据库", "mariadb", "mysql", "jdbc", "sql", "连接池"], ["数据库", "mariadb", "mysql", "jdbc", "sql", "hikari"]),
+    (["经济", "商店", "余额", "扣款", "补偿"], ["经济", "商店", "余额", "扣款", "quickshop", "vault", "物品", "资产"]),
+    (["权限", "luckperms", "认证"], ["权限", "luckperms", "认证", "登录", "offline", "代理"]),
+    (["网络", "代理", "velocity", "bungee", "防火墙"], ["网络", "代理", "连接", "velocity", "bungee", "timeout", "超时"]),
+    (["内存", "heap", "oom", "gc"], ["内存", "heap", "oom", "gc", "memory"]),
+    (["磁盘", "disk"], ["磁盘", "disk", "存储", "storage"]),
+    (["封禁", "踢出", "禁言", "处罚"], ["封禁", "踢", "禁言", "处罚", "违规", "举报", "外挂", "作弊", "刷屏", "广告", "辱骂"]),
+    (["回滚", "回档"], ["回滚", "回档", "资产", "经济", "物品", "数据丢失", "保存失败"]),
+]

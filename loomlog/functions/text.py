@@ -334,11 +334,54 @@ def safe_name(c: Column) -> Column:
     return F.when(s == "", "unknown").otherwise(s)
 
 
+def object_at(chars: Column, start: Column) -> Column:
+    """The text from a `{` at place `start` (from 1) to the brace that closes it, braces inside strings apart; null if none does."""
+    state = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit(0).alias("read"), F.lit(0).alias("end"))
+
+    def read(s: Column, c: Column) -> Column:
+        depth = s["depth"] + F.when(s["quoted"], 0).when(c == "{", 1).when(c == "}", -1).otherwise(0)
+        quoted = s["quoted"] != ((c == '"') & ~s["escaped"])
+        escaped = s["quoted"] & (c == "\\") & ~s["escaped"]
+        closed = (depth == 0) & ~s["quoted"] & (c == "}")
+        after = F.struct(depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"), (s["read"] + 1).alias("read"), F.when(closed, s["read"] + 1).otherwise(0).alias("end"))
+        return F.when(s["end"] > 0, s).otherwise(after)
+
+    end = F.aggregate(F.slice(chars, start, F.size(chars)), state, read)["end"]
+    return F.when(end > 0, F.array_join(F.slice(chars, start, end), ""))
+
+
 def first_json(c: Column) -> Column:
-    """The text if it is a JSON object, else the part from its first { to its last }, else null."""
-    inner = F.regexp_extract(c, r"(?s)(\{.*\})", 1)
-    fine = lambda x: (x != "") & F.get_json_object(x, "$").isNotNull() & F.json_object_keys(x).isNotNull()
-    return F.when(fine(strip(c)), strip(c)).when(fine(inner), inner)
+    """The first JSON object in a text, read from each `{` on in turn; null without one."""
+    chars = F.split(c, "")
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.size(chars), F.lit(1))), lambda i: F.get(chars, i - 1) == "{")
+    found = F.transform(places, lambda i: object_at(chars, i))
+    return F.get(F.filter(found, lambda x: x.isNotNull() & F.try_parse_json(x).isNotNull()), 0)
+
+
+def sample_times(samples: Column, anchor_ms: Column) -> Column:
+    """The times [hh:mm:ss] in an array of texts, each on the day that brings it within 12 hours of the anchor."""
+    day, clock = 86_400_000, r"\[([0-9]{2}:[0-9]{2}:[0-9]{2})\]"
+    found = F.flatten(F.transform(samples, lambda x: F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit(clock), F.lit(1))))
+
+    def placed(x: Column) -> Column:
+        part = lambda i: F.get(F.split(x, ":"), i).cast("long")
+        at = F.floor(anchor_ms / day) * day + (part(0) * 3600 + part(1) * 60 + part(2)) * 1000
+        return F.when(at - anchor_ms > day / 2, at - day).when(anchor_ms - at > day / 2, at + day).otherwise(at)
+
+    return F.transform(found, placed)
+
+
+#: The categories whose issues are shown by the times in their samples, and how long they must last for that.
+TIGHTENED = ["complaint", "network", "plugin", "cross_server", "bug", "economy"]
+TIGHTEN_MS = 30 * 60 * 1000
+
+
+def tightened(category: Column, first_ms: Column, last_ms: Column, samples: Column) -> Column:
+    """struct(first_ms, last_ms) to show: those of a long technical issue are the earliest and latest time in its samples, if they have any."""
+    times = sample_times(samples, first_ms)
+    long = category.isin(TIGHTENED) & (last_ms - first_ms > TIGHTEN_MS) & (F.size(times) > 0)
+    shrunk = lambda c, to: F.when(F.coalesce(long, F.lit(False)), to).otherwise(c)
+    return F.struct(shrunk(first_ms, F.array_min(times)).alias("first_ms"), shrunk(last_ms, F.array_max(times)).alias("last_ms"))
 
 
 def free_text(c: Column, size: int = 500) -> Column:

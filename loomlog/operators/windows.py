@@ -182,7 +182,9 @@ def even_sample(rows: DataFrame, order: list[str], k: int) -> DataFrame:
 
 
 def rank_globally(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with _rank from 0 in the given order (unique with ties by row hash), without a single-task window."""
+    """rows with _rank from 0 in the given order, without a single-task window. Rows of equal order go by a hash of all columns (maps apart)."""
+    hashed = [c for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+    order = [*order, F.xxhash64(*hashed)] if hashed else order
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = written(rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()), "ranked")
     sizes = dealt.groupBy("_part").agg(F.count("*").alias("n")).collect()  # one number a partition

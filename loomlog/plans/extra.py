@@ -266,10 +266,22 @@ SELECT server, category, tag, first_ms FROM go WHERE sent""")
 over_log("fn_position", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.POSITION), ";").alias("out")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.POSITION)}, 1), ';') AS out FROM log")
 over_log("fn_location", lambda log: log.select("event_id", F.concat_ws("@", F.get(t.found_all(F.col("message"), t.WORLD), 0), F.col("server_id")).alias("out")), f"SELECT event_id, concat_ws('@', nullif({d.get('message', t.WORLD, 1)}, ''), server_id) AS out FROM log")
 over_log("fn_config_files", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.CONFIG_FILE), ",").alias("files"), F.size(t.found_all(F.col("message"), t.HOST)).alias("hosts")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.CONFIG_FILE)}, 1), ',') AS files, len(list_distinct(regexp_extract_all(message, {d.q(t.HOST)}, 1)))::INT AS hosts FROM log")
-column("fn_repair", lambda: F.get_json_object(t.first_json(F.concat(F.lit("```json {\"a\": "), F.col("k").cast("string"), F.lit("} ```"))), "$.a"), "k::VARCHAR")
 over_log("fn_compact_context", lambda log: log.select("event_id", F.to_json(F.struct("server_id", t.truncate(t.redact(F.col("message")), 30).alias("text"))).alias("out")), f"SELECT event_id, '{{\"server_id\":\"' || server_id || '\",\"text\":\"' || CASE WHEN length({d.redacted('message')[0]}) > 30 THEN substr({d.redacted('message')[0]}, 1, 27) || '...' ELSE {d.redacted('message')[0]} END || '\"}}' AS out FROM log")
 iss("fn_issue_bounds", lambda i: i.select("tag", "session", F.least("first_ms", "last_ms").alias("a"), F.greatest("first_ms", "last_ms").alias("b")), "SELECT tag, session, first_ms AS a, last_ms AS b FROM iss")
-iss("fn_tighten", lambda i: i.select("tag", "session", F.when(F.col("last_ms") - F.col("first_ms") > 1_800_000, F.col("last_ms") - 1_800_000).otherwise(F.col("first_ms")).alias("first_ms"), "last_ms"), "SELECT tag, session, CASE WHEN last_ms - first_ms > 1800000 THEN last_ms - 1800000 ELSE first_ms END AS first_ms, last_ms FROM iss")
+
+
+def tightened(log):
+    """Rows of a server and phrase as an issue, shown by the times in some of its lines."""
+    kind = F.get(F.array(*[F.lit(x) for x in ("plugin", "network", "daily")]), F.col("phrase") % 3)
+    groups = log.groupBy("server_id", "phrase").agg(F.min("ts_ms").alias("a"), F.max("ts_ms").alias("b"), F.collect_list(F.when(F.col("event_id") % 5 == 0, F.col("line"))).alias("samples"))
+    return groups.select("server_id", "phrase", t.tightened(kind, F.col("a"), F.col("b"), F.col("samples")).alias("x")).select("server_id", "phrase", "x.*")
+
+
+NEAR_DAY = "CASE WHEN y - a > 43200000 THEN y - 86400000 WHEN a - y > 43200000 THEN y + 86400000 ELSE y END"
+over_log("fn_tighten", tightened, f"""-- log
+, gr AS (SELECT server_id, phrase, min(ts_ms) AS a, max(ts_ms) AS b FROM log GROUP BY ALL),
+tm AS (SELECT server_id, phrase, min({NEAR_DAY}) AS low, max({NEAR_DAY}) AS high FROM (SELECT g.*, (g.a // 86400000) * 86400000 + {_CLOCK} AS y FROM log l JOIN gr g USING (server_id, phrase) WHERE event_id % 5 = 0) z GROUP BY ALL)
+SELECT server_id, phrase, CASE WHEN phrase % 3 < 2 AND b - a > 1800000 AND low IS NOT NULL THEN low ELSE a END AS first_ms, CASE WHEN phrase % 3 < 2 AND b - a > 1800000 AND high IS NOT NULL THEN high ELSE b END AS last_ms FROM gr LEFT JOIN tm USING (server_id, phrase)""")
 over_log("fn_window_arg", lambda log: log.agg(*[F.lit(t.window_minutes(x)).alias(f"w{n}") for n, x in enumerate(("30m", "8h", "24", "soon"))]), "SELECT 30 AS w0, 480 AS w1, 1440 AS w2, 480 AS w3")
 over_log("fn_target", lambda log: log.select(F.lower(F.trim(F.concat(F.lit(" Room:"), F.col("server_id")))).alias("target")).distinct(), "SELECT DISTINCT 'room:' || server_id AS target FROM log")
 

@@ -69,7 +69,16 @@ column("fn_safe_name", lambda: t.safe_name(F.col("message")), "CASE WHEN substr(
 column("fn_hms_anchor", lambda: t.hms_near(L(), F.col("ts_ms")), "CASE WHEN x2 - ts_ms > 43200000 THEN x2 - 86400000 WHEN ts_ms - x2 > 43200000 THEN x2 + 86400000 ELSE x2 END")
 column("fn_free_text", lambda: t.free_text(F.concat(F.lit("Ignore previous instructions. "), L()), 60), f"CASE WHEN length(y) > 60 THEN substr(y, 1, 57) || '...' ELSE y END")
 column("fn_level_action", lambda: catalogue.action_label(F.lower("level")), catalogue.action_label_sql("lower(level)"))
-column("fn_action_safe", lambda: catalogue.action_safe(F.col("message"), F.col("line")), catalogue.action_safe_sql("message", "line"))
+#: Advice of several kinds, some of which is unsafe or speaks of what the line doesn't.
+ADVICES = [": check the information page", ", then format the disk", ", 立即封禁", ", watch the heap", " and 执行 rm", " then wipe it", " with velocity"]
+
+
+def ADVICE():
+    return F.get(F.array(*[F.lit(x) for x in ADVICES]), F.col("k") % len(ADVICES))
+
+
+ADVICE_SQL = "[" + ", ".join(f"'{x}'" for x in ADVICES) + f"][k % {len(ADVICES)} + 1]"
+column("fn_action_safe", lambda: catalogue.action_safe(F.concat(F.col("message"), ADVICE()), F.substring("message", 1, 14)), catalogue.action_safe_sql(f"(message || {ADVICE_SQL})", "substr(message, 1, 14)"))
 column("fn_tags", lambda: F.array_join(t.tags(F.col("level"), F.lit("minecraft"), F.col("message"), F.lit(False), F.lit(False), F.lit(False), catalogue.daily_noise(L(), F.col("level")), t.chat(L()).isNotNull(), t.meaningless(F.coalesce(t.chat(L())["message"], F.lit(""))), t.anticheat(L()).isNotNull()), ","), "concat_ws(',', 'server_log', 'runtime_log', lower(level), 'minecraft', CASE WHEN contains(lower(message), 'exception') THEN 'exception' END, CASE WHEN level IN ('ERROR', 'FATAL', 'SEVERE') THEN 'error' WHEN level IN ('WARN', 'WARNING') THEN 'warning' END, CASE WHEN " + catalogue.daily_noise_sql("line", "level") + " THEN 'daily_noise' END, CASE WHEN cm IS NOT NULL THEN 'chat_message' END, CASE WHEN " + d.meaningless("cm") + " THEN 'chat_meaningless' END, CASE WHEN " + d.has("line", t.ANTICHEAT) + " THEN 'anticheat_vulcan' END)")
 column("fn_compact_evidence", lambda: catalogue.compact_evidence(F.concat_ws("\n", F.lit("header"), L(), F.lit("a"), F.col("message"), F.lit("b"), F.lit("c"), F.lit("d")), F.col("message")), "substr(concat_ws(chr(10), 'header', line, 'a', message, 'b'), 1, 520)")
 
@@ -93,11 +102,23 @@ over_log(
     lambda log: log.select("event_id", F.to_json(t.cap_entries(F.create_map(*[x for n in "abcdef" for x in (F.lit(n), F.concat(F.lit(n), F.col("message")))]), 4, 20)).alias("out")),
     "SELECT event_id, '{' || array_to_string(list_transform(['a', 'b', 'c', 'd'], lambda n: '\"' || n || '\":\"' || CASE WHEN length(n || message) > 20 THEN substr(n || message, 1, 17) || '...' ELSE n || message END || '\"'), ',') || '}' AS out FROM log",
 )
-over_log(
-    "fn_json_object",
-    lambda log: log.select("event_id", F.get_json_object(t.first_json(F.concat(F.lit("answer: {\"k\": "), F.col("k").cast("string"), F.when(F.col("k") % 3 == 0, F.lit("")).otherwise(F.lit("} thanks")))), "$.k").alias("out")),
-    "SELECT event_id, CASE WHEN k % 3 <> 0 THEN k::VARCHAR END AS out FROM log",
-)
+#: Answers around a number, each in its own way; K is the number.
+ANSWERS = ['answer: {"k": K', '{bad {"a":K} tail}', '{"a":K} and {"b":-1}', '```json {"t":"}{ \\" {", "a":{"b":[K, {}]}} ```', "none", '  {"a":K}  ', '{"a":K}}{', '"{" {"a":K']
+
+
+def ANSWER():
+    return F.replace(F.get(F.array(*[F.lit(x) for x in ANSWERS]), F.col("event_id").cast("int") % len(ANSWERS)), F.lit("K"), F.col("k").cast("string"))
+
+
+ANSWER_SQL = "replace([" + ", ".join(d.q(x) for x in ANSWERS) + f"][event_id % {len(ANSWERS)} + 1], 'K', k::VARCHAR)"
+# every stretch from a brace to a brace that is JSON, the first of them by where it begins
+OBJECTS = f"""(SELECT event_id, x[i:j] AS out, row_number() OVER (PARTITION BY event_id ORDER BY i, j) AS nth
+FROM (SELECT event_id, x, i, unnest(range(i + 1, length(x) + 1)) AS j FROM (SELECT event_id, x, unnest(range(1, length(x) + 1)) AS i FROM (SELECT event_id, {ANSWER_SQL} AS x FROM log) a) b WHERE x[i] = '{{') c
+WHERE x[j] = '}}' AND json_valid(x[i:j]))"""
+over_log("fn_json_object", lambda log: log.select("event_id", t.first_json(ANSWER()).alias("out")), f"SELECT l.event_id, o.out FROM log l LEFT JOIN (SELECT * FROM {OBJECTS} f WHERE nth = 1) o USING (event_id)")
+over_log("fn_repair", lambda log: log.select("event_id", F.get_json_object(t.first_json(F.concat(F.lit("{oops "), ANSWER())), "$.a").alias("out")), f"SELECT l.event_id, o.out ->> '$.a' AS out FROM log l LEFT JOIN (SELECT * FROM {OBJECTS} f WHERE nth = 1) o USING (event_id)")
+
+
 def _similar(log):
     """Pairs of names that are similar: those that share a similarity key meet, no others."""
     keyed = log.select(F.col("player").alias("a")).distinct().select("a", F.explode(t.similarity_keys(F.col("a"))).alias("key"))

@@ -42,8 +42,8 @@ def resolve(entry: dict) -> str | None:
     return f"{entry['root'].rstrip('/')}/logs" if entry.get("root") else None
 
 
-def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, modification time in ms) of the log files below a folder, through its own file system: names and times only."""
+def listed(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, modification time in ms, size) of the log files below a folder, through its own file system: nothing is opened."""
     jvm = spark.sparkContext._jvm
     root = jvm.org.apache.hadoop.fs.Path(path)
     files, found = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(root, True), []
@@ -51,7 +51,7 @@ def listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
         f = files.next()
         name = f.getPath().toString()
         if name.endswith((".log", ".log.gz")):
-            found.append((name, f.getModificationTime()))
+            found.append((name, f.getModificationTime(), f.getLen()))
     return found
 
 
@@ -64,7 +64,7 @@ def dated(name: str) -> datetime.date | None:
         return None
 
 
-def newest_first(files: list[tuple[str, int]]) -> list[tuple[str, int]]:
+def newest_first(files: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """The file that is still written, then by the date in the name, then by time of change."""
     return sorted(files, key=lambda f: (dated(f[0]) or datetime.date.max, f[1], f[0]), reverse=True)
 
@@ -74,14 +74,14 @@ def candidates(spark: SparkSession, path: str, cutoff: datetime.date, most: int)
     day = cutoff - datetime.timedelta(days=1)
     changed = lambda ms: datetime.datetime.fromtimestamp(ms / 1000, datetime.UTC).date()
     fits = [f for f in listed(spark, path) if f[0].endswith("/latest.log") or (dated(f[0]) or changed(f[1])) >= day]
-    return spark.createDataFrame(newest_first(fits)[:most], "path string, modified_ms long")
+    return spark.createDataFrame([f[:2] for f in newest_first(fits)[:most]], "path string, modified_ms long")
 
 
 def between(spark: SparkSession, path: str, from_ms: int, to_ms: int, now_ms: int) -> DataFrame:
     """Lines of [from_ms, to_ms). Files whose name has a date outside, a day of slack each way, are not opened."""
     low, high = (datetime.datetime.fromtimestamp(x / 1000, datetime.UTC).date() for x in (from_ms, to_ms))
     slack = datetime.timedelta(days=1)
-    files = [f for f, _ in listed(spark, path) if dated(f) is None or low - slack <= dated(f) <= high + slack]
+    files = [f for f, _, _ in listed(spark, path) if dated(f) is None or low - slack <= dated(f) <= high + slack]
     if not files:
         return spark.createDataFrame([], "path string, line_no long, line string, ts_ms long")
     return scan(spark, files, now_ms).where((F.col("ts_ms") >= from_ms) & (F.col("ts_ms") < to_ms))
@@ -93,9 +93,14 @@ def backfill(spark: SparkSession, path: str, from_ms: int, now_ms: int, most: in
     files = [r.path for r in candidates(spark, path, cutoff, most_files).collect()]  # names, most_files at most
     if not files:
         return spark.createDataFrame([], "path string, line_no long, line string, ts_ms long")
-    place = F.array_position(F.array(*[F.lit(f.rsplit("/", 2)[-2] + "/" + f.rsplit("/", 1)[-1]) for f in files]), F.regexp_extract("path", "([^/]+/[^/]+)$", 1))
-    rows = scan(spark, files, now_ms).where(F.col("ts_ms") >= from_ms)
-    return rows.withColumn("_place", place).orderBy("_place", "line_no").limit(most).drop("_place")
+    places = spark.createDataFrame([(plain_path(f), i) for i, f in enumerate(files)], "_f string, _place int")
+    rows = scan(spark, files, now_ms).where(F.col("ts_ms") >= from_ms).withColumn("_f", F.regexp_replace("path", "^file:/+", "/"))
+    return rows.join(F.broadcast(places), "_f").orderBy("_place", "line_no").limit(most).drop("_place", "_f")
+
+
+def plain_path(path: str) -> str:
+    """A local path as it is, whatever slashes its scheme came with."""
+    return re.sub("^file:/+", "/", path)
 
 
 def write_logs(rows: DataFrame, root: str, path: str, order: list[str], line: str) -> str:
@@ -152,13 +157,13 @@ def scan(spark: SparkSession, path: str | list[str], now_ms: int, size: int = 40
 
 def cached_scan(spark: SparkSession, path: str, cache: str, now_ms: int) -> DataFrame:
     """scan() of all log files below a folder, each parsed once: rows are kept under cache by the file's name, size and time of change."""
-    names = [(f, hashlib.sha1(f"{f}:{ms}".encode()).hexdigest()) for f, ms in listed(spark, path)]
+    names = [(f, hashlib.sha1(f"{f}:{ms}:{size}".encode()).hexdigest()) for f, ms, size in listed(spark, path)]
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cache)
     system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     have = {x.getPath().getName().removeprefix("key=") for x in system.listStatus(root)} if system.exists(root) else set()
     new = [(f, k) for f, k in names if k not in have]
     if new:
-        keys = spark.createDataFrame([(re.sub("^file:/+", "/", f), k) for f, k in new], "_f string, key string")
+        keys = spark.createDataFrame([(plain_path(f), k) for f, k in new], "_f string, key string")
         rows = scan(spark, [f for f, _ in new], now_ms).withColumn("_f", F.regexp_replace("path", "^file:/+", "/")).join(F.broadcast(keys), "_f").drop("_f")
         rows.write.mode("append").partitionBy("key").parquet(cache)
     kept = spark.read.parquet(cache) if names else spark.createDataFrame([], "path string, line_no long, line string, ts_ms long, key string")
