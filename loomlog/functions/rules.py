@@ -279,3 +279,24 @@ ACTION_DOMAINS = [
     (["封禁", "踢出", "禁言", "处罚"], ["封禁", "踢", "禁言", "处罚", "违规", "举报", "外挂", "作弊", "刷屏", "广告", "辱骂"]),
     (["回滚", "回档"], ["回滚", "回档", "资产", "经济", "物品", "数据丢失", "保存失败"]),
 ]
+# Where the names of plugins and players stand in a line (group 1), and names that are none.
+PLUGIN_PATTERNS = [
+    r"(?i)\[Craft Scheduler Thread[^\]]*? - ([A-Za-z0-9_-]{2,48})/",
+    r"\]:\s*\[([A-Za-z0-9_-]{2,64})\]",
+    r"(?i)\bplugins[/\\]([^/\\\s]{2,64})[/\\]",
+    r"(?i)\b([A-Za-z][A-Za-z0-9_-]{2,48})-(?:HikariPool|Hikari|Pool)\b",
+    r"(?i)\[([A-Za-z][A-Za-z0-9_-]{2,32})-(?:worker|thread)(?:-\d+)?/",
+]
+PLUGIN_SUFFIX = r"(?i)(?:-(?:HikariPool|Hikari|Pool|Connection|Database))+$"
+NO_PLUGINS = ["server", "minecraft", "paper", "spigot", "purpur", "folia", "velocity", "bungeecord", "hikari", "hikaripool", "poolbase", "sqlmanager", "warn", "warning", "error", "info"]
+NO_PLUGIN = r"(?i)^(?:pool-?\d*$|java|com_|org_|net_)"
+PERSON_PATTERNS = [
+    r"(?i)(?:^|:\s)([A-Za-z0-9_]{1,16})\s+(?:moved wrongly|moved too quickly)!?",
+    r"(?i)\bUUID of player ([A-Za-z0-9_]{1,16}) is\b",
+    r"(?i)(?:^|:\s)([A-Za-z0-9_]{1,16})\s+issued server command:",
+    r"(?i)(?:^|:\s)([A-Za-z0-9_]{1,16})\s+lost connection:",
+    r"(?i)(?:^|:\s)([A-Za-z0-9_]{1,16})\[/[^\]]+\]\s+logged in\b",
+]
+NO_PERSONS = ["console", "server", "system"]
+# How many plugins, files, worlds and positions are listed.
+MOST_PLUGINS, MOST_NAMED = 12, 8

@@ -5,9 +5,13 @@ Character classes are written out in ASCII where engines differ on Unicode ones.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from loomlog.functions import rules as r
+
 # The formats that lines are recognised by.
 ANSI = r"\x1b\[[0-9;]*[A-Za-z]"
 TRANSPORT = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\x{FEFF}\x{200B}\x{200C}\x{200D}\x{2060}]"
@@ -408,6 +412,62 @@ def found_all(c: Column, pattern: str, group: int = 1, most: int = 8) -> Column:
     return F.slice(first, 1, most)
 
 
+def firsts(names: Column, key: Callable[[Column], Column], most: int | None = None) -> Column:
+    """The first name of each key, in order, `most` at most; names without a key go."""
+    named = F.filter(names, lambda x: x.isNotNull() & (key(x) != ""))
+    keys = F.transform(named, key)
+    out = F.filter(named, lambda x, i: F.array_position(keys, key(x)) == i + 1)
+    return out if most is None else F.slice(out, 1, most)
+
+
+def mentioned(c: Column, patterns: list[str], fields: list[Column]) -> Column:
+    """Names in structured fields, then what group 1 of each pattern finds in a text."""
+    found = [F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(p), F.lit(1)) for p in patterns]
+    return F.concat(F.array(*fields).cast("array<string>"), *found)
+
+
+def plugin_names(c: Column, *fields: Column) -> Column:
+    """Plugins and components that a line names, by structured fields and by its prefixes, paths and pools; servers, levels and packages are none."""
+
+    def settled(x: Column) -> Column:
+        bare = F.regexp_replace(x, r"^[\[\](){}:;,.\s]+|[\[\](){}:;,.\s]+$", "")
+        name = F.regexp_replace(bare, r.PLUGIN_SUFFIX, "")
+        bad = (F.char_length(bare) > 64) | bare.rlike(r"[./\\]") | F.lower(name).isin(r.NO_PLUGINS) | name.rlike(r.NO_PLUGIN)
+        return F.when(~bad, name)
+
+    return firsts(F.transform(mentioned(c, r.PLUGIN_PATTERNS, list(fields)), settled), lambda x: F.regexp_replace(F.lower(x), "[^a-z0-9]", ""), r.MOST_PLUGINS)
+
+
+def person_names(c: Column, *fields: Column) -> Column:
+    """Players that a line names, by structured fields and what it says of them; sorted."""
+    names = F.transform(mentioned(c, r.PERSON_PATTERNS, list(fields)), lambda x: F.trim(x))
+    return F.array_sort(F.filter(firsts(names, F.lower), lambda x: ~F.lower(x).isin(r.NO_PERSONS)))
+
+
+def file_name(path: Column) -> Column:
+    """The last part of a path, whichever slashes it has."""
+    return F.regexp_extract(F.coalesce(path, F.lit("")), r"([^/\\]*)$", 1)
+
+
+def world_name(context: Column) -> Column:
+    """The world of a row's context: the first of its fields for one that isn't empty."""
+    return F.coalesce(*[F.nullif(F.trim(F.try_element_at(context, F.lit(k))), F.lit("")) for k in ("world", "dimension", "location.world", "location.dimension")])
+
+
+def location(server: Column, backend: Column, world: Column) -> Column:
+    """server/backend@world, as far as they are known and differ."""
+    s, b, w = (F.trim(F.coalesce(x.cast("string"), F.lit(""))) for x in (server, backend, world))
+    base = F.when((s != "") & (b != "") & (s != b), F.concat(s, F.lit("/"), b)).when(b != "", b).otherwise(s)
+    return F.when(w == "", base).when(base == "", w).otherwise(F.concat(base, F.lit("@"), w))
+
+
+def position(world: Column, x: Column, y: Column, z: Column) -> Column:
+    """world (x, y, z); null where a coordinate is missing."""
+    at = F.concat(F.lit("("), x.cast("string"), F.lit(", "), y.cast("string"), F.lit(", "), z.cast("string"), F.lit(")"))
+    w = F.trim(F.coalesce(world, F.lit("")))
+    return F.when(w == "", at).otherwise(F.concat(w, F.lit(" "), at))
+
+
 PLUGIN = r"(?i)plugin '?([A-Za-z][A-Za-z0-9_-]{1,30})"
 PERSON = r"<([A-Za-z0-9_]{1,16})>"
 CONFIG_FILE = r"([A-Za-z0-9_./-]+\.(?:yml|yaml|json|toml|properties|conf))"

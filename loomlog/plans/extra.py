@@ -263,8 +263,9 @@ go AS (WITH RECURSIVE g(server, category, tag, r, first_ms, last, sent) AS (SELE
 SELECT server, category, tag, first_ms FROM go WHERE sent""")
 
 # scalars
-over_log("fn_position", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.POSITION), ";").alias("out")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.POSITION)}, 1), ';') AS out FROM log")
-over_log("fn_location", lambda log: log.select("event_id", F.concat_ws("@", F.get(t.found_all(F.col("message"), t.WORLD), 0), F.col("server_id")).alias("out")), f"SELECT event_id, concat_ws('@', nullif({d.get('message', t.WORLD, 1)}, ''), server_id) AS out FROM log")
+over_log("fn_position", lambda log: log.select("event_id", t.position(F.when(F.col("k") % 3 == 0, "nether"), F.col("k"), F.when(F.col("k") % 5 > 0, 64), -F.col("phrase")).alias("out")), "SELECT event_id, CASE WHEN k % 5 > 0 THEN CASE WHEN k % 3 = 0 THEN 'nether ' ELSE '' END || '(' || k || ', 64, ' || -phrase || ')' END AS out FROM log")
+BACKEND, WORLD = "CASE WHEN k % 4 = 0 THEN server_id WHEN k % 4 = 1 THEN 'hub' || phrase % 3 WHEN k % 4 = 2 THEN '' END", "CASE WHEN k % 3 = 0 THEN 'nether' WHEN k % 3 = 1 THEN '' END"
+over_log("fn_location", lambda log: log.select("event_id", t.location(F.col("server_id"), F.expr(BACKEND), F.expr(WORLD)).alias("out")), f"SELECT event_id, server_id || CASE WHEN k % 4 = 1 THEN '/hub' || phrase % 3 ELSE '' END || CASE WHEN k % 3 = 0 THEN '@nether' ELSE '' END AS out FROM log")
 over_log("fn_config_files", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.CONFIG_FILE), ",").alias("files"), F.size(t.found_all(F.col("message"), t.HOST)).alias("hosts")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.CONFIG_FILE)}, 1), ',') AS files, len(list_distinct(regexp_extract_all(message, {d.q(t.HOST)}, 1)))::INT AS hosts FROM log")
 over_log("fn_compact_context", lambda log: log.select("event_id", F.to_json(F.struct("server_id", t.truncate(t.redact(F.col("message")), 30).alias("text"))).alias("out")), f"SELECT event_id, '{{\"server_id\":\"' || server_id || '\",\"text\":\"' || CASE WHEN length({d.redacted('message')[0]}) > 30 THEN substr({d.redacted('message')[0]}, 1, 27) || '...' ELSE {d.redacted('message')[0]} END || '\"}}' AS out FROM log")
 iss("fn_issue_bounds", lambda i: i.select("tag", "session", F.least("first_ms", "last_ms").alias("a"), F.greatest("first_ms", "last_ms").alias("b")), "SELECT tag, session, first_ms AS a, last_ms AS b FROM iss")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loomlog.functions import catalogue, text as t
+from loomlog.functions import catalogue
+from loomlog.functions import rules as r
+from loomlog.functions import text as t
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log, query
 from loomlog.sources.eventlog import documents
@@ -60,10 +62,51 @@ column("fn_priority", lambda: t.priority(F.when(F.col("k") % 10 == 0, "CHAT").ot
 column("fn_norm", lambda: t.norm(TABBED()), d.norm(TABBED_SQL))
 column("fn_keys_match", lambda: t.keys_match(F.col("message"), ["timed out", "lag", "buy", "failed", "world"]), d.keys_match("message", ["timed out", "lag", "buy", "failed", "world"]))
 column("fn_category_mask", lambda: t.mask(F.col("message"), catalogue.CATEGORY_WORDS), "(" + " + ".join(f"CASE WHEN {d.keys_match('message', ws)} THEN {1 << i} ELSE 0 END" for i, ws in enumerate(catalogue.CATEGORY_WORDS.values())) + ")::INT")
-column("fn_plugin_name", lambda: F.array_join(t.found_all(F.col("message"), t.PLUGIN), ","), f"array_to_string(regexp_extract_all(message, {d.q(t.PLUGIN)}, 1), ',')")
-column("fn_person", lambda: F.array_join(t.found_all(F.col("message"), t.PERSON), ","), f"array_to_string(regexp_extract_all(message, {d.q(t.PERSON)}, 1), ',')")
-column("fn_file", lambda: F.array_join(t.found_all(F.col("message"), t.CONFIG_FILE), ","), f"array_to_string(regexp_extract_all(message, {d.q(t.CONFIG_FILE)}, 1), ',')")
-column("fn_world", lambda: F.array_join(t.found_all(F.col("message"), t.WORLD), ","), f"array_to_string(regexp_extract_all(message, {d.q(t.WORLD)}, 1), ',')")
+#: What stands before a message, so that it names plugins and players in all ways; P is the player.
+NAMED_LINES = [
+    "[10:00:00] [Craft Scheduler Thread - 7 - Shop-HikariPool/WARN]: at plugins/shop/config.yml",
+    "[Server thread/INFO]: [Vault]",
+    r"[Server thread/INFO]: [Server] in plugins\\Essentials\\data, poolbase-Pool",
+    "LuckPerms-HikariPool-1 [Chunky-worker-3/INFO] [chunky-thread-1/INFO] pool-Pool",
+    "[x]: P moved too quickly! [y]: P lost connection: z [q]: console issued server command: /stop",
+    "UUID of player P is 1, and then: Server lost connection: y : Alex issued server command: /home",
+    "[x]: P[/1.2.3.4:5] logged in, plugins/com_example/x plugins/a.jar/x",
+]
+NAMED_SQL = "(replace([" + ", ".join(d.q(x) for x in NAMED_LINES) + f"][event_id % {len(NAMED_LINES)} + 1], 'P', player) || ' ' || message)"
+FIELD_SQL = "CASE WHEN k % 6 = 0 THEN ' [Field-Database] ' WHEN k % 6 = 1 THEN player END"
+
+
+def NAMED():  # noqa: N802
+    line = F.get(F.array(*[F.lit(x) for x in NAMED_LINES]), F.col("event_id").cast("int") % len(NAMED_LINES))
+    return F.concat(F.replace(line, F.lit("P"), F.col("player")), F.lit(" "), F.col("message"))
+
+
+def FIELD():  # noqa: N802
+    return F.when(F.col("k") % 6 == 0, " [Field-Database] ").when(F.col("k") % 6 == 1, F.col("player"))
+
+
+def named_sql(patterns: list[str]) -> str:
+    out = f"list_filter([{FIELD_SQL}], lambda x: x IS NOT NULL)"
+    for p in patterns:
+        out = f"list_concat({out}, regexp_extract_all({NAMED_SQL}, {d.q(p)}, 1))"
+    return out
+
+
+def firsts_sql(names: str, key: str) -> str:
+    """The first of each key among names (a column that isn't null); key over x."""
+    return f"list_filter({names}, lambda x, i: list_position(list_transform({names}, lambda x: {key}), {key}) = i)"
+
+
+_STRIP = r"^[\[\](){}:;,.\s]+|[\[\](){}:;,.\s]+$"
+_NAME = f"regexp_replace(x, {d.q(r.PLUGIN_SUFFIX)}, '')"
+_PLUGINS = f"""SELECT event_id, list_filter(list_transform(list_transform({named_sql(r.PLUGIN_PATTERNS)}, lambda x: regexp_replace(x, {d.q(_STRIP)}, '', 'g')),
+lambda x: CASE WHEN length(x) <= 64 AND NOT regexp_matches(x, '[./\\\\]') AND lower({_NAME}) NOT IN ({', '.join(map(d.q, r.NO_PLUGINS))}) AND NOT regexp_matches({_NAME}, {d.q(r.NO_PLUGIN)}) THEN {_NAME} END),
+lambda x: x IS NOT NULL AND regexp_replace(lower(x), '[^a-z0-9]', '', 'g') <> '') AS names FROM log"""
+over_log("fn_plugin_name", lambda log: log.select("event_id", F.array_join(t.plugin_names(NAMED(), FIELD()), ",").alias("out")), f"SELECT event_id, array_to_string(list_slice({firsts_sql('names', "regexp_replace(lower(x), '[^a-z0-9]', '', 'g')")}, 1, {r.MOST_PLUGINS}), ',') AS out FROM ({_PLUGINS}) p")
+_PERSONS = f"SELECT event_id, list_filter(list_transform({named_sql(r.PERSON_PATTERNS)}, lambda x: trim(x)), lambda x: x <> '') AS names FROM log"
+over_log("fn_person", lambda log: log.select("event_id", F.array_join(t.person_names(NAMED(), FIELD()), ",").alias("out")), f"SELECT event_id, array_to_string(list_sort(list_filter({firsts_sql('names', 'lower(x)')}, lambda x: NOT list_contains({r.NO_PERSONS}, lower(x)))), ',') AS out FROM ({_PERSONS}) p")
+column("fn_file", lambda: t.file_name(F.replace("path", F.lit("/"), F.when(F.col("k") % 2 == 0, F.lit("\\")).otherwise("/"))), "regexp_extract(path, '([^/]*)$', 1)")
+column("fn_world", lambda: t.world_name(F.create_map(F.lit("world"), F.when(F.col("k") % 3 == 0, " ").when(F.col("k") % 3 == 1, "overworld"), F.lit("location.dimension"), F.when(F.col("k") % 2 == 0, F.concat(F.lit(" end "), F.col("player"))))), "CASE WHEN k % 3 = 1 THEN 'overworld' WHEN k % 2 = 0 THEN 'end ' || player END")
 column("fn_hosts", lambda: F.array_join(t.found_all(F.col("message"), t.HOST), ","), f"array_to_string(list_slice(list_filter(regexp_extract_all(message, {d.q(t.HOST)}, 1), lambda x, i: list_position(list_transform(regexp_extract_all(message, {d.q(t.HOST)}, 1), lambda y: lower(y)), lower(x)) = i), 1, 8), ',')")
 column("fn_safe_name", lambda: t.safe_name(F.col("message")), "CASE WHEN substr(regexp_replace(regexp_replace(message, '[^A-Za-z0-9_.-]+', '_', 'g'), '^\\.+', ''), 1, 80) = '' THEN 'unknown' ELSE substr(regexp_replace(regexp_replace(message, '[^A-Za-z0-9_.-]+', '_', 'g'), '^\\.+', ''), 1, 80) END")
 column("fn_hms_anchor", lambda: t.hms_near(L(), F.col("ts_ms")), "CASE WHEN x2 - ts_ms > 43200000 THEN x2 - 86400000 WHEN ts_ms - x2 > 43200000 THEN x2 + 86400000 ELSE x2 END")

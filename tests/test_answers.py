@@ -99,3 +99,31 @@ def test_equal_rows_are_ranked_alike_whatever_their_partitions(spark):
     df = spark.range(200).selectExpr("id", "id % 3 AS k", "map('a', id) AS m")
     ranks = lambda n: {r.id: r._rank for r in rank_globally(df.repartition(n), ["k"]).collect()}
     assert ranks(2) == ranks(7) and sorted(ranks(3).values()) == list(range(200))
+
+
+@pytest.mark.parametrize(
+    "line,want",
+    [
+        ("[1] [Craft Scheduler Thread - 7 - Shop/WARN]: x", ["Shop"]),
+        ("[a]: [Vault] reads plugins/vault/config.yml and plugins/Essentials/x", ["Vault", "Essentials"]),
+        ("LuckPerms-HikariPool-1 waits, Quick-Shop-Pool too", ["LuckPerms", "Quick-Shop"]),
+        ("[a]: [Server] [b]: [INFO] pool-1-HikariPool com_x-Pool plugins/a.b/x", []),
+        ("[Chunky-worker-3/INFO] [chunky-thread/INFO]", ["Chunky"]),
+        (None, []),
+    ],
+)
+def test_plugins_of_a_line(spark, line, want):
+    assert one(spark, t.plugin_names(F.col("x").cast("string")), x=line) == want
+    assert one(spark, t.plugin_names(F.col("x").cast("string"), F.lit("[Own-Database]"), F.lit(None).cast("string"))[0], x=line) == "Own"
+
+
+@pytest.mark.parametrize("line,want", [("a: Bob lost connection: x: bob issued server command: /x", ["bob"]), ("UUID of player Zed is 1: Al[/1.2.3.4:5] logged in", ["Al", "Zed"]), ("console issued server command: /stop", []), ("", [])])
+def test_players_of_a_line(spark, line, want):
+    assert one(spark, t.person_names(F.col("x")), x=line) == want
+
+
+def test_places(spark):
+    at = lambda *v: one(spark, t.location(*[F.lit(x).cast("string") for x in v]))
+    assert [at("s", "b", "w"), at("s", "s", None), at("s", "", "w"), at(None, "b", " "), at("", None, "w"), at(None, None, None)] == ["s/b@w", "s", "s@w", "b", "w", ""]
+    assert one(spark, t.position(F.lit("w"), F.lit(1), F.lit(2.5), F.lit(-3))) == "w (1, 2.5, -3)" and one(spark, t.position(F.lit(None), F.lit(1), F.lit(None), F.lit(3))) is None
+    assert one(spark, t.file_name(F.lit("C:\\logs/x\\latest.log"))) == "latest.log"
