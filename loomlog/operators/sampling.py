@@ -69,8 +69,27 @@ def fit_budget(texts: list[str], most_chars: int) -> list[str]:
     return texts
 
 
-def evidence(rows: DataFrame, keys: list[str], masked: Column, score: Column, order: list, k: int) -> DataFrame:
-    """k rows of each group: distinct by masked text, the highest scores first."""
-    best = distinct_first(rows.withColumn("_m", masked).withColumn("_s", score), [*keys, "_m"], [(-F.col("_s")).alias("s"), *order])
-    w = Window.partitionBy(*keys).orderBy(F.desc("_s"), *order)
-    return best.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_m", "_s", "_r")
+#: The share of evidence that is taken by score alone, and the score from which rows are taken in their order then.
+BY_SCORE, WORTH = (3, 5), 50
+
+
+def evidence(rows: DataFrame, keys: list[str], masked: Column, score: Column, order: list[str], k: int) -> DataFrame:
+    """k rows of each group, distinct by masked text: 3 of 5 by score, then those worth WORTH in their order, then by score again.
+
+    Rows are reduced to one a masked text first, with its best row and its first worthy one,
+    so a group is as many rows as it has different texts.
+    """
+    whole = F.struct(*[F.col(c) for c in rows.columns])
+    at = F.struct(*order)
+    marked = rows.withColumn("_m", masked).withColumn("_s", score.cast("double"))
+    texts = marked.groupBy(*[F.col(c).alias(f"_{i}") for i, c in enumerate(keys)], "_m").agg(
+        F.max("_s").alias("_s"), F.min_by(whole, F.struct((-F.col("_s")).alias("s"), *order)).alias("_best"), F.min_by(whole, F.when(F.col("_s") >= WORTH, at)).alias("_first")
+    )
+    group = [f"_{i}" for i in range(len(keys))]
+    of = lambda name: F.struct(*[F.col(f"{name}.{c}") for c in order])
+    quota = max(1, min(k, k * BY_SCORE[0] // BY_SCORE[1]))
+    ranked = texts.withColumn("_r", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("_s"), of("_best"))))
+    step = F.when(F.col("_r") <= quota, 1).when(F.col("_first").isNotNull(), 2).otherwise(3)
+    ranked = ranked.withColumn("_step", step).withColumn("_at", F.when(F.col("_step") == 2, of("_first")))
+    picked = ranked.withColumn("_n", F.row_number().over(Window.partitionBy(*group).orderBy("_step", "_at", "_r"))).where(F.col("_n") <= k)
+    return picked.select(F.when(F.col("_step") == 2, F.col("_first")).otherwise(F.col("_best")).alias("_row")).select("_row.*")

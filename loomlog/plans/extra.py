@@ -8,9 +8,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomlog.functions import text as t
+from loomlog.operators import advice, joins
 from loomlog.operators import aggregates as agg
 from loomlog.operators import classify as k
-from loomlog.operators import joins
 from loomlog.operators import sampling as s
 from loomlog.plans import duck as d
 from loomlog.plans.base import over_log, query
@@ -291,8 +291,9 @@ over_log("smp_budget", lambda log: budget(log), """-- log
 , cu AS (SELECT *, sum(length(line)) OVER (ORDER BY r) AS chars FROM (SELECT event_id, line, row_number() OVER (ORDER BY ts_ms, seq) AS r FROM log) x WHERE r <= 120),
 go AS (WITH RECURSIVE g(n) AS (SELECT count(*) FROM cu UNION ALL SELECT greatest(0, least(n - 1, n * 3 // 4)) FROM g WHERE coalesce((SELECT chars FROM cu WHERE r = n), 0) > 2000) SELECT min(n) AS n FROM g)
 SELECT event_id FROM cu WHERE r <= (SELECT n FROM go)""")
-PLANS = {"database": "check the database and its pool", "plugin": "check the plugin and its configuration", "network": "check the proxy and the network", "performance": "check memory, disk and load", "economy": "check the shop's ledger against its transactions", "world": "check the region files against a backup", "position": "check the teleport target and the world border", "permission": "check the permission groups"}
-iss("cls_plan", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")).join(F.broadcast(i.sparkSession.createDataFrame(list(PLANS.items()), "domain string, step string")), "domain", "left").select("tag", "session", F.coalesce("step", F.lit("read the evidence")).alias("step")), f"SELECT tag, session, coalesce(p.step, 'read the evidence') AS step FROM (SELECT tag, session, {DOMAIN} AS domain FROM iss) i LEFT JOIN (VALUES {', '.join("('" + a + "', '" + b.replace("'", "''") + "')" for a, b in PLANS.items())}) p(domain, step) USING (domain)")
+iss("cls_plan", lambda i: advice.plans(i).select("category", "tag", "session", "place", "step", "check"), f"""SELECT category, tag, session, place, p.step AS step, v."check" FROM (SELECT category, tag, session, generate_subscripts(steps, 1)::INT AS place, unnest(steps) AS step FROM (SELECT *, {advice.plan.sql} AS steps FROM iss) a) p
+JOIN (VALUES {', '.join(f"({d.q(c)}, {d.q(x)})" for c, _, x, *_ in advice.STEPS)}) v(step, "check") USING (step)""")
+iss("cls_action", lambda i: i.select("category", "tag", "session", advice.action.make().alias("action")), f"SELECT category, tag, session, {advice.action.sql} AS action FROM iss")
 
 
 def streamed(log, make):

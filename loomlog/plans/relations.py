@@ -78,7 +78,14 @@ def priority():
 
 
 over_log("top_priority", lambda log: s.top(log, priority(), [F.desc("seq")], 50).select("event_id"), f"SELECT event_id FROM log ORDER BY {PRIORITY} DESC, seq DESC LIMIT 50")
-over_log("top_evidence", lambda log: s.evidence(log, ["server_id"], t.normalised(F.col("line")), priority(), ["ts_ms", "seq"], 5).select("server_id", "event_id"), f"SELECT server_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY p DESC, ts_ms, seq) AS r FROM (SELECT *, {PRIORITY} AS p, row_number() OVER (PARTITION BY server_id, {d.normalised('line')} ORDER BY {PRIORITY} DESC, ts_ms, seq) AS q FROM log) x WHERE q = 1) y WHERE r <= 5")
+WORTH_SQL = f"({PRIORITY} * 10 + CASE level WHEN 'ERROR' THEN 30.0 WHEN 'WARN' THEN 5.0 ELSE 0.0 END)"
+over_log("top_evidence", lambda log: s.evidence(log, ["server_id"], t.normalised(F.col("line")), priority() * 10 + F.when(F.col("level") == "ERROR", 30.0).when(F.col("level") == "WARN", 5.0).otherwise(0.0), ["ts_ms", "seq"], 12).select("server_id", "event_id"), f"""-- log
+, sc AS (SELECT server_id, event_id, ts_ms, seq, {d.normalised('line')} AS m, {WORTH_SQL} AS p FROM log),
+tx AS (SELECT server_id, m, max(p) AS p, arg_min((ts_ms, seq, event_id), (-p, ts_ms, seq)) AS best, arg_min((ts_ms, seq, event_id), (ts_ms, seq)) FILTER (p >= 50) AS worthy FROM sc GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY p DESC, best) AS r FROM tx),
+st AS (SELECT *, CASE WHEN r <= 7 THEN 1 WHEN worthy IS NOT NULL THEN 2 ELSE 3 END AS step FROM rk),
+nu AS (SELECT *, row_number() OVER (PARTITION BY server_id ORDER BY step, CASE WHEN step = 2 THEN worthy END, r) AS n FROM st)
+SELECT server_id, CASE WHEN step = 2 THEN worthy[3] ELSE best[3] END AS event_id FROM nu WHERE n <= 12""")
 over_log("lim_caps", lambda log: log.orderBy("ts_ms", "seq").limit(200).select("event_id"), "SELECT event_id FROM log ORDER BY ts_ms, seq LIMIT 200")
 DRAWN = f"sha1('{s.SEED}:' || event_id)"
 over_log("smp_reservoir", lambda log: s.reservoir(log, "event_id", 100).select("event_id"), f"SELECT event_id FROM log ORDER BY {DRAWN}, event_id LIMIT 100")

@@ -66,7 +66,6 @@ over_log("cls_behaviour", lambda log: k.classify(k.behaviour(log)).where("chat_m
 iss("cls_family", lambda i: i.select("tag", "session", k.family(F.col("category")).alias("family")), f"SELECT tag, session, {FAMILY} AS family FROM iss")
 iss("cls_domain", lambda i: i.select("tag", "session", k.domain(F.col("category"), F.col("ops_categories")).alias("domain")), f"SELECT tag, session, {DOMAIN} AS domain FROM iss")
 iss("cls_scopes", lambda i: i.select("tag", "session", F.explode(k.scopes()).alias("scope")), f"SELECT tag, session, unnest({k.SCOPES_SQL}) AS scope FROM iss")
-iss("cls_action", lambda i: i.select("tag", "session", F.when(F.col("rank") >= 4, "act now").when(F.col("alert"), "check today").otherwise("watch").alias("action")), "SELECT tag, session, CASE WHEN rank >= 4 THEN 'act now' WHEN alert THEN 'check today' ELSE 'watch' END AS action FROM iss")
 
 # filters
 over_log("flt_kind", lambda log: log.withColumn("kind", F.when(F.col("k") % 5 == 0, "METRIC").otherwise("SERVER_LOG")).where("kind = 'SERVER_LOG'").select("event_id"), "SELECT event_id FROM log WHERE k % 5 <> 0")

@@ -127,3 +127,53 @@ def test_places(spark):
     assert [at("s", "b", "w"), at("s", "s", None), at("s", "", "w"), at(None, "b", " "), at("", None, "w"), at(None, None, None)] == ["s/b@w", "s", "s@w", "b", "w", ""]
     assert one(spark, t.position(F.lit("w"), F.lit(1), F.lit(2.5), F.lit(-3))) == "w (1, 2.5, -3)" and one(spark, t.position(F.lit(None), F.lit(1), F.lit(None), F.lit(3))) is None
     assert one(spark, t.file_name(F.lit("C:\\logs/x\\latest.log"))) == "latest.log"
+
+
+def test_evidence_by_score_then_in_order_then_by_score(spark):
+    """Against the rule, row by row."""
+    import random
+
+    from loomlog.operators import sampling
+
+    rng = random.Random(3)
+    rows = [(g, i, rng.choice("abcdefghijklm"), float(rng.choice([5, 40, 50, 55, 60, 90]))) for g in "xy" for i in range(40)]
+    df = spark.createDataFrame(rows, "g string, i long, m string, s double")
+    for k in (1, 4, 10, 30):
+        want = set()
+        for g in "xy":
+            mine = [r for r in rows if r[0] == g]
+            ranked = sorted(mine, key=lambda r: (-r[3], r[1]))
+            seen, got = set(), []
+            for some, most in ((ranked, max(1, k * 3 // 5)), ([r for r in mine if r[3] >= 50], k), (ranked, k)):
+                for r in some:
+                    if len(got) >= most:
+                        break
+                    if r[2] not in seen:
+                        seen.add(r[2])
+                        got.append(r)
+            want |= {(r[0], r[1]) for r in got}
+        found = sampling.evidence(df, ["g"], F.col("m"), F.col("s"), ["i"], k)
+        assert {(r.g, r.i) for r in found.collect()} == want
+
+
+def test_plans_and_actions(spark):
+    from loomlog.operators import advice
+
+    rows = [
+        ("plugin", "t", "high", ["storage", "economy"], ["config_error"]),
+        ("network", "t", "low", [], []),
+        ("plugin", "server_log_loop_x", "low", ["plugin"], []),
+        ("chat_review", "t", "critical", [], []),
+        ("bug", "t", "medium", ["storage"], ["disk_full"]),
+        ("bug", "t", "high", ["storage", "network", "performance", "position"], ["config_error", "database_timeout"]),
+    ]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, category string, tag string, severity string, ops_categories array<string>, subtypes array<string>")
+    steps = {i: [] for i in range(len(rows))}
+    for r in sorted(advice.plans(df).collect(), key=lambda r: (r.id, r.place)):
+        steps[r.id].append(r.step)
+        assert len(steps[r.id]) == r.place and r.check and r.expected and r.otherwise
+    assert steps[0] == ["locate", "database_reach", "database_pool", "database_assets", "configuration", "verify"]
+    assert steps[1] == ["locate", "network", "verify"] and steps[2] == ["locate", "plugin", "verify"] and steps[3] == ["locate", "conduct", "verify"]
+    assert steps[5] == ["locate", "database_reach", "database_pool", "configuration", "network", "performance"]
+    assert [r.a for r in df.orderBy("id").select(advice.action.make().alias("a")).collect()] == ["plugin", "network", "loop", "urgent", "disk", "database"]
+    assert set(advice.TEXTS) >= {"none", "urgent"}
