@@ -300,3 +300,12 @@ PERSON_PATTERNS = [
 NO_PERSONS = ["console", "server", "system"]
 # How many plugins, files, worlds and positions are listed.
 MOST_PLUGINS, MOST_NAMED = 12, 8
+# Phrases that address a reader as instructions.
+INJECTIONS = [
+    r"(?i)忽略(?:以上|前面|先前).{0,20}指令",
+    r"(?i)ignore (?:the |all |previous )?(?:above |prior )?instructions?",
+    r"(?i)系统(?:提示|指令|消息)",
+    r"(?i)system (?:prompt|instruction|message)",
+    r"(?i)请(?:立即|马上|现在)?(?:执行|运行|调用).{0,30}",
+    r"(?i)<evidence>|</evidence>",
+]

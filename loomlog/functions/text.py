@@ -389,9 +389,10 @@ def tightened(category: Column, first_ms: Column, last_ms: Column, samples: Colu
 
 
 def free_text(c: Column, size: int = 500) -> Column:
-    """Controls dropped, phrases that address a reader as instructions masked, redacted, cut."""
-    t = F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
-    t = F.regexp_replace(t, r"(?i)ignore (?:all )?(?:previous|above) instructions|system prompt|you are now", "<removed>")
+    """Controls and phrases that address a reader as instructions dropped, redacted, cut; null is empty."""
+    t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    for pattern in r.INJECTIONS:
+        t = F.regexp_replace(t, pattern, "")
     return truncate(strip(F.regexp_replace(redact(t), r"\s+", " ")), size)
 
 

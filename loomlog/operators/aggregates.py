@@ -31,6 +31,15 @@ def terms(rows: DataFrame, keys: list[str], text: str, words: list[str], most: i
     return rows.groupBy(*keys).agg(*hit).select(*keys, F.slice(found, 1, most).alias("terms"))
 
 
+def levels(rows: DataFrame, keys: list[str], level: str = "level", tags: str = "tags", suppressed: str = "loop_suppressed") -> DataFrame:
+    """keys, records, errors, warnings and suppressed: rows by level, by their tags where the level is empty, and the rows that summaries of loops stand for."""
+    name, has = F.upper(F.trim(F.coalesce(F.col(level), F.lit("")))), lambda *x: F.coalesce(F.arrays_overlap(tags, F.array(*[F.lit(y) for y in x])), F.lit(False))
+    error = name.isin("ERROR", "FATAL", "SEVERE") | ((name == "") & has("error"))
+    warning = name.isin("WARN", "WARNING") | ((name == "") & has("warn", "warning"))
+    held = F.when(has("loop_suppressed"), F.coalesce(F.col(suppressed).cast("long"), F.lit(0))).otherwise(0)
+    return rows.groupBy(*keys).agg(F.count("*").alias("records"), F.count_if(error).alias("errors"), F.count_if(warning & ~error).alias("warnings"), F.sum(held).alias("suppressed"))
+
+
 def topics(chat: DataFrame) -> DataFrame:
     """(what, name, n): histograms of category, severity and label, the five players who say most, and the number of players."""
     facts = F.concat(F.array(F.struct(F.lit("category").alias("what"), F.col("chat_category").alias("name")), F.struct(F.lit("severity").alias("what"), F.col("chat_severity").alias("name"))), F.transform("chat_labels", lambda x: F.struct(F.lit("label").alias("what"), x.alias("name"))))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import catalogue as c
 from loomlog.functions import text as t
+from loomlog.operators import aggregates as agg
 from loomlog.operators import joins as j
 from loomlog.operators import loops, sampling as s, windows as w
 from loomlog.operators import classify as k
@@ -125,7 +126,18 @@ UNION ALL SELECT server_id, key, pre_ts, NULL, pre_n FROM go WHERE pre_ts IS NOT
 UNION ALL SELECT server_id, key, last, NULL, held FROM go WHERE r = total AND held > 0"""
 over_log("st_drain", lambda log: looped(log).agg(F.count("event_id").alias("passed"), F.sum("suppressed").alias("held")), LOOP.rpartition("SELECT server_id, key, out_ts")[0] + "SELECT (SELECT count(*) FROM go WHERE out_id IS NOT NULL) AS passed, (SELECT count(*) FROM lr) - (SELECT count(*) FROM go WHERE out_id IS NOT NULL) AS held")
 over_log("agg_anomaly_snapshot", lambda log: (lambda a: a.groupBy("server_id", "phrase").agg(F.max_by(F.round("score", 6), F.struct("ts_ms", "seq")).alias("score"), F.count("*").alias("n")).orderBy(F.desc("score"), F.desc("n"), "server_id", "phrase").limit(20))(w.anomalies(log, ["server_id", "phrase"], ["ts_ms", "seq"])), with_history("SELECT server_id, phrase, arg_max(round(greatest(e, q, CASE WHEN total = 1 THEN 0.3 ELSE 0.0 END), 6), (s.ts_ms, s.event_id)) AS score, count(*) AS n FROM s GROUP BY ALL ORDER BY score DESC, n DESC, server_id, phrase LIMIT 20"))
-over_log("agg_flood_players", lambda log: named(w.floods(chat_rows(log).drop("player"), "chat_player")).groupBy("player").agg(F.count("*").alias("floods"), F.sum("n").alias("messages")), f"SELECT player, count(*) AS floods, sum(n)::BIGINT AS messages FROM ({FLOODS}) f GROUP BY 1")
+
+
+def flood_players(log):
+    """Players with their floods and five different messages from them."""
+    chat, events = chat_rows(log.drop("player")), named(w.floods(chat_rows(log).drop("player"), "chat_player"))
+    said = j.tag_intervals(named(chat), events, "player", "ts_ms", "event_id").where("kind IS NOT NULL")
+    texts = agg.samples(said, ["player"], "chat_message", ["ts_ms", "seq"]).select("player", "samples")
+    return events.groupBy("player").agg(F.count("*").alias("floods"), F.sum("n").alias("messages")).join(texts, "player")
+
+
+over_log("agg_flood_players", flood_players, f"""SELECT player, floods, messages, samples FROM (SELECT player, count(*) AS floods, sum(n)::BIGINT AS messages FROM ({FLOODS}) f GROUP BY 1) t
+JOIN (SELECT player, array_to_string(list_slice(list(chat_message ORDER BY ts_ms, seq), 1, 5), '|') AS samples FROM (SELECT c.chat_player AS player, c.chat_message, min(c.ts_ms) AS ts_ms, arg_min(c.seq, (c.ts_ms, c.seq)) AS seq FROM ({CHAT}) c SEMI JOIN ({FLOODS}) f ON f.player = c.chat_player AND c.ts_ms BETWEEN f.start_ms AND f.end_ms GROUP BY ALL) s GROUP BY 1) u USING (player)""")
 
 # sources
 over_log("src_tail_n", lambda log: j.top_matches(log, log, ["path"], [F.desc("ts_ms"), F.desc("seq")], 10).select("path", "event_id"), "SELECT path, event_id FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY ts_ms DESC, seq DESC) AS r FROM log) x WHERE r <= 10")

@@ -82,7 +82,15 @@ over_log("flt_downsample", lambda log: log.where(c.track(F.col("message"), F.col
 over_log("flt_overgeneral", lambda log: agg.specific(log.select("event_id", t.normalised(F.col("line")).alias("template")), "template").select("event_id"), f"SELECT event_id FROM (SELECT event_id, string_split({d.normalised('line')}, ' ') AS w FROM log) x WHERE NOT (len(list_filter(w, lambda y: contains(y, '<'))) >= 2 AND len(list_filter(w, lambda y: NOT contains(y, '<') AND length(y) > 3)) = 0)")
 
 # aggregates
-cls("agg_levels", lambda x: x.groupBy("server_id").agg(F.count_if(F.col("level").isin("ERROR", "FATAL", "SEVERE")).alias("errors"), F.count_if(F.col("level").isin("WARN", "WARNING")).alias("warnings"), F.count("*").alias("records")), "SELECT server_id, count_if(level IN ('ERROR', 'FATAL', 'SEVERE'))::BIGINT AS errors, count_if(level IN ('WARN', 'WARNING'))::BIGINT AS warnings, count(*) AS records FROM cls GROUP BY ALL")
+
+
+def tagged_levels(log):
+    """Every third row without a level of its own, every fifth a summary of a loop."""
+    rows = log.withColumn("tags", F.array(F.lower("level"), F.when(F.col("k") % 5 == 0, "loop_suppressed").otherwise("server_log")))
+    return agg.levels(rows.withColumn("level", F.when(F.col("k") % 3 > 0, F.col("level"))).withColumn("loop_suppressed", F.col("k")), ["server_id"])
+
+
+over_log("agg_levels", tagged_levels, "SELECT server_id, count(*) AS records, count_if(level = 'ERROR')::BIGINT AS errors, count_if(level = 'WARN')::BIGINT AS warnings, sum(CASE WHEN k % 5 = 0 THEN k ELSE 0 END)::BIGINT AS suppressed FROM log GROUP BY 1")
 cls("agg_buckets", lambda r: r.groupBy("category", "tag").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("server_id")), ",").alias("servers"), F.array_join(F.array_sort(F.collect_set("level")), ",").alias("levels")), "SELECT category, tag, count(*) AS n, array_to_string(list_sort(list_distinct(list(server_id))), ',') AS servers, array_to_string(list_sort(list_distinct(list(level))), ',') AS levels FROM cls GROUP BY ALL")
 LISTS = ["servers", "players", "subtypes", "ops_categories", "labels", "plugins", "files", "worlds", "positions"]
 iss("agg_issue", lambda i: i.select("category", "tag", "session", "n", "first_ms", "last_ms", *[F.array_join(x, ",").alias(x) for x in LISTS], "severity", "confidence", "alert"), "SELECT category, tag, session, n, first_ms, last_ms, " + ", ".join(f"array_to_string({x}, ',') AS {x}" for x in LISTS) + ", severity, confidence, alert FROM iss")
@@ -98,7 +106,20 @@ cls("agg_anticheat_checks", lambda x: agg.anticheat_checks(x.where("cheat_player
 cls("agg_player_samples", lambda x: agg.samples(x.where("chat_player <> ''"), ["chat_player"], "chat_message", ["ts_ms", "seq"]), "SELECT chat_player, sum(c)::BIGINT AS n, array_to_string(list_slice(list(chat_message ORDER BY t, q), 1, 5), '|') AS samples FROM (SELECT chat_player, chat_message, count(*) AS c, min(ts_ms) AS t, arg_min(seq, (ts_ms, seq)) AS q FROM cls WHERE chat_player <> '' GROUP BY 1, 2) x GROUP BY 1")
 ABUSE = f"SELECT player, class, count(*) AS n FROM (SELECT chat_player AS player, {c.review_class_sql('chat_message')} AS class FROM cls WHERE chat_player <> '') x WHERE class IS NOT NULL GROUP BY ALL HAVING count(*) >= CASE WHEN class = 'sensitive' THEN 1 ELSE 2 END"
 cls("agg_abuse", lambda x: k.abuses(x.where("chat_message IS NOT NULL")), ABUSE)
-cls("agg_abuse_players", lambda x: k.abuses(x.where("chat_message IS NOT NULL")).groupBy("player").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes")), f"SELECT player, sum(n)::BIGINT AS n, array_to_string(list_sort(list(class)), ',') AS classes FROM ({ABUSE}) y GROUP BY 1")
+
+
+def abuse_players(rows):
+    """Players with their abuses, classes and five different messages of those classes."""
+    chat = rows.where("chat_message IS NOT NULL")
+    found = k.abuses(chat)
+    said = chat.withColumn("class", c.review_class(F.col("chat_message"))).join(found.select(F.col("player").alias("chat_player"), "class"), ["chat_player", "class"])
+    texts = agg.samples(said.withColumnRenamed("chat_player", "said_by"), ["said_by"], "chat_message", ["ts_ms", "seq"])
+    totals = found.groupBy("player").agg(F.sum("n").alias("n"), F.array_join(F.array_sort(F.collect_set("class")), ",").alias("classes"))
+    return totals.join(texts.select(F.col("said_by").alias("player"), "samples"), "player")
+
+
+SAMPLED = "SELECT player, array_to_string(list_slice(list(chat_message ORDER BY ts_ms, seq), 1, 5), '|') AS samples FROM (SELECT player, chat_message, min(ts_ms) AS ts_ms, arg_min(seq, (ts_ms, seq)) AS seq FROM ({}) s0 GROUP BY ALL) s1 GROUP BY 1"
+cls("agg_abuse_players", abuse_players, f"SELECT player, n, classes, samples FROM (SELECT player, sum(n)::BIGINT AS n, array_to_string(list_sort(list(class)), ',') AS classes FROM ({ABUSE}) y GROUP BY 1) t JOIN ({SAMPLED.format(f"SELECT a.player, x.chat_message, x.ts_ms, x.seq FROM (SELECT *, {c.review_class_sql('chat_message')} AS class FROM cls WHERE chat_player <> '') x JOIN ({ABUSE}) a ON a.player = x.chat_player AND a.class = x.class")}) u USING (player)")
 over_log(
     "agg_review_evidence",
     lambda log: agg.review_evidence(k.classify(k.behaviour(log)).where("chat_player <> ''").withColumn("class", c.review_class(F.col("chat_message")))).select("event_id", "chat_player", "reason"),
