@@ -177,3 +177,32 @@ def test_plans_and_actions(spark):
     assert steps[5] == ["locate", "database_reach", "database_pool", "configuration", "network", "performance"]
     assert [r.a for r in df.orderBy("id").select(advice.action.make().alias("a")).collect()] == ["plugin", "network", "loop", "urgent", "disk", "database"]
     assert set(advice.TEXTS) >= {"none", "urgent"}
+
+
+def test_prompt_samples_by_hand(spark):
+    """Best of equal texts, without low ones if enough are left, 2 of 3 by score, the rest at even steps, then in order."""
+    import random
+
+    from loomlog.operators import sampling
+
+    rng = random.Random(4)
+    rows = [(i, rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("12"), float(rng.randint(0, 9)), rng.random() < 0.3, float(rng.choice([0, 0, 1, 2, 5]))) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, text string, rank double, low boolean, score double")
+    for k in (6, 20, 45):
+        best = {}
+        for r in rows:
+            if r[1] not in best or (-r[2], r[0]) < (-best[r[1]][2], best[r[1]][0]):
+                best[r[1]] = r
+        pool = sorted(best.values())
+        worth = [r for r in pool if not r[3]]
+        pool = worth if len(worth) >= k else pool
+        if len(pool) > k:
+            first = sorted([r for r in pool if r[4] > 0], key=lambda r: (-r[4], r[0]))[: max(1, k * 2 // 3)]
+            m = k - k * 2 // 3 + 2
+            even = pool if len(pool) <= m else [pool[j] for j in sorted({round(i * ((len(pool) - 1) / (m - 1))) for i in range(m)})]
+            picked = first + [r for r in even if r not in first][: max(0, k - len(first))]
+            picked += [r for r in pool if r not in picked][: max(0, k - len(picked))]
+        else:
+            picked = pool
+        got = sampling.prompt_sample(df, "text", F.col("rank"), F.col("low"), F.col("score"), ["id"], "id", k)
+        assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in picked)
