@@ -258,7 +258,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> M
 def score(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, score, predicted for each row: null texts are scored as empty ones, which have no tokens.
 
-    Without a model (no labels of both classes) every score is 0.5.
+    Without a model (no labels of both classes) every score is 0.5. Repeated rows get a row
+    each, an empty table gives none; a text of any length is scored whole, in parts of bounded
+    size. doc_id must be a whole number or null.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -75,7 +75,11 @@ def fingerprint_texts(texts: list[str], width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """doc_id (NULL_ID for null), fp (long): a row for each input row. Null texts are empty: 0. Other columns are not read."""
+    """doc_id (NULL_ID for null), fp (long): a row for each input row. Null texts are empty: 0. Other columns are not read.
+
+    An empty table gives no rows; a text of any length is hashed whole, with its shingles in
+    memory. doc_id must be a whole number or null.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
