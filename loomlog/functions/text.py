@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
 from loomlog.functions import rules as r
 
@@ -388,6 +389,46 @@ def tightened(category: Column, first_ms: Column, last_ms: Column, samples: Colu
     return F.struct(shrunk(first_ms, F.array_min(times)).alias("first_ms"), shrunk(last_ms, F.array_max(times)).alias("last_ms"))
 
 
+#: The most characters, list items, entries, key characters and levels of a context, and keys that are left out of it.
+CONTEXT_CHARS, CONTEXT_ITEMS, CONTEXT_ENTRIES, CONTEXT_KEY, CONTEXT_DEPTH = 220, 8, 12, 64, 2
+CONTEXT_SKIP = ["attributes", "content", "event"]
+
+
+def compact_value(c: Column, kind: DataType, depth: int = 0) -> Column:
+    """A nested value cut to what a prompt may hold, null where nothing is left.
+
+    Texts are cleaned and cut; lists and objects keep their first items that aren't empty,
+    keys of CONTEXT_SKIP left out; objects deeper than CONTEXT_DEPTH go. The walk follows the type.
+    """
+    if isinstance(kind, StringType):
+        return F.nullif(truncate(clean_text(c), CONTEXT_CHARS), F.lit(""))
+    if isinstance(kind, ArrayType):
+        items = F.transform(F.slice(c, 1, CONTEXT_ITEMS), lambda x: compact_value(x, kind.elementType, depth + 1))
+        kept = F.filter(items, lambda x: x.isNotNull())
+        return F.when(F.size(kept) > 0, kept)
+    if isinstance(kind, StructType | MapType) and depth >= CONTEXT_DEPTH:
+        return F.lit(None).cast("string")
+    if isinstance(kind, MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(truncate(e["key"], CONTEXT_KEY).alias("key"), compact_value(e["value"], kind.valueType, depth + 1).alias("value")))
+        kept = F.slice(F.filter(entries, lambda e: e["value"].isNotNull() & ~e["key"].isin(CONTEXT_SKIP)), 1, CONTEXT_ENTRIES)
+        return F.when(F.size(kept) > 0, F.map_from_entries(kept))
+    if isinstance(kind, StructType):
+        fields, before = [], F.lit(0)
+        for f in kind.fields:
+            if f.name not in CONTEXT_SKIP:
+                value = compact_value(c[f.name], f.dataType, depth + 1)
+                fields.append(F.when(before < CONTEXT_ENTRIES, value).alias(f.name[:CONTEXT_KEY]))
+                before = before + value.isNotNull().cast("int")
+        return F.when(before > 0, F.struct(*fields)) if fields else F.lit(None).cast("string")
+    return c
+
+
+def compact_context(c: Column, kind: StructType, fields: list[str]) -> Column:
+    """JSON of the listed fields of a context, each cut by compact_value(); {} where nothing is left."""
+    types = {f.name: f.dataType for f in kind.fields}
+    return F.to_json(F.struct(*[compact_value(c[f], types[f]).alias(f) for f in fields if f in types]))
+
+
 def free_text(c: Column, size: int = 500) -> Column:
     """Controls and phrases that address a reader as instructions dropped, redacted, cut; null is empty."""
     t = F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")

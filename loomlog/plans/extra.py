@@ -267,7 +267,19 @@ over_log("fn_position", lambda log: log.select("event_id", t.position(F.when(F.c
 BACKEND, WORLD = "CASE WHEN k % 4 = 0 THEN server_id WHEN k % 4 = 1 THEN 'hub' || phrase % 3 WHEN k % 4 = 2 THEN '' END", "CASE WHEN k % 3 = 0 THEN 'nether' WHEN k % 3 = 1 THEN '' END"
 over_log("fn_location", lambda log: log.select("event_id", t.location(F.col("server_id"), F.expr(BACKEND), F.expr(WORLD)).alias("out")), f"SELECT event_id, server_id || CASE WHEN k % 4 = 1 THEN '/hub' || phrase % 3 ELSE '' END || CASE WHEN k % 3 = 0 THEN '@nether' ELSE '' END AS out FROM log")
 over_log("fn_config_files", lambda log: log.select("event_id", F.array_join(t.found_all(F.col("message"), t.CONFIG_FILE), ",").alias("files"), F.size(t.found_all(F.col("message"), t.HOST)).alias("hosts")), f"SELECT event_id, array_to_string(regexp_extract_all(message, {d.q(t.CONFIG_FILE)}, 1), ',') AS files, len(list_distinct(regexp_extract_all(message, {d.q(t.HOST)}, 1)))::INT AS hosts FROM log")
-over_log("fn_compact_context", lambda log: log.select("event_id", F.to_json(F.struct("server_id", t.truncate(t.redact(F.col("message")), 30).alias("text"))).alias("out")), f"SELECT event_id, '{{\"server_id\":\"' || server_id || '\",\"text\":\"' || CASE WHEN length({d.redacted('message')[0]}) > 30 THEN substr({d.redacted('message')[0]}, 1, 27) || '...' ELSE {d.redacted('message')[0]} END || '\"}}' AS out FROM log")
+
+
+def compacted(log):
+    """Contexts of three levels: texts, a list that is too long, an object with a deeper one, a map with a key that is left out."""
+    ops = F.struct(F.lit("x").alias("attributes"), F.col("k").alias("level"), F.struct(F.col("player").alias("by"), F.struct(F.lit("deep").alias("c")).alias("deep")).alias("inner"), F.lit(" ").alias("blank"))
+    extra = F.create_map(F.lit("content"), F.lit("gone"), F.lit("where"), F.col("server_id"), F.lit("who"), F.when(F.col("k") % 2 == 0, F.col("player")))
+    rows = log.select("event_id", F.struct("level", F.col("message").alias("source"), F.lit("secret").alias("hidden"), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: F.concat(F.when(i == 3, "").otherwise("n"), F.when(i == 3, "").otherwise(i.cast("string")))).alias("params"), ops.alias("ops"), extra.alias("extra")).alias("context"))
+    return rows.select("event_id", t.compact_context(F.col("context"), rows.schema["context"].dataType, ["level", "source", "params", "ops", "extra"]).alias("out"))
+
+
+_SOURCE = d.clean_text("message")
+over_log("fn_compact_context", compacted, f"""SELECT event_id, '{{"level":"' || level || '"' || CASE WHEN s = '' THEN '' ELSE ',"source":"' || CASE WHEN length(s) > 220 THEN substr(s, 1, 217) || '...' ELSE s END || '"' END
+ || ',"params":["n1","n2","n4","n5","n6","n7","n8"],"ops":{{"level":' || k || ',"inner":{{"by":"' || player || '"}}}},"extra":{{"where":"' || server_id || '"' || CASE WHEN k % 2 = 0 THEN ',"who":"' || player || '"' ELSE '' END || '}}}}' AS out FROM (SELECT *, {_SOURCE} AS s FROM log) x""")
 iss("fn_issue_bounds", lambda i: i.select("tag", "session", F.least("first_ms", "last_ms").alias("a"), F.greatest("first_ms", "last_ms").alias("b")), "SELECT tag, session, first_ms AS a, last_ms AS b FROM iss")
 
 

@@ -206,3 +206,18 @@ def test_prompt_samples_by_hand(spark):
             picked = pool
         got = sampling.prompt_sample(df, "text", F.col("rank"), F.col("low"), F.col("score"), ["id"], "id", k)
         assert sorted(r.id for r in got.collect()) == sorted(r[0] for r in picked)
+
+
+def test_contexts_are_cut_level_by_level(spark):
+    import json
+
+    kind = "struct<level: string, n: int, list: array<string>, a: struct<event: string, b: struct<x: string, c: struct<d: string>>>, m: map<string, array<string>>, other: string>"
+    rows = [
+        (("ERROR", 3, [str(i) for i in range(12)], ("no", ("ab " * 150, ("deep",))), {"content": ["no"], "k" * 70: ["a", "", None], "z": []}, "left out"),),
+        ((None, None, ["", None], ("no", ("", None)), {}, "left out"),),
+        ((" see https://a.b/c ", 0, None, None, None, None),),
+    ]
+    df = spark.createDataFrame(rows, f"c {kind}")
+    got = [json.loads(r.x) for r in df.select(t.compact_context(F.col("c"), df.schema["c"].dataType, ["level", "n", "list", "a", "m", "absent"]).alias("x")).collect()]
+    assert got[0] == {"level": "ERROR", "n": 3, "list": list("01234567"), "a": {"b": {"x": ("ab " * 150)[:217] + "..."}}, "m": {"k" * 61 + "...": ["a"]}}
+    assert got[1] == {} and got[2] == {"level": "see <url>", "n": 0}
