@@ -62,15 +62,16 @@ def _down(levels: list[DataFrame], tops: DataFrame, above: list[str]) -> DataFra
     """Rows of the lowest level with _path, siblings from the node up, and the columns `above` of their group.
 
     tops: _key, _level (where the group's tree ends), _path from there on, and those columns.
+    Joins are by merging: a level small enough to broadcast would pass through the driver, each of them.
     """
     known = None
     for j in reversed(range(len(levels))):
-        end = levels[j].where("_top").drop("_parent", "_left", "_right", "_top").join(tops.where(F.col("_level") == j).drop("_level"), "_key")
+        end = levels[j].where("_top").drop("_parent", "_left", "_right", "_top").join(tops.where(F.col("_level") == j).drop("_level").hint("merge"), "_key")
         here = end
         if known is not None:
             up = known.select("_key", F.col("_idx").alias("_parent"), F.col("_path").alias("_rest"), *above)
             path = F.concat(F.array(F.struct(F.col("_left").alias("left"), F.col("_right").alias("right"))), "_rest")
-            here = end.unionByName(levels[j].where("NOT _top").join(up, ["_key", "_parent"]).withColumn("_path", path).drop("_parent", "_left", "_right", "_top", "_rest"))
+            here = end.unionByName(levels[j].where("NOT _top").join(up.hint("merge"), ["_key", "_parent"]).withColumn("_path", path).drop("_parent", "_left", "_right", "_top", "_rest"))
         known = here if j == 0 else here.select("_key", "_idx", "_path", *above)
     return known
 
