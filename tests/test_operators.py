@@ -3,12 +3,14 @@
 import datetime
 import gzip
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomlog.functions import catalogue
 from loomlog.functions import text as t
-from loomlog.operators import joins, loops, sampling, windows
+from loomlog.operators import classify, joins, loops, sampling, windows
 from loomlog.operators.graph import components
 from loomlog.sources import files
 
@@ -186,3 +188,29 @@ def test_evidence_is_located_by_text_then_in_range_then_anywhere(spark):
     assert got == [(1, 1, 11), (1, 1, 13), (2, 2, 11), (3, 2, 11), (4, 2, 17), (5, 3, 10), (7, 1, 11)]
     assert [tuple(r) for r in joins.located(issues.where("issue = 4"), records.where("id <> 17"), "issue", "samples", "id", "text", "ts_ms").collect()] == [(4, 3, 16)]
     assert joins.located(issues, records.limit(0), "issue", "samples", "id", "text", "ts_ms").count() == 0
+
+
+def test_a_line_is_judged_once_whatever_its_clock(spark, monkeypatch):
+    """Rows that differ in clock, server and player only are one row for the rules; nulls and marks keep rows apart, and no row is lost."""
+    said = [("INFO", "<p1> hello there"), ("ERROR", "Backup failed: disk full on /data"), ("INFO", "[Vulcan] p2 failed Speed (Type A) (2/20)"), (None, "Backup failed: disk full on /data"), ("WARN", None)]
+    rows = [(10 * i + j, f"[{i:02d}:59:0{i}] [Server thread/{lv}]: {m}" if m else None, m, lv, i == 3) for i in range(9) for j, (lv, m) in enumerate(said)]
+    log = spark.createDataFrame(rows, "event_id long, line string, message string, level string, chat_flood boolean")
+    seen, judged = [], classify.judged
+
+    def counted(lines):
+        seen.append(lines.count())
+        return judged(lines)
+
+    monkeypatch.setattr(classify, "judged", counted)
+    got = {r.event_id: r for r in classify.classify(log).collect()}
+    assert seen == [10] and len(got) == len(rows)
+    alone = judged(log.selectExpr("line _line", "message _message", "level _level", "chat_flood _flood", "false _abuse", "false _loop", "event_id"))
+    columns = [*classify.PARTS, "category", "gate", "tag", "severity", "evidence", "own_rank"]
+    assert all([r[x] for x in columns] == [got[r.event_id][x] for x in columns] for r in alone.collect())
+    assert len({r.category for r in got.values()}) > 2
+
+
+def test_no_rule_reads_a_clock():
+    """No word of the rules lies within [dd:dd:dd], which classification sets to zero."""
+    words = [w for x in (catalogue.LINE, catalogue.SAID) for kind in (x.tokens, x.parts, x.short_parts) for w in kind]
+    assert len(words) > 500 and not [w for w in words if re.fullmatch(r"[\[\]0-9: ]+", w)]
