@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomlog.functions import catalogue
 from loomlog.functions import text as t
-from loomlog.operators import classify, joins, loops, sampling, windows
+from loomlog.operators import aggregates, classify, joins, loops, sampling, windows
 from loomlog.operators.graph import components
 from loomlog.sources import files
 
@@ -214,3 +214,17 @@ def test_no_rule_reads_a_clock():
     """No word of the rules lies within [dd:dd:dd], which classification sets to zero."""
     words = [w for x in (catalogue.LINE, catalogue.SAID) for kind in (x.tokens, x.parts, x.short_parts) for w in kind]
     assert len(words) > 500 and not [w for w in words if re.fullmatch(r"[\[\]0-9: ]+", w)]
+
+
+def test_a_timeline_makes_its_rows_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for pdf in batches:
+            made.add(len(pdf))
+            yield pdf
+
+    rows = spark.createDataFrame([(T0 + i, i, "ERROR" if i % 4 == 0 else "INFO", f"t{i % 2}", "x") for i in range(20)], "ts_ms long, seq long, level string, tag string, line string")
+    got = sorted(tuple(r) for r in aggregates.timeline(rows.mapInPandas(run, rows.schema), ["ts_ms", "seq"], 4).collect())
+    assert made.value == 20
+    assert got[0] == (0, 5, T0, T0 + 4, 2, "t0,t1") and [r[1] for r in got] == [5, 5, 5, 5]
