@@ -142,3 +142,21 @@ def test_late_rows_are_set_apart(spark, tmp_path):
     kept, late = q.late_apart(source, str(tmp_path / "run"))
     assert sorted(r.event_id for r in late.collect()) == [4, 9]
     assert sorted(r.event_id for r in kept.union(late).collect()) == list(range(10))
+
+
+def test_slices_are_joined_to_few_micro_batches(spark, tmp_path):
+    assert q.joined([(0, 10), (1, 1), (2, 1), (3, 1), (9, 50), (11, 1)], 4) == [0, 9, 11] and q.joined([], 4) == []
+    df = spark.createDataFrame([("s", "k", T0 + i * 1000, i, "") for i in range(300)], SCHEMA)
+    source = q.arriving(df, F.col("ts_ms"), str(tmp_path / "in"), 1000, most=4)
+    assert 4 <= len(list((tmp_path / "in").glob("slice=*"))) <= 8
+    assert sorted(r.event_id for r in q.run_once(source, str(tmp_path / "run")).collect()) == list(range(300))
+
+
+def test_late_rows_go_by_steps_however_many_a_micro_batch_holds(spark, tmp_path):
+    times = [0, 1000, 700_000, 650_000, 99_999, 100_001, None, 2_000_000, 1_500_000, 1_399_999]  # two a step
+    for most in (1, 2):
+        df = spark.createDataFrame([("s", "k", None if ms is None else T0 + ms, i, "") for i, ms in enumerate(times)], SCHEMA).withColumn("step", F.floor(F.col("event_id") / 2))
+        source = q.arriving(df, F.col("step"), str(tmp_path / f"in{most}"), 1, most=most)
+        kept, late = q.late_apart(source, str(tmp_path / f"run{most}"), step="step")
+        assert sorted(r.event_id for r in late.collect()) == [4, 9]
+        assert sorted(r.event_id for r in kept.union(late).collect()) == list(range(10))
