@@ -228,3 +228,24 @@ def test_a_timeline_makes_its_rows_once(spark):
     got = sorted(tuple(r) for r in aggregates.timeline(rows.mapInPandas(run, rows.schema), ["ts_ms", "seq"], 4).collect())
     assert made.value == 20
     assert got[0] == (0, 5, T0, T0 + 4, 2, "t0,t1") and [r[1] for r in got] == [5, 5, 5, 5]
+
+
+def test_issues_are_shown_by_all_lines_of_their_evidence(spark):
+    """An hour of failures, one a minute, whose lines tell times of the inner fifty minutes; no line is left out as a sample."""
+    day = 1_700_006_400_000  # midnight
+    at = lambda i: min(max(i, 5), 55)
+    text = "Failed to load plugin Essentials"
+    rows = [(i, i, day + i * 60_000, "s0", "p", "ERROR", text, f"[00:{at(i):02d}:00] [Server thread/ERROR]: {text}") for i in range(61)]
+    log = spark.createDataFrame([(*r[:7], r[7]) for r in rows], "event_id long, seq long, ts_ms long, server_id string, player string, level string, message string, line string")
+    judged = classify.classify(log)
+    found = classify.issues(judged)
+    got = classify.shown_spans(judged, found).collect()
+    assert [(r.first_ms, r.last_ms) for r in found.collect()] == [(day, day + 3_600_000)]
+    assert [(r.first_ms, r.last_ms) for r in got] == [(day + 300_000, day + 3_300_000)]
+
+
+def test_spans_are_those_of_all_issues():
+    """Their SQL reads all issues, with all lines of their evidence."""
+    from loomlog.plans.registry import ORACLES
+
+    assert "FROM iss LEFT JOIN tm" in ORACLES["fn_tighten"] and "event_id % 5" not in ORACLES["fn_tighten"]
