@@ -249,3 +249,9 @@ def test_spans_are_those_of_all_issues():
     from loomlog.plans.registry import ORACLES
 
     assert "FROM iss LEFT JOIN tm" in ORACLES["fn_tighten"] and "event_id % 5" not in ORACLES["fn_tighten"]
+
+
+def test_levels_are_those_of_classified_rows():
+    from loomlog.plans.registry import ORACLES
+
+    assert ORACLES["agg_levels"].rstrip().endswith("FROM cls GROUP BY 1")
