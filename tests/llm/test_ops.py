@@ -844,3 +844,19 @@ def test_texts_of_a_megabyte_and_repeated_ids(spark):
     packed = packing.pack(table).collect()
     assert {r.doc_id for r in packed} == {1, 2, 3}
     assert len(quality.score(table, None).collect()) == 5
+
+
+def test_common_shingles_lose_no_pair():
+    """Prefixes of sets with a likeness of 4/5 meet whatever is called common: the sample decides on an order only."""
+    from loomlog.llm import shingles
+
+    rng = np.random.default_rng(9)
+    for _ in range(300):
+        both = rng.choice(1 << 20, size=rng.integers(4, 200), replace=False).astype(np.int64)
+        spare = len(both) // 4
+        one = rng.integers(0, spare + 1)
+        a = np.sort(np.concatenate([both, (1 << 21) + np.arange(one)]))
+        b = np.sort(np.concatenate([both, (1 << 22) + np.arange(rng.integers(0, spare - one + 1))]))
+        assert shingles.alike(a.tobytes(), b.tobytes())
+        for common in (np.zeros(0, dtype=np.int64), both, np.sort(rng.choice(both, size=len(both) // 2, replace=False)), a):
+            assert np.intersect1d(shingles.prefix(a, np.sort(common)), shingles.prefix(b, np.sort(common))).size
