@@ -160,3 +160,15 @@ def test_late_rows_go_by_steps_however_many_a_micro_batch_holds(spark, tmp_path)
         kept, late = q.late_apart(source, str(tmp_path / f"run{most}"), step="step")
         assert sorted(r.event_id for r in late.collect()) == [4, 9]
         assert sorted(r.event_id for r in kept.union(late).collect()) == list(range(10))
+
+
+def test_state_is_dealt_in_as_many_parts_as_asked_for(spark, tmp_path):
+    """Two keys of state, and the session's four partitions: two tasks a micro-batch, the same rows, and the setting as it was."""
+    df = spark.createDataFrame(log(3), SCHEMA)
+    end = spark.createDataFrame([("end", "z", T0 + 10**9 * (i + 1), 10_000 + i, "end", i) for i in range(2)], SCHEMA + ", slice long")
+    source = q.arriving(df, F.col("ts_ms"), str(tmp_path / "in"), 900_000, end, 8)
+    got = q.run_once(q.suppress(source), str(tmp_path / "run"), parts=2).where("server_id <> 'end'").collect()
+    columns = ["server_id", "key", "ts_ms", "event_id", "suppressed"]
+    assert show(got, *columns) == show(loops.suppress(df).collect(), *columns)
+    assert sorted(x.name for x in (tmp_path / "run/checkpoint/state/0").iterdir() if x.name.isdigit()) == ["0", "1"]
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
