@@ -255,3 +255,26 @@ def test_levels_are_those_of_classified_rows():
     from loomlog.plans.registry import ORACLES
 
     assert ORACLES["agg_levels"].rstrip().endswith("FROM cls GROUP BY 1")
+
+
+def test_evidence_that_differs_in_nothing_is_one_row(spark):
+    """Ten failures in one slot, of two players, and one in the next slot: three rows that stand for eleven; the issue counts and bounds all of them."""
+    day, text = 1_700_006_400_000, "Failed to load plugin Essentials at 1, 2, 3"
+    rows = [(i, i, day + i * 1000, "s0", f"p{i % 2}", "ERROR", text, f"[00:00:{i:02d}] [Server thread/ERROR]: {text}") for i in range(10)]
+    rows.append((10, 10, day + 400_000 - 100_000, "s0", "p0", "ERROR", text, f"[00:05:00] [Server thread/ERROR]: {text}"))
+    log = spark.createDataFrame(rows, "event_id long, seq long, ts_ms long, server_id string, player string, level string, message string, line string")
+    judged = classify.classify(log)
+    assert sorted((r.n, r.first_ms - day, r.last_ms - day, r.plugin, r.position) for r in classify.alike(judged).collect()) == [(1, 300_000, 300_000, "Essentials", "1, 2, 3"), (5, 0, 8000, "Essentials", "1, 2, 3"), (5, 1000, 9000, "Essentials", "1, 2, 3")]
+    assert [(r.n, r.first_ms - day, r.last_ms - day, r.players, r.plugins) for r in classify.issues(judged).collect()] == [(11, 0, 300_000, ["p0", "p1"], ["Essentials"])]
+
+
+def test_messages_from_a_list_are_those_of_the_cases(spark):
+    """Whatever is null or no phrase's number; and the log is made from the list."""
+    from loomlog.sources import eventlog as e
+
+    odd = [(i, p, k) for i in [-1, *range(len(e.PHRASES) + 1), None] for p in ("p7", None) for k in (0, -12, None)]
+    rows = spark.createDataFrame(odd, "phrase int, player string, k int")
+    cases = e.concatenated([x.replace("'", "`") for x in e.PHRASES])
+    got = rows.selectExpr("phrase", "player", "k", f"{e.said(e.PHRASES)} AS a", f"replace({cases}, '`', chr(39)) AS b").collect()
+    assert len(got) == len(odd) and all(r.a == r.b for r in got) and sum(r.a is not None for r in got) > 150
+    assert e.said(e.PHRASES) in e.log_sql(True) and e.concatenated(e.PHRASES) in e.log_sql(False)
