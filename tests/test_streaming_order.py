@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from loomlog.operators import loops, windows
@@ -152,6 +153,16 @@ def test_slices_are_joined_to_few_micro_batches(spark, tmp_path):
     assert sorted(r.event_id for r in q.run_once(source, str(tmp_path / "run")).collect()) == list(range(300))
 
 
+def test_micro_batches_are_written_by_a_task_each_and_read_by_several(spark, tmp_path):
+    """Six slices of more than 1 MB: six tasks wrote them, and each has several row groups, which tasks share."""
+    df = spark.range(60_000).select(F.lit("s").alias("server_id"), F.lit("k").alias("key"), (T0 + F.col("id")).alias("ts_ms"), F.col("id").alias("event_id"), F.sha2(F.col("id").cast("string"), 512).alias("message"))
+    source = q.arriving(df, F.col("ts_ms"), str(tmp_path / "in"), 10_000, most=6)
+    files = sorted((tmp_path / "in").glob("slice=*/*.parquet"))
+    assert len(files) == len({f.name.split("-")[1] for f in files}) >= 6
+    assert min(pq.ParquetFile(f).num_row_groups for f in files if f.stat().st_size > 1_300_000) > 1
+    assert q.run_once(source.select("event_id"), str(tmp_path / "run")).distinct().count() == 60_000
+
+
 def test_late_rows_go_by_steps_however_many_a_micro_batch_holds(spark, tmp_path):
     times = [0, 1000, 700_000, 650_000, 99_999, 100_001, None, 2_000_000, 1_500_000, 1_399_999]  # two a step
     for most in (1, 2):
