@@ -278,3 +278,30 @@ def test_messages_from_a_list_are_those_of_the_cases(spark):
     got = rows.selectExpr("phrase", "player", "k", f"{e.said(e.PHRASES)} AS a", f"replace({cases}, '`', chr(39)) AS b").collect()
     assert len(got) == len(odd) and all(r.a == r.b for r in got) and sum(r.a is not None for r in got) > 150
     assert e.said(e.PHRASES) in e.log_sql(True) and e.concatenated(e.PHRASES) in e.log_sql(False)
+
+
+def test_log_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    """A file split by its bytes whose rows all lie in one row group isn't one task's work; the log has its rows once each."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from loomlog.sources import eventlog as e
+
+    n = 20_000
+    start = datetime.datetime(2024, 1, 1)
+    table = pa.table({"event_id": range(n), "ts": [start + datetime.timedelta(seconds=i) for i in range(n)], "user_id": [i % 50 for i in range(n)], "event_type": ["error", "view"] * (n // 2), "value": [0.5] * n, "props": ['{"k": %d}' % (i % 9) for i in range(n)]})
+    sizes = {"spark.sql.files.maxPartitionBytes": "20000", "spark.sql.files.openCostInBytes": "0"}
+    for groups, dealt in ((1, True), (40, False)):
+        (tmp_path / str(groups)).mkdir()
+        pq.write_table(table, tmp_path / str(groups) / "events.parquet", row_group_size=n // groups)
+        for k, v in sizes.items():
+            spark.conf.set(k, v)
+        try:
+            log = e.log(spark, str(tmp_path / str(groups)))
+            per = [r["count"] for r in log.groupBy(F.spark_partition_id()).count().collect()]
+            assert sum(per) == n and max(per) <= 1.5 * n / spark.sparkContext.defaultParallelism
+            assert log.select("event_id").distinct().count() == n
+            assert any("dealt-" in f for f in log.inputFiles()) is dealt
+        finally:
+            for k in sizes:
+                spark.conf.unset(k)
