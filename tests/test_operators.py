@@ -77,6 +77,25 @@ def test_floods(spark):
     assert windows.floods(chat(spark, words, 1).where("false")).count() == 0
 
 
+def test_repeat_pairs_are_those_of_all_rows(spark):
+    """Against all pairs, rows that are there twice counted twice; slots of more rows than a task pairs are dealt; pairs aren't shuffled."""
+    rng = random.Random(11)
+    words = ["hello", "hallo", "hello there", "hello there x", "spam", "spam!", "spa", "!!", "", None, "加群1", "加群2"]
+    rows = [(rng.choice("pq"), T0 + rng.choice([0, 0, 1, 1000, 299_999, 300_000, 300_001, 700_000]) + rng.randrange(3), i // 2 if i < 60 else i, rng.choice(words)) for i in range(240)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "player string, ts_ms long, seq long, chat_message string")
+    norm = windows.with_key(df, "chat_message").select("player", F.col("ts_ms").alias("ts"), "seq", "norm")
+    a, b = (norm.select("player", *[F.col(c).alias(f"{x}_{c}") for c in ("ts", "seq", "norm")]) for x in "ab")
+    every = a.join(b, "player").where(t.similar(F.col("a_norm"), F.col("b_norm")) & (F.col("b_ts") - F.col("a_ts") <= 300_000) & (F.struct("b_ts", "b_seq") > F.struct("a_ts", "a_seq")))
+    want = sorted(map(tuple, every.select("player", "a_ts", "a_seq", "b_ts", "b_seq").collect()))
+    assert len(want) > 1000 and len(set(want)) < len(want)
+    for piece in (windows.PIECE, 3):
+        got = windows.repeat_pairs(df, "player", "ts_ms", "seq", "chat_message", 300_000, piece)
+        assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [player#" not in plan.split("Join Inner")[0]
+
+
 def test_spike_scores(spark):
     rows = [("s", "t", T0 // 60_000 * 60_000 + i * 60_000, i) for i in range(5)]
     rows += [("s", "t", T0 // 60_000 * 60_000 + 300_000 + i * 100, 5 + i) for i in range(20)]
