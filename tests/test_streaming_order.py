@@ -183,3 +183,26 @@ def test_state_is_dealt_in_as_many_parts_as_asked_for(spark, tmp_path):
     assert show(got, *columns) == show(loops.suppress(df).collect(), *columns)
     assert sorted(x.name for x in (tmp_path / "run/checkpoint/state/0").iterdir() if x.name.isdigit()) == ["0", "1"]
     assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_loop_filter_holds_candidates_and_passes_all_others(spark, tmp_path):
+    """By level or by words, whatever the level; other rows, and those of neither, come out one by one."""
+    said = [("INFO", "Connection Timed out"), ("INFO", "hello"), ("WARNING", "hello"), (None, "备份失败"), ("fatal", None), (None, None)]
+    rows = [("s", "k" + str(i), T0 + j * 1000, i * 10 + j, text, level) for i, (level, text) in enumerate(said) for j in range(3)]
+    df = spark.createDataFrame(rows, SCHEMA + ", level string")
+    end = spark.createDataFrame([("end", "z", T0 + 10**9 * (i + 1), 10_000 + i, "error", "ERROR", i) for i in range(2)], SCHEMA + ", level string, slice long")
+    source = q.arriving(df, F.col("ts_ms"), str(tmp_path / "in"), 900_000, end)
+    got = q.run_once(q.loop_filter(source), str(tmp_path / "run")).where("server_id <> 'end'").collect()
+    held = [(f"k{i}", T0 + (0 if n == 0 else 2000), i * 10 if n == 0 else -1, n) for i in (0, 2, 3, 4) for n in (0, 2)]
+    passed = [(f"k{i}", T0 + j * 1000, i * 10 + j, 0) for i in (1, 5) for j in range(3)]
+    assert show(got, "key", "ts_ms", "event_id", "suppressed") == sorted(held + passed)
+
+
+def test_loop_filter_reads_all_of_the_log(spark):
+    """What comes out and what it stands for make up all rows of the table."""
+    from conftest import SF
+    from loomlog.plans.registry import ORACLES, QUERIES
+
+    got = QUERIES["st_loop_filter"](spark, SF).agg(F.sum("suppressed") + F.count_if(F.col("event_id") >= 0)).first()[0]
+    assert got == spark.read.parquet(f"{SF}/events.parquet").count()
+    assert "level IN ('WARN', 'ERROR')" not in ORACLES["st_loop_filter"] and "level IN ('WARN', 'ERROR')" in ORACLES["st_drain"]
